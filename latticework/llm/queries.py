@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .decontaminate import op3_decontaminate
 from .token_counts import op6_token_counts
 
 QUERIES = {
+    "op3_decontaminate": op3_decontaminate,
     "op6_token_counts": op6_token_counts,
 }
 ORACLES: dict[str, str] = {}
