@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .decontaminate import op3_decontaminate
+from .simhash import op4_simhash
 from .token_counts import op6_token_counts
 
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
+    "op4_simhash": op4_simhash,
     "op6_token_counts": op6_token_counts,
 }
 ORACLES: dict[str, str] = {}
