@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op3_decontaminate
+from .mixing import OP8_SQL, op8_mixing
 from .simhash import op4_simhash
 from .token_counts import op6_token_counts
 
@@ -10,5 +11,8 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
     "op6_token_counts": op6_token_counts,
+    "op8_mixing": op8_mixing,
+}
+ORACLES: dict[str, str] = {
+    "op8_mixing": OP8_SQL,
 }
-ORACLES: dict[str, str] = {}
