@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op3_decontaminate
 from .mixing import OP8_SQL, op8_mixing
+from .quality import op9_quality
 from .simhash import op4_simhash
 from .token_counts import op6_token_counts
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op6_token_counts": op6_token_counts,
     "op8_mixing": op8_mixing,
+    "op9_quality": op9_quality,
 }
 ORACLES: dict[str, str] = {
     "op8_mixing": OP8_SQL,
