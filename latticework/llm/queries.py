@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .decontaminate import op3_decontaminate
 from .mixing import OP8_SQL, op8_mixing
+from .pii import op2_pii
 from .quality import op9_quality
 from .simhash import op4_simhash
 from .token_counts import op6_token_counts
 
 QUERIES = {
+    "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
     "op6_token_counts": op6_token_counts,
