@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op3_decontaminate
+from .language import op1_language
 from .mixing import OP8_SQL, op8_mixing
 from .pii import op2_pii
 from .quality import op9_quality
@@ -10,6 +11,7 @@ from .simhash import op4_simhash
 from .token_counts import op6_token_counts
 
 QUERIES = {
+    "op1_language": op1_language,
     "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
