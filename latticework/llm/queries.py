@@ -8,6 +8,7 @@ from .mixing import OP8_SQL, op8_mixing
 from .pii import op2_pii
 from .quality import op9_quality
 from .simhash import op4_simhash
+from .substrings import op7_substrings
 from .token_counts import op6_token_counts
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
     "op6_token_counts": op6_token_counts,
+    "op7_substrings": op7_substrings,
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
 }

@@ -49,11 +49,8 @@ def fingerprints(texts: pa.Array, shingle: int = 4) -> np.ndarray:
     for piece in tx.pieces(texts):
         data = tx.LOWER[piece.data]
         w = tx.words(piece, tx.SPACE_FREE)
-        lengths = w.ends - w.starts
-        ends = np.cumsum(lengths + 1) - 1  # of words in the text that has one space after each word
-        joined = np.full(int(ends[-1]) + 1 if len(ends) else 0, 0x20, np.uint8)
-        joined[tx.ranges(ends - lengths, lengths)] = data[tx.ranges(w.starts, lengths)]
-        raw, begins, stops, bounds = joined.tobytes(), (ends - lengths).tolist(), ends.tolist(), w.bounds.tolist()
+        text, begin, end = tx.joined(data, w)
+        raw, begins, stops, bounds = text.tobytes(), begin.tolist(), end.tolist(), w.bounds.tolist()
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             if a == b:
                 out.append(0)

@@ -140,3 +140,12 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(n)[:-1]
     out[ends] = s[1:] - (s[:-1] + n[:-1] - 1)
     return np.cumsum(out)
+
+
+def joined(data: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words with one space after each, and where in that text each word begins and ends."""
+    lengths = w.ends - w.starts
+    ends = np.cumsum(lengths + 1) - 1
+    out = np.full(int(ends[-1]) + 1 if len(ends) else 0, 0x20, np.uint8)
+    out[ranges(ends - lengths, lengths)] = data[ranges(w.starts, lengths)]
+    return out, ends - lengths, ends
