@@ -7,6 +7,7 @@ from .language import op1_language
 from .mixing import OP8_SQL, op8_mixing
 from .pii import op2_pii
 from .quality import op9_quality
+from .secrets import op5_secrets
 from .simhash import op4_simhash
 from .substrings import op7_substrings
 from .token_counts import op6_token_counts
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
+    "op5_secrets": op5_secrets,
     "op6_token_counts": op6_token_counts,
     "op7_substrings": op7_substrings,
     "op8_mixing": op8_mixing,
