@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op3_decontaminate
 from .language import op1_language
+from .licenses import op10_licenses
 from .mixing import OP8_SQL, op8_mixing
 from .pii import op2_pii
 from .quality import op9_quality
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_substrings": op7_substrings,
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
+    "op10_licenses": op10_licenses,
 }
 ORACLES: dict[str, str] = {
     "op8_mixing": OP8_SQL,
