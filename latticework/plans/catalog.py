@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import spatial
+from . import spatial, tabular
 
-QUERIES = {**spatial.QUERIES}
-ORACLES = {**spatial.ORACLES}
+QUERIES = {**spatial.QUERIES, **tabular.QUERIES}
+ORACLES = {**spatial.ORACLES, **tabular.ORACLES}
 FLAGSHIP = spatial.building_floor_by_cell
