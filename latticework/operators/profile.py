@@ -6,7 +6,7 @@ the data volume and not the number of jobs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.functions import scalar as S
@@ -50,18 +50,16 @@ def family_missingness(profile: DataFrame) -> DataFrame:
 
 
 def correlation_pairs(df: DataFrame, columns: list[str], min_rows: int = 200) -> DataFrame:
-    """Pearson correlation of each pair of columns over rows that have both, of ``min_rows`` or more; one pass over the table."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-
-    def pair(a: str, b: str) -> Column:
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-        r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))  # null, not an error, for a constant column
-        return F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r"), F.sum(both.cast("long")).alias("n"))
-
-    got = [pair(a, b).alias(f"p{k}") for k, (a, b) in enumerate(pairs)]
-    one = df.agg(*got)
-    return one.select(F.explode(F.array(*[f"p{k}" for k in range(len(pairs))])).alias("p")).select("p.*").filter((F.col("n") >= min_rows) & F.col("r").isNotNull() & ~F.isnan("r"))
+    """Pearson correlation of each pair of columns over rows that have both, of ``min_rows`` or more; one pass over the table.
+
+    Rows become one row per pair, summed before the shuffle, so the plan stays small however many columns there are.  A constant column
+    has no correlation.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])
+    upper = F.flatten(F.transform(F.col("cells"), lambda x, i: F.transform(F.slice(F.col("cells"), i + 2, F.lit(len(columns))), lambda y: F.struct(x["c"].alias("a"), y["c"].alias("b"), x["v"].alias("x"), y["v"].alias("y")))))
+    pairs = df.select(cells.alias("cells")).select(F.explode(upper).alias("p")).select("p.*").filter("x IS NOT NULL AND y IS NOT NULL")
+    r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+    return pairs.groupBy("a", "b").agg(r.alias("r"), F.count(F.lit(1)).alias("n")).filter((F.col("n") >= min_rows) & F.col("r").isNotNull() & ~F.isnan("r"))
 
 
 def collinear_groups(pairs: DataFrame, threshold: float = 0.95) -> DataFrame:

@@ -92,7 +92,7 @@ def correlation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile.correlation_pairs(wide(spark, sf_dir), COLUMNS, 20), "r")
 
 
-@query(f"""WITH RECURSIVE {WIDE}, p AS ({_PAIRS}), e AS (SELECT a, b FROM p WHERE n >= 20 AND abs(r) >= 0.9 UNION SELECT b, a FROM p WHERE n >= 20 AND abs(r) >= 0.9), r AS (SELECT a AS s, a AS t FROM e UNION SELECT r.s, e.b FROM r JOIN e ON e.a = r.t), g AS (SELECT s, min(t) AS grp FROM r GROUP BY 1)
+@query(f"""WITH RECURSIVE {WIDE}, p AS ({_PAIRS}), e AS (SELECT a, b FROM p WHERE n >= 20 AND NOT isnan(r) AND abs(r) >= 0.9 UNION SELECT b, a FROM p WHERE n >= 20 AND NOT isnan(r) AND abs(r) >= 0.9), r AS (SELECT a AS s, a AS t FROM e UNION SELECT r.s, e.b FROM r JOIN e ON e.a = r.t), g AS (SELECT s, min(t) AS grp FROM r GROUP BY 1)
 SELECT grp AS "group", count(*) AS feature_count, string_agg(s, '; ' ORDER BY s) AS features FROM g GROUP BY 1""")
 def collinearity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.collinear_groups(profile.correlation_pairs(wide(spark, sf_dir), COLUMNS, 20), 0.9)
