@@ -142,10 +142,12 @@ def learn(rows: DataFrame, features: list[str] = FEATURES, max_rules: int = 8, m
     asked += [F.min(F.when(F.col("label") == k, F.col(f"stats.{f}"))).cast("double").alias(f"{f}_low_{k}") for f in features for k in (0, 1)]
     seen = rows.agg(*asked).first()
     edges: dict[str, list[float]] = {}
+    gaps: dict[str, list[float]] = {}
     for f in features:
         raw = {x for k in (0, 1) for x in (*(seen[f"{f}_{k}"] or ()), seen[f"{f}_top_{k}"], seen[f"{f}_low_{k}"]) if x is not None}
         ordered = sorted(raw)
         edges[f] = [(a + b) / 2 for a, b in zip(ordered[:-1], ordered[1:], strict=True)]  # between observed values
+        gaps[f] = [(b - a) / (abs(a) + abs(b)) for a, b in zip(ordered[:-1], ordered[1:], strict=True)]
 
     def bin_of(f: str) -> Column:
         value = F.col(f"stats.{f}")
@@ -172,15 +174,15 @@ def learn(rows: DataFrame, features: list[str] = FEATURES, max_rules: int = 8, m
             p0, n0 = (sum(n for (_, y), n in table_[features[0]].items() if y == k) for k in (0, 1))
             if not p0 or not n0:
                 break
-            best = (1e-9, None)
+            best = (1e-9, 0.0, None)  # of equal gains the threshold in the widest gap between observed values
             for f in features:
                 for k in range(1, len(edges[f]) + 1):
                     p, n = (sum(x for (b, y), x in table_[f].items() if y == z and b >= k) for z in (0, 1))
                     for at_least, pp, nn in ((True, p, n), (False, p0 - p, n0 - n)):
-                        best = max(best, (_gain(pp, nn, p0, n0), (f, at_least, k)), key=lambda x: x[0])
-            if best[1] is None:
+                        best = max(best, (round(_gain(pp, nn, p0, n0), 9), gaps[f][k - 1], (f, at_least, k)), key=lambda x: x[:2])
+            if best[2] is None:
                 break
-            chosen.append(best[1])
+            chosen.append(best[2])
         if not chosen:
             break
         worth = [F.sum(F.when(holds(chosen[:k]) & (F.col("label") == y), F.col("n")).otherwise(0)).alias(f"c{k}_{y}") for k in range(1, len(chosen) + 1) for y in (0, 1)]
