@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.functions import scalar as S
-from latticework.operators import access, lattice, morphology, network, zonal
+from latticework.operators import access, geometry, lattice, modeling, morphology, network, zonal
 
 from .inputs import ACCESS, BUILDINGS, CELL, CELL_AREA, COLS, PIECES, PIXELS, ROADS, ROWS, SIZE, buildings, origins, pixels, roads, rounded, supplies
 
@@ -227,3 +227,16 @@ def service_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.components(network.graph_edges(roads(spark, sf_dir), 100.0))
+
+
+@query()
+def open_space_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(geometry.open_space(_pieces(spark, sf_dir), SIZE), "union_area", "open_area", "largest_patch", "fragmentation", digits=4)
+
+
+@query()
+def held_out_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _zones(spark, sf_dir).groupBy(*CELL).agg(F.avg("value").alias("a"), F.max("value").alias("b"), F.stddev_pop("value").alias("c"), F.max_by("label", F.struct("value", "px")).alias("label"))
+    cells = cells.withColumn("grid_id", lattice.cell_name(F.col("row_id"), F.col("col_id"), SIZE))
+    folds = modeling.block_folds(cells, "label", 3)
+    return modeling.held_out_predictions(folds, ["a", "b", "c"], "label", "fold", trees=10, depth=5)
