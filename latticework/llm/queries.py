@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .decontaminate import op3_decontaminate
+from .decontaminate import OP3_SQL, op3_decontaminate
 from .language import op1_language
 from .licenses import op10_licenses
 from .mixing import OP8_SQL, op8_mixing
@@ -26,5 +26,6 @@ QUERIES = {
     "op10_licenses": op10_licenses,
 }
 ORACLES: dict[str, str] = {
+    "op3_decontaminate": OP3_SQL,
     "op8_mixing": OP8_SQL,
 }
