@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import spatial, tabular
+from . import panels, spatial, tabular
 
-QUERIES = {**spatial.QUERIES, **tabular.QUERIES}
-ORACLES = {**spatial.ORACLES, **tabular.ORACLES}
+QUERIES = {**spatial.QUERIES, **tabular.QUERIES, **panels.QUERIES}
+ORACLES = {**spatial.ORACLES, **tabular.ORACLES, **panels.ORACLES}
 FLAGSHIP = spatial.building_floor_by_cell

@@ -8,7 +8,7 @@ import os
 import duckdb
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE"}
 
 
 def views(sf_dir: str) -> duckdb.DuckDBPyConnection:
@@ -21,7 +21,7 @@ def views(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _key(row):
-    return tuple((x is None, round(x, 3) if isinstance(x, float) else x) for x in row)
+    return tuple((x is None, round(x, 5) if isinstance(x, float) else x) for x in row)
 
 
 def differences(df, sql: str, con) -> list[str]:
