@@ -112,22 +112,28 @@ def context_terms(found: DataFrame, reach: int, min_length: int) -> DataFrame:
 
 
 def disclosing_terms(docs: DataFrame, near: DataFrame, found: DataFrame, text_col: str, generalise: float, min_support: int) -> DataFrame:
-    """entity, term, disclosure of the pairs at or above ``generalise``, with frequencies over all distinct texts."""
+    """entity, term, disclosure of the pairs at or above ``generalise``, with frequencies over all distinct texts.
+
+    A pair reaches ``generalise`` only if df(t) is at most df(t, e) * (N / df(e)) ** (1 - generalise).  The texts that hold the term
+    near any entity bound df(t) from below, so common words leave before the corpus is counted, and no pair is lost.
+    """
+    texts = found.select("text_hash").distinct().count()
+    named = F.transform("base", lambda b: F.concat(b["kind"].cast("string"), F.lit(":"), F.lower(F.regexp_replace(b["value"], MARK, "."))))
+    entities = found.select(F.explode(named).alias("entity"), "text_hash").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
     pairs = near.select("entity", "term", "text_hash").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_te")).filter(F.col("df_te") >= min_support)
-    pairs = cut(pairs)
+    least = near.select("term", "text_hash").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df_low"))
+    most = F.col("df_te") * F.pow(F.lit(float(texts)) / F.col("df_e"), F.lit(1.0 - generalise))
+    pairs = cut(pairs.join(least, "term").join(entities, "entity").filter(F.col("df_low") <= most * (1 + 1e-9)))
     terms = cut(pairs.select("term").distinct())
     n_terms = terms.count()
-    entities = found.select(F.explode(F.transform("base", lambda b: F.concat(b["kind"].cast("string"), F.lit(":"), F.lower(F.regexp_replace(b["value"], MARK, "."))))).alias("entity"), "text_hash").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
     if not n_terms:
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure")).limit(0)
-    texts = found.select("text_hash").distinct().count()
     words = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(TERM), F.lit(0)))).alias("term"))
     known = words.join(F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms, "term", "left_semi")
     counts = known.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
-    rated = pairs.join(counts, "term").join(entities, "entity")
     information = F.log2(F.lit(float(texts)) / F.col("df_e"))
     disclosure = F.when(information > 0, 1 - F.log2(F.greatest(F.col("df_t"), F.col("df_te")) / F.col("df_te")) / information).otherwise(F.lit(0.0))
-    return rated.select("entity", "term", disclosure.alias("disclosure")).filter(F.col("disclosure") >= generalise)
+    return pairs.join(counts, "term").select("entity", "term", disclosure.alias("disclosure")).filter(F.col("disclosure") >= generalise)
 
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 60, min_length: int = 4, generalise: float = 0.8, remove: float = 0.95, min_support: int = 3) -> DataFrame:
