@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.functions import scalar as S
-from latticework.operators import access, geometry, lattice, modeling, morphology, network, zonal
+from latticework.operators import access, geometry, lattice, modeling, morphology, network, polygons, zonal
 
 from .inputs import ACCESS, BUILDINGS, CELL, CELL_AREA, COLS, PIECES, PIXELS, ROADS, ROWS, SIZE, buildings, origins, pixels, roads, rounded, supplies
 
@@ -240,3 +240,11 @@ def held_out_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = cells.withColumn("grid_id", lattice.cell_name(F.col("row_id"), F.col("col_id"), SIZE))
     folds = modeling.block_folds(cells, "label", 3)
     return modeling.held_out_predictions(folds, ["a", "b", "c"], "label", "fold", trees=10, depth=5)
+
+
+@query(f"WITH {BUILDINGS} SELECT id, row_id, col_id, round(area, 4) AS area FROM p WHERE area > 0")
+def polygon_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Footprints as rings through the polygon kernel; for rectangles the closed form is the oracle."""
+    corners = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))])
+    rings = buildings(spark, sf_dir).select("id", F.array(corners).alias("rings"))
+    return rounded(polygons.polygon_overlay(rings, SIZE, ROWS, COLS), "area", digits=4)

@@ -106,3 +106,28 @@ def test_blocks_are_not_split(spark):
 def test_constant_column_has_no_correlation(spark):
     df = spark.createDataFrame([(1.0, 5.0, float(i)) for i in range(10)], "a double, b double, c double")
     assert profile.correlation_pairs(df, ["a", "b", "c"], 1).count() == 0
+
+
+def test_clipped_areas_add_up():
+    from latticework.operators import polygons
+
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        n = rng.integers(4, 12)
+        angle, radius = (np.arange(n) + rng.uniform(0, 0.9, n)) * 2 * np.pi / n, rng.uniform(5, 45, n)
+        ring = np.stack([50 + radius * np.cos(angle), 50 + radius * np.sin(angle)], axis=1)
+        parts = sum(abs(polygons.ring_area(polygons.clip_ring(ring, (c, r, c + 25, r + 25)))) for c in range(0, 100, 25) for r in range(0, 100, 25))
+        assert abs(parts - abs(polygons.ring_area(ring))) < 1e-8
+    assert abs(polygons.ring_area(polygons.circle(3, 4, 10))) == pytest.approx(0.5 * 96 * 100 * np.sin(2 * np.pi / 96))
+    assert len(polygons.clip_ring(polygons.circle(0, 0, 1), (5, 5, 6, 6))) == 0
+
+
+def test_wkb_polygons():
+    from latticework.operators import polygons
+
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 0.0)]
+    body = struct.pack("<BII", 1, 3, 1) + struct.pack("<I", 4) + b"".join(struct.pack("<dd", *p) for p in ring)
+    assert polygons.wkb_polygons(body) == [[ring]]
+    assert polygons.wkb_polygons(struct.pack("<BII", 1, 6, 2) + body + body) == [[ring], [ring]]
+    point = struct.pack("<BIdd", 1, 1, 1.0, 2.0)
+    assert polygons.wkb_polygons(struct.pack("<BII", 1, 7, 2) + point + body) == [[ring]]
