@@ -69,18 +69,18 @@ def footprint_morphometrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(out, "building_area", "perimeter", "mean_area", "median_area", "comp_std", "perimeter_per_ha", digits=4), "area_cv", "area_gini", "comp_mean")
 
 
-@query(f"""WITH {PIXELS} SELECT row_id, col_id, count(value) AS valid_px, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, round(max(value) - min(value), 6) AS range FROM e WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY 1, 2""")
+@query(f"""WITH {PIXELS} SELECT row_id, col_id, count(value) AS valid_px, round(avg(value), 9) AS mean, round(stddev_pop(value), 9) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, round(max(value) - min(value), 6) AS range FROM e WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY 1, 2""")
 def zonal_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(zonal.continuous(_zones(spark, sf_dir), CELL), "mean", "std", "min", "max", "range")
+    return rounded(rounded(zonal.continuous(_zones(spark, sf_dir), CELL), "mean", "std", digits=9), "min", "max", "range")
 
 
 @query(f"""WITH {PIXELS}, v AS (SELECT *, value FROM e WHERE value >= 0 AND value < 255)
-SELECT row_id, col_id, count(*) AS valid_px, round(avg(value), 6) AS mean_m, round(stddev_pop(value), 6) AS std_m, round(quantile_cont(value, 0.95), 6) AS p95_m, round(max(value), 6) AS max_m,
+SELECT row_id, col_id, count(*) AS valid_px, round(avg(value), 9) AS mean_m, round(stddev_pop(value), 9) AS std_m, round(quantile_cont(value, 0.95), 9) AS p95_m, round(max(value), 6) AS max_m,
   round(avg(CASE WHEN value >= 2 THEN 1.0 ELSE 0 END), 6) AS cover_gt2m_share, round(avg(CASE WHEN value >= 5 THEN 1.0 ELSE 0 END), 6) AS cover_gt5m_share, round(avg(CASE WHEN value >= 10 THEN 1.0 ELSE 0 END), 6) AS cover_gt10m_share,
   CAST(sum(CASE WHEN value >= 2 THEN 1 ELSE 0 END) AS DOUBLE) AS area_m2, round(sum(CASE WHEN value >= 2 THEN value ELSE 0 END), 4) AS volume_m3, round(sum(CASE WHEN value >= 2 THEN value ELSE 0 END) / 6.25, 4) AS volume_m3_per_ha FROM v GROUP BY 1, 2""")
 def zonal_percentile_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = zonal.height_cover(_zones(spark, sf_dir), CELL)
-    return rounded(rounded(out, "mean_m", "std_m", "p95_m", "max_m", "cover_gt2m_share", "cover_gt5m_share", "cover_gt10m_share"), "volume_m3", "volume_m3_per_ha", digits=4)
+    return rounded(rounded(rounded(out, "mean_m", "std_m", "p95_m", digits=9), "max_m", "cover_gt2m_share", "cover_gt5m_share", "cover_gt10m_share"), "volume_m3", "volume_m3_per_ha", digits=4)
 
 
 @query(f"""WITH {PIXELS}, cells AS (SELECT r.range AS row_id, c.range AS col_id FROM range(20) r, range(20) c), g AS (SELECT row_id, col_id, label, count(*) AS n, min(px) AS f FROM e GROUP BY 1, 2, 3),
@@ -98,10 +98,10 @@ def zonal_majority_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {PIXELS}, z AS (SELECT row_id, col_id, avg(value) AS value FROM e GROUP BY 1, 2)
-SELECT a.row_id, a.col_id, round(a.value, 6) AS value, count(*) AS n, round(avg(b.value), 6) AS local_mean, round(stddev_pop(b.value), 6) AS local_std FROM z a JOIN z b ON abs(a.row_id - b.row_id) <= 2 AND abs(a.col_id - b.col_id) <= 2 GROUP BY 1, 2, 3""")
+SELECT a.row_id, a.col_id, round(a.value, 9) AS value, count(*) AS n, round(avg(b.value), 9) AS local_mean, round(stddev_pop(b.value), 9) AS local_std FROM z a JOIN z b ON abs(a.row_id - b.row_id) <= 2 AND abs(a.col_id - b.col_id) <= 2 GROUP BY 1, 2, 3""")
 def local_window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _zones(spark, sf_dir).groupBy(*CELL).agg(F.avg("value").alias("value"))
-    return rounded(zonal.local_window(cells, CELL, "value", 2), "value", "local_mean", "local_std")
+    return rounded(zonal.local_window(cells, CELL, "value", 2), "value", "local_mean", "local_std", digits=9)
 
 
 @query(f"""WITH {PIECES}, n AS (SELECT row_id, col_id, least(CAST(floor(((degrees(atan2(dy, dx)) % 180) + 180) % 180 / 15) AS BIGINT), 11) AS bin, sum(length) AS n, count(*) AS k FROM p GROUP BY 1, 2, 3), w AS (SELECT *, n / sum(n) OVER (PARTITION BY row_id, col_id) AS pr FROM n)
