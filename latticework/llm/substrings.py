@@ -9,8 +9,8 @@ internal nodes at a depth are the runs not broken by a shorter common prefix.  T
 the sampled place, give every repeated window as a pair of nodes whose depths sum to the window, with the smallest document that
 holds it.  Exact copies of a text are settled by digest and enter none of this.
 
-A run shuffles the texts twice (to cut contexts where prefixes repeat, and to write the result); all other shuffles carry hashes,
-places and the contexts of repeated prefixes.
+A run shuffles the texts twice, compressed (to cut contexts where prefixes repeat, and to write the result); all other shuffles carry
+hashes, places and the contexts of repeated prefixes.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,9 @@ from .common import cut, table
 #: Context bytes of one tree.
 TREE_BYTES = 2 << 20
 NO_ID = 2**63 - 1
+#: End of the range of a text that goes whole.
+WHOLE = 2**31 - 1
+PACKED = "id long, d1 long, packed binary"
 
 
 def _sliding(a: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -68,18 +72,38 @@ def _sample(window: int, prefix: int) -> Callable[[Iterator[pa.RecordBatch]], It
                 own = place - w.bounds[np.searchsorted(w.bounds, place, side="right") - 1]
                 n = piece.last - piece.first
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(piece.first, n) for i in range(3)), pa.array(w.counts(), pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(key.view(np.int64))), pa.ListArray.from_arrays(pa.array(bounds), pa.array(own, pa.int32()))],
-                    names=["id", "d1", "d2", "n_words", "keys", "places"],
+                    [*(batch.column(i).slice(piece.first, n) for i in range(3)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(key.view(np.int64))), pa.ListArray.from_arrays(pa.array(bounds), pa.array(own, pa.int32()))],
+                    names=["id", "d1", "d2", "keys", "places"],
                 )
 
     return run
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, d1 and the compressed text: what travels between stages."""
+    codec = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        for at in range(0, len(batch), 512):
+            part = batch.slice(at, 512)
+            texts = part.column(2).cast(pa.large_binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([codec.compress(x) for x in texts], pa.binary())], names=["id", "d1", "packed"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, column ``at`` as text."""
+    codec = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for first in range(0, len(batch), 512):
+            part = batch.slice(first, 512)
+            texts = pa.array([codec.decompress(x) for x in part.column(at).to_pylist()], pa.large_binary()).cast(pa.large_string())
+            yield part.set_column(at, part.schema.names[at], texts)
+
+
 def _contexts(window: int, prefix: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     reach = window - prefix
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _unpacked(batches, 2):
             places = batch.column(3)
             for piece in tx.pieces(batch.column(2)):
                 w = tx.words(piece, tx.SPACE_FREE)
@@ -221,22 +245,23 @@ def _windows(window: int, prefix: int) -> Callable[[Iterator[pa.RecordBatch]], I
 
 
 def find_repeats(docs: DataFrame, window: int = 50, prefix: int = 16, group_limit: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, d1 (a hash of the text) and ranges (first word, end) of the words to remove; only documents that lose words have a row.
+    """id, d1 (a hash of the text) and ranges (first word, end) of the words to remove; only documents that may lose words have a row.
 
     A word goes if a window of ``window`` consecutive words covers it whose words also start in a document with a smaller id.  Ids are
     integers; a null id counts as the largest (it is NO_ID here).  Repeated rows of one document don't remove each other's words.
     """
     own = _keyed(docs, id_col, text_col)
-    marked = cut(own.mapInArrow(_sample(window, prefix), "id long, d1 long, d2 long, n_words long, keys array<long>, places array<int>"))
+    marked = own.mapInArrow(_sample(window, prefix), "id long, d1 long, d2 long, keys array<long>, places array<int>")
     texts = cut(marked.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("places").alias("places")))
     suffixes = texts.select("id", "d1", F.explode(F.arrays_zip("keys", "places")).alias("s")).select("id", "d1", F.col("s.keys").alias("key"), F.col("s.places").alias("place"))
     shared = suffixes.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter(F.col("low") < F.col("high")).select("key")
     places = suffixes.join(shared, "key", "left_semi").groupBy("id", "d1").agg(F.collect_list("place").alias("places"))
-    cuts = own.select("id", "d1", "text").join(places, ["id", "d1"]).select("id", "d1", "text", "places")
-    cuts = cuts.mapInArrow(_contexts(window, prefix), "id long, d1 long, place int, key long, n_left int, context binary")
+    packed = own.select("id", "d1", "text").mapInArrow(_pack, PACKED)
+    cuts = packed.join(places, ["id", "d1"]).select("id", "d1", "packed", "places").mapInArrow(_contexts(window, prefix), "id long, d1 long, place int, key long, n_left int, context binary")
     cuts = cut(cuts.select("*", F.xxhash64("context", "n_left").alias("c1"), F.xxhash64(F.lit(7), "n_left", "context").alias("c2")))
-    distinct = cut(cuts.groupBy("key", "c1", "c2").agg(F.min("id").alias("low_id"), F.max("id").alias("high_id"), F.first("n_left").alias("n_left"), F.first("context").alias("context")))
-    crowded = cut(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_limit).select("key"))
+    distinct = cuts.groupBy("key", "c1", "c2").agg(F.min("id").alias("low_id"), F.max("id").alias("high_id"), F.first("n_left").alias("n_left"), F.first("context").alias("context"))
+    sizes = cuts.select("key", "c1", "c2").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    crowded = cut(sizes.filter(F.col("n") > group_limit).select("key"))
     schema = f"key long, c1 long, c2 long, runs {RUNS}"
     some = not crowded.isEmpty()
     calm = distinct.join(crowded, "key", "left_anti") if some else distinct
@@ -249,8 +274,10 @@ def find_repeats(docs: DataFrame, window: int = 50, prefix: int = 16, group_limi
         runs = runs.unionByName(hits.groupBy("key", "c1", "c2").agg(F.collect_list(run).alias("runs")))
     hit = cuts.select("id", "d1", "place", "key", "c1", "c2").join(runs, ["key", "c1", "c2"]).select("id", "d1", "place", F.explode("runs").alias("r")).filter(F.col("r.first_id") < F.col("id"))
     ranges = hit.select("id", "d1", F.struct((F.col("place") - F.col("r.high")).alias("first"), (F.col("place") - F.col("r.low") + window).alias("end")).alias("range"))
-    copies = marked.join(texts.select("d1", "d2", F.col("id").alias("first_id")), ["d1", "d2"]).filter((F.col("id") > F.col("first_id")) & (F.col("n_words") >= window))
-    copies = copies.select("id", "d1", F.struct(F.lit(0).alias("first"), F.col("n_words").cast("int").alias("end")).alias("range"))
+    # A later copy goes whole; a text shorter than the window has no window, which the reader of the ranges sees to.
+    first = texts.select("d1", "d2", F.col("id").alias("first_id"))
+    copies = own.select("id", "d1", "d2").join(first, ["d1", "d2"]).filter(F.col("id") > F.col("first_id"))
+    copies = copies.select("id", "d1", F.struct(F.lit(0).alias("first"), F.lit(WHOLE).alias("end")).alias("range"))
     return ranges.unionByName(copies).groupBy("id", "d1").agg(F.collect_set("range").alias("ranges"))
 
 
@@ -259,31 +286,35 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(3), text).alias("d2"), text.alias("text"))
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words left (space-joined) of each text (id, text, ranges)."""
-    for batch in batches:
-        ranges = batch.column(2)
-        for piece in tx.pieces(batch.column(1)):
-            w = tx.words(piece, tx.SPACE_FREE)
-            text, begin, end = tx.joined(piece.data, w)
-            raw, bounds, counts = text.tobytes(), w.bounds.tolist(), w.counts()
-            removed, kept = [], []
-            for k, own in enumerate(ranges.slice(piece.first, piece.last - piece.first).to_pylist()):
-                at, parts, gone = bounds[k], [], 0
-                for r in sorted(own or (), key=lambda r: r["first"]):
-                    a, b = max(bounds[k] + r["first"], at), bounds[k] + r["end"]
-                    if b <= at:
-                        continue
-                    if a > at:
-                        parts.append(raw[begin[at] : end[a - 1]])
-                    gone += b - a
-                    at = b
-                if at < bounds[k + 1]:
-                    parts.append(raw[begin[at] : end[bounds[k + 1] - 1]])
-                removed.append(gone)
-                kept.append(b" ".join(parts))
-            n = piece.last - piece.first
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, n), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])], names=["id", "n_words", "n_removed", "kept", "kept_sha256"])
+def _kept(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Words left (space-joined) of each text (id, packed text, ranges)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _unpacked(batches, 1):
+            ranges = batch.column(2)
+            for piece in tx.pieces(batch.column(1)):
+                w = tx.words(piece, tx.SPACE_FREE)
+                text, begin, end = tx.joined(piece.data, w)
+                raw, bounds, counts = text.tobytes(), w.bounds.tolist(), w.counts()
+                removed, kept = [], []
+                for k, own in enumerate(ranges.slice(piece.first, piece.last - piece.first).to_pylist()):
+                    at, stop, parts, gone = bounds[k], bounds[k + 1], [], 0
+                    for r in sorted(own or (), key=lambda r: r["first"]) if stop - at >= window else ():
+                        a, b = max(bounds[k] + r["first"], at), min(bounds[k] + r["end"], stop)
+                        if b <= at:
+                            continue
+                        if a > at:
+                            parts.append(raw[begin[at] : end[a - 1]])
+                        gone += b - a
+                        at = b
+                    if at < stop:
+                        parts.append(raw[begin[at] : end[stop - 1]])
+                    removed.append(gone)
+                    kept.append(b" ".join(parts))
+                n = piece.last - piece.first
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, n), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])], names=["id", "n_words", "n_removed", "kept", "kept_sha256"])
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, prefix: int = 16, group_limit: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,8 +323,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, prefix: int = 16, group_li
     Null and empty texts have no words.  Repeats within one document stay.  Windows are judged on the input, not on what is left.
     """
     found = find_repeats(docs, window, prefix, group_limit, id_col, text_col)
-    joined = _keyed(docs, id_col, text_col).drop("d2").join(found, ["id", "d1"], "left").select("id", "text", "ranges")
-    out = joined.mapInArrow(_kept, "id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    packed = _keyed(docs, id_col, text_col).select("id", "d1", "text").mapInArrow(_pack, PACKED)
+    joined = packed.join(found, ["id", "d1"], "left").select("id", "packed", "ranges")
+    out = joined.mapInArrow(_kept(window), "id long, n_words long, n_removed long, kept string, kept_sha256 string")
     return out.select(F.nullif("id", F.lit(NO_ID)).cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", "kept", "kept_sha256")
 
 
