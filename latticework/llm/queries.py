@@ -10,7 +10,7 @@ from .pii import op2_pii
 from .quality import op9_quality
 from .secrets import op5_secrets
 from .simhash import op4_simhash
-from .substrings import op7_substrings
+from .substrings import OP7_SQL, op7_substrings
 from .token_counts import op6_token_counts
 
 QUERIES = {
@@ -27,5 +27,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
+    "op7_substrings": OP7_SQL,
     "op8_mixing": OP8_SQL,
 }

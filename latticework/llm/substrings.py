@@ -331,3 +331,16 @@ def remove_repeats(docs: DataFrame, window: int = 50, prefix: int = 16, group_li
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+#: Every window by the digest of its words, with the smallest document that holds it.
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, w, unnest(range(1, CAST(len(w) - 48 AS BIGINT))) AS a FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, a, md5(array_to_string(w[a : a + 49], ' ')) AS h FROM v),
+f AS (SELECT h, min(doc_id) AS first_id FROM h GROUP BY h),
+r AS (SELECT DISTINCT doc_id, unnest(range(a, a + 50)) AS p FROM (SELECT h.doc_id, h.a FROM h JOIN f ON f.h = h.h WHERE f.first_id < h.doc_id)),
+k AS (SELECT d.doc_id, unnest(d.w) AS word, unnest(range(1, CAST(len(d.w) + 1 AS BIGINT))) AS p FROM d),
+g AS (SELECT k.doc_id, string_agg(k.word, ' ' ORDER BY k.p) AS kept, count(*) AS n FROM k LEFT JOIN r ON r.doc_id = k.doc_id AND r.p = k.p WHERE r.p IS NULL GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(g.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(g.kept, '')) AS kept_sha256 FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
