@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), works on all documents its predecessor kept and is written as Parquet before the next one
 reads it.  All stages but the last return the columns of documents; the last one returns a row per document with the words the mix
-takes of it.  The learned quality rules and the 64-bit hashes of the fingerprints have no counterpart in SQL, so ORACLE_SQL is None
+takes of it.  The learned quality rules and the 64-bit hashes of the shingles have no counterpart in SQL, so ORACLE_SQL is None
 and tests hold the stages against brute-force versions.
 """
 
@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from latticework.llm.common import fresh_path, table
 from latticework.llm.decontaminate import remove_contaminated
+from latticework.llm.jaccard import drop_similar
 from latticework.llm.mixing import mix_sources
 from latticework.llm.pii import sanitise
 from latticework.llm.quality import keep_good
-from latticework.llm.simhash import drop_near_duplicates
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    return drop_similar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

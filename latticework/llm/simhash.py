@@ -245,9 +245,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col:
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_id", "text_hash")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, with all its columns: the one with the smallest id (null last, of repeats of it one)."""
-    found = near_duplicates(docs.select(id_col, text_col), shingle, radius, id_col, text_col)
+def keep_smallest(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One document of each class_id of found (id, text_hash, class_id): the one with the smallest id (null last, of repeats of it one)."""
     best = found.groupBy("class_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "text_hash")).alias("k"))
     key, hashed, rank = (free_name(docs, f"near_dup_{x}") for x in ("key", "hash", "rank"))
     best = best.select(F.col("k.id").alias(key), F.col("k.text_hash").alias(hashed))
@@ -257,5 +256,10 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_
     return kept.withColumn(key, F.row_number().over(one)).filter(F.col(key) == 1).select(*docs.columns)
 
 
+def drop_near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, with all its columns: the one with the smallest id (null last, of repeats of it one)."""
+    return keep_smallest(docs, near_duplicates(docs.select(id_col, text_col), shingle, radius, id_col, text_col), id_col, text_col)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
