@@ -1,9 +1,10 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the terms around them; DataFrame functions only.
 
-The entities to protect are the values of the base spans.  A term in the context of an entity discloses it as far as knowing the
-term removes the entity's information: PMI(t; e) / IC(e) = 1 - log2(df(t) / df(t, e)) / log2(N / df(e)), with document frequencies
-over the distinct texts of the whole corpus.  Terms at or above ``generalise`` lose their content but keep their initial; those at
-or above ``remove`` go.  A pair counts once it stands in ``min_support`` distinct texts, so that copies of a text are no evidence.
+The entities to protect are the values of the base spans.  A term that shares a text with an entity discloses it as far as knowing
+the term removes the entity's information: PMI(t; e) / IC(e) = 1 - log2((df(t) + 1) / df(t, e)) / log2(N / df(e)), with document
+frequencies over the distinct texts of the whole corpus.  The 1 is a text not seen yet that holds the term without the entity: it
+makes little evidence count for less, and leaves no entity out, however rare.  Terms at or above ``generalise`` lose their content
+but keep their initial; those at or above ``remove`` go; both wherever they stand in the entity's texts.
 
 Patterns are applied in forms that neither backtrack nor recurse on long runs: a separator between two characters that may
 hold it becomes one private-use character first, which leaves every position as it is.
@@ -87,43 +88,42 @@ def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select("id", "text", "text_hash", F.explode_outer(F.array(base)).alias("base"))
 
 
-def context_terms(found: DataFrame, reach: int, min_length: int) -> DataFrame:
-    """A row per entity span and term around it: id, text_hash, entity, term (lower case), start, end.
+def entity_names(base: Column) -> Column:
+    return F.transform(base, lambda b: F.concat(b["kind"].cast("string"), F.lit(":"), F.lower(F.regexp_replace(b["value"], MARK, "."))))
 
-    A term is a run of letters and digits with a letter, ``min_length`` long at least, wholly within ``reach`` code points of the
-    span and outside all base spans.
+
+def context_terms(found: DataFrame, min_length: int) -> DataFrame:
+    """A row per term of the texts with an entity: id, text_hash, term (lower case), start, end.
+
+    A term is a run of letters and digits with a letter, ``min_length`` long at least, outside all base spans.
     """
-    spans = found.filter(F.size("base") > 0).select("id", "text", "text_hash", "base", F.explode("base").alias("x"))
-    spans = spans.withColumn("entity", F.concat(F.col("x.kind").cast("string"), F.lit(":"), F.lower(F.regexp_replace("x.value", MARK, "."))))
-    sides = F.array(
-        F.struct(F.greatest(F.col("x.start") - reach - 1, F.lit(0)).alias("a"), F.col("x.start").alias("b")),
-        F.struct(F.col("x.end").alias("a"), (F.col("x.end") + reach + 1).alias("b")),
-    )
-    cuts = spans.select("id", "text_hash", "entity", "base", F.col("x.start").alias("from"), F.col("x.end").alias("to"), F.explode(sides).alias("s"), "text")
-    cuts = cuts.withColumn("c", F.expr("substring(text, cast(s.a + 1 as int), cast(s.b - s.a as int))")).drop("text")
-    cuts = cuts.withColumn("m", F.regexp_extract_all("c", F.lit(TERM), F.lit(0)))
-    cuts = cuts.withColumn("p", F.split("c", TERM, -1)).filter(F.size("m") > 0)
-    cuts = cuts.withColumn("at", starts_of(F.col("p"), F.col("m")))
-    terms = cuts.select("id", "text_hash", "entity", "base", "from", "to", F.col("s.a").alias("a"), F.explode(F.arrays_zip("m", "at")).alias("y"))
-    terms = terms.select("id", "text_hash", "entity", "base", "from", "to", F.lower("y.m").alias("term"), (F.col("a") + F.col("y.at")).alias("start"), (F.col("a") + F.col("y.at") + F.length("y.m")).alias("end"))
-    inside = (F.col("start") >= F.col("from") - reach) & (F.col("end") <= F.col("to") + reach) & F.col("term").rlike(r"\p{L}") & (F.length("term") >= min_length)
+    texts = found.filter(F.size("base") > 0).select("id", "text", "text_hash", "base")
+    texts = texts.withColumn("m", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))
+    texts = texts.withColumn("p", F.split("text", TERM, -1)).filter(F.size("m") > 0)
+    texts = texts.withColumn("at", starts_of(F.col("p"), F.col("m")))
+    terms = texts.select("id", "text_hash", "base", F.explode(F.arrays_zip("m", "at")).alias("y"))
+    terms = terms.select("id", "text_hash", "base", F.lower("y.m").alias("term"), F.col("y.at").alias("start"), (F.col("y.at") + F.length("y.m")).alias("end"))
     clear = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    return terms.filter(inside & clear).select("id", "text_hash", "entity", "term", "start", "end")
+    return terms.filter(F.col("term").rlike(r"\p{L}") & (F.length("term") >= min_length) & clear).select("id", "text_hash", "term", "start", "end")
 
 
-def disclosing_terms(docs: DataFrame, near: DataFrame, found: DataFrame, text_col: str, generalise: float, min_support: int) -> DataFrame:
+def disclosing_terms(docs: DataFrame, near: DataFrame, found: DataFrame, text_col: str, generalise: float) -> DataFrame:
     """entity, term, disclosure of the pairs at or above ``generalise``, with frequencies over all distinct texts.
 
-    A pair reaches ``generalise`` only if df(t) is at most df(t, e) * (N / df(e)) ** (1 - generalise).  The texts that hold the term
-    near any entity bound df(t) from below, so common words leave before the corpus is counted, and no pair is lost.
+    A pair reaches ``generalise`` only if df(t) + 1 is at most df(t, e) * (N / df(e)) ** (1 - generalise).  The texts with entities
+    that hold the term bound df(t) from below, and df(t, e) is at most that and at most df(e); so common words leave before pairs are
+    counted and before the corpus is, and no pair is lost.
     """
     texts = found.select("text_hash").distinct().count()
-    named = F.transform("base", lambda b: F.concat(b["kind"].cast("string"), F.lit(":"), F.lower(F.regexp_replace(b["value"], MARK, "."))))
-    entities = found.select(F.explode(named).alias("entity"), "text_hash").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
-    pairs = near.select("entity", "term", "text_hash").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_te")).filter(F.col("df_te") >= min_support)
-    least = near.select("term", "text_hash").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df_low"))
-    most = F.col("df_te") * F.pow(F.lit(float(texts)) / F.col("df_e"), F.lit(1.0 - generalise))
-    pairs = cut(pairs.join(least, "term").join(entities, "entity").filter(F.col("df_low") <= most * (1 + 1e-9)))
+    stands = found.select(F.explode(entity_names(F.col("base"))).alias("entity"), "text_hash").distinct()
+    entities = stands.groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
+    terms = near.select("term", "text_hash").distinct()
+    least = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df_low"))
+    gain = F.pow(F.lit(float(texts)) / F.col("df_e"), F.lit(1.0 - generalise)) * (1 + 1e-9)
+    able = F.col("df_low") + 1 <= F.least("df_low", "df_e") * gain
+    both = terms.join(least, "term").join(stands.join(entities, "entity"), "text_hash").filter(able)
+    pairs = both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_te"), F.first("df_low").alias("df_low"), F.first("df_e").alias("df_e"))
+    pairs = cut(pairs.filter(F.col("df_low") + 1 <= F.col("df_te") * gain))
     terms = cut(pairs.select("term").distinct())
     n_terms = terms.count()
     if not n_terms:
@@ -132,20 +132,23 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, found: DataFrame, text_co
     known = words.join(F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms, "term", "left_semi")
     counts = known.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
     information = F.log2(F.lit(float(texts)) / F.col("df_e"))
-    disclosure = F.when(information > 0, 1 - F.log2(F.greatest(F.col("df_t"), F.col("df_te")) / F.col("df_te")) / information).otherwise(F.lit(0.0))
+    disclosure = F.when(information > 0, 1 - F.log2((F.greatest(F.col("df_t"), F.col("df_te")) + 1) / F.col("df_te")) / information).otherwise(F.lit(0.0))
     return pairs.join(counts, "term").select("entity", "term", disclosure.alias("disclosure")).filter(F.col("disclosure") >= generalise)
 
 
-def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 60, min_length: int = 4, generalise: float = 0.8, remove: float = 0.95, min_support: int = 3) -> DataFrame:
-    """id, text_hash and spans (start, kind number, end, action) of every row: the base spans and the disclosing terms around them.
+def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 4, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
+    """id, text_hash and spans (start, kind number, end, action) of every row: the base spans and the terms that disclose one of the
+    row's entities.
 
     Actions: replace (a base span), remove or generalise (a term).  Null text has no spans.  Repeated rows get the same spans; rows
     with a null id are told apart by their text.  An empty table gives an empty result.
     """
     found = cut(base_spans(docs, id_col, text_col).select("id", "text_hash", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")))
-    near = cut(context_terms(found, reach, min_length))
-    rated = disclosing_terms(docs, near, found, text_col, generalise, min_support)
-    hits = near.join(rated, ["entity", "term"]).groupBy("id", "text_hash", "start", "end").agg(F.max("disclosure").alias("d"))
+    near = cut(context_terms(found, min_length))
+    rated = disclosing_terms(docs, near, found, text_col, generalise)
+    stands = found.select(F.explode(entity_names(F.col("base"))).alias("entity"), "text_hash").distinct()
+    told = rated.join(stands, "entity").groupBy("text_hash", "term").agg(F.max("disclosure").alias("d"))
+    hits = near.join(told, ["text_hash", "term"]).select("id", "text_hash", "start", "end", "d").distinct()
     action = F.when(F.col("d") >= remove, "remove").otherwise("generalise")
     extra = hits.groupBy("id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", action.alias("action")))).alias("extra"))
     extra = extra.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "extra")
@@ -157,7 +160,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with each span replaced; of spans that overlap, the part after an earlier one's end is dropped with it."""
-    ends = F.transform(spans, lambda s, i: F.coalesce(F.array_max(F.transform(F.slice(spans, F.greatest(i - 15, F.lit(1)), F.least(i, F.lit(16))), lambda q: q["end"])), F.lit(0).cast("long")))
+    ends = F.transform(spans, lambda s, i: F.coalesce(F.array_max(F.transform(F.slice(spans, F.lit(1), i), lambda q: q["end"])), F.lit(0).cast("long")))
 
     def part(s: Column, before: Column) -> Column:
         first, last = s["start"], s["end"]
