@@ -315,6 +315,6 @@ def parse_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 50).alias("block"), S.normalise_text(F.col("p_name")).alias("name"))
+    part = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 25).alias("block"), S.normalise_text(F.col("p_name")).alias("name"))
     left, right = part.filter("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "site"), part.filter("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "supply")
     return matching.best_matches(left, right, "block", "site", "supply")
