@@ -3,8 +3,8 @@
 One pass over the texts finds base secrets and the parts of weaker candidates: access identifiers, secret-like strings and endpoints,
 none of which says much alone.  Parts are then joined by intervals: within one scope of a document (text between blank lines) a
 secret is paired with an identifier or endpoint that begins or ends within ``reach`` code points of it.  Only candidates whose
-complementary parts co-occur are reported.  The join is an equi-join on document, scope and interval bin, each side held in its own
-bin and the neighbouring ones; parts are few, so its shuffle is small beside the texts, which are not shuffled.
+complementary parts co-occur are reported.  The join is an equi-join on document, scope and interval bin, each part held in all bins
+that it covers, one side widened by the reach; parts are few, so its shuffle is small beside the texts, which are not shuffled.
 """
 
 from __future__ import annotations
@@ -94,10 +94,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def link_parts(parts: DataFrame, reach: int) -> DataFrame:
     """Candidates of their own (id, text_hash, start, kind, end) with a complementary part in their scope, ``reach`` or less away."""
-    binned = parts.withColumn("bin", F.floor(F.col("start") / (2 * reach + 256)))
+    width = 2 * reach + 256
     keys = ["id", "text_hash", "scope"]
-    near = binned.select("id", "text_hash", "scope", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), F.col("start").alias("s"), F.col("end").alias("e"), (F.col("kind") == 4).alias("secret")).alias("n")
-    mine = binned.filter("own").alias("m")
+
+    def bins(first: Column, last: Column) -> Column:
+        return F.explode(F.sequence(F.floor(first / width), F.floor(last / width))).alias("bin")
+
+    near = parts.select(*keys, bins(F.col("start") - reach, F.col("end") + reach), F.col("start").alias("s"), F.col("end").alias("e"), (F.col("kind") == 4).alias("secret")).alias("n")
+    mine = parts.filter("own").select("*", bins(F.col("start"), F.col("end"))).alias("m")
     same = F.col("m.bin") == F.col("n.bin")
     for k in keys:
         same = same & F.col(f"m.{k}").eqNullSafe(F.col(f"n.{k}"))
