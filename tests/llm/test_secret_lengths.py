@@ -1,5 +1,7 @@
 """Long parts link with what follows them, and keep their whole length."""
 
+import random
+
 import pytest
 
 from latticework.llm import secrets
@@ -16,3 +18,12 @@ def test_endpoint_after_a_long_secret(spark, n):
     got = spans(spark, f"token={'aB3.' * (n // 4)} https://db.example/x", f"https://db.example/{'x' * n} token=abcdefgh1")
     assert [k for k, _ in got[0]] == ["assign", "endpoint"]
     assert [k for k, _ in got[1]] == ["endpoint", "assign"]
+
+
+def test_whole_length_of_weak_parts(spark):
+    rng = random.Random(6)
+    key = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=900))
+    lower = "q7w2e9r4t1y8u3i6o5p0"
+    user, url = "u" * 90, "https://db.example/" + "x" * 300
+    got = spans(spark, f"user: {user}\n{key}", f"{url} {key}", f"user: bob\n{lower}")
+    assert got == [[("identifier", user), ("secret", key)], [("endpoint", url), ("secret", key)], [("identifier", "bob"), ("secret", lower)]]
