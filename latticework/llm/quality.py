@@ -27,17 +27,23 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 def quality_statistics(docs: DataFrame, text_col: str = "text", name: str = "stats") -> DataFrame:
     """The documents with a struct column ``name`` of text statistics (null text: all zero).
 
+    Counts are exact on texts of any length: a document's words are held as one array in its task, and 3-word windows that hash alike
+    are told apart by their words.  An empty table gives an empty result; the working columns take names that docs doesn't have.
+
     Longs: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_exclaim.  Doubles: shares of them, 0
     where the denominator is 0.  Boolean: base_failed.
     """
-    t, w, s, p, d, c = (free_name(docs, f"quality_{x}") for x in "twspdc")
+    t, w, s, p, d, e, c = (free_name(docs, f"quality_{x}") for x in "twspdec")
     out = docs.withColumn(t, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     out = out.withColumn(w, F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
-    # Each 3-word window becomes a long: as many hash bits as fit above its position.  Sorted, equal windows are neighbours.
+    # Each 3-word window becomes a long: as many hash bits as fit above its position.  Sorted, windows that may be equal are neighbours.
     out = out.withColumn(s, F.expr(f"cast(ceil(log2(size({w}) + 1)) as int)"))
     out = out.withColumn(p, F.expr(f"sort_array(transform(slice({w}, 1, greatest(size({w}) - 2, 0)), (x, i) -> shiftleft(xxhash64(x, {w}[i + 1], {w}[i + 2]), {s}) | cast(i as bigint)))"))
     same = f"shiftrightunsigned(x ^ get({p}, j - 1), {s}) = 0 or shiftrightunsigned(x ^ get({p}, j + 1), {s}) = 0"
-    out = out.withColumn(d, F.expr(f"sort_array(transform(filter({p}, (x, j) -> coalesce({same}, false)), x -> x & (shiftleft(1L, {s}) - 1)))"))
+    # Of those the words themselves decide: sorted by whole hash and words, equal windows are neighbours, and only they are.
+    out = out.withColumn(e, F.expr(f"sort_array(transform(transform(filter({p}, (x, j) -> coalesce({same}, false)), x -> named_struct('i', cast(x & (shiftleft(1L, {s}) - 1) as int))), y -> named_struct('h', xxhash64({w}[y.i], {w}[y.i + 1], {w}[y.i + 2]), 'a', {w}[y.i], 'b', {w}[y.i + 1], 'c', {w}[y.i + 2], 'i', y.i)))"))
+    equal = " or ".join(f"(x.h = get({e}, {k}).h and x.a = get({e}, {k}).a and x.b = get({e}, {k}).b and x.c = get({e}, {k}).c)" for k in ("j - 1", "j + 1"))
+    out = out.withColumn(d, F.expr(f"sort_array(transform(filter({e}, (x, j) -> coalesce({equal}, false)), x -> cast(x.i as bigint)))"))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counts = {
         "n_words": F.size(w),
@@ -68,7 +74,7 @@ def quality_statistics(docs: DataFrame, text_col: str = "text", name: str = "sta
     failed = (long["n_words"] < 50) | (100 * long["n_repeat_words"] > 50 * long["n_words"])
     stats = F.struct(*[v.alias(k) for k, v in (long | shares).items()], failed.alias("base_failed"))
     # explode_outer of one element keeps later filters from being pushed below, which would copy the whole computation into them.
-    return out.withColumn(name, stats).select(*docs.columns, F.explode_outer(F.array(name)).alias(name))
+    return out.withColumn(name, stats).select(*[x for x in docs.columns if x.lower() != name.lower()], F.explode_outer(F.array(name)).alias(name))
 
 
 FEATURES = ["n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "exclaim_share", "line_share"]
@@ -196,31 +202,36 @@ def learn(rows: DataFrame, features: list[str] = FEATURES, max_rules: int = 8, m
     return DecisionList(tuple(rules))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> DecisionList:
-    """A decision list from the labelled documents; without labels of both kinds it has no rule and keeps everything.
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS, label_id_col: str = "doc_id") -> DecisionList:
+    """A decision list from the labelled documents (labels: ``label_id_col`` and ``label_col``); without labels of both kinds it has no
+    rule and keeps everything.
 
     The sample of labels has ``fit_rows`` rows of two numbers at most (1.2 MB at the default), so it is broadcast.
     """
-    sample = cut(labelled_sample(labels, "doc_id" if "doc_id" in labels.columns else id_col, label_col, fit_rows))
+    sample = cut(labelled_sample(labels, label_id_col, label_col, fit_rows))
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("id") == F.col("label_id"))
     rows = quality_statistics(own, "text", "stats").filter(~F.col("stats.base_failed")).select("label", "stats", (F.pmod(F.xxhash64("label_id", F.lit(11)), F.lit(3)) != 0).alias("grow"))
     return learn(cut(rows))
 
 
 def judge(docs: DataFrame, rules: DecisionList, text_col: str = "text", name: str = "stats") -> DataFrame:
-    """The documents with the statistics struct and, in it, rule (the list's verdict: 0 or the rule that rejects) and kept."""
+    """The documents with the statistics struct and, in it, rule (the list's verdict: 0 or the rule that rejects) and kept.
+
+    Null and empty texts fail the base rules; repeated rows are judged alike; whole texts are read, however long; an empty table gives an
+    empty result, and a column called ``name`` is replaced.
+    """
     rated = quality_statistics(docs, text_col, name)
     rule = rules.rule_number(name)
     return rated.withColumn(name, F.struct(F.col(f"{name}.*"), rule.alias("rule"), (~F.col(f"{name}.base_failed") & (rule == 0)).alias("kept")))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", label_id_col: str = "doc_id") -> DataFrame:
     """The documents, with all their columns, that neither fail the base rules nor meet a rule learned from the labels.
 
     Null and empty texts fail the base rules.  Repeated rows are judged alike; an empty table gives an empty result.
     """
     name = free_name(docs, "quality_stats")
-    return judge(docs, fit_quality(docs, labels, id_col, text_col, label_col), text_col, name).filter(F.col(f"{name}.kept")).select(*docs.columns)
+    return judge(docs, fit_quality(docs, labels, id_col, text_col, label_col, label_id_col=label_id_col), text_col, name).filter(F.col(f"{name}.kept")).select(*docs.columns)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
