@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a table of hot keys, at most: a key is hot if it holds more than this share of all rows.
+HOT_KEYS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,3 +46,19 @@ def free_name(df: DataFrame, base: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left_semi) with side, a row per key whose ``weight`` tells how many of the ``total`` rows have it.
+
+    Fewer than HOT_KEYS keys can have more than total / HOT_KEYS rows each, so these travel as a broadcast of bounded size and their
+    rows stay where they are; all other keys meet in a shuffle in which none is hot.
+    """
+    hot = side.filter(F.col(weight) * HOT_KEYS > total)
+    if how == "left_semi":
+        hot, side = hot.select(*keys), side.select(*keys, weight)
+    light = side.filter(F.col(weight) * HOT_KEYS <= total)
+    if how == "left_semi":
+        light = light.select(*keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(light, keys, how)
+    return rows.join(F.broadcast(hot), keys, how).unionByName(cold)

@@ -6,6 +6,10 @@ frequencies over the distinct texts of the whole corpus.  The 1 is a text not se
 makes little evidence count for less, and leaves no entity out, however rare.  Terms at or above ``generalise`` lose their content
 but keep their initial; those at or above ``remove`` go; both wherever they stand in the entity's texts.
 
+Every step is linear in a text's length and in its spans, or nearly so: prefix sums and running maxima go by three levels of blocks, and
+texts are cut by blocks of spans.  A term that stands in one text with an entity is judged by that text's rarest entity alone; pairs are
+counted only for terms and entities of two texts or more, by classes that stand in the same texts.
+
 Patterns are applied in forms that neither backtrack nor recurse on long runs: a separator between two characters that may
 hold it becomes one private-use character first, which leaves every position as it is.
 """
@@ -15,13 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, table
+from .common import cut, free_name, join_hot, table
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 MARK, OTHER = "\ue000", "\ue001"
 #: Terms, and rewritten documents, up to which a table of them is broadcast: some 10 MB.
 BROADCAST_TERMS = 100_000
 TERM = r"[\p{L}\p{N}]+"
+BLOCK = 128
 
 LOCAL = rf"A-Za-z0-9._%+{MARK}-"
 EMAIL = rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]+{MARK}[A-Za-z0-9{MARK}-]+"
@@ -30,26 +35,36 @@ CARD = rf"(?<![0-9{MARK}])[0-9][0-9{MARK}]+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 
-def starts_of(pieces: Column, matches: Column, block: int = 256) -> Column:
-    """Start of each match, from the lengths of what stands between and of the matches; sums go by blocks, so long arrays stay cheap."""
+def bound(value: Column, body) -> Column:
+    """body(value), with value computed once however often the body's lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def add(a: Column, x: Column) -> Column:
-        return a + x
 
-    steps = F.zip_with(F.transform(matches, lambda m: F.length(m).cast("long")), F.transform(F.slice(pieces, 1, F.size(matches)), lambda p: F.length(p).cast("long")), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
-    zero = F.lit(0).cast("long")
+def before_each(values: Column, fold) -> Column:
+    """For each value of an array the fold (a sum or maximum of an array of longs, 0 of none) of all earlier ones, by blocks of blocks."""
+
+    def blocks(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(x) - 1) / BLOCK), F.lit(0)).cast("int")), lambda b: fold(F.slice(x, b * BLOCK + 1, F.lit(BLOCK))))
+
+    def earlier(one: Column, two: Column, three: Column, i: Column) -> Column:
+        b, c = F.floor(i / BLOCK).cast("int"), F.floor(i / BLOCK**2).cast("int")
+        return fold(F.array(fold(F.slice(three, F.lit(1), c)), fold(F.slice(two, c * BLOCK + 1, b - c * BLOCK)), fold(F.slice(one, b * BLOCK + 1, i - b * BLOCK))))
 
-    def total(x: Column) -> Column:
-        return F.aggregate(x, zero, lambda a, s: a + s["m"] + s["p"])
+    return bound(values, lambda one: bound(blocks(one), lambda two: bound(blocks(two), lambda three: F.transform(one, lambda x, i: earlier(one, two, three, i)))))
 
-    n = F.size(steps)
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / block), F.lit(0)).cast("int")), lambda b: total(F.slice(steps, b * block + 1, F.lit(block))))
 
-    def start(s: Column, i: Column) -> Column:
-        b = F.floor(i / block).cast("int")
-        return F.aggregate(F.slice(blocks, F.lit(1), b), zero, add) + total(F.slice(steps, b * block + 1, i - b * block)) + s["p"]
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
 
-    return F.transform(steps, start)
+
+def _max(x: Column) -> Column:
+    return F.coalesce(F.array_max(x), F.lit(0).cast("long"))
+
+
+def starts_of(pieces: Column, matches: Column) -> Column:
+    """Start of each match, from the lengths of what stands between and of the matches."""
+    steps = F.zip_with(F.transform(matches, lambda m: F.length(m).cast("long")), F.transform(F.slice(pieces, 1, F.size(matches)), lambda p: F.length(p).cast("long")), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
+    return bound(steps, lambda s: F.zip_with(before_each(F.transform(s, lambda x: x["m"] + x["p"]), _sum), s, lambda a, x: a + x["p"]))
 
 
 def _spans(df: DataFrame, text: str, kind: int, pattern: str, check: Column, valid) -> DataFrame:
@@ -63,6 +78,41 @@ def _spans(df: DataFrame, text: str, kind: int, pattern: str, check: Column, val
     return df.withColumn(name, F.filter(spans, lambda x: valid(x["value"]))).drop(m, p, s)
 
 
+def clusters(spans: Column) -> Column:
+    """Runs of overlapping spans (in order of start): before (the end of the run before), start, end, and the number of the first span."""
+    heads = bound(spans, lambda sp: F.filter(
+        F.transform(F.zip_with(before_each(F.transform(sp, lambda s: s["end"]), _max), sp, lambda b, s: F.struct(b.alias("before"), s["start"].alias("start"))), lambda z, i: F.struct(z["before"].alias("before"), z["start"].alias("start"), i.alias("first"))),
+        lambda h: h["start"] >= h["before"],
+    ))
+    last = _max(F.transform(spans, lambda s: s["end"]))
+    return bound(heads, lambda hs: bound(last, lambda top: F.transform(hs, lambda h, j: F.struct(h["before"].alias("before"), h["start"].alias("start"), F.coalesce(F.get(hs, j + 1)["before"], top).alias("end"), h["first"].alias("first")))))
+
+
+def replaced(text: Column, runs: Column, word) -> Column:
+    """The text with each run (before, start, end and more) replaced by word(run, its first character); runs must not be empty.
+
+    Regions of 16,384 and of 128 runs are cut out of the text first, so that no run is counted off from the text's beginning.
+    """
+
+    def part(t: Column, first: Column, last: Column) -> Column:
+        return F.substr(t, (first + 1).cast("int"), (last - first).cast("int"))
+
+    def pieces(t: Column, origin: Column, items: Column, sizes: tuple[int, ...]) -> Column:
+        if not sizes:
+            return F.array_join(F.transform(items, lambda r: F.concat(part(t, r["before"] - origin, r["start"] - origin), word(r, part(t, r["start"] - origin, r["start"] - origin + 1)))), "")
+        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / sizes[0]).cast("int")), lambda b: F.slice(items, b * sizes[0] + 1, F.lit(sizes[0])))
+
+        def region(g: Column) -> Column:
+            return part(t, F.element_at(g, 1)["before"] - origin, F.element_at(g, -1)["start"] - origin + 1)
+
+        return F.array_join(F.transform(groups, lambda g: bound(region(g), lambda r: pieces(r, F.element_at(g, 1)["before"], g, sizes[1:]))), "")
+
+    def whole(rs: Column) -> Column:
+        return F.concat(pieces(text, F.lit(0).cast("long"), rs, (BLOCK**2, BLOCK)), F.substr(text, (F.element_at(rs, -1)["end"] + 1).cast("int"), F.length(text)))
+
+    return bound(runs, whole)
+
+
 def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text, text_hash and base: spans (start, kind number, end, value) of the base patterns in order of start, then kind."""
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
@@ -95,45 +145,64 @@ def entity_names(base: Column) -> Column:
 def context_terms(found: DataFrame, min_length: int) -> DataFrame:
     """A row per term of the texts with an entity: id, text_hash, term (lower case), start, end.
 
-    A term is a run of letters and digits with a letter, ``min_length`` long at least, outside all base spans.
+    A term is a run of letters and digits with a letter, ``min_length`` long at least, that touches no base span: the spans become marks
+    that continue a run, and runs with a mark are left out.
     """
-    texts = found.filter(F.size("base") > 0).select("id", "text", "text_hash", "base")
-    texts = texts.withColumn("m", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))
-    texts = texts.withColumn("p", F.split("text", TERM, -1)).filter(F.size("m") > 0)
+    marked = rf"[\p{{L}}\p{{N}}{MARK}]+"
+    texts = found.filter(F.size("base") > 0).select("id", "text_hash", "base", F.translate("text", MARK, OTHER).alias("text"))
+    texts = texts.select("id", "text_hash", replaced(F.col("text"), clusters(F.col("base")), lambda r, c: F.repeat(F.lit(MARK), (r["end"] - r["start"]).cast("int"))).alias("text"))
+    texts = texts.withColumn("m", F.regexp_extract_all("text", F.lit(marked), F.lit(0)))
+    texts = texts.withColumn("p", F.split("text", marked, -1)).filter(F.size("m") > 0)
     texts = texts.withColumn("at", starts_of(F.col("p"), F.col("m")))
-    terms = texts.select("id", "text_hash", "base", F.explode(F.arrays_zip("m", "at")).alias("y"))
-    terms = terms.select("id", "text_hash", "base", F.lower("y.m").alias("term"), F.col("y.at").alias("start"), (F.col("y.at") + F.length("y.m")).alias("end"))
-    clear = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    return terms.filter(F.col("term").rlike(r"\p{L}") & (F.length("term") >= min_length) & clear).select("id", "text_hash", "term", "start", "end")
+    clear = F.filter(F.arrays_zip("m", "at"), lambda y: (F.length(y["m"]) >= min_length) & ~F.contains(y["m"], F.lit(MARK)) & y["m"].rlike(r"\p{L}"))
+    return texts.select("id", "text_hash", F.explode(clear).alias("y")).select("id", "text_hash", F.lower("y.m").alias("term"), F.col("y.at").alias("start"), (F.col("y.at") + F.length("y.m")).alias("end"))
 
 
 def disclosing_terms(docs: DataFrame, near: DataFrame, found: DataFrame, text_col: str, generalise: float) -> DataFrame:
-    """entity, term, disclosure of the pairs at or above ``generalise``, with frequencies over all distinct texts.
+    """text_hash, term and disclosure (the highest of the text's entities) at or above ``generalise``; frequencies over all distinct texts.
 
     A pair reaches ``generalise`` only if df(t) + 1 is at most df(t, e) * (N / df(e)) ** (1 - generalise).  The texts with entities
     that hold the term bound df(t) from below, and df(t, e) is at most that and at most df(e); so common words leave before pairs are
-    counted and before the corpus is, and no pair is lost.
+    counted and before the corpus is, and no pair is lost.  With df(t, e) = 1 the text's rarest entity gives the most, so it alone is
+    looked at; pairs of two texts or more are counted by classes of terms and of entities that stand in the same texts.
     """
-    texts = found.select("text_hash").distinct().count()
-    stands = found.select(F.explode(entity_names(F.col("base"))).alias("entity"), "text_hash").distinct()
-    entities = stands.groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
-    terms = near.select("term", "text_hash").distinct()
-    least = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df_low"))
-    gain = F.pow(F.lit(float(texts)) / F.col("df_e"), F.lit(1.0 - generalise)) * (1 + 1e-9)
-    able = F.col("df_low") + 1 <= F.least("df_low", "df_e") * gain
-    both = terms.join(least, "term").join(stands.join(entities, "entity"), "text_hash").filter(able)
-    pairs = both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_te"), F.first("df_low").alias("df_low"), F.first("df_e").alias("df_e"))
-    pairs = cut(pairs.filter(F.col("df_low") + 1 <= F.col("df_te") * gain))
-    terms = cut(pairs.select("term").distinct())
-    n_terms = terms.count()
-    if not n_terms:
-        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure")).limit(0)
+    n = found.select("text_hash").distinct().count()
+    if not n:
+        return near.select("text_hash", "term", F.lit(0.0).alias("disclosure")).limit(0)
+    texts = F.lit(float(n))
+    x1, x2 = F.bit_xor(F.xxhash64("text_hash")), F.bit_xor(F.xxhash64("text_hash", F.lit(5)))
+    stands = cut(found.select(F.explode(entity_names(F.col("base"))).alias("entity"), "text_hash").distinct())
+    entities = stands.groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"), x1.alias("e1"), x2.alias("e2"))
+    held = cut(join_hot(stands, entities, ["entity"], "df_e", stands.count()).select("text_hash", "df_e", "e1", "e2").distinct())
+    terms = cut(near.select("term", "text_hash").distinct())
+    lows = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df_low"), x1.alias("t1"), x2.alias("t2"))
+    known = cut(join_hot(terms, lows, ["term"], "df_low", terms.count()))
+
+    def gain(df_e: str) -> Column:
+        return F.pow(texts / F.col(df_e), F.lit(1.0 - generalise)) * (1 + 1e-9)
+
+    rarest = held.groupBy("text_hash").agg(F.min("df_e").alias("df_e"))
+    one = cut(known.join(rarest, "text_hash").filter(F.col("df_low") + 1 <= gain("df_e")).select("text_hash", "term", "df_e"))
+    classes = known.filter("df_low >= 2").select("t1", "t2", "df_low", "text_hash").distinct()
+    able = F.col("df_low") + 1 <= F.least("df_low", "df_e") * gain("df_e")
+    both = classes.join(held.filter("df_e >= 2"), "text_hash").filter(able)
+    pairs = both.groupBy("e1", "e2", "t1", "t2").agg(F.count(F.lit(1)).alias("df_te"), F.first("df_low").alias("df_low"), F.first("df_e").alias("df_e"))
+    pairs = cut(pairs.filter((F.col("df_te") >= 2) & (F.col("df_low") + 1 <= F.col("df_te") * gain("df_e"))).drop("df_low"))
+    named = known.select("t1", "t2", "term").distinct().join(pairs, ["t1", "t2"])
+    asked = cut(one.select("term").union(named.select("term")).distinct())
+    n_terms = asked.count()
     words = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(TERM), F.lit(0)))).alias("term"))
-    known = words.join(F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms, "term", "left_semi")
-    counts = known.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
-    information = F.log2(F.lit(float(texts)) / F.col("df_e"))
-    disclosure = F.when(information > 0, 1 - F.log2((F.greatest(F.col("df_t"), F.col("df_te")) + 1) / F.col("df_te")) / information).otherwise(F.lit(0.0))
-    return pairs.join(counts, "term").select("entity", "term", disclosure.alias("disclosure")).filter(F.col("disclosure") >= generalise)
+    hits = words.join(F.broadcast(asked) if n_terms <= BROADCAST_TERMS else asked, "term", "left_semi")
+    counts = cut(hits.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df_t")))
+
+    def disclosure(df_te: Column) -> Column:
+        information = F.log2(texts / F.col("df_e"))
+        return F.when(information > 0, 1 - F.log2((F.greatest(F.col("df_t"), df_te) + 1) / df_te) / information).otherwise(F.lit(0.0)).alias("disclosure")
+
+    told = one.join(counts, "term").select("text_hash", "term", disclosure(F.lit(1)))
+    rated = named.join(counts, "term").select("e1", "e2", "term", disclosure(F.col("df_te"))).filter(F.col("disclosure") >= generalise)
+    told = told.unionByName(rated.join(held, ["e1", "e2"]).select("text_hash", "term", "disclosure"))
+    return told.filter(F.col("disclosure") >= generalise).groupBy("text_hash", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 4, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
@@ -141,15 +210,14 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     row's entities.
 
     Actions: replace (a base span), remove or generalise (a term).  Null text has no spans.  Repeated rows get the same spans; rows
-    with a null id are told apart by their text.  An empty table gives an empty result.
+    with a null id are told apart by their text.  An empty table gives an empty result.  Texts are read whole; one with very many spans
+    or words takes time in proportion to them, in one task.
     """
     found = cut(base_spans(docs, id_col, text_col).select("id", "text_hash", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")))
     near = cut(context_terms(found, min_length))
-    rated = disclosing_terms(docs, near, found, text_col, generalise)
-    stands = found.select(F.explode(entity_names(F.col("base"))).alias("entity"), "text_hash").distinct()
-    told = rated.join(stands, "entity").groupBy("text_hash", "term").agg(F.max("disclosure").alias("d"))
-    hits = near.join(told, ["text_hash", "term"]).select("id", "text_hash", "start", "end", "d").distinct()
-    action = F.when(F.col("d") >= remove, "remove").otherwise("generalise")
+    told = disclosing_terms(docs, near, found, text_col, generalise)
+    hits = near.join(told, ["text_hash", "term"]).select("id", "text_hash", "start", "end", "disclosure").distinct()
+    action = F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")
     extra = hits.groupBy("id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", action.alias("action")))).alias("extra"))
     extra = extra.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "extra")
     whole = found.join(extra, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
@@ -159,22 +227,24 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with each span replaced; of spans that overlap, the part after an earlier one's end is dropped with it."""
-    ends = F.transform(spans, lambda s, i: F.coalesce(F.array_max(F.transform(F.slice(spans, F.lit(1), i), lambda q: q["end"])), F.lit(0).cast("long")))
+    """The text with each span (in order of start) replaced; of spans that overlap, the part after an earlier one's end is dropped with it."""
+    labels = F.array(*[F.lit(k.upper()) for k in KINDS])
 
-    def part(s: Column, before: Column) -> Column:
-        first, last = s["start"], s["end"]
-        word = F.when(s["action"] == "replace", F.concat(F.lit("["), F.upper(F.element_at(F.array(*[F.lit(k) for k in KINDS]), (s["kind"] + 1).cast("int"))), F.lit("]")))
-        word = word.when(s["action"] == "generalise", F.concat(F.substr(text, (first + 1).cast("int"), F.lit(1)), F.lit("_"))).otherwise(F.lit("_"))
-        kept = F.substr(text, (before + 1).cast("int"), F.greatest(first - before, F.lit(0)).cast("int"))
-        return F.when(last > before, F.concat(kept, F.when(first >= before, word).otherwise(F.lit("")))).otherwise(F.lit(""))
+    def word(r: Column, first: Column) -> Column:
+        out = F.when(r["action"] == "replace", F.concat(F.lit("["), F.element_at(labels, (r["kind"] + 1).cast("int")), F.lit("]")))
+        return out.when(r["action"] == "generalise", F.concat(first, F.lit("_"))).otherwise(F.lit("_"))
 
-    tail = F.coalesce(F.array_max(F.transform(spans, lambda s: s["end"])), F.lit(0).cast("long"))
-    return F.concat(F.array_join(F.zip_with(spans, ends, part), ""), F.substr(text, (tail + 1).cast("int"), F.length(text)))
+    def runs(sp: Column) -> Column:
+        return F.transform(clusters(sp), lambda r: F.struct(r["before"].alias("before"), r["start"].alias("start"), r["end"].alias("end"), F.get(sp, r["first"])["kind"].alias("kind"), F.get(sp, r["first"])["action"].alias("action")))
+
+    return F.when(F.size(spans) > 0, replaced(text, bound(spans, runs), word)).otherwise(text)
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """The documents, with all their columns, their texts redacted; a text without spans stays as it is, null stays null."""
+    """The documents, with all their columns, their texts redacted; a text without spans stays as it is, null stays null.
+
+    Repeated rows are redacted alike; an empty table gives an empty result; the working columns take names that docs doesn't have.
+    """
     found = find_private(docs.select(id_col, text_col), id_col, text_col, **params)
     key, hashed, spans = (free_name(docs, f"pii_{x}") for x in ("key", "hash", "spans"))
     touched = cut(found.filter(F.size("spans") > 0).select(F.col(id_col).alias(key), F.col("text_hash").alias(hashed), F.col("spans").alias(spans)).dropDuplicates([key, hashed]))
