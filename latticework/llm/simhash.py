@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .common import cut, free_name, table
+from .common import cut, free_name, join_hot, table
 
 SEGMENTS = 32
 _PAIRS = np.uint64(0x5555555555555555)
@@ -231,7 +231,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col:
     and text_hash (xxhash64 of the text).
 
     Fingerprints within ``radius`` bits are linked.  Null and empty texts have fingerprint zero, linked like any other.  Repeated
-    rows repeat in the result and share a component; a null id is kept, and is a component's id only where it has no other.
+    rows repeat in the result and share a component; a null id is kept, and is a component's id only where it has no other.  Texts are
+    read whole, the shingles of a very long one in blocks; an empty table gives an empty result.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
     schema = T.StructType([T.StructField("id", own.schema["id"].dataType), T.StructField("text_hash", T.LongType()), T.StructField("fp", T.LongType())])
@@ -239,25 +240,43 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col:
     distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("first_id")))
     roots = components(links(distinct, radius))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("class_id"))
-    smallest = named.groupBy("class_id").agg(F.min("first_id").alias("component_id"))
-    by_fp = named.select("fp", "class_id").join(smallest, "class_id")
-    out = marked.join(by_fp, "fp")
+    named = cut(named)
+    smallest = cut(named.groupBy("class_id").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    by_fp = join_hot(named.select("fp", "class_id"), smallest, ["class_id"], "members", named.count()).drop("members")
+    rows = marked.groupBy("fp").agg(F.count(F.lit(1)).alias("rows"))
+    out = join_hot(marked, by_fp.join(rows, "fp"), ["fp"], "rows", marked.count())
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_id", "text_hash")
 
 
 def keep_smallest(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One document of each class_id of found (id, text_hash, class_id): the one with the smallest id (null last, of repeats of it one)."""
+    """One document of each class_id of found (id, text_hash, class_id): the one with the smallest id (null last).
+
+    Of rows with that id and that text one stays, the first by the hash of all its columns (maps as text), so reruns keep the same.
+    """
     best = found.groupBy("class_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "text_hash")).alias("k"))
     key, hashed, rank = (free_name(docs, f"near_dup_{x}") for x in ("key", "hash", "rank"))
+    rows = found.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("n"))
     best = best.select(F.col("k.id").alias(key), F.col("k.text_hash").alias(hashed))
+    best = cut(best.join(rows, F.col(key).eqNullSafe(F.col("_id")) & (F.col(hashed) == F.col("_hash"))).select(key, hashed, "n"))
     own = docs.withColumn(rank, F.xxhash64(F.col(text_col).cast("string")))
-    kept = own.join(best, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(rank) == F.col(hashed)), "left_semi")
-    one = Window.partitionBy(id_col, rank).orderBy(F.monotonically_increasing_id())
-    return kept.withColumn(key, F.row_number().over(one)).filter(F.col(key) == 1).select(*docs.columns)
+
+    def kept(which: DataFrame) -> DataFrame:
+        return own.join(which.select(key, hashed), F.col(id_col).eqNullSafe(F.col(key)) & (F.col(rank) == F.col(hashed)), "left_semi")
+
+    out = kept(best.filter("n = 1")).select(*docs.columns)
+    twice = best.filter("n > 1")
+    if twice.isEmpty():
+        return out
+    whole = [F.to_json(F.struct(F.col(f.name))) if "map" in f.dataType.simpleString() else F.col(f.name) for f in docs.schema.fields]
+    one = Window.partitionBy(id_col, rank).orderBy(F.xxhash64(*whole), F.xxhash64(F.lit(3), *whole))
+    return out.unionByName(kept(twice).withColumn(key, F.row_number().over(one)).filter(F.col(key) == 1).select(*docs.columns))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, with all its columns: the one with the smallest id (null last, of repeats of it one)."""
+    """One document of each component, with all its columns: the one with the smallest id (null last, of repeats of it one).
+
+    Null and empty texts are one component; an empty table gives an empty result; the working columns take names that docs doesn't have.
+    """
     return keep_smallest(docs, near_duplicates(docs.select(id_col, text_col), shingle, radius, id_col, text_col), id_col, text_col)
 
 

@@ -2,12 +2,17 @@
 
 Suffixes of the corpus are read from sampled places: the content-defined minimisers of every window of ``window`` words (equal
 windows are sampled at equal places, so no repeat is missed, and about one suffix in 18 is kept).  A suffix' first ``prefix`` words
-decide its group.  Prefixes that only one document holds are dropped; equal contexts are merged before they travel; groups are
-gathered into trees of bounded memory, and the rare prefix with more contexts than ``group_limit`` is extended to the whole window,
-which is then aggregated by Spark.  A tree is a sorted array of suffixes with the lengths of neighbours' common prefixes: its
+decide its group.  Prefixes that only one document holds are dropped; equal contexts are merged before they travel.
+
+Prefixes are of variable length: a group with more contexts than ``group_limit`` is split by longer ones, step by step.  A group
+stands for the windows whose sampled place has lo to hi words before it in the window; these windows share all words from lo before
+the place to window - hi after it, which is the group's prefix.  Halving the range lengthens the prefix: 16 words, then 33, 41, 45 and so
+on to the whole window, where a subtree is a single node whose smallest document is a minimum.  Groups are gathered into trees of
+bounded memory.  A tree is a sorted array of suffixes with the lengths of neighbours' common prefixes: its
 internal nodes at a depth are the runs not broken by a shorter common prefix.  Two trees per group, over the words right and left of
 the sampled place, give every repeated window as a pair of nodes whose depths sum to the window, with the smallest document that
-holds it.  Exact copies of a text are settled by digest and enter none of this.
+holds it.  Exact copies of a text enter once, with their smallest document (they are equal in all windows): copies of a later document
+lose every word that a window covers.
 
 A run shuffles the texts twice, compressed (to cut contexts where prefixes repeat, and to write the result); all other shuffles carry
 hashes, places and the contexts of repeated prefixes.
@@ -17,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import cut, table
+from .common import HOT_KEYS, cut, join_hot, table
 
 #: Context bytes of one tree.
 TREE_BYTES = 2 << 20
@@ -144,8 +150,8 @@ def _nodes_at(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
     return node
 
 
-def repeated_windows(contexts: list[bytes], n_left: np.ndarray, ids: np.ndarray, window: int, prefix: int) -> np.ndarray:
-    """Per context and offset (words of the window left of the sampled place) the smallest id that holds the window; NO_ID: none."""
+def repeated_windows(contexts: list[bytes], n_left: np.ndarray, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: int, prefix: int) -> np.ndarray:
+    """Per context and offset (words of the window left of the sampled place, lo to hi) the smallest id that holds the window; NO_ID: none."""
     n, reach = len(contexts), window - prefix
     piece = next(tx.pieces(pa.array(contexts, pa.large_binary()).cast(pa.large_string()), 1 << 40))
     w = tx.words(piece, tx.SPACE_FREE)
@@ -162,7 +168,7 @@ def repeated_windows(contexts: list[bytes], n_left: np.ndarray, ids: np.ndarray,
     left = _tree_nodes(side(-1 - np.arange(reach), n_left)) if reach else None
     best = np.full((n, reach + 1), NO_ID, np.int64)
     for offset in range(reach + 1):
-        rows = np.flatnonzero((n_left >= offset) & (n_right >= window - offset))
+        rows = np.flatnonzero((n_left >= offset) & (n_right >= window - offset) & (lo <= offset) & (offset <= hi))
         if not len(rows):
             continue
         node = _nodes_at(*right, window - offset)[rows] * (n + 1)
@@ -190,11 +196,12 @@ def _runs(best: np.ndarray, most: np.ndarray) -> list[list[dict]]:
 
 
 def _grow_trees(window: int, prefix: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Over contexts sorted by key (key, c1, c2, low_id, high_id, n_left, context): the runs of each."""
+    """Over contexts sorted by their group's prefix (columns of GROUPS): the runs of each."""
 
     def tree(rows: pa.Table) -> pa.RecordBatch:
         ids, most = (rows.column(k).to_numpy() for k in (3, 4))
-        best = repeated_windows(rows.column(6).to_pylist(), rows.column(5).to_numpy().astype(np.int64), ids, window, prefix)
+        n_left, lo, hi = (rows.column(k).to_numpy().astype(np.int64) for k in (5, 9, 10))
+        best = repeated_windows(rows.column(6).to_pylist(), n_left, ids, lo, hi, window, prefix)
         found = _runs(best, most)
         keep = pa.array([bool(x) for x in found], pa.bool_())
         out = pa.table([*(rows.column(k) for k in range(3)), pa.array(found, _RUN)], names=["key", "c1", "c2", "runs"]).filter(keep).combine_chunks()
@@ -212,7 +219,7 @@ def _grow_trees(window: int, prefix: int) -> Callable[[Iterator[pa.RecordBatch]]
                 if size < TREE_BYTES:
                     continue
                 rows = pa.Table.from_batches(kept)
-                keys = rows.column(0).to_numpy()
+                keys = rows.column(7).to_numpy()
                 other = np.flatnonzero(keys != keys[-1])
                 whole = int(other[-1]) + 1 if len(other) else 0
                 if whole:
@@ -225,53 +232,87 @@ def _grow_trees(window: int, prefix: int) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
-def _windows(window: int, prefix: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Contexts of crowded prefixes as rows per whole window."""
+def _extend(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of GROUPS dealt to the two halves of their range, each with the hashes of that half's longer prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_left = batch.column(5).to_numpy().astype(np.int64)
-            piece = next(tx.pieces(batch.column(6).cast(pa.large_string()), 1 << 40))
-            w = tx.words(piece, tx.SPACE_FREE)
-            hashes = tx.word_hashes(piece.data, w)
-            one, two = tx.gram_hashes(hashes, window), tx.gram_hashes(hashes, window, "word2")
-            for offset in range(window - prefix + 1):
-                start = w.bounds[:-1] + n_left - offset
-                rows = np.flatnonzero((n_left >= offset) & (start + window <= w.bounds[1:]))
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(5)), pa.array(np.full(len(rows), offset), pa.int32()), pa.array(one[start[rows]].view(np.int64)), pa.array(two[start[rows]].view(np.int64))], names=["key", "c1", "c2", "low_id", "high_id", "offset", "w1", "w2"])
+        for whole in batches:
+            for at in range(0, len(whole), 4096):
+                batch = whole.slice(at, 4096)
+                n_left, lo, hi = (batch.column(k).to_numpy().astype(np.int64) for k in (5, 9, 10))
+                piece = next(tx.pieces(batch.column(6).cast(pa.large_string()), 1 << 40))
+                w = tx.words(piece, tx.SPACE_FREE)
+                hashes = tx.word_hashes(piece.data, w)
+                n_right = w.counts() - n_left
+                middle = (lo + hi) // 2
+                for first, last in ((lo, middle), (middle + 1, hi)):
+                    for a, b in np.unique(np.stack([first, last], axis=1), axis=0).tolist():
+                        rows = np.flatnonzero((first == a) & (last == b) & (n_left >= a) & (n_right >= window - b))
+                        start = w.bounds[rows] + n_left[rows] - a
+                        one, two = (tx.gram_hashes(hashes, window - b + a, kind)[start] if len(rows) else np.zeros(0, np.uint64) for kind in ("word", "word2"))
+                        take = pa.array(rows)
+                        ends = (pa.array(np.full(len(rows), x), pa.int32()) for x in (a, b))
+                        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(7)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *ends], names=batch.schema.names)
 
     return run
 
 
+#: A context in a group: its names and holders, the group's prefix (two hashes) and its range.
+GROUPS = "key long, c1 long, c2 long, low_id long, high_id long, n_left int, context binary, part long, part2 long, lo int, hi int"
+GROUP = ["part", "part2", "lo", "hi"]
+
+
+def prefix_groups(distinct: DataFrame, sizes: DataFrame, window: int, prefix: int, group_limit: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Tables of GROUPS with ``group_limit`` contexts a group at most, and tables (with n) of larger groups that hold one window each.
+
+    sizes: key and n, the contexts of each.  Prefixes grow until no group is too large; every step halves the ranges, so a window of 50
+    words takes six steps at most.
+    """
+    level = distinct.select("*", F.col("key").alias("part"), F.lit(0).cast("long").alias("part2"), F.lit(0).alias("lo"), F.lit(window - prefix).alias("hi"))
+    counted = sizes.select(F.col("key").alias("part"), F.lit(0).cast("long").alias("part2"), F.lit(0).alias("lo"), F.lit(window - prefix).alias("hi"), "n")
+    columns = [x.split()[0] for x in GROUPS.split(", ")]
+    trees, leaves = [], []
+    while True:
+        total, large = counted.agg(F.sum("n"), F.max("n")).first()
+        if (large or 0) <= group_limit:
+            return [*trees, level], leaves
+        crowded = cut(counted.filter(F.col("n") > group_limit))
+        hot, rest = crowded.filter(F.col("n") * HOT_KEYS > total), crowded.filter(F.col("n") * HOT_KEYS <= total)
+        trees.append(level.join(F.broadcast(hot.select(*GROUP)), GROUP, "left_anti").join(rest.select(*GROUP), GROUP, "left_anti").select(*columns))
+        busy = cut(join_hot(level, crowded, GROUP, "n", total))
+        leaves.append(busy.filter("lo = hi"))
+        longer = cut(busy.filter("lo < hi").select(*columns).mapInArrow(_extend(window), GROUPS))
+        counted = longer.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), F.min("low_id").alias("low"), F.max("high_id").alias("high"))
+        counted = cut(counted.filter(F.col("low") < F.col("high")).select(*GROUP, "n"))
+        level = join_hot(longer, counted, GROUP, "n", counted.agg(F.sum("n")).first()[0] or 0, "left_semi").select(*columns)
+
+
 def find_repeats(docs: DataFrame, window: int = 50, prefix: int = 16, group_limit: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, d1 (a hash of the text) and ranges (first word, end) of the words to remove; only documents that may lose words have a row.
 
     A word goes if a window of ``window`` consecutive words covers it whose words also start in a document with a smaller id.  Ids are
     integers; a null id counts as the largest (it is NO_ID here).  Repeated rows of one document don't remove each other's words.
+    Null and empty texts have no windows; a very long text is read whole in one task; an empty table gives an empty result.
     """
     own = _keyed(docs, id_col, text_col)
     marked = own.mapInArrow(_sample(window, prefix), "id long, d1 long, d2 long, keys array<long>, places array<int>")
     texts = cut(marked.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("places").alias("places")))
     suffixes = texts.select("id", "d1", F.explode(F.arrays_zip("keys", "places")).alias("s")).select("id", "d1", F.col("s.keys").alias("key"), F.col("s.places").alias("place"))
-    shared = suffixes.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter(F.col("low") < F.col("high")).select("key")
-    places = suffixes.join(shared, "key", "left_semi").groupBy("id", "d1").agg(F.collect_list("place").alias("places"))
+    shared = suffixes.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).filter(F.col("low") < F.col("high"))
+    n_suffixes = texts.agg(F.sum(F.size("keys"))).first()[0] or 0
+    places = join_hot(suffixes, cut(shared.select("key", "n")), ["key"], "n", n_suffixes, "left_semi").groupBy("id", "d1").agg(F.collect_list("place").alias("places"))
     packed = own.select("id", "d1", "text").mapInArrow(_pack, PACKED)
     cuts = packed.join(places, ["id", "d1"]).select("id", "d1", "packed", "places").mapInArrow(_contexts(window, prefix), "id long, d1 long, place int, key long, n_left int, context binary")
     cuts = cut(cuts.select("*", F.xxhash64("context", "n_left").alias("c1"), F.xxhash64(F.lit(7), "n_left", "context").alias("c2")))
     distinct = cuts.groupBy("key", "c1", "c2").agg(F.min("id").alias("low_id"), F.max("id").alias("high_id"), F.first("n_left").alias("n_left"), F.first("context").alias("context"))
     sizes = cuts.select("key", "c1", "c2").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    crowded = cut(sizes.filter(F.col("n") > group_limit).select("key"))
-    schema = f"key long, c1 long, c2 long, runs {RUNS}"
-    some = not crowded.isEmpty()
-    calm = distinct.join(crowded, "key", "left_anti") if some else distinct
-    runs = calm.repartition("key").sortWithinPartitions("key").mapInArrow(_grow_trees(window, prefix), schema)
-    if some:
-        wide = cut(distinct.join(crowded, "key", "left_semi").select(*distinct.columns).mapInArrow(_windows(window, prefix), "key long, c1 long, c2 long, low_id long, high_id long, offset int, w1 long, w2 long"))
-        first = wide.groupBy("w1", "w2").agg(F.min("low_id").alias("first_id"))
-        hits = wide.join(first, ["w1", "w2"]).filter(F.col("first_id") < F.col("high_id"))
-        run = F.struct(F.col("offset").alias("low"), F.col("offset").alias("high"), "first_id")
-        runs = runs.unionByName(hits.groupBy("key", "c1", "c2").agg(F.collect_list(run).alias("runs")))
+    trees, leaves = prefix_groups(distinct, cut(sizes.filter(F.col("n") > group_limit)), window, prefix, group_limit)
+    runs = reduce(DataFrame.unionByName, trees).repartition("part").sortWithinPartitions(*GROUP).mapInArrow(_grow_trees(window, prefix), f"key long, c1 long, c2 long, runs {RUNS}")
+    for leaf in leaves:
+        first = cut(leaf.groupBy(*GROUP).agg(F.min("low_id").alias("first_id"), F.count(F.lit(1)).alias("rows")))
+        run = F.array(F.struct(F.col("lo").alias("low"), F.col("lo").alias("high"), "first_id"))
+        hits = join_hot(leaf.drop("n"), first, GROUP, "rows", leaf.count()).filter(F.col("first_id") < F.col("high_id"))
+        runs = runs.unionByName(hits.select("key", "c1", "c2", run.alias("runs")))
     hit = cuts.select("id", "d1", "place", "key", "c1", "c2").join(runs, ["key", "c1", "c2"]).select("id", "d1", "place", F.explode("runs").alias("r")).filter(F.col("r.first_id") < F.col("id"))
     ranges = hit.select("id", "d1", F.struct((F.col("place") - F.col("r.high")).alias("first"), (F.col("place") - F.col("r.low") + window).alias("end")).alias("range"))
     # A later copy goes whole; a text shorter than the window has no window, which the reader of the ranges sees to.

@@ -1,9 +1,10 @@
 """Token counts through a digest cache.
 
 A text's count depends only on its content and on the tokenizer, so counts are stored under (content digest, tokenizer
-digest).  A run joins its contents to the stored counts, encodes each distinct missing content once, appends the new counts and
-reads all of them back.  The text is shuffled once, for misses only and after map-side de-duplication, so a content that fills
-a third of the table costs one row per input partition.
+digest).  A run joins the distinct digests of its contents to the stored counts; no text takes part in that.  Each distinct missing
+content is then encoded once, the new counts are appended, and all are read back.  Where the missing digests are few (a warm cache)
+they travel to the texts, and only texts that are missing are shuffled; where they are many, texts are shuffled after map-side
+de-duplication.  Either way a content that fills a third of the table costs one row per input partition.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table
+from .common import cut, fresh_path, join_hot, table
 
-CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens long"
+CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 #: Entries of a worker's word memo before it is emptied: some 60 MB.
 MEMO_ENTRIES = 400_000
+#: Missing digests up to which they are broadcast: some 10 MB.
+BROADCAST_MISSES = 100_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -123,32 +126,48 @@ def _encode(name: str, digest: str) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The stored counts; none if nothing has been stored.  Two runs may have stored the same count: one row stays."""
+def read_cache(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
+    """The stored counts, of one tokenizer or of all; none if nothing has been stored.  Two runs may have stored the same count: one row stays."""
     try:
         stored = spark.read.schema(CACHE_SCHEMA).parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         stored = spark.createDataFrame([], CACHE_SCHEMA)
+    stored = stored if version is None else stored.filter(F.col("tokenizer_digest") == version)
     return stored.groupBy("content_digest", "tokenizer_digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+def missing_texts(content: DataFrame, digests: DataFrame, stored: DataFrame) -> DataFrame | None:
+    """_key and _text of each distinct content (_key, _text) without a stored count; None if there is none."""
+    misses = cut(digests.join(stored.select(F.col("content_digest").alias("_key")), "_key", "left_anti"))
+    n = misses.count()
+    if not n:
+        return None
+    if n <= BROADCAST_MISSES:
+        return content.join(F.broadcast(misses), "_key", "left_semi").groupBy("_key").agg(F.first("_text").alias("_text"))
+    each = content.groupBy("_key").agg(F.first("_text").alias("_text"))
+    return each if n == digests.count() else each.join(misses, "_key", "left_semi")
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """Token counts of whole texts, one row per input row: id, n_bytes, n_tokens, over_limit, content_digest.
 
-    Null text counts as empty (no bytes, no tokens).  Repeated rows stay repeated, and equal texts get equal counts; a null id
-    is kept.  An empty table gives an empty result and leaves the cache as it is.
+    The cache is a table partitioned by tokenizer digest, so other tokenizers' counts are not read.  Null text counts as empty (no
+    bytes, no tokens).  Repeated rows stay repeated, and equal texts get equal counts; a null id is kept.  An empty table gives an empty
+    result and leaves the cache as it is.  A very long text is encoded whole, in one task.
     """
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer)
-    content = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).withColumn("_key", F.sha2("_text", 256))
-    stored = read_cache(spark, cache_path).filter(F.col("tokenizer_digest") == version)
-    missing = content.select("_key", "_text").join(stored.select(F.col("content_digest").alias("_key")), "_key", "left_anti").groupBy("_key").agg(F.first("_text").alias("_text"))
-    missing.mapInArrow(_encode(tokenizer, version), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    counts = read_cache(spark, cache_path).filter(F.col("tokenizer_digest") == version).select(F.col("content_digest").alias("_key"), "n_tokens")
-    sized = content.select("_id", "_key", F.octet_length("_text").cast("long").alias("n_bytes"))
-    return sized.join(counts, "_key", "left").select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.col("_key").alias("content_digest"))
+    content = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).withColumn("_key", F.unhex(F.sha2("_text", 256)))
+    sized = cut(content.select("_id", "_key", F.octet_length("_text").cast("long").alias("n_bytes")))
+    digests = cut(sized.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows")))
+    missing = missing_texts(content.select("_key", "_text"), digests.select("_key"), read_cache(spark, cache_path, version))
+    if missing is not None:
+        missing.mapInArrow(_encode(tokenizer, version), CACHE_SCHEMA).write.mode("append").partitionBy("tokenizer_digest").parquet(cache_path)
+    counts = read_cache(spark, cache_path, version).select(F.col("content_digest").alias("_key"), "n_tokens")
+    known = join_hot(sized, counts.join(digests, "_key"), ["_key"], "_rows", sized.count())
+    return known.select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.lower(F.hex("_key")).alias("content_digest"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,13 @@ def test_simhash_repeated_rows(spark):
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "a b c d e f"), (2, "other words here now"), (2, "q r s t u v w")]
 
 
+def test_simhash_ties_do_not_depend_on_partitions(spark):
+    data = [(1, "a b c d e f", x, {"k": x}) for x in "pqrstu"]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, extra map<string,string>")
+    kept = [simhash.drop_near_duplicates(d).collect() for d in (docs.repartition(4), docs.coalesce(1), docs.repartition(2, "source"))]
+    assert len(kept[0]) == 1 and kept[0] == kept[1] == kept[2]
+
+
 def test_simhash_links_in_crowded_cells(spark):
     """A crowded cell, dealt out in chunks, gives the same components as one compared whole; chains link through neighbours."""
     rng = random.Random(5)
@@ -131,6 +138,8 @@ def test_pii(docs, rows, none):
     found = {r.doc_id: r for r in pii.find_private(docs).collect()}
     for i, t in rows:
         assert [(s.start, s.kind, s.end) for s in found[i].spans if s.kind < 4] == brute.private(t or ""), t
+    digest = {r.doc_id: r.d for r in pii.find_private(docs).select("doc_id", F.sha2(pii.spelled(F.filter("spans", lambda s: s["kind"] < 4)), 256).alias("d")).collect()}
+    assert all(digest[i] == brute.sha(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in brute.private(t or ""))) for i, t in rows)
     clean = pii.sanitise(docs)
     assert clean.columns == docs.columns
     after = {r.doc_id: r.text for r in clean.collect()}
@@ -156,8 +165,10 @@ def test_pii_terms_that_disclose(spark):
 
 def test_secrets(docs, rows, none):
     found = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
+    digest = {r.doc_id: r.d for r in secrets.find_secrets(docs).select("doc_id", F.sha2(secrets.spelled(F.filter("spans", lambda s: s["kind"] < 3)), 256).alias("d")).collect()}
     for i, t in rows:
         assert [(s.start, s.kind, s.end) for s in found[i].spans if s.kind < 3] == brute.secrets(t or ""), t
+        assert digest[i] == brute.sha(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in brute.secrets(t or "")))
     assert secrets.find_secrets(none).count() == 0
 
 
@@ -179,9 +190,31 @@ def test_token_counts(spark, docs, rows, none, tmp_path):
         assert got(out, "doc_id", "n_bytes", "n_tokens") == want
     stored = spark.read.parquet(cache)
     assert stored.count() == len({t or "" for _, t in rows})
+    for r in out.collect():
+        assert r.over_limit == (r.n_tokens > 1024) and r.content_digest == brute.sha(rows[r.doc_id][1] or "")
     assert token_counts.count_tokens(none, "byte_bpe_50k.json", cache).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_only_missing_texts_are_encoded(spark, docs, rows, tmp_path, monkeypatch, broadcast):
+    """A warm cache: misses alone are appended, a stored count is used as it is, and hits' texts stay where they are."""
+    monkeypatch.setattr(token_counts, "BROADCAST_MISSES", broadcast)
+    cache = str(tmp_path / "cache")
+    first = {t or "" for i, t in rows if i % 2}
+    token_counts.count_tokens(docs.filter("doc_id % 2 = 1"), "byte_bpe_50k.json", cache).collect()
+    assert spark.read.parquet(cache).count() == len(first)
+    version = token_counts.tokenizer_digest("byte_bpe_50k.json")
+    content = docs.select(F.col("text").alias("_text")).withColumn("_key", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    plan = token_counts.missing_texts(content, content.select("_key").distinct(), token_counts.read_cache(spark, cache, version))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    if broadcast:
+        assert text.index("BroadcastHashJoin") > text.index("Exchange hashpartitioning(_key")  # the join is below the only shuffle of texts
+    assert plan.count() == len({t or "" for _, t in rows} - first)
+    out = token_counts.count_tokens(docs, "byte_bpe_50k.json", cache)
+    assert out.filter("n_tokens IS NULL").count() == 0 and out.count() == len(rows)
+    assert spark.read.parquet(cache).count() == len({t or "" for _, t in rows})
+
+
 def test_token_counts_of_random_text():
     from tokenizers import Tokenizer
 
