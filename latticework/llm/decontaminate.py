@@ -3,28 +3,37 @@
 Each task cuts its documents into shards of bounded size and builds a word-level suffix array per shard.  Only suffixes that
 can begin a match are sorted: a word that no benchmark item holds can't be part of one, so stretches of known words shorter than
 the shortest window are left out, which changes no result.  Every benchmark suffix is then binary-searched; ranges of equal
-prefixes give all places of its window, and neighbouring windows join to the longest verbatim matches.  The job is one map over
-the documents without a shuffle.  Benchmark items travel to the tasks in blocks of bounded size, however many there are.
+prefixes give all places of its window, and neighbouring windows join to the longest verbatim matches.  Equal windows of different items
+are searched once.
+
+Benchmark items travel to the tasks in blocks of bounded size, and a worker builds each block's index once.  As long as they fit one
+batch of blocks, the job is one map over the documents without a shuffle; a larger benchmark takes a map per batch, so that what is
+broadcast at a time stays bounded, and only the matches are shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .common import table
+from .common import cut, table
 
-#: Bytes of item texts in one broadcast block.
-BLOCK_BYTES = 16 << 20
+#: Bytes of item texts in one broadcast block, and blocks that are broadcast at a time.
+BLOCK_BYTES = 8 << 20
+BATCH_BLOCKS = 4
 SHARD_BYTES = 4 << 20
+#: Pairs of an item's window and a place that are listed at a time, but for one document's.
+PAIRS = 1 << 20
 
 MATCH = "array<struct<item_id:string,item_word:long,doc_word:long,length:long>>"
 
@@ -52,6 +61,15 @@ class ItemIndex:
         self.suffix, self.item, self.need, self.left = at[starts], item[starts], length[starts], left[starts]
         self.offset = self.suffix - bounds[self.item]
         self.shortest = int(self.need.min(initial=window))
+        # Equal windows are a class: its first suffix is searched for all of them.
+        name = np.zeros(len(self.suffix), np.uint64)
+        for k in np.unique(self.need).tolist():
+            of = self.need == k
+            name[of] = tx.mix(tx.gram_hashes(hashes, k)[self.suffix[of]] ^ np.uint64(k))
+        _, self.first, self.cls = np.unique(name, return_index=True, return_inverse=True)
+        self.by_class = np.argsort(self.cls, kind="stable")
+        self.size = np.bincount(self.cls, minlength=len(self.first))
+        self.begin = np.cumsum(self.size) - self.size
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Word numbers of hashes, 0 for words of no item."""
@@ -103,9 +121,9 @@ def search(sequence: np.ndarray, array: np.ndarray, query: np.ndarray, q: np.nda
     return found[0], found[1]
 
 
-def shard_matches(numbers: np.ndarray, bounds: np.ndarray, index: ItemIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Longest verbatim matches of one shard: item, item word, shard word, length; every match spans a window at least."""
-    none = (np.zeros(0, np.int64),) * 4
+def shard_places(numbers: np.ndarray, bounds: np.ndarray, index: ItemIndex) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of item windows and the words of the shard where they begin, in order of place."""
+    none = (np.zeros(0, np.int64),) * 2
     known = numbers > 0
     n = len(known)
     if not n or not len(index.suffix):
@@ -124,13 +142,21 @@ def shard_matches(numbers: np.ndarray, bounds: np.ndarray, index: ItemIndex) ->
     sequence = numbers[np.minimum(places, n - 1)]
     sequence[ends] = 0
     array = suffix_array(sequence, index.longest)
-    low, high = search(sequence, array, index.sequence, index.suffix, index.need)
+    low, high = search(sequence, array, index.sequence, index.suffix[index.first], index.need[index.first])
     count = high - low
-    hit = np.repeat(np.arange(len(count)), count)
+    cls = np.repeat(np.arange(len(count)), count)
     place = places[array[tx.ranges(low, count)]]
-    if not len(hit):
-        return none
-    item, word, need = index.item[hit], index.offset[hit], index.need[hit]
+    order = np.argsort(place, kind="stable")
+    return cls[order], place[order]
+
+
+def longest_matches(cls: np.ndarray, place: np.ndarray, index: ItemIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Longest verbatim matches: item, item word, shard word, length; every match spans a window at least."""
+    if not len(cls):
+        return (np.zeros(0, np.int64),) * 4
+    size = index.size[cls]
+    hit = index.by_class[tx.ranges(index.begin[cls], size)]
+    item, word, need, place = index.item[hit], index.offset[hit], index.need[hit], np.repeat(place, size)
     order = np.lexsort((place, place - word, item))
     item, word, need, place = item[order], word[order], need[order], place[order]
     fresh = np.ones(len(item), bool)
@@ -147,28 +173,43 @@ def _shards(texts: pa.Array) -> Iterator[tuple[tx.Piece, tx.Words, np.ndarray]]:
         yield piece, w, tx.word_hashes(piece.data, w)
 
 
-_LATEST: list = []
+_INDEXES: dict[tuple[str, int], ItemIndex] = {}
 
 
-def _index(block, window: int) -> ItemIndex:
-    """The block's index; a worker keeps the latest."""
-    value = block.value
-    if not (_LATEST and _LATEST[0] is value and _LATEST[1] == window):
-        _LATEST[:] = [value, window, ItemIndex(*value, window)]
-    return _LATEST[2]
+def _indexes(blocks: list, window: int) -> list[ItemIndex]:
+    """The indexes of a batch of blocks; a worker builds each once and keeps those of the latest batch."""
+    wanted = [(name, window) for name, _ in blocks]
+    for key in [k for k in _INDEXES if k not in wanted]:
+        del _INDEXES[key]
+    for key, (_, block) in zip(wanted, blocks, strict=True):
+        if key not in _INDEXES:
+            _INDEXES[key] = ItemIndex(*block.value, window)
+    return [_INDEXES[k] for k in wanted]
 
 
 def _scan(blocks: list, window: int, texts: pa.Array) -> Iterator[tuple[int, int, list[list[tuple]], np.ndarray]]:
-    """Per text of each shard: words and matches."""
+    """Words and matches per text, for some texts of a shard at a time."""
+    indexes = _indexes(blocks, window)
     for piece, w, hashes in _shards(texts):
-        found: list[list[tuple]] = [[] for _ in range(piece.last - piece.first)]
-        for block in blocks:
-            index = _index(block, window)
-            item, word, place, length = shard_matches(index.numbers(hashes), w.bounds, index)
+        n = piece.last - piece.first
+        pairs, seen = np.zeros(n, np.int64), []
+        for index in indexes:
+            cls, place = shard_places(index.numbers(hashes), w.bounds, index)
             doc = np.searchsorted(w.bounds, place, side="right") - 1
-            for d, i, iw, p, k in zip(doc.tolist(), item.tolist(), word.tolist(), (place - w.bounds[doc]).tolist(), length.tolist(), strict=True):
-                found[d].append((index.ids[i], iw, p, k))
-        yield piece.first, piece.last, found, w.counts()
+            pairs += np.bincount(doc, index.size[cls], minlength=n).astype(np.int64)
+            seen.append((index, cls, place, doc))
+        upto, a, counts = np.cumsum(pairs), 0, w.counts()
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, side="right")))
+            found: list[list[tuple]] = [[] for _ in range(b - a)]
+            for index, cls, place, doc in seen:
+                of = slice(*np.searchsorted(doc, [a, b]))
+                item, word, at, length = longest_matches(cls[of], place[of], index)
+                own = np.searchsorted(w.bounds, at, side="right") - 1
+                for d, i, iw, p, k in zip((own - a).tolist(), item.tolist(), word.tolist(), (at - w.bounds[own]).tolist(), length.tolist(), strict=True):
+                    found[d].append((index.ids[i], iw, p, k))
+            yield piece.first + a, piece.first + b, found, counts[a:b]
+            a = b
 
 
 def _hits(matches: list[tuple]) -> int:
@@ -187,6 +228,7 @@ def _report(blocks: list, window: int) -> Callable[[Iterator[pa.RecordBatch]], I
                 items = [sorted({m[0] for m in x}) for x in found]
                 yield pa.RecordBatch.from_pydict({
                     "id": batch.column(0).slice(first, last - first),
+                    "text_hash": batch.column(2).slice(first, last - first),
                     "n_words": pa.array(n_words, pa.int64()),
                     "n_hit": pa.array([_hits(x) for x in found], pa.int64()),
                     "items": pa.array(items, pa.list_(pa.string())),
@@ -205,38 +247,64 @@ def _remove(blocks: list, window: int, at: int) -> Callable[[Iterator[pa.RecordB
     return run
 
 
-def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> list:
-    """The items as broadcasts of at most about ``block_bytes`` of text each; the driver holds one block at a time."""
+def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list]:
+    """Batches of named broadcasts of at most about ``block_bytes`` of text each, BATCH_BLOCKS a batch; the driver holds one block at a time."""
     spark = items.sparkSession
     own = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"), F.col(text_col).cast("string").alias("text"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / block_bytes))
-    blocks = []
-    for b in range(n):
-        part = own if n == 1 else own.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b)
-        rows = part.orderBy("id", "text").collect()
-        blocks.append(spark.sparkContext.broadcast(([r["id"] for r in rows], [r["text"] for r in rows])))
-    return blocks
+    n, name = max(1, math.ceil(total / block_bytes)), uuid.uuid4().hex
+    for first in range(0, n, BATCH_BLOCKS):
+        batch = []
+        for b in range(first, min(n, first + BATCH_BLOCKS)):
+            part = own if n == 1 else own.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b)
+            rows = part.orderBy("id", "text").collect()
+            batch.append((f"{name}-{b}", spark.sparkContext.broadcast(([r["id"] for r in rows], [r["text"] for r in rows]))))
+        yield batch
+
+
+def covered_words(matches: Column) -> Column:
+    """Words of a document inside any match."""
+    spans = F.array_sort(F.transform(matches, lambda m: F.struct(m["doc_word"].alias("a"), (m["doc_word"] + m["length"]).alias("b"))))
+    zero = F.lit(0).cast("long")
+    state = F.struct(zero.alias("n"), zero.alias("end"))
+    return F.aggregate(spans, state, lambda s, x: F.struct((s["n"] + F.greatest(x["b"] - F.greatest(x["a"], s["end"]), zero)).alias("n"), F.greatest(s["end"], x["b"]).alias("end")), lambda s: s["n"])
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Verbatim benchmark matches of every document: id, n_words, n_hit, items (ids as strings) and matches.
+    """Verbatim benchmark matches of every document: id, text_hash, n_words, n_hit, items (ids as strings) and matches.
 
     A match is a longest verbatim stretch that holds a window: ``window`` consecutive words of an item, or a whole shorter item.
     Null texts have no words; items without words match nothing; a null item id is listed as "null"; repeated rows are judged
-    alike, and repeated items count once in items.  An empty table on either side gives no rows or no matches.
+    alike, and repeated items count once in items.  An empty table on either side gives no rows or no matches.  A very long text is a
+    shard of its own, read whole.
     """
-    blocks = item_blocks(items, item_id_col, item_text_col, block_bytes)
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
     schema = T.StructType([T.StructField("id", own.schema["id"].dataType)])
-    for name, kind in (("n_words", "long"), ("n_hit", "long"), ("items", "array<string>"), ("matches", MATCH)):
+    for name, kind in (("text_hash", "long"), ("n_words", "long"), ("n_hit", "long"), ("items", "array<string>"), ("matches", MATCH)):
         schema.add(name, T.DataType.fromDDL(kind))
-    return own.mapInArrow(_report(blocks, window), schema).withColumnRenamed("id", id_col)
-
-
-def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, that hold no window of any item."""
-    return docs.mapInArrow(_remove(item_blocks(items, item_id_col, item_text_col), window, docs.columns.index(text_col)), docs.schema)
+    batches = item_blocks(items, item_id_col, item_text_col, block_bytes)
+    out = own.mapInArrow(_report(next(batches), window), schema)
+    more = [cut(own.mapInArrow(_report(batch, window), schema).filter("n_hit > 0").dropDuplicates(["id", "text_hash"])) for batch in batches]
+    if more:
+        extra = reduce(DataFrame.unionByName, more).groupBy("id", "text_hash").agg(F.flatten(F.collect_list("items")).alias("i"), F.flatten(F.collect_list("matches")).alias("m"))
+        extra = extra.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "i", "m")
+        out = out.join(extra, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
+        both = F.concat("matches", F.coalesce("m", F.slice("matches", 1, 0)))
+        out = out.select("id", "text_hash", "n_words", F.array_sort(F.array_union("items", F.coalesce("i", F.slice("items", 1, 0)))).alias("items"), both.alias("matches")).withColumn("n_hit", covered_words(F.col("matches")))
+    return out.select(F.col("id").alias(id_col), "text_hash", "n_words", "n_hit", "items", "matches")
+
+
+def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, with all their columns, that hold no window of any item.
+
+    Null and empty texts stay; repeated rows are judged alike; an empty table on either side leaves docs as they are; texts are read
+    whole, however long, and no column of docs is renamed or read but the text.
+    """
+    batches = item_blocks(items, item_id_col, item_text_col, block_bytes)
+    at, out = docs.columns.index(text_col), docs
+    for k, batch in enumerate(batches):
+        out = (cut(out) if k else out).mapInArrow(_remove(batch, window, at), docs.schema)
+    return out
 
 
 def items_digest(ids: list[str]) -> str:
