@@ -1,9 +1,9 @@
 """Language identification with error-correcting output codes.
 
 Each language has a binary codeword; for each bit a binary classifier over hashed character n-grams predicts it.  The classifiers
-are log-odds of n-gram counts gathered over all training texts (one Spark aggregation; what returns to the driver has one vector
-per language, whatever the corpus' size).  A second pass measures how often each bit is right for each language; these rates weight
-the decoding: the language whose codeword loses least against the weighted margins wins, and a small lead over the runner-up flags
+are log-odds of n-gram counts gathered over all training texts (one Spark aggregation; what returns to the driver has two vectors
+per language, whatever the corpus' size).  A second pass measures how often each bit is right for each language, on each half of the
+texts by classifiers fitted on the other half; these rates weight the decoding: the language whose codeword loses least against the weighted margins wins, and a small lead over the runner-up flags
 the text as ambiguous.  Both passes and the prediction read whole texts.
 """
 
@@ -25,7 +25,7 @@ BUCKETS = 1 << BITS
 #: Lengths of character n-grams.
 GRAMS = (1, 2, 3, 4)
 PIECE_CHARS = 1 << 20
-#: Languages a model may have; its vectors then take 64 MB on the driver.
+#: Languages a model may have; their vectors then take 64 MB on the driver.
 MAX_LANGUAGES = 500
 
 
@@ -100,28 +100,36 @@ def _chunks(column: pa.Array, rows: int = 128) -> Iterator[tuple[int, np.ndarray
             yield first + a, counts, letters
 
 
+_PARTS = "lang string, half long, total binary"
+
+
+def _as_parts(total: dict[tuple[str, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if total:
+        langs, halves = zip(*total, strict=True)
+        yield pa.RecordBatch.from_pydict({"lang": pa.array(langs), "half": pa.array(halves, pa.int64()), "total": pa.array([v.tobytes() for v in total.values()], pa.binary())})
+
+
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per language of a partition, summed shares of n-grams (each text weighs as the root of its length)."""
-    total: dict[str, np.ndarray] = {}
+    """Per language and half of a partition, summed shares of n-grams (each text weighs as the root of its length)."""
+    total: dict[tuple[str, int], np.ndarray] = {}
     for batch in batches:
-        langs = np.array(batch.column(1).to_pylist(), dtype=object)
+        names, number = np.unique([f"{h}{x}" for x, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)], return_inverse=True)
         for first, counts, _ in _chunks(batch.column(0)):
             size = counts.sum(axis=1, keepdims=True)
             counts = counts / np.sqrt(np.maximum(size, 1))
-            own = langs[first : first + len(counts)]
-            for lang in set(own):
-                total[lang] = total.get(lang, 0) + counts[own == lang].sum(axis=0, dtype=np.float64)
-    if total:
-        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(total)), "total": pa.array([v.tobytes() for v in total.values()], pa.binary())})
+            own = number[first : first + len(counts)]
+            for k in np.unique(own).tolist():
+                key = (str(names[k][1:]), int(names[k][0]))
+                total[key] = total.get(key, 0) + counts[own == k].sum(axis=0, dtype=np.float64)
+    yield from _as_parts(total)
 
 
 def _sum_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[str, np.ndarray] = {}
+    total: dict[tuple[str, int], np.ndarray] = {}
     for batch in batches:
-        for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            total[lang] = total.get(lang, 0) + np.frombuffer(raw, np.float64)
-    if total:
-        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(total)), "total": pa.array([v.tobytes() for v in total.values()], pa.binary())})
+        for lang, half, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            total[lang, half] = total.get((lang, half), 0) + np.frombuffer(raw, np.float64)
+    yield from _as_parts(total)
 
 
 class Model:
@@ -158,16 +166,19 @@ class Model:
 
 def _rates(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        right, seen = np.zeros(model.code.shape), np.zeros(len(model.langs))
-        number = {x: i for i, x in enumerate(model.langs)}
+        models: list[Model] = shared.value  # the h-th was fitted without half h
+        code, langs = models[0].code, models[0].langs
+        right, seen = np.zeros(code.shape), np.zeros(len(langs))
+        number = {x: i for i, x in enumerate(langs)}
         for batch in batches:
             lang = np.array([number[x] for x in batch.column(1).to_pylist()], np.int64)
+            half = batch.column(2).to_numpy()
             for first, counts, letters in _chunks(batch.column(0)):
-                own = lang[first : first + len(counts)]
-                ok = ((model.margins(counts) > 0) == (model.code[own] == 1)) & (letters > 0)[:, None]
-                np.add.at(right, own, ok)
-                seen += np.bincount(own, letters > 0, len(model.langs))
+                for h, model in enumerate(models):
+                    of = np.flatnonzero((half[first : first + len(counts)] == h) & (letters > 0))
+                    own = lang[first + of]
+                    np.add.at(right, own, (model.margins(counts[of]) > 0) == (code[own] == 1))
+                    seen += np.bincount(own, minlength=len(langs))
         at = np.argwhere(np.ones_like(right, bool))
         yield pa.RecordBatch.from_pydict({"l": at[:, 0], "b": at[:, 1], "right": right.ravel(), "seen": seen[at[:, 0]]})
 
@@ -175,17 +186,21 @@ def _rates(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
 
 
 def fit_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fits on all rows of docs that have a language and a text.  More than MAX_LANGUAGES languages are an error."""
-    own = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
+    """Fits on all rows of docs that have a language and a text.  More than MAX_LANGUAGES languages are an error.
+
+    Texts are dealt to two halves by their hash, so copies are on one side.  Without rows the model has no language.
+    """
+    text = F.col(text_col).cast("string")
+    own = docs.select(text.alias("text"), F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(text), F.lit(2)).cast("long").alias("half")).filter("text IS NOT NULL AND lang IS NOT NULL")
     langs = sorted(r["lang"] for r in own.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    schema = "lang string, total binary"
-    parts = own.mapInArrow(_totals, schema).repartition(16, "lang", F.pmod(F.spark_partition_id(), F.lit(64))).mapInArrow(_sum_vectors, schema)
-    got = {r["lang"]: np.frombuffer(r["total"], np.float64) for r in parts.repartition(max(1, min(len(langs), 64)), "lang").mapInArrow(_sum_vectors, schema).collect()}
-    model = Model(langs, np.stack([got[x] for x in langs]) if langs else np.zeros((0, BUCKETS)))
+    parts = own.mapInArrow(_totals, _PARTS).repartition(16, "lang", F.pmod(F.spark_partition_id(), F.lit(64))).mapInArrow(_sum_vectors, _PARTS)
+    got = {(r["lang"], r["half"]): np.frombuffer(r["total"], np.float64) for r in parts.repartition(max(1, min(len(langs), 64)), "lang").mapInArrow(_sum_vectors, _PARTS).collect()}
+    halves = [np.stack([got.get((x, h), np.zeros(BUCKETS)) for x in langs]) if langs else np.zeros((0, BUCKETS)) for h in (0, 1)]
+    model = Model(langs, halves[0] + halves[1])
     if model.code.shape[1]:
-        shared = docs.sparkSession.sparkContext.broadcast(model)
+        shared = docs.sparkSession.sparkContext.broadcast([Model(langs, halves[1]), Model(langs, halves[0])])
         rates = own.mapInArrow(_rates(shared), "l long, b long, right double, seen double").groupBy("l", "b").agg(F.sum("right").alias("right"), F.sum("seen").alias("seen")).collect()
         for r in rates:
             # A bit that is right no more often than chance counts next to nothing.
@@ -211,7 +226,7 @@ def identify_language(docs: DataFrame, model: Model, ambiguous_below: float = 0.
     """id, lang_pred, score (0 to 1) and ambiguous (the lead over the second language is under ``ambiguous_below``).
 
     Null texts and texts without a letter are `und`, with score 0 and ambiguous.  A model without languages says `und` throughout.
-    Repeated rows are judged alike.
+    Repeated rows are judged alike; an empty table gives an empty result; a very long text is read whole, in pieces of its own.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
