@@ -53,6 +53,30 @@ TEMPLATES = {
         under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
     "gpl-notice": """This program is free software[[:]] you can redistribute it and/or modify it under the terms of the GNU General Public License
         as published by the Free Software Foundation[[,]] either version {{1}} of the License[[, or (at your option) any later version]]""",
+    "agpl-notice": """This program is free software[[:]] you can redistribute it and/or modify it under the terms of the GNU Affero General Public
+        License as published by the Free Software Foundation[[,]] either version {{1}} of the License[[, or (at your option) any later version]]""",
+    "lgpl-notice": """This [[library]][[program]] is free software[[;]] you can redistribute it and/or modify it under the terms of the GNU Lesser General
+        Public License as published by the Free Software Foundation[[;]] either version {{2}} of the License[[, or (at your option) any later
+        version]]""",
+    "mpl-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
+        with this file, You can obtain one at""",
+    "epl-2.0-notice": """This program and the accompanying materials are made available under the terms of the Eclipse Public License [[v. ]]2.0 which
+        [[accompanies this distribution, and ]]is available at""",
+    "bsl-1.0-text": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
+        documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to
+        prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the
+        following""",
+    "zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will {{8}} be held liable for any damages
+        arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+        applications, and to alter it and redistribute it freely, subject to the following restrictions: [[1.]] The origin of this software must
+        not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment
+        [[(see the following)]] in the product documentation would be appreciated but is not required. [[2.]] Altered source versions must be
+        plainly marked as such, and must not be misrepresented as being the original software. [[3.]] This notice may not be removed or altered
+        from any source distribution.""",
+    "unlicense-text": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+        sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and
+        by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+        interest in the software to the public domain.""",
     "gpl-version": "GNU [[Lesser ]][[Affero ]]General Public License[[,]] version {{2}}",
     "mit-short": "[[is ]]licensed under the MIT License",
     "mit-released": "Released under the MIT License",
@@ -251,7 +275,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, phra
     """Every row: id, n_words, n_base (places of phrases), first_word, last_word, base_labels, matches (label, first word, end) and score.
 
     The score is 1 where a template matches, 0.5 where only a phrase stands, else 0.  Null text counts as empty: no words, nulls for the
-    places, no labels.  Repeated rows are judged alike; an empty table gives an empty result.
+    places, no labels.  Repeated rows are judged alike; an empty table gives an empty result; a very long text is read whole, in a piece
+    of its own.
     """
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     schema = T.StructType([T.StructField("id", own.schema["id"].dataType)])

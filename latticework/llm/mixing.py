@@ -78,7 +78,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), m
 
     Size is the number of words (null text: 0).  A null source is a source of its own, last in order.  No document is taken more
     than ``max_epochs`` times its size.  Documents are shuffled by the MD5 of their id; repeated rows each have their own place.
-    A table without words takes nothing; an empty table gives an empty result.
+    A table without words takes nothing; an empty table gives an empty result.  Words of a very long text are counted in place and
+    spread over as many blocks as it fills.
     """
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key")))

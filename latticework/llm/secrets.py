@@ -114,7 +114,7 @@ def find_secrets(docs: DataFrame, reach: int = 200, id_col: str = "doc_id", text
     """id, text_hash and spans (start, kind number, end) of every row: the base spans and the linked weak candidates.
 
     Null text has no spans.  Repeated rows get the same spans; rows with a null id are told apart by their text.  An empty table gives
-    an empty result.
+    an empty result.  Texts are read whole; a part of any length is held in all interval bins that it covers.
     """
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     schema = T.StructType([T.StructField("id", own.schema["id"].dataType)])

@@ -49,17 +49,42 @@ def got(df, *columns):
 def test_decontaminate(spark, docs, rows, none):
     items = [(1, " ".join(rows[40][1].split()[:14])), (2, "Mit License"), (2, "mit license"), (3, None), (4, "..."), (None, rows[50][1]), (5, "not there at all ever")]
     table = spark.createDataFrame(items, "item_id long, text string")
-    for block in (1 << 20, 40):
+    for block in (1 << 20, 200, 40):  # one block, one batch of blocks, several batches
         found = decontaminate.find_contamination(docs, table, block_bytes=block)
         out = found.select("doc_id", "n_words", "n_hit", F.size("items").alias("n"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("s"))
         assert got(out, "doc_id", "n_words", "n_hit", "n", "s") == sorted(x[:5] for x in brute.contamination(rows, items))
     clean = {x[0] for x in brute.contamination(rows, items) if not x[5]}
-    kept = decontaminate.remove_contaminated(docs, table)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == clean
+    for block in (1 << 20, 40):
+        kept = decontaminate.remove_contaminated(docs, table, block_bytes=block)
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == clean
     assert decontaminate.find_contamination(none, table).count() == 0
     assert decontaminate.find_contamination(docs, table.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_a_worker_builds_each_index_once(monkeypatch):
+    """Three blocks over five shards; pairs are listed in slices, and equal windows of many items once a place."""
+    import pyarrow as pa
+
+    class Held:
+        def __init__(self, value):
+            self.value = value
+
+    passage = " ".join(f"p{i}" for i in range(25))
+    blocks = [(f"b{k}", Held(([f"i{k}-{j}" for j in range(20)], [f"own{j} {passage} z{j}" for j in range(20)]))) for k in range(3)]
+    texts_ = [f"{passage} tail{i}" if i % 3 else "nothing known here" for i in range(50)]
+    built = []
+    whole = decontaminate.ItemIndex
+    monkeypatch.setattr(decontaminate, "ItemIndex", lambda *x: built.append(1) or whole(*x))
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 1200)
+    monkeypatch.setattr(decontaminate, "PAIRS", 1000)
+    monkeypatch.setattr(decontaminate, "_INDEXES", {})
+    for _ in range(2):
+        found = [m for _, _, x, _ in decontaminate._scan(blocks, 10, pa.array(texts_)) for m in x]
+    assert len(built) == 3 and len(found) == 50
+    for i, m in enumerate(found):
+        assert sorted(m) == (sorted((f"i{k}-{j}", 1, 0, 25) for k in range(3) for j in range(20)) if i % 3 else [])
+
+
 def test_longest_matches(spark):
     item = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(1, "x x " + " ".join(f"w{i}" for i in range(5, 27)) + " y")], "doc_id long, text string")
