@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranking
+
 
 def nearest(pairs: DataFrame, origins: DataFrame, key: str, target: str, max_distance: float) -> DataFrame:
     """Nearest target of each origin (of equals the smallest id) among pairs with distances; null beyond ``max_distance``."""
@@ -39,8 +41,10 @@ def two_step_catchment(pairs: DataFrame, origins: DataFrame, costs: list[float],
 
 def threshold_summary(access: DataFrame) -> DataFrame:
     """Per cost: origins, those with access, exact median, 95th percentile, maximum, and the population share with access."""
-    pos = F.col("access") > 0
-    return access.groupBy("cost").agg(
-        F.count(F.lit(1)).alias("origins"), F.sum(pos.cast("long")).alias("positive"), F.percentile("access", F.lit(0.5)).alias("median"), F.percentile("access", F.lit(0.95)).alias("p95"), F.max("access").alias("max"),
+    pos = F.coalesce(F.col("access") > 0, F.lit(False))
+    sums = access.groupBy("cost").agg(
+        F.count(F.lit(1)).alias("origins"), F.sum(pos.cast("long")).alias("positive"), F.max("access").alias("max"),
         (F.sum(F.when(pos, F.col("population")).otherwise(0.0)) / F.sum("population")).alias("population_share"),
     )
+    found = ranking.quantiles(access, ["access"], ["cost"], [0.5, 0.95]).select("cost", F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"))
+    return ranking.join_group(sums, found, ["cost"]).select("cost", "origins", "positive", "median", "p95", "max", "population_share")

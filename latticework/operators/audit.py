@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from latticework.functions import scalar as S
 
+from .ranking import row_numbers
+
 
 def issue(df: DataFrame, key: str, field: str, severity: str, name: str, test: Column, value: Column) -> DataFrame:
     return df.filter(test).select(F.col(key).alias("id"), F.lit(field).alias("field"), F.lit(severity).alias("severity"), F.lit(name).alias("issue"), value.cast("string").alias("value"))
@@ -54,7 +56,6 @@ def priority(df: DataFrame, key: str, confidence: str, tests: list[tuple[str, fl
     score = reduce(lambda a, b: a + b, [F.when(F.coalesce(t, F.lit(False)), F.lit(float(p))).otherwise(F.lit(0.0)) for _, p, t in tests], doubt)
     reasons = F.array_join(F.array_compact(F.array(F.when(doubt >= 0.75, F.lit("low_confidence")), *[F.when(F.coalesce(t, F.lit(False)), F.lit(n)) for n, _, t in tests])), ";")
     out = df.select(key, confidence, score.alias("score"), reasons.alias("reasons"))
-    rank = F.row_number().over(Window.orderBy(F.col("score").desc(), F.col(confidence).asc_nulls_last(), key))
-    ranked = out.withColumn("rank", rank.cast("long"))
+    ranked = row_numbers(out, [F.col("score").desc(), F.col(confidence).asc_nulls_last(), F.col(key)], [], "rank").drop("rank_of")
     named = F.when(F.col("rank") <= breaks[0], "pass_1").when(F.col("rank") <= breaks[1], "pass_2").otherwise("pass_3")
     return ranked.withColumn("audit_pass", named)

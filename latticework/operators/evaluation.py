@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import wide_quantiles
+
 
 def confusion(pred: DataFrame, labels: list, keys: list[str]) -> DataFrame:
     """Counts of every (true, predicted) pair of the label list per key, zero where none."""
@@ -77,7 +79,7 @@ def majority_baseline(df: DataFrame, label: str, fold: str) -> DataFrame:
 
 def median_imputer(df: DataFrame, columns: list[str], fold: str, held: int) -> DataFrame:
     """Nulls replaced by the exact median of the other folds' rows."""
-    medians = df.filter(F.col(fold) != held).agg(*[F.percentile(c, F.lit(0.5)).alias(f"m_{c}") for c in columns])
+    medians = wide_quantiles(df.filter(F.col(fold) != held), columns, [], [0.5]).select(*[F.col(f"q_{c}")[0].alias(f"m_{c}") for c in columns])
     return df.crossJoin(F.broadcast(medians)).select(*[F.coalesce(F.col(c), F.col(f"m_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 

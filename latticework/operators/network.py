@@ -6,20 +6,12 @@ nothing gets shorter.  All sources advance together, distances beyond the cutoff
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.functions import scalar as S
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """checkpoint() into the folder in spark.checkpoint.dir; a temporary one only where none is set."""
-    context = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+from .ranking import cut as _cut
 
 
 def orientation(pieces: DataFrame, keys: list[str], bins: int = 12) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranking
+
 
 def modelling_population(df: DataFrame, label: str, confidence: str, labels: list, least_confidence: float = 0.6, least_rows: int = 100) -> DataFrame:
     """Rows with a label of the list and enough confidence, of labels that then have ``least_rows`` or more."""
@@ -37,8 +39,11 @@ def smallest_region(points: DataFrame, regions: DataFrame, key: str, size: int)
 
 def warning_scores(pred: DataFrame, keys: list[str]) -> DataFrame:
     """Mean, deviation and 95th percentile of the warning score 1 - probability, and the share of wrong labels."""
-    w = 1 - F.col("probability")
-    return pred.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(w).alias("mean"), F.stddev_samp(w).alias("sd"), F.percentile(w, F.lit(0.95)).alias("q95"), F.avg((F.col("true_label") != F.col("predicted_label")).cast("double")).alias("disagreement"))
+    own = pred.withColumn("_w", 1 - F.col("probability"))
+    wrong = (F.col("true_label") != F.col("predicted_label")).cast("double")
+    out = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_w").alias("mean"), F.stddev_samp("_w").alias("sd"), F.avg(wrong).alias("disagreement"))
+    high = ranking.quantiles(own, ["_w"], keys, [0.95]).select(*keys, F.col("q")[0].alias("q95"))
+    return ranking.join_group(out, high, keys).select(*keys, "n", "mean", "sd", "q95", "disagreement")
 
 
 def crosswalk(df: DataFrame, label: str, output: str, confidence: str) -> DataFrame:
@@ -94,6 +99,6 @@ def citations(texts: DataFrame, text: str, pattern: str, known: DataFrame, key:
 
 def scaled(df: DataFrame, value: str, group: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Value scaled between the group's percentiles and clipped to [0, 1]."""
-    q = df.groupBy(*group).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("q"))
+    q = ranking.quantiles(df, [value], group, [low, high]).select(*group, "q")
     at = F.try_divide(F.col(value) - F.col("q")[0], F.col("q")[1] - F.col("q")[0])
-    return df.join(q, group).withColumn("scaled", F.when(at.isNotNull(), F.least(F.greatest(at, F.lit(0.0)), F.lit(1.0)))).drop("q")
+    return ranking.join_group(df, q, group).withColumn("scaled", F.when(at.isNotNull(), F.least(F.greatest(at, F.lit(0.0)), F.lit(1.0)))).drop("q")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from latticework.functions import scalar as S
 
 from .network import components
+from .ranking import join_group, quantiles
 
 
 def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -28,8 +29,9 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
         F.sum("n").alias("rows"), F.sum(F.when(seen, F.col("n")).otherwise(0)).alias("non_null"), F.count("value").alias("unique_count"), F.max(F.when(seen, F.col("n"))).alias("top"),
         F.sum(F.when(F.col("number").isNotNull(), F.col("n")).otherwise(0)).alias("numeric"), F.sum(F.when(F.col("number") == 0, F.col("n")).otherwise(0)).alias("zeros"),
         F.min("number").alias("min"), F.max("number").alias("max"), (F.sum(F.col("number") * F.col("n")) / F.sum(F.when(F.col("number").isNotNull(), F.col("n")))).alias("mean"),
-        F.percentile("number", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)), F.col("n")).alias("q"),
     )
+    numbers = df.select(*[S.parse_number(F.col(c)).alias(c) for c in columns])
+    out = join_group(out, quantiles(numbers, columns, [], [0.05, 0.5, 0.95]).select("column", "q"), ["column"])
     share = F.when(F.col("non_null") > 0, F.col("top") / F.col("non_null"))
     return out.select(
         "column", S.column_family(F.col("column")).alias("family"), S.column_role(F.col("column")).alias("role"), "rows", "non_null", (F.col("rows") - F.col("non_null")).alias("missing"), "unique_count",

@@ -5,33 +5,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def average_rank(value: str, group: list[str]) -> Column:
-    """Rank from 1, ties sharing their mean."""
-    return F.rank().over(Window.partitionBy(*group).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*group, value)) - 1) / 2.0
+from . import ranking
 
 
 def rank_bins(df: DataFrame, value: str, order: str, bins: int, group: list[str] | None = None, name: str = "bin") -> DataFrame:
     """Equal-count bins 1..bins of the rank by value, then order; edges are linear quantiles of the ranks in double arithmetic."""
-    g = group or []
-    r = F.row_number().over(Window.partitionBy(*g).orderBy(value, order))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*g))
-    above = sum((r > 1 + (n - 1) * F.lit(k / bins * 100 / 100)).cast("int") for k in range(1, bins))
-    return df.withColumn(name, (above + 1).cast("long"))
+    ranked = ranking.row_numbers(df, [value, order], group or [], "_r")
+    above = sum((F.col("_r") > 1 + (F.col("_r_of") - 1) * F.lit(k / bins * 100 / 100)).cast("int") for k in range(1, bins))
+    return ranked.withColumn(name, (above + 1).cast("long")).drop("_r", "_r_of")
+
+
+def named_terciles(df: DataFrame, value: str, order: str, eligible: Column, names: tuple[str, ...] = ("low", "medium", "high"), name: str = "bin") -> DataFrame:
+    """Bins of equal count over the eligible rows with a value; all of them are unbinned where there are fewer distinct values than bins, other rows are edge."""
+    own = df.withColumn("_ok", eligible & F.col(value).isNotNull())
+    distinct = own.filter("_ok").agg(F.count_distinct(value).alias("_distinct"))
+    binned = rank_bins(own.filter("_ok"), value, order, len(names), name="_bin").crossJoin(F.broadcast(distinct))
+    label = F.when(F.col("_distinct") < len(names), "unbinned").otherwise(F.element_at(F.array(*[F.lit(x) for x in names]), F.col("_bin").cast("int")))
+    return binned.select(*df.columns, label.alias(name)).unionByName(own.filter(~F.coalesce(F.col("_ok"), F.lit(False))).select(*df.columns, F.lit("edge").alias(name)))
+
+
+def trend_bins(df: DataFrame, x: str, y: str, order: str, group: list[str], per_bin: int = 80, least: int = 30, most: int = 8) -> DataFrame:
+    """Per group and equal-count bin of x: n, median of x, quartiles of y.
+
+    A group has n // ``per_bin`` bins, 3 at least and ``most`` at most; groups under ``least`` rows or of fewer than four x are left out.
+    """
+    own = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    counts = ranking.value_counts(own, x, group).groupBy(*group).agg(F.max("total_n").alias("_n"), F.count(F.lit(1)).alias("_distinct"))
+    bins = counts.filter((F.col("_n") >= least) & (F.col("_distinct") >= 4)).select(*group, F.least(F.lit(most), F.greatest(F.lit(3), F.floor(F.col("_n") / per_bin))).cast("int").alias("_bins"))
+    ranked = ranking.row_numbers(own.select(*group, x, y, order), [x, order], group, "_r")
+    ranked = ranked.alias("l").join(F.broadcast(bins).alias("r"), ranking.same("l", "r", group)).select("l.*", "r._bins")
+    edge = F.filter(F.sequence(F.lit(1), F.col("_bins") - 1), lambda k: F.col("_r") > 1 + (F.col("_r_of") - 1) * (k / F.col("_bins")))
+    binned = ranked.withColumn("bin", (F.size(edge) + 1).cast("long"))
+    q = ranking.wide_quantiles(binned, [x, y], [*group, "bin"], [0.25, 0.5, 0.75])
+    n = binned.groupBy(*group, "bin").agg(F.count(F.lit(1)).alias("n"))
+    return ranking.join_group(n, q, [*group, "bin"]).select(*group, "bin", "n", F.col(f"q_{x}")[1].alias("x_median"), F.col(f"q_{y}")[0].alias("y_q25"), F.col(f"q_{y}")[1].alias("y_median"), F.col(f"q_{y}")[2].alias("y_q75"))
+
+
+def normal_tail(z: Column) -> Column:
+    """P(|Z| > z) of a standard normal, by a rational approximation of the error function good to 1.5e-7."""
+    x = F.abs(z) / F.sqrt(F.lit(2.0))
+    t = 1 / (1 + 0.3275911 * x)
+    # Coefficients of the approximation.
+    poly = F.lit(0.0)
+    for c in reversed((0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)):
+        poly = (poly + c) * t
+    return poly * F.exp(-x * x)
 
 
 def spearman(df: DataFrame, a: str, b: str, group: list[str]) -> DataFrame:
-    ranked = df.select(*group, average_rank(a, group).alias("ra"), average_rank(b, group).alias("rb"))
-    return ranked.groupBy(*group).agg(F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n"))
+    """Rank correlation per group, its t statistic, and a two-sided p-value in the normal approximation of t (n is large here)."""
+    ranked = ranking.average_ranks(ranking.average_ranks(df.select(*group, a, b), a, group, "ra"), b, group, "rb")
+    out = ranked.groupBy(*group).agg(F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n"))
+    t = F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("rho") * F.col("rho")))
+    return out.withColumn("t", t).withColumn("p_value", normal_tail(F.col("t")))
 
 
 def kruskal_wallis(df: DataFrame, value: str, group: str) -> DataFrame:
-    """H with tie correction and epsilon squared, from counts per value and group: ranks come from a running sum over distinct values."""
-    counts = df.groupBy(value, group).agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy(value).agg(F.sum("n").alias("t"))
-    upto = F.sum("t").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = totals.withColumn("rank", upto - (F.col("t") - 1) / 2.0)
-    ties = ranked.agg(F.sum("t").cast("double").alias("N"), F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"))
+    """H with tie correction and epsilon squared, from counts per value and group: ranks come from running sums over distinct values."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value, group).agg(F.count(F.lit(1)).alias("n"))
+    ranked = ranking.value_counts(df, value, []).select(value, F.col("n").alias("t"), "total_n", (F.col("before_n") + (F.col("n") + 1) / 2.0).alias("rank"))
+    ties = ranked.agg(F.max("total_n").cast("double").alias("N"), F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"))
     sums = counts.join(ranked, value).groupBy(group).agg(F.sum(F.col("n") * F.col("rank")).alias("r"), F.sum("n").alias("n"))
     agg = sums.agg(F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.count(F.lit(1)).alias("k")).crossJoin(ties)
     n = F.col("N")
@@ -40,12 +73,13 @@ def kruskal_wallis(df: DataFrame, value: str, group: str) -> DataFrame:
 
 
 def ks_two_sample(df: DataFrame, value: str, first: Column) -> DataFrame:
-    """Largest distance of the two empirical distributions; ``first`` tells the samples apart."""
-    counts = df.groupBy(value).agg(F.sum(first.cast("long")).alias("a"), F.sum((~first).cast("long")).alias("b"))
-    run = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    gap = F.abs(F.sum("a").over(run) / F.sum("a").over(whole) - F.sum("b").over(run) / F.sum("b").over(whole))
-    return counts.select(gap.alias("gap")).agg(F.max("gap").alias("d"))
+    """Largest distance of the two empirical distributions, and its p-value (Kolmogorov's series); ``first`` tells the samples apart."""
+    run = ranking.value_counts(df, value, [], {"a": F.sum(first.cast("long")), "b": F.sum((~first).cast("long"))})
+    share = {s: (F.col(f"before_{s}") + F.col(s)) / F.col(f"total_{s}") for s in "ab"}
+    d = run.agg(F.max(F.abs(share["a"] - share["b"])).alias("d"), F.max("total_a").alias("n_a"), F.max("total_b").alias("n_b"))
+    x = F.col("d") * F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b")))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * x * x))
+    return d.withColumn("p_value", F.when(x < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0))))
 
 
 def log_correlation_left_out(df: DataFrame, a: str, b: str, key: str) -> DataFrame:
@@ -69,17 +103,22 @@ def ols_line(df: DataFrame, x: str, y: str, group: list[str]) -> DataFrame:
 
 def box_stats(df: DataFrame, value: str, group: list[str]) -> DataFrame:
     """Quartiles, and whiskers at the fences, held inside the data's range."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*group).agg(q.alias("q"), F.min(value).alias("lo"), F.max(value).alias("hi"))
-    reach = (F.col("q")[2] - F.col("q")[0]) * 1.5
-    return out.select(*group, F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), F.greatest("lo", F.col("q")[0] - reach).alias("low_whisker"), F.least("hi", F.col("q")[2] + reach).alias("high_whisker"))
+    found = ranking.quantiles(df, [value], group, [0.0, 0.25, 0.5, 0.75, 1.0])
+    q = F.col("q")
+    reach = (q[3] - q[1]) * 1.5
+    return found.select(*group, q[1].alias("q25"), q[2].alias("median"), q[3].alias("q75"), F.greatest(q[0], q[1] - reach).alias("low_whisker"), F.least(q[4], q[3] + reach).alias("high_whisker"))
 
 
 def ecdf(df: DataFrame, value: str, group: list[str]) -> DataFrame:
     """Distinct values of each group with the share of rows at or below."""
-    counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    run = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(*group, value, (F.sum("n").over(run) / F.sum("n").over(Window.partitionBy(*group))).alias("ecdf"))
+    return ranking.value_counts(df, value, group).select(*group, value, ((F.col("before_n") + F.col("n")) / F.col("total_n")).alias("ecdf"))
+
+
+def access_tiers(df: DataFrame, value: str) -> DataFrame:
+    """df with tier: none at 0 or below, low up to the median of the positive values, else high."""
+    positive = ranking.quantiles(df.filter(F.col(value) > 0), [value], [], [0.5]).select(F.col("q")[0].alias("_median"))
+    whole = df.crossJoin(F.broadcast(positive)) if not positive.isEmpty() else df.withColumn("_median", F.lit(None).cast("double"))
+    return whole.withColumn("tier", F.when(F.col(value) <= 0, "none").when(F.col(value) <= F.col("_median"), "low").when(F.col(value).isNotNull(), "high")).drop("_median")
 
 
 def kernel_density(df: DataFrame, value: str, group: list[str], low: float, high: float, points: int, width: float) -> DataFrame:
@@ -91,7 +130,14 @@ def kernel_density(df: DataFrame, value: str, group: list[str], low: float, high
     return spread.groupBy(*group, "at").agg((F.sum(F.exp(-z * z / 2)) / (F.count(F.lit(1)) * width * F.sqrt(2 * F.pi()))).alias("density"))
 
 
+def class_profile(df: DataFrame, columns: list[str], group: list[str]) -> DataFrame:
+    """Per group and column: n, median, quartiles, and the median's distance from the whole table's mean in its sample deviations."""
+    found = ranking.quantiles(df, columns, group, [0.25, 0.5, 0.75])
+    whole = ranking.long_form(df, columns, []).groupBy("column").agg(F.avg("value").alias("_mean"), F.stddev_samp("value").alias("_sd"))
+    q = F.col("q")
+    return found.join(F.broadcast(whole), "column").select(*group, "column", "n", q[1].alias("median"), q[0].alias("q25"), q[2].alias("q75"), F.try_divide(q[1] - F.col("_mean"), F.col("_sd")).alias("standardized_median"))
+
+
 def log_bin_profile(df: DataFrame, value: str, group: list[str], quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
-    q = F.percentile(value, F.array(*[F.lit(x) for x in quantiles]))
-    out = df.groupBy(*group).agg(F.count(value).alias("n"), q.alias("q"))
-    return out.select(*group, "n", *[F.col("q")[k].alias(f"q{round(100 * x)}") for k, x in enumerate(quantiles)])
+    found = ranking.quantiles(df, [value], group, list(quantiles))
+    return found.select(*group, "n", *[F.col("q")[k].alias(f"q{round(100 * x)}") for k, x in enumerate(quantiles)])

@@ -98,7 +98,7 @@ def capped_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.capped_sample(table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 6).alias("kind")), "kind", "p_partkey", 20)
 
 
-@query(r"""WITH c AS (SELECT unnest(regexp_extract_all(text, '([a-z]+)\.', 1)) AS word FROM documents WHERE doc_id < 1000000), n AS (SELECT word, count(*) AS n FROM c GROUP BY 1), k AS (SELECT DISTINCT unnest(regexp_extract_all(text, '([a-z]+)\.', 1)) AS word FROM benchmark) SELECT n.word, n, CASE WHEN k.word IS NULL THEN 0 ELSE 1 END AS known FROM n LEFT JOIN k ON k.word = n.word""")
+@query(r"""WITH c AS (SELECT unnest(regexp_extract_all(text, '([a-z]+)\.', 1)) AS word FROM documents), n AS (SELECT word, count(*) AS n FROM c GROUP BY 1), k AS (SELECT DISTINCT unnest(regexp_extract_all(text, '([a-z]+)\.', 1)) AS word FROM benchmark) SELECT n.word, n, CASE WHEN k.word IS NULL THEN 0 ELSE 1 END AS known FROM n LEFT JOIN k ON k.word = n.word""")
 def cited_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     pattern = r"([a-z]+)\."
     known = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("word"))

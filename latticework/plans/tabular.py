@@ -119,7 +119,8 @@ def binned_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH r AS (SELECT o_orderpriority AS g, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_orderpriority, o_totalprice) - 1) / 2.0 AS a, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_orderpriority, o_custkey) - 1) / 2.0 AS b FROM orders) SELECT g, round(corr(a, b), 6) AS rho, count(*) AS n FROM r GROUP BY 1""")
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(statistics.spearman(table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "g"), "o_totalprice", "o_custkey", ["g"]), "rho")
+    out = statistics.spearman(table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "g"), "o_totalprice", "o_custkey", ["g"])
+    return rounded(out.select("g", "rho", "n"), "rho")
 
 
 @query("""WITH r AS (SELECT l_returnflag AS g, CAST(rank() OVER (ORDER BY l_quantity) AS DOUBLE) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY l_quantity) AS t, CAST(count(*) OVER () AS DOUBLE) AS n FROM lineitem), s AS (SELECT g, sum(r) AS r, count(*) AS c, max(n) AS n FROM r GROUP BY 1), t AS (SELECT sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM r),
@@ -130,7 +131,7 @@ def kruskal_wallis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH c AS (SELECT l_quantity AS v, sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN l_linestatus <> 'O' THEN 1 ELSE 0 END) AS b FROM lineitem GROUP BY 1), g AS (SELECT abs(CAST(sum(a) OVER (ORDER BY v) AS DOUBLE) / sum(a) OVER () - CAST(sum(b) OVER (ORDER BY v) AS DOUBLE) / sum(b) OVER ()) AS d FROM c) SELECT round(max(d), 6) AS d FROM g""")
 def ks_two_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(statistics.ks_two_sample(table(spark, sf_dir, "lineitem"), "l_quantity", F.col("l_linestatus") == "O"), "d")
+    return rounded(statistics.ks_two_sample(table(spark, sf_dir, "lineitem"), "l_quantity", F.col("l_linestatus") == "O").select("d"), "d")
 
 
 @query("""WITH d AS (SELECT o_orderpriority AS g, ln(1 + o_totalprice) AS x, ln(1 + o_custkey) AS y FROM orders), p AS (SELECT DISTINCT g FROM d), l AS (SELECT p.g, corr(d.x, d.y) AS r FROM p JOIN d ON d.g <> p.g GROUP BY 1) SELECT round((SELECT corr(x, y) FROM d), 6) AS r_all, round(min(r), 6) AS r_min, round(max(r), 6) AS r_max FROM l""")
