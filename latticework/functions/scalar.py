@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,14 +24,41 @@ def comma_area(x: Column) -> Column:
     return F.greatest(F.coalesce(parse_number(F.replace(F.replace(x, F.lit(" "), F.lit("")), F.lit(","), F.lit("."))), F.lit(0.0)), F.lit(0.0))
 
 
-# Latin letters with marks and the letters they fold to.
-MARKED = "çğıöşüâîûáàäãåéèêëíìïóòôõúùñßý"
-PLAIN = "cgiosuaiuaaaaaeeeeiiioooouunsy"
+def _foldings() -> tuple[dict[str, str], dict[str, str], str]:
+    """Characters whose compatibility decomposition without combining marks is one of a-z and 0-9, those where it holds some, and a
+    pattern of those where nothing is left; all others only part words."""
+    one, more, marks = {}, {}, []
+    for code in range(0x80, 0x110000):
+        if 0xD800 <= code < 0xE000:
+            continue
+        plain = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(x))
+        if not plain:
+            marks.append(code)
+        elif any("a" <= x <= "z" or "0" <= x <= "9" for x in plain):
+            (one if len(plain) == 1 else more)[chr(code)] = plain
+    runs: list[list[int]] = []
+    for code in marks:
+        if runs and runs[-1][1] == code - 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return one, more, "[" + "".join(f"\\x{{{x:x}}}-\\x{{{y:x}}}" for x, y in runs) + "]+"
+
+
+_ONE, _MORE, _MARKS = _foldings()
+_LONGER = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _MORE) + "]"
 
 
 def normalise_text(x: Column) -> Column:
-    """Trimmed, lower case, marks folded, runs of a-z and 0-9 joined by single spaces."""
-    return F.array_join(F.regexp_extract_all(F.translate(F.lower(F.trim(F.coalesce(x, F.lit("")))), MARKED, PLAIN), F.lit("[a-z0-9]+"), F.lit(0)), " ")
+    """Trimmed, lower case, dotless i dotted, decomposed without marks; runs of a-z and 0-9 joined by single spaces.
+
+    Letters that decompose to nothing plain, such as the sharp s, part words.
+    """
+    low = F.replace(F.lower(F.trim(F.coalesce(x, F.lit("")))), F.lit("\u0131"), F.lit("i"))
+    bare = F.translate(F.regexp_replace(low, _MARKS, ""), "".join(_ONE), "".join(_ONE.values()))
+    longer = F.create_map(*[F.lit(y) for pair in _MORE.items() for y in pair])
+    spread = F.array_join(F.transform(F.regexp_extract_all(bare, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.element_at(longer, c), c)), "")
+    return F.array_join(F.regexp_extract_all(F.when(bare.rlike(_LONGER), spread).otherwise(bare), F.lit("[a-z0-9]+"), F.lit(0)), " ")
 
 
 # Words of place names that tell nothing.
@@ -100,28 +129,119 @@ def row_entropy(p: Column) -> Column:
     return F.aggregate(clipped, F.lit(0.0), lambda a, x: a - x * F.ln(x)) / F.ln(F.size(p).cast("double"))
 
 
+# Context classes in order, with the tag keys and values that make them (no value: any).
+TAG_CLASSES = [
+    ("airport", "aeroway"),
+    ("industrial_port", "landuse=industrial industrial harbour seamark:type=harbour,port,dock,terminal,marina man_made=works,storage_tank,silo"),
+    ("commercial_retail", "landuse=commercial,retail shop amenity=marketplace,parking"),
+    ("institutional_public", "amenity=university,school,college,hospital,clinic"),
+    ("green_open", "leisure landuse=grass,meadow,orchard,vineyard natural=wood,scrub,grassland,wetland,beach"),
+    ("blue_water", "natural=water"),
+    ("transport_terminal", "amenity=bus_station,ferry_terminal railway public_transport man_made=pier,breakwater"),
+    ("military_quarry", "landuse=military,quarry"),
+    ("construction_brownfield", "landuse=construction,brownfield,depot,garages,railway"),
+]
+
+
+def tag_match(tags: Column) -> Column:
+    """context_class, matched_key and matched_value of a tag map: the first rule that holds decides, and in it the first key."""
+    out = None
+    for name, rules in TAG_CLASSES:
+        for rule in rules.split():
+            key, _, values = rule.partition("=")
+            value = F.element_at(tags, F.lit(key))
+            found = F.struct(F.lit(name).alias("context_class"), F.lit(key).alias("matched_key"), value.alias("matched_value"))
+            test = value.isin(values.split(",")) if values else value.isNotNull()
+            out = F.when(test, found) if out is None else out.when(test, found)
+    none = F.lit(None).cast("string")
+    return out.otherwise(F.struct(F.lit("other_context").alias("context_class"), none.alias("matched_key"), none.alias("matched_value")))
+
+
 def tag_class(tags: Column) -> Column:
-    """Context class of a tag map; the first rule that holds decides."""
-
-    def has(key: str, *values: str) -> Column:
-        v = F.element_at(tags, F.lit(key))
-        return F.coalesce(v.isin(*values) if values else v.isNotNull(), F.lit(False))
-
-    rules = [
-        ("airport", has("aeroway")),
-        ("industrial_port", has("landuse", "industrial") | has("industrial") | has("harbour") | has("seamark:type", "harbour", "port", "dock", "terminal", "marina") | has("man_made", "works", "storage_tank", "silo")),
-        ("commercial_retail", has("landuse", "commercial", "retail") | has("shop") | has("amenity", "marketplace", "parking")),
-        ("institutional_public", has("amenity", "university", "school", "college", "hospital", "clinic")),
-        ("green_open", has("leisure") | has("landuse", "grass", "meadow", "orchard", "vineyard") | has("natural", "wood", "scrub", "grassland", "wetland", "beach")),
-        ("blue_water", has("natural", "water")),
-        ("transport_terminal", has("amenity", "bus_station", "ferry_terminal") | has("railway") | has("public_transport") | has("man_made", "pier", "breakwater")),
-        ("military_quarry", has("landuse", "military", "quarry")),
-        ("construction_brownfield", has("landuse", "construction", "brownfield", "depot", "garages", "railway")),
-    ]
-    out = F.when(rules[0][1], rules[0][0])
-    for name, test in rules[1:]:
-        out = out.when(test, name)
-    return out.otherwise("other_context")
+    return tag_match(tags)["context_class"]
+
+
+# Building uses by their source spelling, in the order that decides ties.
+BUILDING_USES = {"MESKEN": "residential", "İŞYERİ": "workplace", "KAMU": "public"}
+
+
+def building_use(x: Column) -> Column:
+    """The use of a building type.  Upper case is that of no locale: a dotted small i becomes I and then meets no key."""
+    kind = F.upper(F.trim(F.coalesce(x, F.lit(""))))
+    return F.element_at(F.create_map(*[F.lit(y) for pair in BUILDING_USES.items() for y in pair]), kind)
+
+
+def short_number(x: Column) -> Column:
+    """A double as text of ten significant digits at most, without trailing zeros, with an exponent below 1e-4 and from 1e10; null is empty."""
+
+    def bare(text: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+
+    exact = F.format_string("%.9e", x)
+    power = F.regexp_extract(exact, r"e([+-][0-9]+)$", 1)
+    out = F.when(x.isNull(), "").when(x == 0, "0").when(~power.cast("int").between(-4, 9), F.concat(bare(F.regexp_extract(exact, r"^(.*)e", 1)), F.lit("e"), power))
+    for k in range(14):
+        out = out.when(power.cast("int") == 9 - k, bare(F.format_string(f"%.{k}f", x)) if k else F.format_string("%.0f", x))
+    return out
+
+
+def mend_encoding(x: Column) -> Column:
+    """Text whose UTF-8 bytes were read as a one-byte encoding, read again; text that doesn't come out valid stays.
+
+    Bytes 80 to 9F of the Windows code page come back first, as they stand for other characters there.
+    """
+    bytes_ = F.translate(x, "".join(_WINDOWS), "".join(_WINDOWS.values()))
+    raw = F.when(~bytes_.rlike(r"[^\x{0}-\x{ff}]"), F.encode(bytes_, "ISO-8859-1"))
+    again = F.try_validate_utf8(raw.cast("string")) if hasattr(F, "try_validate_utf8") else raw.cast("string")
+    return F.coalesce(F.when(x.rlike("[\u00c2-\u00f4]"), again), x)
+
+
+def _windows() -> dict[str, str]:
+    """Characters of the Windows code page at 80 to 9F, with the control characters that have those bytes."""
+    out = {}
+    for code in range(0x80, 0xA0):
+        try:
+            out[bytes([code]).decode("cp1252")] = chr(code)
+        except UnicodeDecodeError:
+            continue
+    return out
+
+
+_WINDOWS = _windows()
+
+
+def confidence_gap(confidence: Column, correct: Column) -> Column:
+    """Aggregate: mean confidence less accuracy."""
+    return F.avg(confidence) - F.avg(correct.cast("double"))
+
+
+# Columns worth keeping, and tokens that speak for or against one.
+RETAINED = {
+    "building_coverage_exact": 20, "building_density_exact_per_km2": 20, "floor_area_ratio_proxy": 20, "height_proxy_aw_mean_m": 18, "canopy_volume_gt2m_proxy_m3_per_ha": 18,
+    "canopy_height_p95_m": 18, "coast_min_distance_m": 18, "road_density_exact_m_per_km2": 18, "network_intersection_density_per_km2": 18, "road_orientation_entropy_norm": 17,
+    "network_reach_250m_road_density_m_per_km2": 17, "network_reach_400m_road_density_m_per_km2": 18, "network_reach_800m_road_density_m_per_km2": 17,
+    "network_reach_400m_intersection_density_per_km2": 18, "network_reach_400m_orientation_entropy_norm": 17, "network_reach_250m_road_excl_motorway_density_m_per_km2": 15,
+    "network_reach_400m_road_excl_motorway_density_m_per_km2": 16, "network_reach_800m_road_excl_motorway_density_m_per_km2": 15, "morph_building_perimeter_density_m_per_ha": 18,
+    "morph_building_area_gini": 17, "morph_building_compactness_aw_mean": 18, "morph_open_space_fragmentation_index": 17, "street_frontage_continuity_proxy": 18,
+    "street_frontage_open_buffer_share": 17, "street_frontage_edge_m_per_road_km": 17, "block_permeability_network_proxy": -8, "block_permeability_street_open_network_proxy": -10,
+    "road_density_prelim_m_per_km2": 16,
+}
+GOOD_TOKENS = ["share", "ratio", "density", "coverage", "per_ha", "mean", "median", "aw_mean", "p95", "exact"]
+WEAK_TOKENS = ["valid", "count", "area_m2", "flag", "max", "std", "raw", "prelim"]
+
+
+def retention_score(name: Column) -> Column:
+    """How much a column is worth keeping among its like: its own score, 2 for each good token, -1 for each weak one, and the ends."""
+
+    def points(test: Column, n: int) -> Column:
+        return F.when(test, F.lit(n)).otherwise(F.lit(0))
+
+    score = F.coalesce(F.element_at(F.create_map(*[F.lit(y) for pair in RETAINED.items() for y in pair]), name), F.lit(0))
+    for tokens, n in ((GOOD_TOKENS, 2), (WEAK_TOKENS, -1)):
+        for token in tokens:
+            score = score + points(name.contains(token), n)
+    prefixed = name.startswith("osm_share_") | name.startswith("worldcover_share_") | name.startswith("dw_")
+    return (score + points(prefixed, 1) + points(name.endswith("_flag"), -2)).cast("long")
 
 
 # Column families by prefix, in order of precedence.
