@@ -69,6 +69,22 @@ def point_segment_distance(px: Column, py: Column, x0: Column, y0: Column, x1: C
     return F.hypot(px - x0 - t * dx, py - y0 - t * dy)
 
 
+def square_segment_distance(low_x: Column, low_y: Column, size: float, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Distance of a square and a segment: 0 if they meet, else the least of its corners to the segment and of the ends to the square."""
+    corners = [point_segment_distance(low_x + i * size, low_y + j * size, x0, y0, x1, y1) for i in (0, 1) for j in (0, 1)]
+    ends = [F.hypot(F.greatest(low_x - x, F.lit(0.0), x - low_x - size), F.greatest(low_y - y, F.lit(0.0), y - low_y - size)) for x, y in ((x0, y0), (x1, y1))]
+
+    def window(start: Column, end: Column, low: Column) -> tuple[Column, Column]:
+        delta = end - start
+        p, q = F.try_divide(low - start, delta), F.try_divide(low + size - start, delta)
+        still = start.between(low, low + size)
+        return F.when(delta == 0, F.when(still, 0.0).otherwise(2.0)).otherwise(F.least(p, q)), F.when(delta == 0, F.when(still, 1.0).otherwise(-1.0)).otherwise(F.greatest(p, q))
+
+    (ax, bx), (ay, by) = window(x0, x1, low_x), window(y0, y1, low_y)
+    meets = F.greatest(F.lit(0.0), ax, ay) <= F.least(F.lit(1.0), bx, by)
+    return F.when(meets, F.lit(0.0)).otherwise(F.least(*corners, *ends))
+
+
 def near_pairs(left: DataFrame, right: DataFrame, reach: float, left_keys: list[str], right_keys: list[str]) -> DataFrame:
     """Pairs of points (x, y) within ``reach`` of each other, with their distance: an equi-join on bins of that width.
 

@@ -6,6 +6,8 @@ nothing gets shorter.  All sources advance together, distances beyond the cutoff
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,15 +59,65 @@ def node_metrics(nodes: DataFrame, keys: list[str], cell_area: float) -> DataFra
     return out.select("*", (F.col("nodes") / km2).alias("node_density"), (F.col("intersections") / km2).alias("intersection_density"), (F.col("dead_ends") / F.col("nodes")).alias("dead_end_share"))
 
 
-def graph_edges(segments: DataFrame, snap: float) -> DataFrame:
-    """Undirected edges a < b of snapped ends (ids kx * 2^31 + ky), the shortest of parallels; loops and zero lengths go."""
+NODE_BASE = 1 << 31
+
+
+def node_number(x: Column, y: Column, snap: float) -> Column:
+    return S.snap(x, snap) * F.lit(NODE_BASE) + S.snap(y, snap)
+
 
-    def node(x: str, y: str) -> Column:
-        return S.snap(F.col(x), snap) * F.lit(1 << 31) + S.snap(F.col(y), snap)
+def exclude_types(segments: DataFrame, column: str, types: list[str]) -> DataFrame:
+    """Segments whose type, trimmed and in upper case, is none of the given; a missing type stays."""
+    return segments.filter(~F.upper(F.trim(F.coalesce(F.col(column).cast("string"), F.lit("")))).isin([t.strip().upper() for t in types]))
 
-    ends = segments.select(node("x0", "y0").alias("p"), node("x1", "y1").alias("q"), F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("length"))
+
+def graph_edges(segments: DataFrame, snap: float, bins: int = 12) -> DataFrame:
+    """Undirected edges a < b of snapped ends (ids kx * 2^31 + ky) with length and bearing bin, the shortest of parallels; loops and
+    zero lengths go."""
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    ends = segments.select(node_number(F.col("x0"), F.col("y0"), snap).alias("p"), node_number(F.col("x1"), F.col("y1"), snap).alias("q"), F.hypot(dx, dy).alias("length"), S.orientation_bin(dx, dy, bins).alias("bin"))
     ends = ends.filter("p != q AND length > 0")
-    return ends.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.min("length").alias("length"))
+    best = ends.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.min(F.struct("length", "bin")).alias("m"))
+    return best.select("a", "b", "m.length", "m.bin")
+
+
+def graph_nodes(edges: DataFrame, snap: float) -> DataFrame:
+    """node, x and y (its snapped place) of all nodes of the edges."""
+    low = F.pmod(F.col("node") + (NODE_BASE >> 1), F.lit(NODE_BASE)) - (NODE_BASE >> 1)
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return nodes.select("node", ((F.col("node") - low) / NODE_BASE * snap).alias("x"), (low * float(snap)).alias("y"))
+
+
+def planarize(segments: DataFrame, snap: float, size: float, key: str = "id") -> DataFrame:
+    """Segments (key, x0, y0, x1, y1) cut wherever two of them cross or touch, as x0, y0, x1, y1 of the parts on the snap lattice.
+
+    Segments meet in the bins of ``size`` that they pass through, so the join is on bins; each pair is compared once per shared bin.
+    """
+    own = segments.select(F.col(key).alias("id"), "x0", "y0", "x1", "y1")
+
+    def bins(a: str, b: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.least(a, b) / size).cast("long"), F.floor(F.greatest(a, b) / size).cast("long")))
+
+    spread = own.withColumn("r", bins("y0", "y1")).withColumn("c", bins("x0", "x1"))
+    other = spread.select("r", "c", *[F.col(x).alias(f"o_{x}") for x in ("id", "x0", "y0", "x1", "y1")])
+    rx, ry, sx, sy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("o_x1") - F.col("o_x0"), F.col("o_y1") - F.col("o_y0")
+    qx, qy = F.col("o_x0") - F.col("x0"), F.col("o_y0") - F.col("y0")
+    cross = rx * sy - ry * sx
+    pairs = spread.join(other, ["r", "c"]).filter("id != o_id").withColumn("cross", cross).filter("cross != 0")
+    met = pairs.withColumn("t", (qx * sy - qy * sx) / F.col("cross")).withColumn("u", (qx * ry - qy * rx) / F.col("cross")).filter("t > 0 AND t < 1 AND u >= 0 AND u <= 1")
+    # Collinear segments cut each other at the ends of the other that lie on them.
+    along = spread.join(other, ["r", "c"]).filter("id != o_id").withColumn("cross", cross).filter((F.col("cross") == 0) & (qx * ry - qy * rx == 0) & (rx * rx + ry * ry > 0))
+    ends = F.explode(F.array(F.struct(F.col("o_x0").alias("px"), F.col("o_y0").alias("py")), F.struct(F.col("o_x1").alias("px"), F.col("o_y1").alias("py")))).alias("p")
+    on = along.select("id", "x0", "y0", "x1", "y1", ends).withColumn("t", ((F.col("p.px") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("p.py") - F.col("y0")) * (F.col("y1") - F.col("y0"))) / ((F.col("x1") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("y1") - F.col("y0")) * (F.col("y1") - F.col("y0")))).filter("t > 0 AND t < 1")
+    cuts = met.select("id", "t").unionByName(on.select("id", "t")).groupBy("id").agg(F.collect_set("t").alias("ts"))
+    whole = own.join(cuts, "id", "left").withColumn("ts", F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.coalesce("ts", F.array().cast("array<double>")))))
+    parts = whole.select("id", "x0", "y0", "x1", "y1", F.explode(F.arrays_zip(F.slice("ts", F.lit(1), F.size("ts") - 1).alias("a"), F.slice("ts", F.lit(2), F.size("ts") - 1).alias("b"))).alias("p"))
+
+    def at(axis: str, t: str) -> Column:
+        point = F.col(f"{axis}0") + F.col(t) * (F.col(f"{axis}1") - F.col(f"{axis}0"))
+        return F.rint(point / snap) * snap
+
+    return parts.select("id", at("x", "p.a").alias("x0"), at("y", "p.a").alias("y0"), at("x", "p.b").alias("x1"), at("y", "p.b").alias("y1")).filter("x0 != x1 OR y0 != y1")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -90,27 +142,45 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def reach(edges: DataFrame, sources: DataFrame, cutoff: float, rounds: int = 10_000) -> DataFrame:
-    """source, node, cost of the nodes within ``cutoff`` of each source node (column source), the source itself at 0."""
+def reach(edges: DataFrame, sources: DataFrame, cutoff: float, rounds: int = 10_000, fold: int = 4) -> DataFrame:
+    """source, node, cost of the nodes within ``cutoff`` of each source node (columns source and, where it doesn't start at 0, cost).
+
+    A round joins the front with the edges and keeps what is shorter than anything known.  What is known is a list of fronts, the best of
+    which were partitioned by (source, node) and folded into one every ``fold`` rounds; a round itself writes its own front alone.
+    """
     both = _cut(edges.select("a", "b", "length").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "length")))
-    known = _cut(sources.select("source").distinct().select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost")))
-    front = known
-    for _ in range(rounds):
-        step = front.join(both, front["node"] == both["a"]).select("source", F.col("b").alias("node"), (F.col("cost") + F.col("length")).alias("cost")).filter(F.col("cost") <= cutoff)
-        step = step.groupBy("source", "node").agg(F.min("cost").alias("new"))
-        front = _cut(step.join(known, ["source", "node"], "left").filter("cost IS NULL OR new < cost").select("source", "node", F.col("new").alias("cost")))
+    start = F.min("cost") if "cost" in sources.columns else F.lit(0.0)
+    known = _cut(sources.groupBy("source").agg(start.alias("cost")).select("source", F.col("source").alias("node"), "cost").filter(F.col("cost") <= cutoff))
+    front, fresh = known, []
+    for k in range(rounds):
+        step = front.join(both, front["node"] == both["a"]).select("source", F.col("b").alias("node"), (F.col("cost") + F.col("length")).alias("new")).filter(F.col("new") <= cutoff)
+        seen = reduce(DataFrame.unionByName, fresh, known).withColumn("new", F.lit(None).cast("double"))
+        both_sides = seen.unionByName(step.withColumn("cost", F.lit(None).cast("double")).select("source", "node", "cost", "new"))
+        best = both_sides.groupBy("source", "node").agg(F.min("cost").alias("cost"), F.min("new").alias("new"))
+        front = _cut(best.filter("new IS NOT NULL AND (cost IS NULL OR new < cost)").select("source", "node", F.col("new").alias("cost")))
         if front.isEmpty():
-            return known
-        known = _cut(known.unionByName(front).groupBy("source", "node").agg(F.min("cost").alias("cost")))
+            return reduce(DataFrame.unionByName, fresh, known).groupBy("source", "node").agg(F.min("cost").alias("cost"))
+        fresh.append(front)
+        if k % fold == fold - 1:
+            known = _cut(reduce(DataFrame.unionByName, fresh, known).groupBy("source", "node").agg(F.min("cost").alias("cost")))
+            fresh = []
     raise RuntimeError(f"paths did not settle in {rounds} rounds")
 
 
-def service_area(edges: DataFrame, reached: DataFrame, costs: list[float]) -> DataFrame:
-    """Per source and cost: nodes reached and edge length reached, edges counting as far as the cost left at each end goes."""
+def service_area(edges: DataFrame, reached: DataFrame, costs: list[float], bins: int = 12) -> DataFrame:
+    """Per source and cost: edge length and edges reached (edges count as far as the cost left at each end goes), nodes, intersections,
+    dead ends, both per network km, mean degree, and entropy and dominant share of bearings weighted by the length reached."""
     limits = F.explode(F.array(*[F.lit(float(c)) for c in costs])).alias("limit")
-    ends = edges.select("a", "b", "length", F.explode(F.array("a", "b")).alias("node"))
+    ends = edges.select("a", "b", "length", "bin", F.explode(F.array("a", "b")).alias("node"))
     left = reached.select("source", "node", "cost", limits).filter("cost <= limit")
-    parts = left.join(ends, "node").groupBy("source", "limit", "a", "b", "length").agg(F.sum(F.col("limit") - F.col("cost")).alias("left"))
-    lengths = parts.groupBy("source", "limit").agg(F.sum(F.least("length", "left")).alias("service_length"))
-    nodes = left.groupBy("source", "limit").agg(F.count(F.lit(1)).alias("service_nodes"))
-    return nodes.join(lengths, ["source", "limit"], "left").select("source", "limit", "service_nodes", F.coalesce("service_length", F.lit(0.0)).alias("service_length"))
+    parts = left.join(ends, "node").groupBy("source", "limit", "a", "b", "length", "bin").agg(F.sum(F.col("limit") - F.col("cost")).alias("left"))
+    parts = parts.select("source", "limit", "bin", F.least("length", "left").alias("part")).filter("part > 0")
+    by_bin = parts.groupBy("source", "limit", "bin").agg(F.sum("part").alias("n"), F.count(F.lit(1)).alias("k"))
+    p = F.col("n") / F.sum("n").over(Window.partitionBy("source", "limit"))
+    by_bin = by_bin.withColumn("p", p)
+    lengths = by_bin.groupBy("source", "limit").agg(F.sum("n").alias("service_length"), F.sum("k").alias("service_edges"), (-F.sum(F.col("p") * F.ln("p")) / F.ln(F.lit(float(bins)))).alias("entropy"), F.max("p").alias("dominant_share"))
+    degree = F.col("degree")
+    nodes = left.join(degrees(edges), "node", "left").groupBy("source", "limit").agg(F.count(F.lit(1)).alias("service_nodes"), F.sum((degree >= 3).cast("long")).alias("intersections"), F.sum((degree == 1).cast("long")).alias("dead_ends"), F.avg("degree").alias("mean_degree"))
+    km = F.col("service_length") / 1000
+    out = nodes.join(lengths, ["source", "limit"], "left").fillna(0, ["service_edges"]).withColumn("service_length", F.coalesce("service_length", F.lit(0.0)))
+    return out.select("source", "limit", "service_length", "service_edges", "service_nodes", "intersections", "dead_ends", F.when(km > 0, F.col("intersections") / km).alias("intersections_per_km"), F.when(km > 0, F.col("dead_ends") / km).alias("dead_ends_per_km"), "mean_degree", "entropy", "dominant_share")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import panels, spatial, tabular
+from . import context, panels, spatial, tabular
 
-QUERIES = {**spatial.QUERIES, **tabular.QUERIES, **panels.QUERIES}
-ORACLES = {**spatial.ORACLES, **tabular.ORACLES, **panels.ORACLES}
+QUERIES = {**spatial.QUERIES, **context.QUERIES, **tabular.QUERIES, **panels.QUERIES}
+ORACLES = {**spatial.ORACLES, **context.ORACLES, **tabular.ORACLES, **panels.ORACLES}
 FLAGSHIP = spatial.building_floor_by_cell

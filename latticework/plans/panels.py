@@ -145,11 +145,11 @@ def row_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {ACCESS}, cells AS (SELECT r.range AS row_id, c.range AS col_id, c.range * 250.0::DOUBLE + 125 AS cx, r.range * 250.0::DOUBLE + 125 AS cy FROM range(20) r, range(20) c)
-SELECT row_id, col_id, count(*) AS n, round(sum(population), 3) AS population, round(count(*) / ({0.5 * 96 * 400.0**2 * math.sin(2 * math.pi / 96)!r} / 1e6), 4) AS density FROM cells JOIN a ON sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) <= 400 GROUP BY 1, 2""")
+SELECT row_id, col_id, count(*) AS n, round(sum(population), 3) AS population, round(count(*) / (pi() * 0.16), 4) AS density FROM cells JOIN a ON sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) <= 400 GROUP BY 1, 2""")
 def reach_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points within 400 m of each cell's centre; densities over a circle of 96 corners."""
+    """Points within 400 m of each cell's centre, and their density over that circle."""
     cells = lattice.grid_cells(spark, ROWS, COLS).select(*CELL, (F.col("x0") + SIZE / 2).alias("x"), (F.col("y0") + SIZE / 2).alias("y"))
     pairs = lattice.near_pairs(cells, origins(spark, sf_dir), 400.0, CELL, ["population"])
-    area = 0.5 * 96 * 400.0**2 * math.sin(2 * math.pi / 96)
+    area = math.pi * 400.0**2
     out = pairs.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.sum("r_population").alias("population"))
     return rounded(rounded(out, "population", digits=3).withColumn("density", F.col("n") / (area / 1e6)), "density", digits=4)

@@ -139,13 +139,6 @@ def node_metrics_by_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(network.node_metrics(nodes, CELL, CELL_AREA), "node_density", "intersection_density", digits=4), "mean_degree", "dead_end_share")
 
 
-@query(f"""WITH {ACCESS}, d AS (SELECT origin_id, supply_id, sqrt((a.x - u.x) * (a.x - u.x) + (a.y - u.y) * (a.y - u.y)) AS distance FROM a, u), m AS (SELECT *, row_number() OVER (PARTITION BY origin_id ORDER BY distance, supply_id) AS k FROM d WHERE distance <= 600)
-SELECT a.origin_id, m.supply_id, round(m.distance, 6) AS distance FROM a LEFT JOIN m ON m.origin_id = a.origin_id AND k = 1""")
-def nearest_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = lattice.near_pairs(origins(spark, sf_dir), supplies(spark, sf_dir), 600.0, ["origin_id"], ["supply_id"]).withColumnRenamed("r_supply_id", "supply_id")
-    return rounded(access.nearest(pairs, origins(spark, sf_dir), "origin_id", "supply_id", 600.0), "distance")
-
-
 @query(f"""WITH {ACCESS}, z AS (SELECT zone, sum(population) AS total, count(*) AS n, sum(origin_id % 3) AS w FROM a GROUP BY 1)
 SELECT origin_id, a.zone, round(CASE WHEN w > 0 THEN total * (origin_id % 3) / w ELSE total / n END, 4) AS allocated FROM a JOIN z ON a.zone = z.zone""")
 def dasymetric_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,28 +168,13 @@ def access_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(access.threshold_summary(_access(spark, sf_dir)), "median", "p95", "max", "population_share")
 
 
-@query(f"""WITH {ROADS}, k AS (SELECT * FROM s WHERE id % 500 = 0), cells AS (SELECT r.range AS row_id, c.range AS col_id, c.range * 250.0::DOUBLE + 125 AS px, r.range * 250.0::DOUBLE + 125 AS py FROM range(20) r, range(20) c),
-t AS (SELECT *, CASE WHEN (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) > 0 THEN least(greatest(((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)) / ((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)), 0), 1) ELSE 0 END AS t FROM cells, k),
-d AS (SELECT row_id, col_id, min(sqrt((px - x0 - t * (x1 - x0)) * (px - x0 - t * (x1 - x0)) + (py - y0 - t * (y1 - y0)) * (py - y0 - t * (y1 - y0)))) AS distance FROM t GROUP BY 1, 2)
-SELECT row_id, col_id, round(distance, 6) AS distance, CASE WHEN distance <= 0 THEN 'shoreline_cell' WHEN distance <= 500 THEN 'coastal_0_500m' WHEN distance <= 1000 THEN 'coastal_500_1000m' WHEN distance <= 2000 THEN 'coastal_1_2km' WHEN distance <= 5000 THEN 'transition_2_5km' ELSE 'inland_5km_plus' END AS band FROM d""")
-def coast_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of each cell's centre to the shore: the shore is a query set of segments, the cells a lattice of fixed size."""
-    shore = roads(spark, sf_dir).filter("id % 500 = 0").select("x0", "y0", "x1", "y1")
-    centres = F.transform(F.sequence(F.lit(0), F.lit(ROWS * COLS - 1)), lambda k: F.struct(F.floor(k / COLS).alias("row_id"), (k % COLS).cast("long").alias("col_id")))
-    spread = shore.withColumn("c", F.explode(centres)).select("x0", "y0", "x1", "y1", "c.*")
-    at = [F.col(c) * float(SIZE) + SIZE / 2 for c in ("col_id", "row_id")]
-    d = lattice.point_segment_distance(*at, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    out = spread.groupBy(*CELL).agg(F.min(d).alias("distance"))
-    return rounded(out.withColumn("band", S.coastal_band(F.col("distance"))), "distance")
-
-
 _EDGES = f"""{ROADS}, h AS (SELECT CAST(round_even(x0 / 100, 0) AS BIGINT) * 2147483648 + CAST(round_even(y0 / 100, 0) AS BIGINT) AS p, CAST(round_even(x1 / 100, 0) AS BIGINT) * 2147483648 + CAST(round_even(y1 / 100, 0) AS BIGINT) AS q, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS length FROM s),
 g AS (SELECT least(p, q) AS a, greatest(p, q) AS b, min(length) AS length FROM h WHERE p <> q AND length > 0 GROUP BY 1, 2)"""
 
 
 @query(f"WITH {_EDGES} SELECT a, b, round(length, 6) AS length FROM g")
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(network.graph_edges(roads(spark, sf_dir), 100.0), "length")
+    return rounded(network.graph_edges(roads(spark, sf_dir), 100.0).select("a", "b", "length"), "length")
 
 
 @query(f"WITH {_EDGES} SELECT node, count(*) AS degree FROM (SELECT a AS node FROM g UNION ALL SELECT b FROM g) GROUP BY 1")
@@ -204,31 +182,6 @@ def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.degrees(network.graph_edges(roads(spark, sf_dir), 100.0))
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, y AS (SELECT a, b, length FROM g UNION ALL SELECT b, a, length FROM g), f AS (SELECT DISTINCT node FROM (SELECT a AS node FROM y) WHERE node % 97 = 0),
-r AS (SELECT node AS source, node, 0.0::DOUBLE AS cost FROM f UNION SELECT r.source, y.b, r.cost + y.length FROM r JOIN y ON y.a = r.node WHERE r.cost + y.length <= 250)
-SELECT source, node, round(min(cost), 6) AS cost FROM r GROUP BY 1, 2""")
-def network_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = network.graph_edges(roads(spark, sf_dir), 100.0)
-    sources = edges.select(F.explode(F.array("a", "b")).alias("source")).distinct().filter("source % 97 = 0")
-    return rounded(network.reach(edges, sources, 250.0), "cost")
-
-
-@query(f"""WITH RECURSIVE {_EDGES}, y AS (SELECT a, b, length FROM g UNION ALL SELECT b, a, length FROM g), f AS (SELECT DISTINCT node FROM (SELECT a AS node FROM y) WHERE node % 97 = 0),
-r AS (SELECT node AS source, node, 0.0::DOUBLE AS cost FROM f UNION SELECT r.source, y.b, r.cost + y.length FROM r JOIN y ON y.a = r.node WHERE r.cost + y.length <= 250), m AS (SELECT source, node, min(cost) AS cost FROM r GROUP BY 1, 2),
-l AS (SELECT source, node, v.limit_ - cost AS rest, v.limit_ FROM m, (VALUES (150.0::DOUBLE), (250.0::DOUBLE)) v(limit_) WHERE cost <= v.limit_),
-e AS (SELECT l.source, l.limit_, g.a, g.b, g.length, sum(l.rest) AS rest FROM g JOIN l ON l.node = g.a OR l.node = g.b GROUP BY 1, 2, 3, 4, 5), n AS (SELECT source, limit_, count(*) AS service_nodes FROM l GROUP BY 1, 2), t AS (SELECT source, limit_, sum(least(length, rest)) AS service_length FROM e GROUP BY 1, 2)
-SELECT n.source, n.limit_ AS "limit", service_nodes, round(coalesce(service_length, 0), 4) AS service_length FROM n LEFT JOIN t ON t.source = n.source AND t.limit_ = n.limit_""")
-def service_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = network.graph_edges(roads(spark, sf_dir), 100.0)
-    sources = edges.select(F.explode(F.array("a", "b")).alias("source")).distinct().filter("source % 97 = 0")
-    return rounded(network.service_area(edges, network.reach(edges, sources, 250.0), [150.0, 250.0]), "service_length", digits=4)
-
-
-@query()
-def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.components(network.graph_edges(roads(spark, sf_dir), 100.0))
-
-
 @query()
 def open_space_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(geometry.open_space(_pieces(spark, sf_dir), SIZE), "union_area", "open_area", "largest_patch", "fragmentation", digits=4)
