@@ -59,3 +59,74 @@ def priority(df: DataFrame, key: str, confidence: str, tests: list[tuple[str, fl
     ranked = row_numbers(out, [F.col("score").desc(), F.col(confidence).asc_nulls_last(), F.col(key)], [], "rank").drop("rank_of")
     named = F.when(F.col("rank") <= breaks[0], "pass_1").when(F.col("rank") <= breaks[1], "pass_2").otherwise("pass_3")
     return ranked.withColumn("audit_pass", named)
+
+
+# What an audit sheet must hold, and the names of its states.
+QUALITIES = ["high", "medium", "low", "reject_edge"]
+REQUIRED = ["dominant_fabric_note", "audit_source_layers", "audit_reviewer", "audit_date"]
+
+
+def _text(c: str) -> Column:
+    return F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+
+
+def gate_issues(audit: DataFrame, source: DataFrame, key: str, codebook: DataFrame, texts: list[str], numbers: list[str], fields: list[str], required: list[str] = REQUIRED) -> DataFrame:
+    """Issues of a finished audit sheet: grid_id, field, severity, issue, value.
+
+    Columns that the sheet must have and hasn't are reported, and then nothing but its ids is looked at.  codebook: a column
+    audit_label.  ``texts`` and ``numbers`` are fields that must be as in the source; ``fields`` are the auditor's.
+    """
+    session = audit.sparkSession
+    kinds = "grid_id string, field string, severity string, issue string, value string"
+    missing = [c for c in [key, *texts, *numbers, *fields] if c not in audit.columns]
+    out = [session.createDataFrame([("", c, "error", "required_column_missing", "") for c in missing], kinds)]
+
+    def add(df: DataFrame, field: str, severity: str, issue: str, test: Column | None = None, value: Column | None = None) -> None:
+        rows = df if test is None else df.filter(F.coalesce(test, F.lit(False)))
+        out.append(rows.select(F.col(key).cast("string").alias("grid_id"), F.lit(field).alias("field"), F.lit(severity).alias("severity"), F.lit(issue).alias("issue"), (F.lit("") if value is None else F.coalesce(value.cast("string"), F.lit(""))).alias("value")))
+
+    again = audit.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    add(audit.join(again, key, "left_semi"), key, "error", "duplicate_grid_id", value=F.col(key))
+    add(audit.select(key).distinct().join(source, key, "left_anti"), key, "error", "grid_id_not_in_source_gpkg", value=F.col(key))
+    add(source.select(key).distinct().join(audit, key, "left_anti"), key, "error", "source_grid_id_missing_from_csv", value=F.col(key))
+    if missing:
+        return reduce(DataFrame.unionByName, out)
+    absent = [c for c in [*texts, *numbers] if c not in source.columns]
+    out.append(session.createDataFrame([("", c, "warning", "fixed_field_not_available_in_source_gpkg", "") for c in absent], kinds))
+    fixed = [c for c in [*texts, *numbers] if c not in absent]
+    both = audit.join(source.select(key, *[F.col(c).alias(f"_s_{c}") for c in fixed]), key)
+    for c in fixed:
+        same = S.close_to(S.parse_number(F.col(c)), S.parse_number(F.col(f"_s_{c}"))) if c in numbers else _text(c) == _text(f"_s_{c}")
+        add(both, c, "error", "fixed_source_field_changed", ~same, F.col(c))
+    label, quality, date = _text("audit_label"), _text("label_quality"), _text("audit_date")
+    done = label != ""
+    known = codebook.select(F.col("audit_label").cast("string").alias("_label")).distinct()
+    add(audit, "audit_label", "error", "partial_row_without_audit_label", ~done & reduce(lambda a, b: a | b, [_text(c) != "" for c in fields]))
+    add(audit.filter(done).join(known, label == F.col("_label"), "left_anti"), "audit_label", "error", "invalid_audit_label", value=label)
+    add(audit, "label_quality", "error", "invalid_or_missing_label_quality", done & ~quality.isin(QUALITIES), quality)
+    for c in required:
+        add(audit, c, "error", "required_audit_field_missing", done & (_text(c) == ""))
+    add(audit, "audit_date", "error", "date_not_iso_yyyy_mm_dd", done & (date != "") & S.iso_date(date).isNull(), date)
+    add(audit, "label_quality", "error", "edge_insufficient_requires_reject_edge", (label == "edge_insufficient") & (quality != "reject_edge"), quality)
+    add(audit, "audit_label", "warning", "reject_edge_quality_with_non_edge_label", done & (quality == "reject_edge") & (label != "edge_insufficient"), label)
+    add(audit, "label_quality", "warning", "ambiguous_label_marked_high_quality", label.isin("mixed", "uncertain") & (quality == "high"), quality)
+    return reduce(DataFrame.unionByName, out)
+
+
+def gate_summary(audit: DataFrame, issues: DataFrame, codebook: DataFrame, weak: str, mapping: dict) -> DataFrame:
+    """One row: status, rows, completed and valid rows, rows per quality, errors, warnings, exact agreement of weak labels, and ready."""
+    label, quality = _text("audit_label"), _text("label_quality")
+    known = codebook.select(F.col("audit_label").cast("string").alias("_label"), F.lit(True).alias("_known")).distinct()
+    own = audit.withColumn("_l", label).withColumn("_q", quality).join(F.broadcast(known), F.col("_l") == F.col("_label"), "left")
+    valid = F.coalesce(F.col("_known"), F.lit(False)) & (F.col("_l") != "") & F.col("_q").isin(QUALITIES)
+    named = F.element_at(F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair]), S.parse_number(F.col(weak)).cast("int"))
+    agrees = F.coalesce(named == F.col("_l"), F.lit(False)).cast("double")
+    sums = own.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_l") != "").alias("completed_rows"), F.count_if(valid).alias("valid_completed_rows"),
+        *[F.count_if(F.col("_q") == q).alias(f"{q}_rows") for q in QUALITIES], F.avg(F.when(valid, agrees)).alias("exact_agreement"),
+    )
+    counts = issues.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    wrong = F.col("errors") > 0
+    status = F.when(F.col("completed_rows") == 0, "not_started").when(F.col("completed_rows") < F.col("rows"), F.when(wrong, "partial_with_errors").otherwise("partial")).when(wrong, "complete_with_errors").otherwise("ready")
+    out = sums.crossJoin(counts).withColumn("status", status)
+    return out.withColumn("ready", (F.col("status") == "ready") & (F.col("high_rows") > 0)).withColumn("completion_share", F.coalesce(F.try_divide("completed_rows", "rows"), F.lit(0.0)))
