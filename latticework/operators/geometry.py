@@ -1,53 +1,300 @@
-"""Areas that need a geometry kernel: unions of rectangles and the open space they leave, per lattice cell."""
+"""Unions, differences and intersections of polygons inside a box, by a sweep over slabs.
+
+The box is cut at every corner and every crossing of two edges; inside a slab edges keep their order, so what is covered is a list of
+trapezoids between edges.  One sweep gives the union's area, what it leaves open and which open pieces hang together, and the parts of
+other polygons and of their outlines that lie inside.  A group is what touches one square of the lattice; callers choose squares small
+enough, and memory grows with the edges of a square, not with their square.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .network import components
+from .polygons import RINGS, clip_ring
+from .ranking import cut
+
+Box = tuple[float, float, float, float]
+EPS = 1e-9
+
+
+@dataclass
+class Edges:
+    """Edges that rise (x0, y0 is the lower end), with the polygon and the layer of each."""
+
+    x0: np.ndarray
+    y0: np.ndarray
+    x1: np.ndarray
+    y1: np.ndarray
+    polygon: np.ndarray
+    layer: np.ndarray
+    flat: list[tuple[float, float, float, int]] = field(default_factory=list)
+
+    def at(self, rows: np.ndarray, y: float) -> np.ndarray:
+        return self.x0[rows] + (y - self.y0[rows]) * (self.x1[rows] - self.x0[rows]) / (self.y1[rows] - self.y0[rows])
+
+
+def edges_of(layers: list[list[list[np.ndarray]]], box: Box) -> Edges:
+    """Edges of the polygons (lists of rings) of each layer, clipped to the box; level ones are kept apart (x, x, y, polygon)."""
+    parts, flat, number = [], [], 0
+    for k, polygons in enumerate(layers):
+        for rings in polygons:
+            for ring in rings:
+                p = clip_ring(np.asarray(ring, float).reshape(-1, 2), box)
+                q = np.roll(p, -1, axis=0)
+                level = p[:, 1] == q[:, 1] if len(p) else np.zeros(0, bool)
+                flat += [(float(a[0]), float(b[0]), float(a[1]), number) for a, b in zip(p[level], q[level], strict=True)]
+                up = (p[:, 1] < q[:, 1])[:, None] if len(p) else np.zeros((0, 1), bool)
+                low, high = np.where(up, p, q)[~level], np.where(up, q, p)[~level]
+                parts.append(np.column_stack([low, high, np.full(len(low), number), np.full(len(low), k)]))
+            number += 1
+    whole = np.concatenate(parts) if parts else np.zeros((0, 6))
+    return Edges(*whole[:, :4].T, whole[:, 4].astype(int), whole[:, 5].astype(int), flat)
+
+
+def crossings(e: Edges, block: int = 256) -> np.ndarray:
+    """Heights at which two edges cross."""
+    dx, dy = e.x1 - e.x0, e.y1 - e.y0
+    found = [np.zeros(0)]
+    left, right = np.minimum(e.x0, e.x1), np.maximum(e.x0, e.x1)
+    for a in range(0, len(dx), block):
+        s = slice(a, a + block)
+        near = (left[s, None] <= right) & (right[s, None] >= left) & (e.y0[s, None] < e.y1) & (e.y1[s, None] > e.y0)
+        i, j = np.nonzero(near)
+        i, keep = i + a, i + a < j
+        i, j = i[keep], j[keep]
+        turn = dx[i] * dy[j] - dy[i] * dx[j]
+        i, j, turn = i[turn != 0], j[turn != 0], turn[turn != 0]
+        t = ((e.x0[j] - e.x0[i]) * dy[j] - (e.y0[j] - e.y0[i]) * dx[j]) / turn
+        u = ((e.x0[j] - e.x0[i]) * dy[i] - (e.y0[j] - e.y0[i]) * dx[i]) / turn
+        on = (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+        found.append(e.y0[i[on]] + t[on] * dy[i[on]])
+    return np.concatenate(found)
+
+
+@dataclass
+class Slab:
+    """Between low and high: the edges from left to right at both heights, and after each edge whether each layer covers."""
+
+    low: float
+    high: float
+    rows: np.ndarray
+    bottom: np.ndarray
+    top: np.ndarray
+    covers: np.ndarray  # layers x edges
+
+    def spans(self, layer: int) -> list[tuple[int, int]]:
+        """First and last edge of each stretch that the layer covers."""
+        c = self.covers[layer]
+        begin = np.flatnonzero(c & ~np.concatenate([[False], c[:-1]]))
+        end = np.flatnonzero(~c & np.concatenate([[False], c[:-1]]))
+        return list(zip(begin.tolist(), end.tolist(), strict=False))
+
+    def area(self, a: int, b: int) -> float:
+        return max(0.0, float(self.bottom[b] - self.bottom[a] + self.top[b] - self.top[a]) / 2 * (self.high - self.low))
+
+
+def sweep(e: Edges, box: Box, layers: int) -> Iterator[Slab]:
+    ys = np.concatenate([e.y0, e.y1, crossings(e), [f[2] for f in e.flat], [box[1], box[3]]])
+    ys = np.unique(ys[(ys >= box[1]) & (ys <= box[3])])
+    ys = ys[np.concatenate([[True], np.diff(ys) > EPS])]
+    order = np.argsort(e.y0, kind="stable")
+    starts, active, at = e.y0[order], np.zeros(0, int), 0
+    for low, high in zip(ys[:-1].tolist(), ys[1:].tolist(), strict=True):
+        middle = (low + high) / 2
+        upto = int(np.searchsorted(starts, middle))
+        active = np.concatenate([active, order[at:upto]])
+        at = upto
+        active = active[e.y1[active] > middle]
+        rows = active[np.argsort(e.at(active, middle), kind="stable")]
+        # Of a polygon's edges from left to right every other one enters it.
+        by = np.argsort(e.polygon[rows], kind="stable")
+        same = e.polygon[rows][by]
+        first = np.searchsorted(same, same)
+        enters = np.zeros(len(rows), int)
+        enters[by] = np.where((np.arange(len(rows)) - first) % 2 == 0, 1, -1)
+        covers = np.stack([np.cumsum(np.where(e.layer[rows] == k, enters, 0)) > 0 for k in range(layers)])
+        yield Slab(low, high, rows, e.at(rows, low), e.at(rows, high), covers)
+
+
+def union_area(polygons: list[list[np.ndarray]], box: Box) -> float:
+    return sum(s.area(a, b) for s in sweep(edges_of([polygons], box), box, 1) for a, b in s.spans(0))
+
 
+def find(root: list[int], x: int) -> int:
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
 
-def covered_grid(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, box: tuple[float, float, float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Coordinates where anything changes inside the box, and which of the rectangles between them are covered (slabs in both axes)."""
-    bx0, by0, bx1, by1 = box
-    x0, x1, y0, y1 = (np.clip(v, lo, hi) for v, lo, hi in ((x0, bx0, bx1), (x1, bx0, bx1), (y0, by0, by1), (y1, by0, by1)))
-    xs, ys = np.unique(np.concatenate([x0, x1, [bx0, bx1]])), np.unique(np.concatenate([y0, y1, [by0, by1]]))
-    step = np.zeros((len(ys), len(xs)), np.int64)
-    a, b, c, d = np.searchsorted(xs, x0), np.searchsorted(xs, x1), np.searchsorted(ys, y0), np.searchsorted(ys, y1)
-    for r, q, s in ((c, a, 1), (c, b, -1), (d, a, -1), (d, b, 1)):
-        np.add.at(step, (r, q), s)
-    return xs, ys, (step.cumsum(axis=0).cumsum(axis=1) > 0)[:-1, :-1]
-
-
-def patches(free: np.ndarray) -> np.ndarray:
-    """A number per free rectangle, equal for those connected through shared edges; -1 where covered."""
-    label = np.where(free, np.arange(free.size).reshape(free.shape), -1)
-    while True:
-        new = label.copy()
-        for a, b in ((np.s_[1:, :], np.s_[:-1, :]), (np.s_[:, 1:], np.s_[:, :-1])):
-            both = free[a] & free[b]
-            low = np.minimum(new[a], new[b])
-            new[a] = np.where(both, low, new[a])
-            new[b] = np.where(both, np.minimum(new[b], low), new[b])
-        if np.array_equal(new, label):
-            return label
-        label = new
-
-
-def open_space(pieces: DataFrame, size: int, min_patch: float = 25.0) -> DataFrame:
-    """Union area of a cell's rectangles, and its open patches of ``min_patch`` or more: count, largest, share and fragmentation
-    n * (1 - largest / open).  A group is the buildings that touch one cell, which the cell's size bounds."""
+
+def open_pieces(polygons: list[list[np.ndarray]], box: Box) -> tuple[float, np.ndarray, list[tuple[str, float, float, int]]]:
+    """Covered area, the areas of the open pieces, and where they touch the box's sides: side, from, to, piece."""
+    covered, root, areas, before, border = 0.0, [], [], [], []
+    for s in sweep(edges_of([polygons], box), box, 1):
+        ends = [(box[0], box[0], None)]
+        for a, b in s.spans(0):
+            covered += s.area(a, b)
+            ends.append((float(s.bottom[a]), float(s.top[a]), (float(s.bottom[b]), float(s.top[b]))))
+        ends.append((box[2], box[2], None))
+        now = []
+        for k in range(len(ends) - 1):
+            left = ends[k][2] or (box[0], box[0])
+            right = ends[k + 1][:2]
+            size = (right[0] - left[0] + right[1] - left[1]) / 2 * (s.high - s.low)
+            if size <= EPS * EPS:
+                continue
+            root.append(len(root))
+            areas.append(size)
+            now.append((left[0], right[0], left[1], right[1], len(root) - 1))
+            if left == (box[0], box[0]):
+                border.append(("w", s.low, s.high, len(root) - 1))
+            if right == (box[2], box[2]):
+                border.append(("e", s.low, s.high, len(root) - 1))
+            if s.low <= box[1]:
+                border.append(("s", left[0], right[0], len(root) - 1))
+            if s.high >= box[3]:
+                border.append(("n", left[1], right[1], len(root) - 1))
+        i = j = 0
+        while i < len(before) and j < len(now):
+            if min(before[i][3], now[j][1]) - max(before[i][2], now[j][0]) > EPS:
+                a, b = find(root, before[i][4]), find(root, now[j][4])
+                root[max(a, b)] = min(a, b)
+            if before[i][3] < now[j][1]:
+                i += 1
+            else:
+                j += 1
+        before = now
+    top = np.array([find(root, k) for k in range(len(root))], int)
+    names, piece = np.unique(top, return_inverse=True)
+    return covered, np.bincount(piece, areas, len(names)), [(side, a, b, int(piece[k])) for side, a, b, k in border if b - a > EPS]
+
+
+def inside(cover: list[list[np.ndarray]], others: list[list[np.ndarray]], box: Box) -> tuple[float, np.ndarray, np.ndarray]:
+    """Area of the union of ``cover``, and for each of the other polygons its area and the length of its outline inside that union.
+
+    Outlines are taken as they are in the box; where one runs along the box's side only because it was cut there, it doesn't count.
+    """
+    e = edges_of([cover, others], box)
+    area, length = np.zeros(len(others)), np.zeros(len(others))
+    whole, before = 0.0, None
+    levels: dict[float, list[tuple[float, float, int]]] = {}
+    for a, b, y, p in e.flat:
+        if p >= len(cover) and box[1] < y < box[3]:
+            levels.setdefault(y, []).append((min(a, b), max(a, b), p - len(cover)))
+    for s in sweep(e, box, 2):
+        spans = s.spans(0)
+        whole += sum(s.area(a, b) for a, b in spans)
+        open_: dict[int, int] = {}
+        for k, row in enumerate(s.rows.tolist()):
+            if e.layer[row] != 1:
+                continue
+            p = int(e.polygon[row]) - len(cover)
+            on_side = (s.bottom[k] == s.top[k]) and s.bottom[k] in (box[0], box[2])
+            if s.covers[0][k] and not on_side:
+                length[p] += np.hypot(s.top[k] - s.bottom[k], s.high - s.low)
+            if p not in open_:
+                open_[p] = k
+                continue
+            first = open_.pop(p)
+            area[p] += sum(s.area(max(first, a), min(k, b)) for a, b in spans if a < k and b > first)
+        for y in (s.low, s.high):
+            for a, b, p in levels.get(y, ()):
+                x = s.bottom if y == s.low else s.top
+                held = sum(max(0.0, min(b, float(x[j])) - max(a, float(x[i]))) for i, j in spans)
+                if y == s.low:
+                    length[p] += max(0.0, held - (before or {}).get((a, b, p), 0.0))
+                else:
+                    length[p] += held
+        before = {(a, b, p): sum(max(0.0, min(b, float(s.top[j])) - max(a, float(s.top[i]))) for i, j in spans) for a, b, p in levels.get(s.high, ())}
+    return whole, area, length
+
+
+def capsule(x0: float, y0: float, x1: float, y1: float, radius: float, quadrant: int = 8) -> np.ndarray:
+    """A segment's surroundings within radius, its round ends as ``quadrant`` chords a quarter circle."""
+    turn = np.arctan2(y1 - y0, x1 - x0)
+    a = turn - np.pi / 2 + np.pi * np.arange(2 * quadrant + 1) / (2 * quadrant)
+    arc = radius * np.stack([np.cos(a), np.sin(a)], axis=1)
+    return np.concatenate([np.array([x1, y1]) + arc, np.array([x0, y0]) - arc])
+
+
+def _polygons(column: pd.Series) -> list[list[np.ndarray]]:
+    return [[np.array([(p["x"], p["y"]) for p in r], float).reshape(-1, 2) for r in rings] for rings in column]
+
+
+def open_space(pieces: DataFrame, size: int, min_patch: float = 25.0, parts: int = 5) -> DataFrame:
+    """Union area of the polygons of a cell (row_id, col_id, and rings or a rectangle x0, y0, x1, y1), and its open patches of ``min_patch``
+    or more: count, area, largest, and fragmentation n * (1 - largest / open).
+
+    A cell is swept in parts * parts squares, so a crowded cell is many tasks' work; pieces of neighbouring squares that share a stretch of
+    border are one patch, found by components over the borders.
+    """
+    step = size / parts
+    own = pieces
+    if "rings" not in pieces.columns:
+        corners = F.array(*[F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))])
+        own = pieces.withColumn("rings", F.array(corners))
+    own = own.select("row_id", "col_id", F.col("rings").cast(RINGS).alias("rings"))
+
+    def bound(axis: str, f):
+        return f(F.transform(F.col("rings")[0], lambda p: p[axis]))
+
+    def squares(axis: str, cell: str):
+        first = F.greatest(F.floor((bound(axis, F.array_min) - F.col(cell) * size) / step), F.lit(0))
+        last = F.least(F.floor((bound(axis, F.array_max) - F.col(cell) * size) / step), F.lit(parts - 1))
+        return F.when(first <= last, F.sequence(first.cast("long"), last.cast("long")))
+
+    spread = own.withColumn("r", F.explode(squares("y", "row_id"))).withColumn("c", F.explode(squares("x", "col_id")))
+    cells = pieces.select("row_id", "col_id").distinct()
+    steps = F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))
+    every = cells.withColumn("r", F.explode(steps)).withColumn("c", F.explode(steps))
+    whole = every.join(spread, ["row_id", "col_id", "r", "c"], "left")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        row, col, r, c = (int(pdf[k].iloc[0]) for k in ("row_id", "col_id", "r", "c"))
+        x, y = col * size + c * step, row * size + r * step
+        covered, areas, border = open_pieces(_polygons(pdf.rings.dropna()), (x, y, x + step, y + step))
+        rows = [(row, col, r, c, k, a, None, 0.0, 0.0) for k, a in enumerate(areas.tolist())]
+        rows += [(row, col, r, c, k, 0.0, side, a, b) for side, a, b, k in border]
+        return pd.DataFrame([*rows, (row, col, r, c, -1, covered, None, 0.0, 0.0)], columns=["row_id", "col_id", "r", "c", "piece", "area", "side", "a", "b"])
+
+    found = cut(whole.groupBy("row_id", "col_id", "r", "c").applyInPandas(one, "row_id long, col_id long, r long, c long, piece long, area double, side string, a double, b double"))
+    name = (((F.col("row_id") * 100_000 + F.col("col_id")) * parts + F.col("r")) * parts + F.col("c")) * 1_000_000 + F.col("piece")
+    named = found.withColumn("id", name)
+    border = named.filter("side IS NOT NULL")
+    near = border.select("row_id", "col_id", "r", "c", "side", "a", "b", "id")
+    ahead = near.filter("side IN ('n', 'e')").select("row_id", "col_id", (F.col("r") + (F.col("side") == "n").cast("int")).alias("r"), (F.col("c") + (F.col("side") == "e").cast("int")).alias("c"), F.when(F.col("side") == "n", "s").otherwise("w").alias("side"), F.col("a").alias("oa"), F.col("b").alias("ob"), F.col("id").alias("other"))
+    links = near.join(ahead, ["row_id", "col_id", "r", "c", "side"]).filter(F.least("b", "ob") - F.greatest("a", "oa") > EPS).select(F.col("id").alias("a"), F.col("other").alias("b"))
+    roots = components(links)
+    sizes = named.filter("piece >= 0 AND side IS NULL").join(roots, F.col("id") == F.col("node"), "left").groupBy("row_id", "col_id", F.coalesce("root", "id").alias("patch")).agg(F.sum("area").alias("area")).filter(F.col("area") >= min_patch)
+    patches = sizes.groupBy("row_id", "col_id").agg(F.sum("area").alias("open_area"), F.count(F.lit(1)).alias("open_patches"), F.max("area").alias("largest_patch"))
+    union = named.filter("piece < 0").groupBy("row_id", "col_id").agg(F.sum("area").alias("union_area"))
+    out = union.join(patches, ["row_id", "col_id"], "left").fillna(0.0, ["open_area", "largest_patch"]).fillna(0, ["open_patches"])
+    return out.select("row_id", "col_id", "union_area", "open_area", "open_patches", "largest_patch", F.when(F.col("open_area") > 0, F.col("open_patches") * (1 - F.col("largest_patch") / F.col("open_area"))).alias("fragmentation"))
+
+
+def frontage_context(roads: DataFrame, buildings: DataFrame, size: float, radius: float = 20.0, quadrant: int = 8) -> DataFrame:
+    """Per cell with a road: road_length, buffer_area (the union of the surroundings of its road pieces, inside the cell), and the buildings
+    in it: building_count, building_area and edge_length (their outlines inside it).
+
+    roads: row_id, col_id, length and the piece's ends px0, py0, px1, py1; buildings: row_id, col_id and rings.
+    """
+    r = roads.select("row_id", "col_id", F.lit(0).alias("kind"), "length", *[F.col(c).cast("double").alias(c) for c in ("px0", "py0", "px1", "py1")], F.lit(None).cast(RINGS).alias("rings"))
+    b = buildings.join(roads.select("row_id", "col_id").distinct(), ["row_id", "col_id"], "left_semi").select("row_id", "col_id", F.lit(1).alias("kind"), F.lit(0.0).alias("length"), *[F.lit(None).cast("double").alias(c) for c in ("px0", "py0", "px1", "py1")], F.col("rings").cast(RINGS).alias("rings"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         row, col = int(pdf.row_id.iloc[0]), int(pdf.col_id.iloc[0])
         box = (col * size, row * size, (col + 1) * size, (row + 1) * size)
-        xs, ys, covered = covered_grid(*(pdf[c].to_numpy(float) for c in ("x0", "y0", "x1", "y1")), box)
-        area = np.diff(ys)[:, None] * np.diff(xs)[None, :]
-        label = patches(~covered)
-        sizes = np.bincount(label[label >= 0], weights=area[label >= 0]) if (label >= 0).any() else np.zeros(0)
-        sizes = sizes[sizes >= min_patch]
-        total, n = float(sizes.sum()), len(sizes)
-        largest = float(sizes.max(initial=0))
-        return pd.DataFrame([(row, col, float(area[covered].sum()), total, n, largest, n * (1 - largest / total) if total else None)], columns=["row_id", "col_id", "union_area", "open_area", "open_patches", "largest_patch", "fragmentation"])
-
-    return pieces.groupBy("row_id", "col_id").applyInPandas(one, "row_id long, col_id long, union_area double, open_area double, open_patches long, largest_patch double, fragmentation double")
+        lines = pdf[pdf.kind == 0]
+        cover = [[capsule(*x, radius, quadrant)] for x in lines[["px0", "py0", "px1", "py1"]].itertuples(index=False, name=None)]
+        whole, area, edge = inside(cover, _polygons(pdf[pdf.kind == 1].rings), box)
+        seen = area > 0
+        return pd.DataFrame([(row, col, float(lines.length.sum()), whole, int(seen.sum()), float(area[seen].sum()), float(edge[seen].sum()))], columns=["row_id", "col_id", "road_length", "buffer_area", "building_count", "building_area", "edge_length"])
+
+    return r.unionByName(b).groupBy("row_id", "col_id").applyInPandas(one, "row_id long, col_id long, road_length double, buffer_area double, building_count long, building_area double, edge_length double")
