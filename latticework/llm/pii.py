@@ -143,23 +143,28 @@ def entity_names(base: Column) -> Column:
 
 
 def context_terms(found: DataFrame, min_length: int) -> DataFrame:
-    """A row per term of the texts with an entity: id, text_hash, term (lower case), start, end.
+    """A row per distinct text with an entity: text_hash and terms (h, a hash of the term in lower case, start, end).
 
     A term is a run of letters and digits with a letter, ``min_length`` long at least, that touches no base span: the spans become marks
     that continue a run, and runs with a mark are left out.
     """
     marked = rf"[\p{{L}}\p{{N}}{MARK}]+"
-    texts = found.filter(F.size("base") > 0).select("id", "text_hash", "base", F.translate("text", MARK, OTHER).alias("text"))
-    texts = texts.select("id", "text_hash", replaced(F.col("text"), clusters(F.col("base")), lambda r, c: F.repeat(F.lit(MARK), (r["end"] - r["start"]).cast("int"))).alias("text"))
+    texts = found.filter(F.size("base") > 0).select("text_hash", "base", F.translate("text", MARK, OTHER).alias("text")).dropDuplicates(["text_hash"])
+    texts = texts.select("text_hash", replaced(F.col("text"), clusters(F.col("base")), lambda r, c: F.repeat(F.lit(MARK), (r["end"] - r["start"]).cast("int"))).alias("text"))
     texts = texts.withColumn("m", F.regexp_extract_all("text", F.lit(marked), F.lit(0)))
     texts = texts.withColumn("p", F.split("text", marked, -1)).filter(F.size("m") > 0)
     texts = texts.withColumn("at", starts_of(F.col("p"), F.col("m")))
     clear = F.filter(F.arrays_zip("m", "at"), lambda y: (F.length(y["m"]) >= min_length) & ~F.contains(y["m"], F.lit(MARK)) & y["m"].rlike(r"\p{L}"))
-    return texts.select("id", "text_hash", F.explode(clear).alias("y")).select("id", "text_hash", F.lower("y.m").alias("term"), F.col("y.at").alias("start"), (F.col("y.at") + F.length("y.m")).alias("end"))
+    return texts.select("text_hash", F.transform(clear, lambda y: F.struct(F.xxhash64(F.lower(y["m"])).alias("h"), y["at"].alias("start"), (y["at"] + F.length(y["m"])).alias("end"))).alias("terms"))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A checkpointed table, to be broadcast where it has BROADCAST_TERMS rows (of some numbers each) at most."""
+    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
 
 
 def disclosing_terms(docs: DataFrame, near: DataFrame, found: DataFrame, text_col: str, generalise: float) -> DataFrame:
-    """text_hash, term and disclosure (the highest of the text's entities) at or above ``generalise``; frequencies over all distinct texts.
+    """text_hash, h and disclosure (the highest of the text's entities) at or above ``generalise``; frequencies over all distinct texts.
 
     A pair reaches ``generalise`` only if df(t) + 1 is at most df(t, e) * (N / df(e)) ** (1 - generalise).  The texts with entities
     that hold the term bound df(t) from below, and df(t, e) is at most that and at most df(e); so common words leave before pairs are
@@ -168,41 +173,48 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, found: DataFrame, text_co
     """
     n = found.select("text_hash").distinct().count()
     if not n:
-        return near.select("text_hash", "term", F.lit(0.0).alias("disclosure")).limit(0)
+        return near.select("text_hash", F.lit(0).cast("long").alias("h"), F.lit(0.0).alias("disclosure")).limit(0)
     texts = F.lit(float(n))
     x1, x2 = F.bit_xor(F.xxhash64("text_hash")), F.bit_xor(F.xxhash64("text_hash", F.lit(5)))
-    stands = cut(found.select(F.explode(entity_names(F.col("base"))).alias("entity"), "text_hash").distinct())
-    entities = stands.groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"), x1.alias("e1"), x2.alias("e2"))
-    held = cut(join_hot(stands, entities, ["entity"], "df_e", stands.count()).select("text_hash", "df_e", "e1", "e2").distinct())
-    terms = cut(near.select("term", "text_hash").distinct())
-    lows = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df_low"), x1.alias("t1"), x2.alias("t2"))
-    known = cut(join_hot(terms, lows, ["term"], "df_low", terms.count()))
 
-    def gain(df_e: str) -> Column:
-        return F.pow(texts / F.col(df_e), F.lit(1.0 - generalise)) * (1 + 1e-9)
+    def gain(df_e) -> Column:
+        return F.pow(texts / df_e, F.lit(1.0 - generalise)) * (1 + 1e-9)
 
-    rarest = held.groupBy("text_hash").agg(F.min("df_e").alias("df_e"))
-    one = cut(known.join(rarest, "text_hash").filter(F.col("df_low") + 1 <= gain("df_e")).select("text_hash", "term", "df_e"))
-    classes = known.filter("df_low >= 2").select("t1", "t2", "df_low", "text_hash").distinct()
-    able = F.col("df_low") + 1 <= F.least("df_low", "df_e") * gain("df_e")
+    stands = cut(found.select(F.explode(F.transform(entity_names(F.col("base")), lambda x: F.xxhash64(x))).alias("entity"), "text_hash").distinct())
+    entities = stands.groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"), x1.alias("e1"), x2.alias("e2"))
+    held = cut(join_hot(stands, entities, ["entity"], "df_e", stands.count()).select("text_hash", "df_e", "e1", "e2").distinct())
+    least, most = held.agg(F.min("df_e"), F.max("df_e")).first()
+    if least is None:
+        return near.select("text_hash", F.lit(0).cast("long").alias("h"), F.lit(0.0).alias("disclosure")).limit(0)
+    terms = near.select(F.explode(F.array_distinct(F.transform("terms", lambda y: y["h"]))).alias("h"), "text_hash")
+    lows = cut(terms.groupBy("h").agg(F.count(F.lit(1)).alias("df_low"), x1.alias("t1"), x2.alias("t2")).filter(F.col("df_low") + 1 <= F.least("df_low", F.lit(most)) * gain(F.lit(float(least)))))
+
+    # Terms and entities of two texts or more: pairs of classes.
+    shared = lows.filter("df_low >= 2")
+    classes = terms.join(_few(shared), "h").select("t1", "t2", "df_low", "text_hash").distinct()
+    able = F.col("df_low") + 1 <= F.least("df_low", "df_e") * gain(F.col("df_e"))
     both = classes.join(held.filter("df_e >= 2"), "text_hash").filter(able)
     pairs = both.groupBy("e1", "e2", "t1", "t2").agg(F.count(F.lit(1)).alias("df_te"), F.first("df_low").alias("df_low"), F.first("df_e").alias("df_e"))
-    pairs = cut(pairs.filter((F.col("df_te") >= 2) & (F.col("df_low") + 1 <= F.col("df_te") * gain("df_e"))).drop("df_low"))
-    named = known.select("t1", "t2", "term").distinct().join(pairs, ["t1", "t2"])
-    asked = cut(one.select("term").union(named.select("term")).distinct())
-    n_terms = asked.count()
+    pairs = cut(pairs.filter((F.col("df_te") >= 2) & (F.col("df_low") + 1 <= F.col("df_te") * gain(F.col("df_e")))).drop("df_low"))
+    named = shared.select("t1", "t2", "h").join(pairs, ["t1", "t2"])
+
+    # How many texts of the corpus hold the terms that can disclose at all.
+    rare = F.col("df_low") + 1 <= gain(F.lit(float(least)))
+    asked = _few(cut(lows.filter(rare).select("h").union(named.select("h")).distinct()))
     words = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(TERM), F.lit(0)))).alias("term"))
-    hits = words.join(F.broadcast(asked) if n_terms <= BROADCAST_TERMS else asked, "term", "left_semi")
-    counts = cut(hits.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df_t")))
+    words = words.select("text_hash", F.xxhash64("term").alias("h"))
+    counts = cut(words.join(asked, "h", "left_semi").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("df_t")))
 
     def disclosure(df_te: Column) -> Column:
         information = F.log2(texts / F.col("df_e"))
         return F.when(information > 0, 1 - F.log2((F.greatest(F.col("df_t"), df_te) + 1) / df_te) / information).otherwise(F.lit(0.0)).alias("disclosure")
 
-    told = one.join(counts, "term").select("text_hash", "term", disclosure(F.lit(1)))
-    rated = named.join(counts, "term").select("e1", "e2", "term", disclosure(F.col("df_te"))).filter(F.col("disclosure") >= generalise)
-    told = told.unionByName(rated.join(held, ["e1", "e2"]).select("text_hash", "term", "disclosure"))
-    return told.filter(F.col("disclosure") >= generalise).groupBy("text_hash", "term").agg(F.max("disclosure").alias("disclosure"))
+    rarest = held.groupBy("text_hash").agg(F.min("df_e").alias("df_e"))
+    alone = _few(cut(counts.filter(F.col("df_t") + 1 <= gain(F.lit(float(least))))))
+    told = terms.join(alone, "h").join(rarest, "text_hash").select("text_hash", "h", disclosure(F.lit(1)))
+    rated = named.join(counts, "h").select("e1", "e2", "h", disclosure(F.col("df_te"))).filter(F.col("disclosure") >= generalise)
+    told = told.unionByName(rated.join(held, ["e1", "e2"]).select("text_hash", "h", "disclosure"))
+    return told.filter(F.col("disclosure") >= generalise).groupBy("text_hash", "h").agg(F.max("disclosure").alias("disclosure"))
 
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 4, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
@@ -215,12 +227,12 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     found = cut(base_spans(docs, id_col, text_col).select("id", "text_hash", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")))
     near = cut(context_terms(found, min_length))
-    told = disclosing_terms(docs, near, found, text_col, generalise)
-    hits = near.join(told, ["text_hash", "term"]).select("id", "text_hash", "start", "end", "disclosure").distinct()
+    told = cut(disclosing_terms(docs, near, found, text_col, generalise))
+    touched = near.join(told.select("text_hash").distinct(), "text_hash", "left_semi").select("text_hash", F.explode("terms").alias("y")).select("text_hash", "y.*")
     action = F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")
-    extra = hits.groupBy("id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", action.alias("action")))).alias("extra"))
-    extra = extra.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "extra")
-    whole = found.join(extra, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
+    places = touched.join(told, ["text_hash", "h"]).select("text_hash", "start", "end", action.alias("action"))
+    extra = places.groupBy("text_hash").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "action"))).alias("extra"))
+    whole = found.join(extra, "text_hash", "left")
     base = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"), F.lit("replace").alias("action")))
     spans = F.array_sort(F.concat(base, F.coalesce("extra", F.filter(base, lambda x: F.lit(False)))))
     return whole.select(F.col("id").alias(id_col), "text_hash", spans.alias("spans"))
