@@ -287,7 +287,7 @@ def prefix_groups(distinct: DataFrame, sizes: DataFrame, window: int, prefix: in
         level = join_hot(longer, counted, GROUP, "n", counted.agg(F.sum("n")).first()[0] or 0, "left_semi").select(*columns)
 
 
-def find_repeats(docs: DataFrame, window: int = 50, prefix: int = 16, group_limit: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_repeats(docs: DataFrame, window: int = 50, prefix: int = 16, group_limit: int = 4_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, d1 (a hash of the text) and ranges (first word, end) of the words to remove; only documents that may lose words have a row.
 
     A word goes if a window of ``window`` consecutive words covers it whose words also start in a document with a smaller id.  Ids are
@@ -358,7 +358,7 @@ def _kept(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, prefix: int = 16, group_limit: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, prefix: int = 16, group_limit: int = 4_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row: id, n_words, n_removed, kept (its remaining words, space-joined) and kept_sha256.
 
     Null and empty texts have no words.  Repeats within one document stay.  Windows are judged on the input, not on what is left.
