@@ -228,36 +228,38 @@ def _polygons(column: pd.Series) -> list[list[np.ndarray]]:
     return [[np.array([(p["x"], p["y"]) for p in r], float).reshape(-1, 2) for r in rings] for rings in column]
 
 
-def open_space(pieces: DataFrame, size: int, min_patch: float = 25.0, parts: int = 5) -> DataFrame:
+def open_space(pieces: DataFrame, size: int, min_patch: float = 25.0, crowd: int = 300, parts: int = 8) -> DataFrame:
     """Union area of the polygons of a cell (row_id, col_id, and rings or a rectangle x0, y0, x1, y1), and its open patches of ``min_patch``
     or more: count, area, largest, and fragmentation n * (1 - largest / open).
 
-    A cell is swept in parts * parts squares, so a crowded cell is many tasks' work; pieces of neighbouring squares that share a stretch of
-    border are one patch, found by components over the borders.
+    A cell of more than ``crowd`` polygons is swept in parts * parts squares, so it is many tasks' work; pieces of neighbouring squares that
+    share a stretch of border are one patch, found by components over the borders.
     """
-    step = size / parts
     own = pieces
     if "rings" not in pieces.columns:
         corners = F.array(*[F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))])
         own = pieces.withColumn("rings", F.array(corners))
     own = own.select("row_id", "col_id", F.col("rings").cast(RINGS).alias("rings"))
+    cells = own.groupBy("row_id", "col_id").agg(F.when(F.count(F.lit(1)) > crowd, parts).otherwise(1).cast("long").alias("parts"))
+    own = own.join(cells, ["row_id", "col_id"])
+    step = size / F.col("parts")
 
     def bound(axis: str, f):
         return f(F.transform(F.col("rings")[0], lambda p: p[axis]))
 
     def squares(axis: str, cell: str):
         first = F.greatest(F.floor((bound(axis, F.array_min) - F.col(cell) * size) / step), F.lit(0))
-        last = F.least(F.floor((bound(axis, F.array_max) - F.col(cell) * size) / step), F.lit(parts - 1))
+        last = F.least(F.floor((bound(axis, F.array_max) - F.col(cell) * size) / step), F.col("parts") - 1)
         return F.when(first <= last, F.sequence(first.cast("long"), last.cast("long")))
 
     spread = own.withColumn("r", F.explode(squares("y", "row_id"))).withColumn("c", F.explode(squares("x", "col_id")))
-    cells = pieces.select("row_id", "col_id").distinct()
-    steps = F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))
+    steps = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
     every = cells.withColumn("r", F.explode(steps)).withColumn("c", F.explode(steps))
-    whole = every.join(spread, ["row_id", "col_id", "r", "c"], "left")
+    whole = every.join(spread.drop("parts"), ["row_id", "col_id", "r", "c"], "left")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         row, col, r, c = (int(pdf[k].iloc[0]) for k in ("row_id", "col_id", "r", "c"))
+        step = size / int(pdf.parts.iloc[0])
         x, y = col * size + c * step, row * size + r * step
         covered, areas, border = open_pieces(_polygons(pdf.rings.dropna()), (x, y, x + step, y + step))
         rows = [(row, col, r, c, k, a, None, 0.0, 0.0) for k, a in enumerate(areas.tolist())]
@@ -265,8 +267,7 @@ def open_space(pieces: DataFrame, size: int, min_patch: float = 25.0, parts: int
         return pd.DataFrame([*rows, (row, col, r, c, -1, covered, None, 0.0, 0.0)], columns=["row_id", "col_id", "r", "c", "piece", "area", "side", "a", "b"])
 
     found = cut(whole.groupBy("row_id", "col_id", "r", "c").applyInPandas(one, "row_id long, col_id long, r long, c long, piece long, area double, side string, a double, b double"))
-    name = (((F.col("row_id") * 100_000 + F.col("col_id")) * parts + F.col("r")) * parts + F.col("c")) * 1_000_000 + F.col("piece")
-    named = found.withColumn("id", name)
+    named = found.withColumn("id", F.xxhash64("row_id", "col_id", "r", "c", "piece"))
     border = named.filter("side IS NOT NULL")
     near = border.select("row_id", "col_id", "r", "c", "side", "a", "b", "id")
     ahead = near.filter("side IN ('n', 'e')").select("row_id", "col_id", (F.col("r") + (F.col("side") == "n").cast("int")).alias("r"), (F.col("c") + (F.col("side") == "e").cast("int")).alias("c"), F.when(F.col("side") == "n", "s").otherwise("w").alias("side"), F.col("a").alias("oa"), F.col("b").alias("ob"), F.col("id").alias("other"))

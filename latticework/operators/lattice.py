@@ -62,6 +62,24 @@ def segment_overlay(df: DataFrame, size: int, rows: int, cols: int) -> DataFrame
     return out.withColumn("length", F.hypot("dx", "dy") * share).filter("length > 1e-9")
 
 
+def segment_pieces(df: DataFrame, size: int) -> DataFrame:
+    """Segments (x0, y0, x1, y1) cut at the lines of an unbounded lattice: row_id, col_id, length and the piece's ends px0, py0, px1, py1."""
+    def cells(a: str, b: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.least(a, b) / size).cast("long"), F.floor(F.greatest(a, b) / size).cast("long")))
+
+    out = df.withColumn("row_id", cells("y0", "y1")).withColumn("col_id", cells("x0", "x1")).withColumn("dx", F.col("x1") - F.col("x0")).withColumn("dy", F.col("y1") - F.col("y0"))
+
+    def window(start: str, delta: str, cell: str) -> tuple[Column, Column]:
+        p, q = (F.try_divide((F.col(cell) + k) * float(size) - F.col(start), F.col(delta)) for k in (0, 1))
+        inside = F.floor(F.col(start) / size) == F.col(cell)
+        return F.when(F.col(delta) == 0, F.when(inside, 0.0).otherwise(2.0)).otherwise(F.least(p, q)), F.when(F.col(delta) == 0, F.when(inside, 1.0).otherwise(-1.0)).otherwise(F.greatest(p, q))
+
+    (ax, bx), (ay, by) = window("x0", "dx", "col_id"), window("y0", "dy", "row_id")
+    out = out.withColumn("_a", F.greatest(F.lit(0.0), ax, ay)).withColumn("_b", F.least(F.lit(1.0), bx, by)).withColumn("length", F.hypot("dx", "dy") * (F.col("_b") - F.col("_a"))).filter("length > 1e-9")
+    ends = [(F.col(f"{c}0") + F.col(t) * F.col(f"d{c}")).alias(f"p{c}{k}") for k, t in ((0, "_a"), (1, "_b")) for c in "xy"]
+    return out.select("*", *ends).drop("_a", "_b", "dx", "dy")
+
+
 def point_segment_distance(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     dx, dy = x1 - x0, y1 - y0
     square = dx * dx + dy * dy

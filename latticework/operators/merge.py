@@ -52,6 +52,17 @@ def require_one_to_one(df: DataFrame, key: str) -> DataFrame:
     return df
 
 
+def any_flag(df: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """name = "1" where a column is the text "1" exactly, else "0"; columns that df doesn't have count as "0"."""
+    tests = [F.coalesce(F.col(c).cast("string") == "1", F.lit(False)) for c in columns if c in df.columns]
+    return df.withColumn(name, F.when(reduce(lambda a, b: a | b, tests, F.lit(False)), "1").otherwise("0"))
+
+
+def presence_flags(df: DataFrame, flags: dict[str, str]) -> DataFrame:
+    """For each name a flag "1" where its column is a number above 0, else "0"."""
+    return df.select("*", *[F.when(F.coalesce(S.parse_number(F.col(c)), F.lit(0.0)) > 0, "1").otherwise("0").alias(name) for name, c in flags.items()])
+
+
 def permeability(df: DataFrame) -> DataFrame:
     """Derived street fields: presence flags and the two permeability proxies, from text or numeric columns."""
 

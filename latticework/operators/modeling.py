@@ -6,11 +6,14 @@ from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions.scalar import block_key
 
+from .ranking import wide_quantiles
+
 #: Blocks up to which folds are dealt on the driver: a row per block and label.
 MAX_BLOCKS = 100_000
 
@@ -43,25 +46,35 @@ def classifier(kind: str, trees: int, depth: int, seed: int):
     raise ValueError(f"no model {kind!r}")
 
 
-def held_out_predictions(df: DataFrame, features: list[str], label: str, group: str, kind: str = "random_forest", key: str = "grid_id", trees: int = 50, depth: int = 10, seed: int = 42) -> DataFrame:
-    """Predictions of each group (fold, district) by a model of all others: key, group, true and predicted label.
+#: Groups that a model is fitted for, at most.
+MAX_GROUPS = 1_000
+
+
+def held_out_predictions(df: DataFrame, features: list[str], label: str, group: str, kind: str = "random_forest", key: str = "grid_id", trees: int = 50, depth: int = 10, seed: int = 42, least_rows: int = 1) -> DataFrame:
+    """Predictions of each group (fold, district) by a model of all others: key, group, true and predicted label and, for models that
+    give them, a probability per label (an array in the order of the sorted labels).
 
-    Nulls become medians of the training rows, and classes weigh n / (k * n_c) there.  Groups are few: a model is fitted for each.
+    Groups of ``least_rows`` or more are held out, the most frequent first.  Nulls become medians of the training rows, and classes weigh
+    n / (k * n_c) there.  A model is fitted for each group; more than MAX_GROUPS are an error.
     """
-    groups = [r[0] for r in df.select(group).distinct().orderBy(group).collect()]
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_rows).orderBy(F.col("n").desc(), group)
+    groups = [r[0] for r in counts.limit(MAX_GROUPS + 1).collect()]
+    if len(groups) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups")
     labels = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
     number = F.element_at(F.create_map(*[F.lit(x) for i, v in enumerate(labels) for x in (v, float(i))]), F.col(label))
     name = F.element_at(F.array(*[F.lit(v) for v in labels]), (F.col("prediction") + 1).cast("int"))
     parts = []
     for g in groups:
         train, test = df.filter(F.col(group) != g), df.filter(F.col(group) == g)
-        row = train.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in features]).first()
-        fill = {c: float(row[c] if row[c] is not None else 0.0) for c in features}
+        row = wide_quantiles(train, features, [], [0.5]).first()
+        fill = {c: float(row[f"q_{c}"][0] if row[f"q_{c}"] is not None else 0.0) for c in features}
         n = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
         weight = F.element_at(F.create_map(*[F.lit(x) for v, c in n.items() for x in (v, sum(n.values()) / (len(n) * c))]), F.col(label))
         assemble = VectorAssembler(inputCols=features, outputCol="features")
         ready = assemble.transform(train.fillna(fill, features).withColumn("y", number).withColumn("w", weight))
         model = classifier(kind, trees, depth, seed).fit(ready)
         out = model.transform(assemble.transform(test.fillna(fill, features)))
-        parts.append(out.select(key, group, F.col(label).alias("true_label"), name.alias("predicted_label")))
+        sure = vector_to_array("probability") if "probability" in out.columns else F.lit(None).cast("array<double>")
+        parts.append(out.select(key, group, F.col(label).alias("true_label"), name.alias("predicted_label"), sure.alias("probabilities")))
     return reduce(DataFrame.unionByName, parts)

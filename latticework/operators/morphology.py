@@ -23,10 +23,11 @@ def floor_stats(pieces: DataFrame, keys: list[str], cell_area: float, floor_heig
     def over(cond: Column, x: Column) -> Column:
         return F.sum(F.when(cond, x).otherwise(0.0))
 
+    below = F.coalesce(F.col("below").cast("double"), F.lit(0.0)) if "below" in pieces.columns else F.lit(0.0)
     bands = {"low_area": ok & (f <= 2), "mid_area": ok & (f > 2) & (f <= 5), "upper_area": ok & (f > 5) & (f <= 10), "high_area": ok & (f > 10)}
     sums = pieces.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("building_count"), F.sum(a).alias("building_area"), F.sum(missing.cast("long")).alias("missing_floors"), F.sum(outlier.cast("long")).alias("outlier_floors"),
-        F.sum(ok.cast("long")).alias("valid_buildings"), F.max(f).alias("max_raw"), F.max(F.when(ok, f)).alias("max_valid"), over(ok, a).alias("v"), over(ok, a * f).alias("s1"), over(ok, a * f * f).alias("s2"),
+        F.sum(ok.cast("long")).alias("valid_buildings"), F.max(f).alias("max_raw"), F.max(F.when(ok, f)).alias("max_valid"), over(ok, a).alias("v"), over(ok, a * f).alias("s1"), over(ok, a * f * f).alias("s2"), over(ok, a * below).alias("s0"),
         *[over(c, a).alias(k) for k, c in bands.items()],
     )
     mean = _share(F.col("s1"), F.col("v"))
@@ -35,7 +36,7 @@ def floor_stats(pieces: DataFrame, keys: list[str], cell_area: float, floor_heig
         *keys, "building_count", "building_area", (F.col("building_area") / cell_area).alias("coverage"), "missing_floors", "outlier_floors", "valid_buildings", "max_raw", "max_valid",
         mean.alias("floors_mean"), F.when(F.col("v") > 0, spread).alias("floors_std"), (mean * floor_height).alias("height_mean_m"),
         F.when(F.col("v") > 0, F.col("s1") / cell_area).alias("floor_area_ratio"), F.when(F.col("v") > 0, F.col("s1") * floor_height).alias("volume_m3"),
-        *[_share(F.col(k), F.col("v")).alias(f"{k}_share") for k in bands],
+        *[_share(F.col(k), F.col("v")).alias(f"{k}_share") for k in bands], *([_share(F.col("s0"), F.col("v")).alias("below_mean")] if "below" in pieces.columns else []),
     )
 
 

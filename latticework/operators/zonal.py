@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,11 +57,31 @@ def majority_share(pixels: DataFrame, keys: list[str], code: str, known: list[in
     return totals.groupBy(*keys).agg(F.coalesce(best, F.lit(0)).cast("long").alias("majority"), *shares)
 
 
-def local_window(points: DataFrame, keys: list[str], value: str, half: int) -> DataFrame:
-    """Mean, population deviation and count over the square of ``half`` cells around each cell (row_id, col_id)."""
+def context_measures(cells: DataFrame, areas: DataFrame, lengths: DataFrame, points: DataFrame, keys: list[str], kinds: list[str], cell_area: float) -> DataFrame:
+    """Per cell and class: area, share of the cell (1 at most), flag (1 with any area), line length and points, 0 where there is none.
+
+    areas, lengths and points: keys, kind, and area or length of the pieces in each cell.
+    """
+    parts = [
+        areas.groupBy(*keys, "kind").agg(F.sum("area").alias("v")).withColumn("what", F.concat(F.lit("area_"), "kind")),
+        lengths.groupBy(*keys, "kind").agg(F.sum("length").alias("v")).withColumn("what", F.concat(F.lit("length_"), "kind")),
+        points.groupBy(*keys, "kind").agg(F.count(F.lit(1)).cast("double").alias("v")).withColumn("what", F.concat(F.lit("points_"), "kind")),
+    ]
+    names = [f"{what}_{k}" for k in kinds for what in ("area", "length", "points")]
+    wide = reduce(DataFrame.unionByName, parts).groupBy(*keys).pivot("what", names).agg(F.sum("v"))
+    out = cells.select(*keys).join(wide, keys, "left").fillna(0.0, names)
+    for k in kinds:
+        out = out.withColumn(f"share_{k}", F.least(F.col(f"area_{k}") / cell_area, F.lit(1.0))).withColumn(f"flag_{k}", (F.col(f"area_{k}") > 0).cast("int")).withColumn(f"points_{k}", F.col(f"points_{k}").cast("long"))
+    return out
+
+
+def local_window(points: DataFrame, keys: list[str], value: str, half: int, least: int = 0) -> DataFrame:
+    """Mean, population deviation and count over the square of ``half`` cells around each cell (row_id, col_id); null under ``least`` cells."""
     steps = F.sequence(F.lit(-half), F.lit(half))
     spread = points.select(F.explode(steps).alias("a"), "row_id", "col_id", value).select(F.explode(steps).alias("b"), "a", "row_id", "col_id", value)
     sums = spread.groupBy((F.col("row_id") + F.col("a")).alias("row_id"), (F.col("col_id") + F.col("b")).alias("col_id")).agg(F.count(value).alias("n"), F.avg(value).alias("local_mean"), F.stddev_pop(value).alias("local_std"))
+    enough = F.col("n") >= least
+    sums = sums.select("row_id", "col_id", "n", *[F.when(enough, F.col(c)).alias(c) for c in ("local_mean", "local_std")]) if least else sums
     return points.select(*keys, value).join(sums, ["row_id", "col_id"])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from latticework.functions import scalar as S
 from latticework.operators import access, geometry, lattice, modeling, morphology, network, polygons, zonal
 
-from .inputs import ACCESS, BUILDINGS, CELL, CELL_AREA, COLS, PIECES, PIXELS, ROADS, ROWS, SIZE, buildings, origins, pixels, roads, rounded, supplies
+from .inputs import ACCESS, BUILDINGS, CELL, CELL_AREA, COLS, PIECES, PIXELS, ROADS, ROWS, SIZE, buildings, origins, pixels, roads, rounded, supplies, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -182,6 +182,63 @@ def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.degrees(network.graph_edges(roads(spark, sf_dir), 100.0))
 
 
+def wide_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Footprints over a lattice as large as the table needs: octagons and rectangles, each cell with a few whatever the scale."""
+    k = F.col("p_partkey")
+    x, y = (k * 7919 % 1_000_003 % 9000).cast("double"), (k * 104729 % 1_000_033 % 9000).cast("double") + F.floor(k / 2000) * 9000
+    w, h = 10.0 + k % 90, 10.0 + k * 13 % 70
+    cut_ = F.when(k % 3 == 0, 0.3).otherwise(0.0)
+
+    def p(a: float, b: float, ca: int, cb: int):
+        return F.struct((x + w * (a + cut_ * ca)).alias("x"), (y + h * (b + cut_ * cb)).alias("y"))
+
+    ring = F.array(p(0, 0, 1, 0), p(1, 0, -1, 0), p(1, 0, 0, 1), p(1, 1, 0, -1), p(1, 1, -1, 0), p(0, 1, 1, 0), p(0, 1, 0, -1), p(0, 0, 0, 1))
+    return table(spark, sf_dir, "part").select(k.alias("id"), F.array(ring).alias("rings"))
+
+
+def _cells_touched(df: DataFrame) -> DataFrame:
+    corners = F.col("rings")[0]
+
+    def cells(axis: str):
+        values = F.transform(corners, lambda c: c[axis])
+        return F.explode(F.sequence(F.floor(F.array_min(values) / SIZE).cast("long"), F.floor(F.array_max(values) / SIZE).cast("long")))
+
+    return df.withColumn("row_id", cells("y")).withColumn("col_id", cells("x"))
+
+
+@query()
+def street_frontage_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Street surroundings and the buildings in them by cell, from the geometry; tested against rasters and closed forms."""
+    k = F.col("o_orderkey")
+    x, y = (k * 7919 % 1_000_003 % 9000).cast("double"), (k * 104729 % 1_000_033 % 9000).cast("double") + F.floor(k / 2000) * 9000
+    streets = table(spark, sf_dir, "orders").select(k.alias("id"), x.alias("x0"), y.alias("y0"), (x + k * 31 % 301 - 150).alias("x1"), (y + k * 17 % 307 - 150).alias("y1"))
+    pieces = lattice.segment_pieces(streets, SIZE)
+    context = geometry.frontage_context(pieces, _cells_touched(wide_buildings(spark, sf_dir)), float(SIZE), quadrant=4)
+    out = morphology.frontage(context, CELL_AREA)
+    return rounded(out, *[c for c, kind in out.dtypes if kind == "double"], digits=4)
+
+
+@query()
+def open_space_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open patches of cells with footprints that are no rectangles; tested against rasters."""
+    return rounded(geometry.open_space(_cells_touched(wide_buildings(spark, sf_dir)), SIZE), "union_area", "open_area", "largest_patch", "fragmentation", digits=4)
+
+
+_CONTEXT_KINDS = ["mesken", "isyeri", "kamu"]
+
+
+@query(f"""WITH {BUILDINGS}, g AS (SELECT row_id, col_id, type, sum(area) AS a FROM p WHERE w > 0 AND h > 0 GROUP BY 1, 2, 3), {PIXELS.replace('e AS', 'e AS', 1)}, n AS (SELECT row_id, col_id, CASE label WHEN 'click' THEN 'mesken' WHEN 'view' THEN 'isyeri' ELSE 'kamu' END AS type, count(*) AS k FROM e WHERE row_id < 20 AND col_id < 20 GROUP BY 1, 2, 3)
+SELECT c.row_id, c.col_id, {', '.join(f"round(coalesce(max(CASE WHEN g.type = '{k}' THEN a END), 0), 4) AS area_{k}, round(least(coalesce(max(CASE WHEN g.type = '{k}' THEN a END), 0) / 62500, 1), 6) AS share_{k}, CASE WHEN coalesce(max(CASE WHEN g.type = '{k}' THEN a END), 0) > 0 THEN 1 ELSE 0 END AS flag_{k}, CAST(coalesce(max(CASE WHEN n.type = '{k}' THEN k END), 0) AS BIGINT) AS points_{k}" for k in _CONTEXT_KINDS)} FROM cells c LEFT JOIN g ON g.row_id = c.row_id AND g.col_id = c.col_id LEFT JOIN n ON n.row_id = c.row_id AND n.col_id = c.col_id GROUP BY 1, 2""")
+def context_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    areas = _pieces(spark, sf_dir).filter("type IS NOT NULL").select(*CELL, F.col("type").alias("kind"), "area")
+    lengths = _lengths(spark, sf_dir).select(*CELL, F.col("kind"), "length")
+    kind = F.when(F.col("label") == "click", "mesken").when(F.col("label") == "view", "isyeri").otherwise("kamu")
+    points = _zones(spark, sf_dir).select(*CELL, kind.alias("kind"))
+    out = zonal.context_measures(lattice.grid_cells(spark, ROWS, COLS), areas, lengths, points, CELL, _CONTEXT_KINDS, CELL_AREA)
+    kept = [f"{what}_{k}" for k in _CONTEXT_KINDS for what in ("area", "share", "flag", "points")]
+    return rounded(rounded(out.select(*CELL, *kept), *[c for c in kept if c.startswith("area")], digits=4), *[c for c in kept if c.startswith("share")])
+
+
 @query()
 def open_space_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(geometry.open_space(_pieces(spark, sf_dir), SIZE), "union_area", "open_area", "largest_patch", "fragmentation", digits=4)

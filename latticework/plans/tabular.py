@@ -302,7 +302,7 @@ def priority_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(audit.priority(d, "doc_id", "confidence", [("toxic", 3, F.col("toxic") == 1), ("foreign", 1.5, F.col("lang") != "en"), ("poor", 2, F.col("quality") == 0)]), "score")
 
 
-@query(r"""SELECT p_partkey, array_to_string(regexp_extract_all(translate(lower(trim(p_name)), 'çğıöşüâîûáàäãåéèêëíìïóòôõúùñßý', 'cgiosuaiuaaaaaeeeeiiioooouunsy'), '[a-z0-9]+'), ' ') AS name, coalesce(TRY_CAST(replace(replace(CAST(p_size AS VARCHAR) || ',5', ' ', ''), ',', '.') AS DOUBLE), 0) AS area FROM part""")
+@query(r"""SELECT p_partkey, array_to_string(regexp_extract_all(strip_accents(lower(trim(p_name))), '[a-z0-9]+'), ' ') AS name, coalesce(TRY_CAST(replace(replace(CAST(p_size AS VARCHAR) || ',5', ' ', ''), ',', '.') AS DOUBLE), 0) AS area FROM part""")
 def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", S.normalise_text(F.col("p_name")).alias("name"), S.comma_area(F.concat(F.col("p_size").cast("string"), F.lit(",5"))).alias("area"))
 

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import json
 import sqlite3
+import struct
 from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -34,7 +41,94 @@ def typed_csv(spark: SparkSession, path: str, schema: str, columns: list[str] |
     return require_columns(df, columns).select(*columns) if columns else df
 
 
-ELEMENTS = "elements array<struct<type:string,id:long,lon:double,lat:double,tags:map<string,string>,geometry:array<struct<lon:double,lat:double>>>>"
+#: Encodings that a text may be in, in the order they are tried.
+ENCODINGS = ("utf-8-sig", "utf-8", "cp1254")
+
+
+def _decoded(sep: str, columns: list[str]):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for encoding in ENCODINGS:
+                    try:
+                        text = content.decode(encoding)
+                        break
+                    except UnicodeDecodeError:
+                        continue
+                else:
+                    raise ValueError(f"{path} is in none of {ENCODINGS}")
+                found = list(csv.DictReader(io.StringIO(text, newline=""), delimiter=sep))
+                missing = [c for c in columns if found and c not in found[0]]
+                if missing:
+                    raise ValueError(f"missing columns of {path}: {missing}")
+                yield pa.RecordBatch.from_pydict({"source_file": [path] * len(found), "source_row": list(range(2, len(found) + 2)), **{c: [r[c] or None for r in found] for c in columns}}, schema=pa.schema([("source_file", pa.string()), ("source_row", pa.int64()), *((c, pa.string()) for c in columns)]))
+
+    return rows
+
+
+def decoded_csv(spark: SparkSession, path: str, columns: list[str], sep: str = ";") -> DataFrame:
+    """CSV files whose encoding isn't told: source_file, source_row (its line, the header being 1) and columns as text.
+
+    A file is decoded whole by the first encoding that fits, as an encoding can't be told from a part; files are spread over tasks.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    schema = ", ".join(["source_file string", "source_row long", *(f"`{c}` string" for c in columns)])
+    return files.mapInArrow(_decoded(sep, columns), schema)
+
+
+def json_manifest(spark: SparkSession, path: str) -> dict:
+    """A JSON file of settings, such as feature sets and recipes, read through Spark's file systems."""
+    return json.loads("".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+
+
+ELEMENTS = "elements array<struct<type:string,id:long,lon:double,lat:double,tags:map<string,string>,geometry:array<struct<lon:double,lat:double>>,members:array<struct<type:string,role:string,geometry:array<struct<lon:double,lat:double>>>>>>"
+RINGS = T.ArrayType(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))
+
+
+def closed_rings(lines: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
+    """Rings that lines close, alone or joined end to end; what closes nothing is left out."""
+    rings, open_ = [], []
+    for line in lines:
+        (rings if len(line) >= 4 and line[0] == line[-1] else open_).append(line)
+    ends: dict[tuple[float, float], list[int]] = {}
+    for k, line in enumerate(open_):
+        for p in (line[0], line[-1]):
+            ends.setdefault(p, []).append(k)
+    used: set[int] = set()
+    for k in range(len(open_)):
+        if k in used:
+            continue
+        chain, way = list(open_[k]), [k]
+        while chain[0] != chain[-1]:
+            following = [j for j in ends[chain[-1]] if j not in way and j not in used]
+            if not following:
+                break
+            j = following[0]
+            way.append(j)
+            chain += open_[j][1:] if open_[j][0] == chain[-1] else open_[j][-2::-1]
+        if chain[0] == chain[-1] and len(chain) >= 4:
+            rings.append(chain)
+            used.update(way)
+    return rings
+
+
+@F.pandas_udf(RINGS)
+def outer_rings(members: pd.Series) -> pd.Series:
+    """Rings of a relation's outer ways."""
+
+    def one(ms) -> list:
+        lines = [[(p["lon"], p["lat"]) for p in m["geometry"] if p["lon"] is not None and p["lat"] is not None] for m in (ms if ms is not None else ()) if m["type"] == "way" and m["role"] in ("outer", "", None) and m["geometry"] is not None]
+        return [[{"x": x, "y": y} for x, y in r] for r in closed_rings([line for line in lines if len(line) >= 2])]
+
+    return members.map(one, na_action=None)
+
+
+def osm_relations(spark: SparkSession, path: str) -> DataFrame:
+    """Relations of a cached payload whose outer ways close: osm_id, context_class, rings (one per part)."""
+    e = spark.read.schema(ELEMENTS).json(path, multiLine=True).select(F.explode("elements").alias("e")).select("e.*").filter("type = 'relation'")
+    tags = F.coalesce("tags", F.create_map().cast("map<string,string>"))
+    out = e.select(F.lit("relation").alias("osm_type"), F.col("id").alias("osm_id"), tag_class(tags).alias("context_class"), outer_rings("members").alias("rings"))
+    return out.filter(F.size("rings") > 0)
 
 
 def osm_elements(spark: SparkSession, path: str) -> DataFrame:
@@ -60,7 +154,9 @@ def osm_elements(spark: SparkSession, path: str) -> DataFrame:
 class GeopackageSource(DataSource):
     """spark.read.format("geopackage").option("layer", ...).load(path): attributes and the geometry as WKB.
 
-    The file must be readable by path on every executor (a shared file system).  Partitions are ranges of feature ids.
+    The file must be readable by path on every executor (a shared file system).  Partitions are ranges of feature ids.  Option bbox
+    ("x0,y0,x1,y1") reads the features whose bounds meet it: through the layer's spatial index where there is one, else by the bounds in
+    each geometry's header; a geometry without bounds there is read.
     """
 
     @classmethod
@@ -97,19 +193,38 @@ class GeopackageReader(DataSourceReader):
         self.path, self.names = options["path"], schema.names
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as con:
             self.layer, self.geometry = source._table(con)
+            index = f"rtree_{self.layer}_{self.geometry}"
+            self.index = index if con.execute("SELECT count(*) FROM sqlite_master WHERE name = ?", (index,)).fetchone()[0] else None
         self.rows = int(options.get("rowsPerPartition", 100_000))
+        self.bbox = tuple(map(float, options["bbox"].split(","))) if "bbox" in options else None
 
     def partitions(self) -> list[InputPartition]:
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as con:
             low, high = con.execute(f'SELECT min(rowid), max(rowid) FROM "{self.layer}"').fetchone()
         return [] if low is None else [Ids(a, min(a + self.rows - 1, high)) for a in range(low, high + 1, self.rows)]
 
-    def read(self, partition: Ids) -> Iterator[tuple]:
+    def read(self, partition: Ids | None) -> Iterator[tuple]:
+        if partition is None:  # an empty layer has no partition
+            return
         at = self.names.index(self.geometry)
         wanted = ", ".join(f'"{c}"' for c in self.names)
+        where, values = "rowid BETWEEN ? AND ?", [partition.low, partition.high]
+        if self.bbox and self.index:
+            x0, y0, x1, y1 = self.bbox
+            where += f' AND rowid IN (SELECT id FROM "{self.index}" WHERE maxx >= ? AND minx <= ? AND maxy >= ? AND miny <= ?)'
+            values += [x0, x1, y0, y1]
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as con:
-            for row in con.execute(f'SELECT {wanted} FROM "{self.layer}" WHERE rowid BETWEEN ? AND ?', (partition.low, partition.high)):
-                yield (*row[:at], wkb(row[at]), *row[at + 1 :])
+            for row in con.execute(f'SELECT {wanted} FROM "{self.layer}" WHERE {where}', values):
+                if not self.bbox or self.index or meets(row[at], self.bbox):
+                    yield (*row[:at], wkb(row[at]), *row[at + 1 :])
+
+
+def meets(blob: bytes | None, bbox: tuple[float, float, float, float]) -> bool:
+    """Whether the bounds in a geopackage blob's header meet the box; true where it has none."""
+    if blob is None or blob[:2] != b"GP" or not (blob[3] >> 1) & 7:
+        return True
+    x0, x1, y0, y1 = struct.unpack_from(("<" if blob[3] & 1 else ">") + "4d", blob, 8)
+    return x1 >= bbox[0] and x0 <= bbox[2] and y1 >= bbox[1] and y0 <= bbox[3]
 
 
 def wkb(blob: bytes | None) -> bytes | None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 
 from pyspark.sql import DataFrame
@@ -25,6 +27,36 @@ def split_by_kind(df: DataFrame, path: str, column: str = "kind", kinds: tuple[s
         df.filter(F.col(column) == k).write.mode("overwrite").parquet(f"{path}/{k}s")
 
 
+def write_layers(layers: dict[str, DataFrame], path: str) -> None:
+    """One table per layer below path, empty layers too."""
+    for name, df in layers.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def marked_csv(df: DataFrame) -> bytes:
+    """A small table as CSV in UTF-8 with a byte order mark, which spreadsheet programs need to see the encoding."""
+    out = io.StringIO(newline="")
+    writer = csv.writer(out, lineterminator="\n")
+    writer.writerow(df.columns)
+    writer.writerows([["" if x is None else x for x in r] for r in _rows(df)])
+    return out.getvalue().encode("utf-8-sig")
+
+
+# Letters and marks as classic bibliography files spell them.
+BIBTEX = {
+    "á": r"{\'a}", "é": r"{\'e}", "í": r"{\'i}", "ó": r"{\'o}", "ý": r"{\'y}", "ñ": r"{\~n}", "ö": r'{\"o}', "ü": r'{\"u}', "č": r"{\v{c}}",
+    "Ç": r"{\c{C}}", "ş": r"{\c{s}}", "ğ": r"{\u{g}}", "ı": r"{\i}", "İ": r"{\.{I}}", "\u2010": "-", "\u2013": "--", "\u2018": "`", "\u2019": "'",
+}
+
+
+def bibtex_ascii(text: str) -> str:
+    """The text in ASCII; a character without a spelling is an error."""
+    out = "".join(BIBTEX.get(c, c) for c in text)
+    if unknown := sorted({c for c in out if not c.isascii()}):
+        raise ValueError(f"no spelling for {unknown}")
+    return out
+
+
 def _rows(df: DataFrame) -> list:
     rows = df.limit(REPORT_ROWS + 1).collect()
     if len(rows) > REPORT_ROWS:

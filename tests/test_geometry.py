@@ -134,8 +134,8 @@ def test_open_space_joins_patches_across_squares(spark):
         covered, patches = dense(np.array(rectangles, float), (cell[1] * 250, cell[0] * 250, cell[1] * 250 + 250, cell[0] * 250 + 250))
         want[cell] = (round(covered, 4), len(patches), round(sum(patches), 4), round(max(patches), 4))
     df = spark.createDataFrame(rows, "row_id long, col_id long, x0 double, y0 double, x1 double, y1 double")
-    for parts in (1, 5):
-        got = {(r.row_id, r.col_id): (round(r.union_area, 4), r.open_patches, round(r.open_area, 4), round(r.largest_patch, 4)) for r in geometry.open_space(df, 250, parts=parts).collect()}
+    for crowd in (1000, 10):
+        got = {(r.row_id, r.col_id): (round(r.union_area, 4), r.open_patches, round(r.open_area, 4), round(r.largest_patch, 4)) for r in geometry.open_space(df, 250, crowd=crowd).collect()}
         assert got == want
 
 

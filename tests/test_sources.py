@@ -5,7 +5,7 @@ import struct
 import numpy as np
 import pytest
 
-from latticework.operators import geometry, modeling, network, profile, statistics, zonal
+from latticework.operators import modeling, network, profile, statistics, zonal
 from latticework.sources import readers, writers
 
 
@@ -61,16 +61,6 @@ def test_reports(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "f"), header=True).columns == ["n", "name"]
 
 
-def test_union_and_patches():
-    x0, y0, x1, y1 = (np.array(v, float) for v in ([0, 5, -5], [0, 5, 40], [10, 15, 3], [10, 15, 60]))
-    xs, ys, covered = geometry.covered_grid(x0, y0, x1, y1, (0, 0, 100, 50))
-    area = np.diff(ys)[:, None] * np.diff(xs)[None, :]
-    assert area[covered].sum() == 100 + 100 - 25 + 3 * 10
-    wall = np.ones((3, 5), bool)
-    wall[:, 2] = False
-    assert len(set(geometry.patches(wall)[wall])) == 2
-
-
 def test_mode_tie_goes_to_the_first_pixel(spark):
     cells = spark.createDataFrame([(0,), (1,)], "cell long")
     px = spark.createDataFrame([(0, "b", 3), (0, "a", 5), (0, "a", 9), (0, "b", 7)], "cell long, label string, px long")
@@ -89,11 +79,12 @@ def test_rank_bins_of_small_counts(spark):
 
 
 def test_reach_and_service_area(spark):
-    edges = spark.createDataFrame([(1, 2, 10.0), (2, 3, 10.0), (1, 3, 50.0), (3, 4, 10.0)], "a long, b long, length double")
+    edges = spark.createDataFrame([(1, 2, 10.0, 0), (2, 3, 10.0, 3), (1, 3, 50.0, 3), (3, 4, 10.0, 0)], "a long, b long, length double, bin long")
     reached = network.reach(edges, spark.createDataFrame([(1,)], "source long"), 25.0)
     assert sorted((r.node, r.cost) for r in reached.collect()) == [(1, 0.0), (2, 10.0), (3, 20.0)]
     area = network.service_area(edges, reached, [25.0]).first()
     assert area.service_nodes == 3 and area.service_length == 10 + 10 + (25 + 5) + 5
+    assert (area.service_edges, area.intersections, area.dead_ends, area.mean_degree) == (4, 1, 0, 7 / 3) and area.dominant_share == 40 / 55
 
 
 def test_blocks_are_not_split(spark):
