@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from latticework.llm.common import fresh_path, table
 from latticework.llm.decontaminate import remove_contaminated
-from latticework.llm.jaccard import drop_similar
 from latticework.llm.mixing import mix_sources
 from latticework.llm.pii import sanitise
 from latticework.llm.quality import keep_good
+from latticework.llm.simhash import drop_near_duplicates
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_similar(docs)
+    return drop_near_duplicates(docs, shingle=5, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

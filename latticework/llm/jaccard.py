@@ -1,4 +1,7 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles, through prefixes of sorted shingle sets.
+"""Near-duplicates by the exact Jaccard similarity of word shingles: fingerprints propose, set prefixes find the rest.
+
+Similarity of fingerprints can't find all pairs of a similarity of 0.8 (those differ in some ten bits of 64), so it comes first and not
+alone: sets whose 64-bit fingerprints lie within RADIUS bits in the grid of segment popcounts are candidates, and the whole sets decide.
 
 In any common order of the shingles, two sets of similarity t or more share a shingle among the first n - ceil(t * n) + 1 of each,
 so joining on those prefixes finds every pair.  Sizes and the number c of shared shingles in both prefixes drop most others: beyond
@@ -20,8 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .common import cut
-from .simhash import components, keep_smallest
+from .common import cut, join_hot
+from .simhash import components, links
 
 #: Texts of the sample that tells common shingles, and how many of these are put last.
 SAMPLE_TEXTS = 4_000
@@ -29,6 +32,8 @@ COMMON_SHINGLES = 100_000
 #: Candidates up to which their table is broadcast.
 BROADCAST_SETS = 100_000
 PAIR_BLOCK = 1 << 20
+#: Bits that fingerprints may differ in, and axes of their grid: 15 cells each.
+RADIUS, AXES = 2, 6
 
 
 def shingle_sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
@@ -46,6 +51,15 @@ def _set_name(grams: np.ndarray) -> int:
     return int(np.add.reduce(tx.mix(grams ^ np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)) if len(grams) else 0
 
 
+def fingerprint(grams: np.ndarray) -> int:
+    """A bit is set if over half the shingles' hashes have it."""
+    total = np.zeros(64, np.int64)
+    for a in range(0, len(grams), 65536):
+        part = np.ascontiguousarray(grams[a : a + 65536])
+        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(grams), bitorder="little").view(np.uint64)[0]) if len(grams) else 0
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -58,18 +72,19 @@ def _needed(n: int, similarity: float) -> int:
 def _prefixes(shingle: int, similarity: float, common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, sizes, first = [], [], []
+            names, sizes, first, prints = [], [], [], []
             for grams in shingle_sets(batch.column(1), shingle):
                 n = len(grams)
                 names.append(_signed(_set_name(grams)))
                 sizes.append(n)
+                prints.append(_signed(fingerprint(grams)))
                 if n and len(common):
                     late = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] == grams
                     grams = np.concatenate([grams[~late], grams[late]])
                 first.append(grams[: n - _needed(n, similarity) + 1 if n else 0].view(np.int64))
             lengths = np.cumsum([0, *map(len, first)])
             prefix = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), prefix], names=["id", "text_hash", "set", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), prefix], names=["id", "text_hash", "set", "n", "fp", "prefix"])
 
     return run
 
@@ -168,36 +183,49 @@ def _similar(pairs: DataFrame, first: DataFrame, own: DataFrame, shingle: int, s
     return cut(both.filter(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b"))
 
 
+def fingerprint_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b of sets (set, n, fp) that equal or near fingerprints propose and whose sizes fit: a star per fingerprint, links between them."""
+    heads = cut(sets.groupBy("fp").agg(F.min(F.struct("set", "n")).alias("m"), F.count(F.lit(1)).alias("rows")))
+    fits = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-6
+    stars = join_hot(sets, heads, ["fp"], "rows", sets.count()).select(F.col("m.set").alias("a"), F.col("set").alias("b"), F.col("m.n").alias("na"), F.col("n").alias("nb"))
+    one, two = (heads.select(F.col("fp").alias(k), F.col("m.set").alias(f"set_{k}"), F.col("m.n").alias(f"n{k}")) for k in "ab")
+    near = links(heads.select("fp"), RADIUS, AXES).join(one, "a").join(two, "b").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), "na", "nb")
+    return stars.unionByName(near).filter((F.col("a") != F.col("b")) & fits).select("a", "b")
+
+
+def _unlinked(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs a-b that roots (node, root) doesn't join already."""
+    one, two = (roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
+    named = pairs.join(one, "a", "left").join(two, "b", "left")
+    return named.filter(~F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))).select("a", "b")
+
+
 def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's id, text_hash (xxhash64 of the text) and class_id, a bigint naming its component.
 
     Texts are linked if the Jaccard similarity of their sets of lower-case word shingles is ``similarity`` or more.  Null and empty
-    texts have the empty set and are one class.  Repeated rows repeat in the result.
+    texts have the empty set and are one class.  Repeated rows repeat in the result.  A very long text is read whole, in one task.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
     every = max(1, docs.count() // SAMPLE_TEXTS)
     sample = own.filter(F.pmod(F.xxhash64("text_hash"), F.lit(every)) == 0)
     often = sample.select("id", "text").mapInArrow(_grams(shingle), "set long, grams array<long>").select(F.explode("grams").alias("gram")).groupBy("gram").count().filter("count >= 10")
     common = np.sort(np.array([r.gram for r in often.orderBy(F.desc("count"), "gram").limit(COMMON_SHINGLES).collect()], np.int64).view(np.uint64))
-    schema = T.StructType([T.StructField("id", own.schema["id"].dataType), T.StructField("text_hash", T.LongType()), T.StructField("set", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", own.schema["id"].dataType), T.StructField("text_hash", T.LongType()), T.StructField("set", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
     marked = cut(own.mapInArrow(_prefixes(shingle, similarity, common), schema))
     first = cut(marked.groupBy("set").agg(F.min(F.struct(F.col("id"), F.col("text_hash"))).alias("k")))
     held = marked.groupBy("set", "n").agg(F.first("prefix").alias("prefix"))
+    close = _similar(fingerprint_pairs(marked.select("set", "n", "fp").distinct(), similarity), first, own, shingle, similarity)
     grams = held.select(F.explode("prefix").alias("gram"), "set", "n")
     shared = cut(grams.repartition("gram").sortWithinPartitions("gram").mapInArrow(_shared, "gram long, set long, n int"))
     least = shared.groupBy("gram").agg(F.min(F.struct("set", "n")).alias("m"))
     fits = F.least(F.col("n"), F.col("m.n")) >= F.greatest(F.col("n"), F.col("m.n")) * similarity - 1e-6
     stars = shared.join(least, "gram").filter((F.col("set") != F.col("m.set")) & fits)
     stars = _counted(stars.select(F.col("m.set").alias("a"), F.col("set").alias("b"), F.col("m.n").alias("na"), F.col("n").alias("nb"), F.lit(1).alias("c")), similarity)
-    edges = _similar(stars, first, own, shingle, similarity)
+    edges = cut(close.unionByName(_similar(_unlinked(stars, components(close)), first, own, shingle, similarity)))
     roots = components(edges)
     named = shared.join(roots, shared["set"] == roots["node"], "left").select("gram", F.coalesce("root", "set").alias("root"), "set", "n")
     rest = named.repartition("gram").sortWithinPartitions("gram", "root").mapInArrow(_cross(similarity), "a long, b long, na long, nb long, c long")
     more = _similar(_counted(rest, similarity), first, own, shingle, similarity)
     roots = components(edges.unionByName(more)) if not more.isEmpty() else roots
     return marked.join(roots, marked["set"] == roots["node"], "left").select(F.col("id").alias(id_col), "text_hash", F.coalesce("root", "set").alias("class_id"))
-
-
-def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, with all its columns: the one with the smallest id (null last, of repeats of it one)."""
-    return keep_smallest(docs, similar_texts(docs.select(id_col, text_col), shingle, similarity, id_col, text_col), id_col, text_col)

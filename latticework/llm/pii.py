@@ -23,8 +23,9 @@ from .common import cut, free_name, join_hot, table
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 MARK, OTHER = "\ue000", "\ue001"
-#: Terms, and rewritten documents, up to which a table of them is broadcast: some 10 MB.
+#: Terms, and rewritten documents, up to which a table of them is broadcast: some 10 MB; and hashes alone, 8 MB of numbers.
 BROADCAST_TERMS = 100_000
+BROADCAST_HASHES = 1_000_000
 TERM = r"[\p{L}\p{N}]+"
 BLOCK = 128
 
@@ -158,9 +159,9 @@ def context_terms(found: DataFrame, min_length: int) -> DataFrame:
     return texts.select("text_hash", F.transform(clear, lambda y: F.struct(F.xxhash64(F.lower(y["m"])).alias("h"), y["at"].alias("start"), (y["at"] + F.length(y["m"])).alias("end"))).alias("terms"))
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """A checkpointed table, to be broadcast where it has BROADCAST_TERMS rows (of some numbers each) at most."""
-    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+def _few(df: DataFrame, rows: int = BROADCAST_TERMS) -> DataFrame:
+    """A checkpointed table, to be broadcast where it has so many rows (of some numbers each) at most."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def disclosing_terms(docs: DataFrame, near: DataFrame, found: DataFrame, text_col: str, generalise: float) -> DataFrame:
@@ -200,7 +201,7 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, found: DataFrame, text_co
 
     # How many texts of the corpus hold the terms that can disclose at all.
     rare = F.col("df_low") + 1 <= gain(F.lit(float(least)))
-    asked = _few(cut(lows.filter(rare).select("h").union(named.select("h")).distinct()))
+    asked = _few(cut(lows.filter(rare).select("h").union(named.select("h")).distinct()), BROADCAST_HASHES)
     words = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(TERM), F.lit(0)))).alias("term"))
     words = words.select("text_hash", F.xxhash64("term").alias("h"))
     counts = cut(words.join(asked, "h", "left_semi").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("df_t")))

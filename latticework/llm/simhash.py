@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from latticework.operators.network import components
+
 from . import text as tx
 from .common import cut, free_name, join_hot, table
 
@@ -208,24 +210,6 @@ def links(distinct: DataFrame, radius: int = 4, axes: int = 8, cell_limit: int =
     return ready.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(radius), "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root of the components of edges a-b (root: the smallest node) by alternating large and small stars."""
-    edges = cut(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(down, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(moved.unionByName(down.select("a", F.col("m").alias("b"))).distinct())
-        sign = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
-        if sign == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = sign
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's fingerprint (16 hex digits), component_id (smallest id reachable), class_id (a bigint naming the component)
     and text_hash (xxhash64 of the text).
@@ -272,12 +256,21 @@ def keep_smallest(docs: DataFrame, found: DataFrame, id_col: str, text_col: str)
     return out.unionByName(kept(twice).withColumn(key, F.row_number().over(one)).filter(F.col(key) == 1).select(*docs.columns))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """One document of each component, with all its columns: the one with the smallest id (null last, of repeats of it one).
 
+    Without ``similarity`` fingerprints within ``radius`` bits link.  With it they only propose: texts link if the Jaccard similarity of
+    their shingle sets is that high, and pairs too far apart for fingerprints are found through set prefixes, so that none is lost.
     Null and empty texts are one component; an empty table gives an empty result; the working columns take names that docs doesn't have.
     """
-    return keep_smallest(docs, near_duplicates(docs.select(id_col, text_col), shingle, radius, id_col, text_col), id_col, text_col)
+    own = docs.select(id_col, text_col)
+    if similarity is None:
+        found = near_duplicates(own, shingle, radius, id_col, text_col)
+    else:
+        from .jaccard import similar_texts  # it builds on this module's grid
+
+        found = similar_texts(own, shingle, similarity, id_col, text_col)
+    return keep_smallest(docs, found, id_col, text_col)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
