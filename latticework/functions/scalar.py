@@ -192,7 +192,7 @@ def mend_encoding(x: Column) -> Column:
     """
     bytes_ = F.translate(x, "".join(_WINDOWS), "".join(_WINDOWS.values()))
     raw = F.when(~bytes_.rlike(r"[^\x{0}-\x{ff}]"), F.encode(bytes_, "ISO-8859-1"))
-    again = F.try_validate_utf8(raw.cast("string")) if hasattr(F, "try_validate_utf8") else raw.cast("string")
+    again = F.try_validate_utf8(raw.cast("string"))
     return F.coalesce(F.when(x.rlike("[\u00c2-\u00f4]"), again), x)
 
 
