@@ -116,9 +116,9 @@ def service_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(out, "service_length", digits=4), "intersections_per_km", "dead_ends_per_km", "mean_degree", "entropy", "dominant_share")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_GRAPH}, r(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM y UNION SELECT y.b, min(r.root) FROM r JOIN y ON y.a = r.node JOIN recurring.r AS c ON c.node = y.b WHERE r.root < c.root GROUP BY 1) SELECT node, root FROM r""")
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of the street graph; tested against a search in plain Python."""
+    """Components of the street graph, named by their smallest node."""
     return network.components(_graph(spark, sf_dir))
 
 
@@ -219,9 +219,11 @@ def reliable_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(boundary.reliable_regions(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("region")), stats, "region"), "accuracy")
 
 
-@query()
+@query(f"""WITH {ACCESS}, a1 AS (SELECT * FROM a ORDER BY population DESC, origin_id LIMIT 1), b AS (SELECT a.* FROM a, a1 WHERE sqrt(pow(a.x - a1.x, 2) + pow(a.y - a1.y, 2)) >= 500), a2 AS (SELECT * FROM b ORDER BY population DESC, origin_id LIMIT 1),
+d AS (SELECT b.* FROM b, a2 WHERE sqrt(pow(b.x - a2.x, 2) + pow(b.y - a2.y, 2)) >= 500), a3 AS (SELECT * FROM d ORDER BY population DESC, origin_id LIMIT 1)
+SELECT origin_id, x, y, population AS score, 1::BIGINT AS position FROM a1 UNION ALL SELECT origin_id, x, y, population, 2 FROM a2 UNION ALL SELECT origin_id, x, y, population, 3 FROM a3""")
 def separated_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three richest origins at least 500 apart; tested against a greedy loop in plain Python."""
+    """The three richest origins at least 500 apart."""
     return boundary.separated(origins(spark, sf_dir).select("origin_id", "x", "y", "population"), "origin_id", F.col("population"), 3, 500.0)
 
 
