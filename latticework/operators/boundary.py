@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .geometry import covered_area
 from .lattice import cell_name
-from .polygons import RINGS, polygon_overlay
+from .polygons import RINGS
 from .ranking import cut
 
 
@@ -16,17 +17,16 @@ def boundary_grid(boundary: DataFrame, size: int, min_ratio: float = 0.0, core_r
     """Cells of multiples of size that a boundary covers by more than ``min_ratio``: grid_id, row_id, col_id, x0, y0, x1, y1, cell_area_m2,
     fua_area_m2, fua_ratio and eligible_core (covered by ``core_ratio`` or more).
 
-    boundary: one polygon per row (shell, then holes) that don't overlap.  Rows and columns count from the boundary's lower left cell.
+    boundary: one polygon per row (shell, then holes); where they overlap, they count once.  Rows and columns count from the boundary's
+    lower left cell.
     """
     corners = boundary.select(F.explode(F.col(rings).cast(RINGS)[0]).alias("p"))
-    box = corners.agg(F.min("p.x").alias("x0"), F.max("p.x").alias("x1"), F.min("p.y").alias("y0"), F.max("p.y").alias("y1")).first()
+    box = corners.agg(F.min("p.x").alias("x0"), F.min("p.y").alias("y0")).first()
     if box["x0"] is None:
         raise ValueError("the boundary has no polygon")
     left, low = math.floor(box["x0"] / size), math.floor(box["y0"] / size)
-    cols, rows = math.ceil(box["x1"] / size) - left, math.ceil(box["y1"] / size) - low
-    moved = F.transform(F.col(rings).cast(RINGS), lambda r: F.transform(r, lambda p: F.struct((p["x"] - left * size).alias("x"), (p["y"] - low * size).alias("y"))))
-    parts = polygon_overlay(boundary.select(F.monotonically_increasing_id().alias("id"), moved.alias("rings")), size, max(rows, 1), max(cols, 1))
-    area = parts.groupBy("row_id", "col_id").agg(F.sum("area").alias("fua_area_m2"))
+    parts = covered_area(boundary, float(size), [], rings)
+    area = parts.select((F.col("row_id") - low).alias("row_id"), (F.col("col_id") - left).alias("col_id"), F.col("area").alias("fua_area_m2"))
     ratio = F.col("fua_area_m2") / float(size * size)
     x, y = (F.col("col_id") + left) * float(size), (F.col("row_id") + low) * float(size)
     out = area.select(

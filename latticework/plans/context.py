@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.operators import access, boundary, lattice, network
+from latticework.operators import access, boundary, geometry, lattice, network
 
 from .inputs import ACCESS, ROADS, SIZE, origins, roads, rounded, supplies, table
 
@@ -206,6 +206,28 @@ def first_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boundary.first_region(origins(spark, sf_dir), "origin_id", _overlapping(spark, sf_dir), "region", "ord", float(SIZE))
 
 
+_SQUARES = "sq AS (SELECT n_nationkey AS region, n_regionkey AS ord, 0.0::DOUBLE AS x0, (n_nationkey // 5) * 1000.0::DOUBLE AS y0, 1000.0::DOUBLE AS x1, (n_nationkey // 5) * 1000.0::DOUBLE + 1000 AS y1 FROM nation WHERE n_nationkey % 5 = 0)"
+
+
+@query(f"""WITH {_ELLS}, {_SQUARES}, r AS (SELECT n_regionkey AS ord, x0, y0, x1, y1 FROM b JOIN nation ON n_nationkey = region UNION ALL SELECT ord + 10, x0, y0, x1, y1 FROM sq UNION ALL SELECT n_regionkey + 10, x0, y0, x1, y1 FROM b JOIN nation ON n_nationkey = region WHERE region % 5 = 0),
+c AS (SELECT ord, unnest(range(CAST(x0 AS BIGINT), CAST(x1 AS BIGINT), 10)) AS x, y0, y1 FROM r), d AS (SELECT DISTINCT ord, x, y FROM (SELECT ord, x, unnest(range(CAST(y0 AS BIGINT), CAST(y1 AS BIGINT), 10)) AS y FROM c)) SELECT ord, count(*) * 100.0::DOUBLE AS area FROM d GROUP BY 1""")
+def dissolved_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of polygons dissolved by a key, some of which overlap."""
+    both = _overlapping(spark, sf_dir)
+    again = _ells(spark, sf_dir).filter("region % 5 = 0").withColumn("ord", F.col("ord") + 10)
+    return rounded(geometry.dissolved_area(both.unionByName(again), float(SIZE), "ord"), "area", digits=4)
+
+
+@query(f"""WITH {_ELLS}, {_SQUARES}, p AS (SELECT b.region, sum(greatest(0, least(b.x1, sq.x1) - greatest(b.x0, sq.x0)) * greatest(0, least(b.y1, sq.y1) - greatest(b.y0, sq.y0))) AS area FROM b, sq GROUP BY 1),
+s AS (SELECT o_custkey % 25 AS k, count(*) AS n, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0 END) AS accuracy FROM orders GROUP BY 1) SELECT region, round(area, 4) AS area, coalesce(n, 0) AS n, round(accuracy, 6) AS accuracy, CASE WHEN coalesce(n, 0) >= 5 THEN 1 ELSE 0 END AS reliable FROM p LEFT JOIN s ON k = region WHERE area > 0""")
+def clipped_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions clipped to the study area, with what is known of each and whether that is enough."""
+    study = _overlapping(spark, sf_dir).filter("region >= 100")
+    inside = geometry.clipped_area(_ells(spark, sf_dir), "region", study, float(SIZE))
+    own = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 25).alias("region")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("accuracy"))
+    return rounded(rounded(boundary.reliable_regions(inside, own, "region"), "area", digits=4), "accuracy")
+
+
 @query("""WITH k AS (SELECT p_partkey AS k, row_number() OVER (PARTITION BY p_partkey * 7919 % 50, p_partkey * 104729 % 40 ORDER BY p_partkey) AS n, p_partkey * 7919 % 50 AS x, p_partkey * 104729 % 40 AS y FROM part) SELECT x, y, k AS p_partkey FROM k WHERE n = 1""")
 def first_per_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")

@@ -196,16 +196,6 @@ def wide_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(k.alias("id"), F.array(ring).alias("rings"))
 
 
-def _cells_touched(df: DataFrame) -> DataFrame:
-    corners = F.col("rings")[0]
-
-    def cells(axis: str):
-        values = F.transform(corners, lambda c: c[axis])
-        return F.explode(F.sequence(F.floor(F.array_min(values) / SIZE).cast("long"), F.floor(F.array_max(values) / SIZE).cast("long")))
-
-    return df.withColumn("row_id", cells("y")).withColumn("col_id", cells("x"))
-
-
 @query()
 def street_frontage_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Street surroundings and the buildings in them by cell, from the geometry; tested against rasters and closed forms."""
@@ -213,7 +203,7 @@ def street_frontage_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = (k * 7919 % 1_000_003 % 9000).cast("double"), (k * 104729 % 1_000_033 % 9000).cast("double") + F.floor(k / 2000) * 9000
     streets = table(spark, sf_dir, "orders").select(k.alias("id"), x.alias("x0"), y.alias("y0"), (x + k * 31 % 301 - 150).alias("x1"), (y + k * 17 % 307 - 150).alias("y1"))
     pieces = lattice.segment_pieces(streets, SIZE)
-    context = geometry.frontage_context(pieces, _cells_touched(wide_buildings(spark, sf_dir)), float(SIZE), quadrant=4)
+    context = geometry.frontage_context(pieces, geometry.touched_cells(wide_buildings(spark, sf_dir), SIZE), float(SIZE), quadrant=4)
     out = morphology.frontage(context, CELL_AREA)
     return rounded(out, *[c for c, kind in out.dtypes if kind == "double"], digits=4)
 
@@ -221,7 +211,7 @@ def street_frontage_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def open_space_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open patches of cells with footprints that are no rectangles; tested against rasters."""
-    return rounded(geometry.open_space(_cells_touched(wide_buildings(spark, sf_dir)), SIZE), "union_area", "open_area", "largest_patch", "fragmentation", digits=4)
+    return rounded(geometry.open_space(geometry.touched_cells(wide_buildings(spark, sf_dir), SIZE), SIZE), "union_area", "open_area", "largest_patch", "fragmentation", digits=4)
 
 
 _CONTEXT_KINDS = ["mesken", "isyeri", "kamu"]
