@@ -229,7 +229,7 @@ def test_only_missing_texts_are_encoded(spark, docs, rows, tmp_path, monkeypatch
     token_counts.count_tokens(docs.filter("doc_id % 2 = 1"), "byte_bpe_50k.json", cache).collect()
     assert spark.read.parquet(cache).count() == len(first)
     version = token_counts.tokenizer_digest("byte_bpe_50k.json")
-    content = docs.select(F.col("text").alias("_text")).withColumn("_key", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    content = docs.select(F.coalesce("text", F.lit("")).alias("_text")).withColumn("_key", F.unhex(F.sha2("_text", 256)))
     plan = token_counts.missing_texts(content, content.select("_key").distinct(), token_counts.read_cache(spark, cache, version))
     text = plan._jdf.queryExecution().executedPlan().toString()
     if broadcast:
