@@ -204,7 +204,11 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, found: DataFrame, text_co
     asked = _few(cut(lows.filter(rare).select("h").union(named.select("h")).distinct()), BROADCAST_HASHES)
     words = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(TERM), F.lit(0)))).alias("term"))
     words = words.select("text_hash", F.xxhash64("term").alias("h"))
-    counts = cut(words.join(asked, "h", "left_semi").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("df_t")))
+    # A row holds a term once, so rows are counted where they stand; only texts that occur again are told apart, and count once.
+    copied = _few(cut(found.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("text_hash", F.lit(True).alias("copied"))), BROADCAST_HASHES)
+    hits = words.join(asked, "h", "left_semi").join(copied, "text_hash", "left").withColumn("text", F.when(F.col("copied"), F.col("text_hash")))
+    counts = hits.groupBy("h", "text").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.sum(F.when(F.col("text").isNull(), F.col("n")).otherwise(1)).alias("df_t"))
+    counts = cut(counts)
 
     def disclosure(df_te: Column) -> Column:
         information = F.log2(texts / F.col("df_e"))
