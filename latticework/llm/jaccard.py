@@ -6,7 +6,8 @@ alone: sets whose 64-bit fingerprints lie within RADIUS bits in the grid of segm
 In any common order of the shingles, two sets of similarity t or more share a shingle among the first n - ceil(t * n) + 1 of each,
 so joining on those prefixes finds every pair.  Sizes and the number c of shared shingles in both prefixes drop most others: beyond
 the prefix that ends first the sets share no more than its rest, so they share c + ceil(t * n) - 1 at most, of the larger n.  The
-whole sets decide.  The order is by hash, with shingles that are common in a sample of the texts last; the order bears on the work only.
+whole sets decide.  The order is by frequency in the corpus, the rarest first, as a sketch of fixed size counts it: shingles of one
+counter share their count, which bears on the work only.
 
 Equal sets are one.  Shared shingles first propose a link to the smallest set that has them, and only sets still in different
 components after that are paired with each other, so a group of near copies costs its size, not its square.
@@ -26,9 +27,8 @@ from . import text as tx
 from .common import cut, join_hot
 from .simhash import components, links
 
-#: Texts of the sample that tells common shingles, and how many of these are put last.
-SAMPLE_TEXTS = 4_000
-COMMON_SHINGLES = 100_000
+#: Counters of the sketch of shingle frequencies (two bytes each, so 8 MB), and of one block of them on the way.
+SKETCH_BITS, BLOCK_BITS = 22, 16
 #: Candidates up to which their table is broadcast.
 BROADCAST_SETS = 100_000
 PAIR_BLOCK = 1 << 20
@@ -69,7 +69,52 @@ def _needed(n: int, similarity: float) -> int:
     return int(np.ceil(similarity * n - 1e-9))
 
 
-def _prefixes(shingle: int, similarity: float, common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _count_shingles(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The sketch of a partition's texts (id, text), by blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, waiting, size = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
+
+        def take() -> None:
+            nonlocal waiting, size
+            if waiting:
+                np.add(counts, np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.uint32), out=counts)
+            waiting, size = [], 0
+
+        for batch in batches:
+            for grams in shingle_sets(batch.column(1), shingle):
+                waiting.append((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
+                size += len(grams)
+                if size > 1 << 20:
+                    take()
+        take()
+        blocks = counts.reshape(-1, 1 << BLOCK_BITS)
+        used = np.flatnonzero(blocks.any(axis=1)).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([blocks[b].tobytes() for b in used], pa.binary())], names=["block", "counts"])
+
+    return run
+
+
+def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = np.frombuffer(raw, np.uint32).astype(np.uint64)
+            total[block] = np.minimum(total.get(block, 0) + own, 65535)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype(np.uint32).tobytes() for v in total.values()], pa.binary())], names=["block", "counts"])
+
+
+def shingle_counts(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How many texts (id, text) hold a shingle of each counter, 65,535 at most; what returns to the driver has a fixed size."""
+    schema = "block int, counts binary"
+    blocks = texts.mapInArrow(_count_shingles(shingle), schema).repartition(1 << (SKETCH_BITS - BLOCK_BITS), "block").mapInArrow(_sum_blocks, schema)
+    out = np.zeros((1 << (SKETCH_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint16)
+    for r in blocks.collect():
+        out[r["block"]] = np.frombuffer(r["counts"], np.uint32)
+    return out.ravel()
+
+
+def _prefixes(shingle: int, similarity: float, frequency) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, sizes, first, prints = [], [], [], []
@@ -78,9 +123,7 @@ def _prefixes(shingle: int, similarity: float, common: np.ndarray) -> Callable[[
                 names.append(_signed(_set_name(grams)))
                 sizes.append(n)
                 prints.append(_signed(fingerprint(grams)))
-                if n and len(common):
-                    late = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] == grams
-                    grams = np.concatenate([grams[~late], grams[late]])
+                grams = grams[np.argsort(frequency.value[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")]
                 first.append(grams[: n - _needed(n, similarity) + 1 if n else 0].view(np.int64))
             lengths = np.cumsum([0, *map(len, first)])
             prefix = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
@@ -207,12 +250,9 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id
     texts have the empty set and are one class.  Repeated rows repeat in the result.  A very long text is read whole, in one task.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
-    every = max(1, docs.count() // SAMPLE_TEXTS)
-    sample = own.filter(F.pmod(F.xxhash64("text_hash"), F.lit(every)) == 0)
-    often = sample.select("id", "text").mapInArrow(_grams(shingle), "set long, grams array<long>").select(F.explode("grams").alias("gram")).groupBy("gram").count().filter("count >= 10")
-    common = np.sort(np.array([r.gram for r in often.orderBy(F.desc("count"), "gram").limit(COMMON_SHINGLES).collect()], np.int64).view(np.uint64))
+    frequency = docs.sparkSession.sparkContext.broadcast(shingle_counts(own.select("id", "text"), shingle))
     schema = T.StructType([T.StructField("id", own.schema["id"].dataType), T.StructField("text_hash", T.LongType()), T.StructField("set", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
-    marked = cut(own.mapInArrow(_prefixes(shingle, similarity, common), schema))
+    marked = cut(own.mapInArrow(_prefixes(shingle, similarity, frequency), schema))
     first = cut(marked.groupBy("set").agg(F.min(F.struct(F.col("id"), F.col("text_hash"))).alias("k")))
     held = marked.groupBy("set", "n").agg(F.first("prefix").alias("prefix"))
     close = _similar(fingerprint_pairs(marked.select("set", "n", "fp").distinct(), similarity), first, own, shingle, similarity)
