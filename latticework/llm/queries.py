@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP3_SQL, op3_decontaminate
+from .infill import OP11_SQL, op11_infill
 from .language import op1_language
 from .licenses import op10_licenses
 from .mixing import OP8_SQL, op8_mixing
@@ -10,6 +11,7 @@ from .pii import op2_pii
 from .quality import op9_quality
 from .secrets import op5_secrets
 from .simhash import op4_simhash
+from .source_terms import OP12_SQL, op12_source_terms
 from .substrings import OP7_SQL, op7_substrings
 from .token_counts import op6_token_counts
 
@@ -24,9 +26,13 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_licenses": op10_licenses,
+    "op11_infill": op11_infill,
+    "op12_source_terms": op12_source_terms,
 }
 ORACLES: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
     "op7_substrings": OP7_SQL,
     "op8_mixing": OP8_SQL,
+    "op11_infill": OP11_SQL,
+    "op12_source_terms": OP12_SQL,
 }
