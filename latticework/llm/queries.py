@@ -14,6 +14,7 @@ from .simhash import op4_simhash
 from .source_terms import OP12_SQL, op12_source_terms
 from .substrings import OP7_SQL, op7_substrings
 from .token_counts import op6_token_counts
+from .token_files import op13_token_files
 
 QUERIES = {
     "op1_language": op1_language,
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_licenses": op10_licenses,
     "op11_infill": op11_infill,
     "op12_source_terms": op12_source_terms,
+    "op13_token_files": op13_token_files,
 }
 ORACLES: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
