@@ -7,10 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .geometry import covered_area
 from .lattice import cell_name
+from .overlay import covered_area
 from .polygons import RINGS
 from .ranking import cut
+from .squares import points_in_regions
 
 
 def boundary_grid(boundary: DataFrame, size: int, min_ratio: float = 0.0, core_ratio: float = 0.5, rings: str = "rings") -> DataFrame:
@@ -40,38 +41,6 @@ def core_cells(cells: DataFrame) -> DataFrame:
     return cells.filter(F.col("eligible_core") == 1)
 
 
-def ring_edges(regions: DataFrame, key: str, rings: str = "rings") -> DataFrame:
-    """key, x0, y0, x1, y1 of the edges of all rings; rings may be open."""
-    each = regions.select(key, F.explode(F.col(rings).cast(RINGS)).alias("r")).filter(F.size("r") >= 3)
-    after = F.concat(F.slice("r", F.lit(2), F.size("r") - 1), F.slice("r", 1, 1))
-    edges = each.select(key, F.explode(F.arrays_zip(F.col("r").alias("a"), after.alias("b"))).alias("e"))
-    return edges.select(key, F.col("e.a.x").alias("x0"), F.col("e.a.y").alias("y0"), F.col("e.b.x").alias("x1"), F.col("e.b.y").alias("y1")).filter("x0 != x1 OR y0 != y1")
-
-
-def points_in_regions(points: DataFrame, key: str, regions: DataFrame, region: str, size: float, rings: str = "rings") -> DataFrame:
-    """Pairs of points (x, y) and polygons that hold them: key, region, within (1 inside, 0 on the outline).
-
-    A point is inside if a ray to the right crosses an odd number of edges.  Edges are dealt to the lattice rows that they pass, points to
-    theirs, so the join is on rows of ``size``; only regions whose bounds hold the point go in.
-    """
-    edges = ring_edges(regions.select(F.col(region).alias("_region"), rings), "_region", rings)
-    box = edges.groupBy("_region").agg(F.min(F.least("x0", "x1")).alias("bx0"), F.max(F.greatest("x0", "x1")).alias("bx1"))
-
-    def rows(a: str, b: str) -> Column:
-        return F.explode(F.sequence(F.floor(F.least(a, b) / size).cast("long"), F.floor(F.greatest(a, b) / size).cast("long")))
-
-    spread = edges.join(box, "_region").withColumn("_r", rows("y0", "y1"))
-    own = points.select(F.col(key).alias("_key"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py")).withColumn("_r", F.floor(F.col("py") / size).cast("long"))
-    met = own.join(spread, "_r").filter("px >= bx0 AND px <= bx1")
-    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    turn = dx * (F.col("py") - F.col("y0")) - dy * (F.col("px") - F.col("x0"))
-    on = (turn == 0) & F.col("px").between(F.least("x0", "x1"), F.greatest("x0", "x1")) & F.col("py").between(F.least("y0", "y1"), F.greatest("y0", "y1"))
-    crosses = ((F.col("y0") > F.col("py")) != (F.col("y1") > F.col("py"))) & F.when(dy > 0, turn > 0).otherwise(turn < 0)
-    sums = met.groupBy("_key", "_region").agg(F.max(on.cast("int")).alias("on"), F.sum(crosses.cast("int")).alias("n"))
-    held = sums.filter((F.col("on") == 1) | (F.col("n") % 2 == 1))
-    return held.select(F.col("_key").alias(key), F.col("_region").alias(region), (1 - F.col("on")).alias("within"))
-
-
 def region_areas(regions: DataFrame, region: str, rings: str = "rings") -> DataFrame:
     """region, area, perimeter, centroid (cx, cy) and bounds of polygons; holes count negative."""
     each = regions.select(F.col(region).alias("_region"), F.posexplode(F.col(rings).cast(RINGS)).alias("k", "r"))

@@ -239,45 +239,6 @@ def touched_cells(df: DataFrame, size: float, rings: str = "rings") -> DataFrame
     return df.filter(F.size(rings) > 0).withColumn("row_id", cells("y")).withColumn("col_id", cells("x"))
 
 
-def covered_area(polygons: DataFrame, size: float, keys: list[str], rings: str = "rings") -> DataFrame:
-    """keys, row_id, col_id and the area that the polygons of a key cover together in each cell; where they overlap, once.
-
-    Sums over the cells are the areas of dissolved polygons; a group is the polygons of one key that touch one cell.
-    """
-    own = touched_cells(polygons.select(*keys, F.col(rings).cast(RINGS).alias("rings")), size)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        row, col = int(pdf.row_id.iloc[0]), int(pdf.col_id.iloc[0])
-        out = pdf[[*keys, "row_id", "col_id"]].head(1).copy()
-        out["area"] = union_area(_polygons(pdf.rings), (col * size, row * size, (col + 1) * size, (row + 1) * size))
-        return out
-
-    kinds = "".join(f"`{k}` {polygons.schema[k].dataType.simpleString()}, " for k in keys)
-    return own.groupBy(*keys, "row_id", "col_id").applyInPandas(one, f"{kinds}row_id long, col_id long, area double").filter("area > 0")
-
-
-def dissolved_area(polygons: DataFrame, size: float, key: str, rings: str = "rings") -> DataFrame:
-    """The area of each key's polygons made one."""
-    return covered_area(polygons, size, [key], rings).groupBy(key).agg(F.sum("area").alias("area"))
-
-
-def clipped_area(regions: DataFrame, region: str, study: DataFrame, size: float, rings: str = "rings") -> DataFrame:
-    """region and the area of its polygons inside the study area, the union of the polygons of ``study``; regions outside have none."""
-    a = touched_cells(regions.select(F.col(region).alias("region"), F.col(rings).cast(RINGS).alias("rings")), size)
-    b = touched_cells(study.select(F.lit(None).cast(regions.schema[region].dataType).alias("region"), F.col(rings).cast(RINGS).alias("rings")), size)
-    marked = a.withColumn("study", F.lit(0)).unionByName(b.join(a.select("row_id", "col_id").distinct(), ["row_id", "col_id"], "left_semi").withColumn("study", F.lit(1)))
-    kind = regions.schema[region].dataType.simpleString()
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        row, col = int(pdf.row_id.iloc[0]), int(pdf.col_id.iloc[0])
-        own = pdf[pdf.study == 0]
-        _, area, _ = inside(_polygons(pdf[pdf.study == 1].rings), _polygons(own.rings), (col * size, row * size, (col + 1) * size, (row + 1) * size))
-        return pd.DataFrame({"region": own.region.to_numpy(), "area": area})
-
-    parts = marked.groupBy("row_id", "col_id").applyInPandas(one, f"region {kind}, area double")
-    return parts.filter("area > 0").groupBy(F.col("region").alias(region)).agg(F.sum("area").alias("area"))
-
-
 def open_space(pieces: DataFrame, size: int, min_patch: float = 25.0, crowd: int = 300, parts: int = 8) -> DataFrame:
     """Union area of the polygons of a cell (row_id, col_id, and rings or a rectangle x0, y0, x1, y1), and its open patches of ``min_patch``
     or more: count, area, largest, and fragmentation n * (1 - largest / open).

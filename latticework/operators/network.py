@@ -91,7 +91,8 @@ def graph_nodes(edges: DataFrame, snap: float) -> DataFrame:
 def planarize(segments: DataFrame, snap: float, size: float, key: str = "id") -> DataFrame:
     """Segments (key, x0, y0, x1, y1) cut wherever two of them cross or touch, as x0, y0, x1, y1 of the parts on the snap lattice.
 
-    Segments meet in the bins of ``size`` that they pass through, so the join is on bins; each pair is compared once per shared bin.
+    Segments meet in the bins of ``size`` that they pass through.  Two are compared once, in the bin of the lower left corner that their
+    bounds have in common, and only if these overlap; both are cut there, whether they cross or lie along each other.
     """
     own = segments.select(F.col(key).alias("id"), "x0", "y0", "x1", "y1")
 
@@ -100,16 +101,27 @@ def planarize(segments: DataFrame, snap: float, size: float, key: str = "id") ->
 
     spread = own.withColumn("r", bins("y0", "y1")).withColumn("c", bins("x0", "x1"))
     other = spread.select("r", "c", *[F.col(x).alias(f"o_{x}") for x in ("id", "x0", "y0", "x1", "y1")])
+
+    def common(a: str, b: str, bin_: str) -> Column:
+        low, high = F.greatest(F.least(a, b), F.least(f"o_{a}", f"o_{b}")), F.least(F.greatest(a, b), F.greatest(f"o_{a}", f"o_{b}"))
+        return (low <= high) & (F.floor(low / size) == F.col(bin_))
+
     rx, ry, sx, sy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("o_x1") - F.col("o_x0"), F.col("o_y1") - F.col("o_y0")
     qx, qy = F.col("o_x0") - F.col("x0"), F.col("o_y0") - F.col("y0")
-    cross = rx * sy - ry * sx
-    pairs = spread.join(other, ["r", "c"]).filter("id != o_id").withColumn("cross", cross).filter("cross != 0")
-    met = pairs.withColumn("t", (qx * sy - qy * sx) / F.col("cross")).withColumn("u", (qx * ry - qy * rx) / F.col("cross")).filter("t > 0 AND t < 1 AND u >= 0 AND u <= 1")
-    # Collinear segments cut each other at the ends of the other that lie on them.
-    along = spread.join(other, ["r", "c"]).filter("id != o_id").withColumn("cross", cross).filter((F.col("cross") == 0) & (qx * ry - qy * rx == 0) & (rx * rx + ry * ry > 0))
-    ends = F.explode(F.array(F.struct(F.col("o_x0").alias("px"), F.col("o_y0").alias("py")), F.struct(F.col("o_x1").alias("px"), F.col("o_y1").alias("py")))).alias("p")
-    on = along.select("id", "x0", "y0", "x1", "y1", ends).withColumn("t", ((F.col("p.px") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("p.py") - F.col("y0")) * (F.col("y1") - F.col("y0"))) / ((F.col("x1") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("y1") - F.col("y0")) * (F.col("y1") - F.col("y0")))).filter("t > 0 AND t < 1")
-    cuts = met.select("id", "t").unionByName(on.select("id", "t")).groupBy("id").agg(F.collect_set("t").alias("ts"))
+    cross, beside = rx * sy - ry * sx, qx * ry - qy * rx
+    t, u = F.try_divide(qx * sy - qy * sx, cross), F.try_divide(beside, cross)
+    pairs = spread.join(other, ["r", "c"]).filter((F.col("id") < F.col("o_id")) & common("x0", "x1", "c") & common("y0", "y1", "r"))
+
+    def cut_at(who: str, t: Column, when: Column) -> Column:
+        return F.struct(F.col(who).alias("id"), F.when(when & (t > 0) & (t < 1), t).alias("t"))
+
+    crossing = (cross != 0) & t.between(0, 1) & u.between(0, 1)
+    # Segments along each other cut each other at the ends of the other that lie on them.
+    along = (cross == 0) & (beside == 0)
+    r2, s2 = rx * rx + ry * ry, sx * sx + sy * sy
+    ends = [("id", F.try_divide(qx * rx + qy * ry, r2)), ("id", F.try_divide((qx + sx) * rx + (qy + sy) * ry, r2)), ("o_id", F.try_divide(-qx * sx - qy * sy, s2)), ("o_id", F.try_divide((rx - qx) * sx + (ry - qy) * sy, s2))]
+    met = pairs.select(F.explode(F.array(cut_at("id", t, crossing), cut_at("o_id", u, crossing), *[cut_at(who, at, along) for who, at in ends])).alias("k")).select("k.*").filter("t IS NOT NULL")
+    cuts = met.groupBy("id").agg(F.collect_set("t").alias("ts"))
     whole = own.join(cuts, "id", "left").withColumn("ts", F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.coalesce("ts", F.array().cast("array<double>")))))
     parts = whole.select("id", "x0", "y0", "x1", "y1", F.explode(F.arrays_zip(F.slice("ts", F.lit(1), F.size("ts") - 1).alias("a"), F.slice("ts", F.lit(2), F.size("ts") - 1).alias("b"))).alias("p"))
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import context, evidence, panels, spatial, tabular
+from . import context, evidence, overlays, panels, spatial, tabular
 
-QUERIES = {**spatial.QUERIES, **context.QUERIES, **tabular.QUERIES, **panels.QUERIES, **evidence.QUERIES}
-ORACLES = {**spatial.ORACLES, **context.ORACLES, **tabular.ORACLES, **panels.ORACLES, **evidence.ORACLES}
+QUERIES = {**spatial.QUERIES, **context.QUERIES, **overlays.QUERIES, **tabular.QUERIES, **panels.QUERIES, **evidence.QUERIES}
+ORACLES = {**spatial.ORACLES, **context.ORACLES, **overlays.ORACLES, **tabular.ORACLES, **panels.ORACLES, **evidence.ORACLES}
 FLAGSHIP = spatial.building_floor_by_cell

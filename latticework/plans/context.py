@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.operators import access, boundary, geometry, lattice, network
+from latticework.operators import access, boundary, lattice, network, overlay
 
 from .inputs import ACCESS, ROADS, SIZE, origins, roads, rounded, supplies, table
 
@@ -215,7 +215,7 @@ def dissolved_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas of polygons dissolved by a key, some of which overlap."""
     both = _overlapping(spark, sf_dir)
     again = _ells(spark, sf_dir).filter("region % 5 = 0").withColumn("ord", F.col("ord") + 10)
-    return rounded(geometry.dissolved_area(both.unionByName(again), float(SIZE), "ord"), "area", digits=4)
+    return rounded(overlay.dissolved_area(both.unionByName(again), float(SIZE), "ord"), "area", digits=4)
 
 
 @query(f"""WITH {_ELLS}, {_SQUARES}, p AS (SELECT b.region, sum(greatest(0, least(b.x1, sq.x1) - greatest(b.x0, sq.x0)) * greatest(0, least(b.y1, sq.y1) - greatest(b.y0, sq.y0))) AS area FROM b, sq GROUP BY 1),
@@ -223,7 +223,7 @@ s AS (SELECT o_custkey % 25 AS k, count(*) AS n, avg(CASE WHEN o_orderstatus = '
 def clipped_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions clipped to the study area, with what is known of each and whether that is enough."""
     study = _overlapping(spark, sf_dir).filter("region >= 100")
-    inside = geometry.clipped_area(_ells(spark, sf_dir), "region", study, float(SIZE))
+    inside = overlay.clipped_area(_ells(spark, sf_dir), "region", study, float(SIZE))
     own = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 25).alias("region")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("accuracy"))
     return rounded(rounded(boundary.reliable_regions(inside, own, "region"), "area", digits=4), "accuracy")
 
