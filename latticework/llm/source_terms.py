@@ -1,86 +1,133 @@
 """How far the sources of a language diverge in their terms, by mergeable radix tries.
 
-Every task counts the terms of its documents in byte tries, one per language, whose leaves hold a counter per source.  A full trie is
-walked in byte order, which is UTF-8 order, and its leaves are written.  Tries merge by prefix range: leaves are dealt out by ranges of
-(language, term), and the walks of all tries are merged leaf by leaf as they stream by in order, so a range needs no memory of its size
-and a term costs one row per trie that has it, however frequent it is.
-Terms that enough documents hold are kept.  A second walk over them, range by range, adds up each pair of sources and keeps the best
-terms of each source, ties in UTF-8 order; only these partial sums and candidates are shuffled.
+Every task counts the terms of its documents in a byte trie whose leaves have counters per language and source.  A full trie is walked in
+byte order, which is UTF-8 order, and its leaves are written.  Tries merge by prefix range: leaves are dealt out by ranges of (language,
+term), and the walks of all tries are merged leaf by leaf as they stream by in order, so a range needs no memory of its size and a term
+costs one row per trie that has it, however frequent it is.  Terms that enough documents hold are kept.  A second walk over them, range by
+range, adds up each pair of sources and keeps the best terms of each source, ties in UTF-8 order; only these partial sums and candidates
+are shuffled.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, table
 
-#: Leaves of a task's tries before they are written and started anew: some 200 MB.
-TRIE_LEAVES = 250_000
-#: Distinct terms counted flat before they go into the tries.
-POUR_TERMS = 100_000
+#: Leaves of a task's trie before it is written and started anew: some 300 MB.
+TRIE_LEAVES = 600_000
+#: Keys of a trie's lowest nodes.
+BUCKET = 64
+#: Terms that are gathered before they are counted into leaves.
+GATHERED_TERMS = 1_000_000
 #: Bytes of a text that are split into terms at a time.
 SLICE_BYTES = 1 << 22
-#: Kept terms that are worked through at a time, cells of a block of terms by sources, sources of a square of pairs, and sums held.
-BLOCK_TERMS, BLOCK_CELLS, SQUARE, HELD_SUMS = 4096, 1 << 20, 512, 1 << 22
+#: Leaves or kept terms that are worked through at a time, cells of a block of terms by sources, sources of a square of pairs, and sums held.
+BLOCK_TERMS, BLOCK_CELLS, SQUARE, HELD_SUMS = 8192, 1 << 20, 512, 1 << 22
+#: Sources of all languages up to which their totals are broadcast: some 10 MB.
+BROADCAST_SOURCES = 100_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 LEAVES = "lang string, term string, docs long, sources array<string>, counts array<long>"
 
 
+class Node:
+    """All keys below start with ``prefix``: a bucket of keys, or one child for each byte that may follow and the leaf of the prefix itself."""
+
+    __slots__ = ("bucket", "children", "leaf", "prefix")
+
+    def __init__(self, prefix: bytes) -> None:
+        self.prefix, self.children, self.leaf = prefix, None, -1
+        self.bucket: dict[bytes, int] = {}
+
+
+def shared(a: bytes, b: bytes) -> int:
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
 class RadixTrie:
-    """Byte strings with shared prefixes; an edge holds as many bytes as no other key branches off from.
+    """Byte strings by their shared prefixes; a node skips all bytes that its keys share.  Leaves are numbered as they come.
 
-    A leaf is a dict of occurrences by source; under None it has the number of documents.
+    The lowest nodes are buckets of up to BUCKET keys, which burst into a node per next byte.  ``known`` leads from keys met before straight
+    to their leaf.
     """
 
-    __slots__ = ("root", "size")
+    __slots__ = ("known", "root")
 
     def __init__(self) -> None:
-        self.root: list = [b"", {}, None]
-        self.size = 0
-
-    def leaf(self, key: bytes) -> dict:
-        """The counters of a key, made if there are none."""
-        node, at = self.root, 0
-        while at < len(key):
-            child = node[1].get(key[at])
+        self.root = Node(b"")
+        self.known = Known(self)
+
+    def __len__(self) -> int:
+        return len(self.known)
+
+    def add(self, key: bytes, leaf: int) -> None:
+        node = self.root
+        while node.children is not None:
+            if len(key) == len(node.prefix):
+                node.leaf = leaf
+                return
+            byte = key[len(node.prefix)]
+            child = node.children.get(byte)
             if child is None:
-                made: list = [key[at:], {}, None]
-                node[1][key[at]] = made
-                node = made
-                break
-            edge = child[0]
-            if not key.startswith(edge, at):
-                same = 1
-                while at + same < len(key) and same < len(edge) and edge[same] == key[at + same]:
-                    same += 1
-                upper: list = [edge[:same], {edge[same]: child}, None]
-                child[0] = edge[same:]
-                node[1][key[at]] = upper
-                child, edge = upper, upper[0]
-            node, at = child, at + len(edge)
-        if node[2] is None:
-            node[2] = {}
-            self.size += 1
-        return node[2]
-
-    def walk(self) -> Iterator[tuple[bytes, dict]]:
-        """Keys and counters in byte order."""
-        stack: list[tuple[bytes, list]] = [(b"", self.root)]
+                child = node.children[byte] = Node(key[: len(node.prefix) + 1])
+            elif not key.startswith(child.prefix):
+                upper = Node(key[: shared(key, child.prefix)])
+                upper.children = {child.prefix[len(upper.prefix)]: child}
+                child = node.children[byte] = upper
+            node = child
+        node.bucket[key] = leaf
+        if len(node.bucket) > BUCKET:
+            self.burst(node)
+
+    def burst(self, node: Node) -> None:
+        keys, low = node.bucket, min(node.bucket)
+        node.prefix, node.children, node.bucket = low[: shared(low, max(keys))] if node is not self.root else b"", {}, {}
+        for key, leaf in keys.items():
+            if len(key) == len(node.prefix):
+                node.leaf = leaf
+            else:
+                byte = key[len(node.prefix)]
+                if byte not in node.children:
+                    node.children[byte] = Node(key[: len(node.prefix) + 1])
+                node.children[byte].bucket[key] = leaf
+
+    def walk(self) -> Iterator[tuple[bytes, int]]:
+        """Keys and leaves in byte order."""
+        stack = [self.root]
         while stack:
-            before, (edge, children, counters) = stack.pop()
-            key = before + edge
-            if counters is not None:
-                yield key, counters
-            stack += [(key, children[b]) for b in sorted(children, reverse=True)]
+            node = stack.pop()
+            if node.leaf >= 0:
+                yield node.prefix, node.leaf
+            if node.children is None:
+                yield from sorted(node.bucket.items())
+            else:
+                stack += [node.children[b] for b in sorted(node.children, reverse=True)]
+
+
+class Known(dict):
+    """Leaf by key; a new key goes into the trie."""
+
+    def __init__(self, trie: RadixTrie) -> None:
+        self.trie = trie
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = leaf = len(self)
+        self.trie.add(key, leaf)
+        return leaf
 
 
 def slices(text: bytes) -> Iterator[bytes]:
@@ -95,57 +142,71 @@ def slices(text: bytes) -> Iterator[bytes]:
         at = end
 
 
+def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, and the sums of the values of each."""
+    if not len(keys):
+        return keys, *values
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[starts], *[np.add.reduceat(v[order], starts) for v in values]
+
+
 class TermCounter:
-    """A task's tries by language, fed through flat counters."""
+    """A task's trie, and what its leaves count: occurrences and documents by (language, source) and leaf, in arrays."""
 
     def __init__(self) -> None:
-        self.tries: dict[str, RadixTrie] = defaultdict(RadixTrie)
-        self.counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        self.docs: dict[str, Counter] = defaultdict(Counter)
+        self.groups: dict[tuple[str, str], int] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.trie, self.gathered, self.waiting = RadixTrie(), [], 0
+        self.counters: list[tuple[np.ndarray, ...]] = []
 
     def add(self, lang: str, source: str, text: bytes) -> None:
-        counts, seen = self.counts[lang, source], set()
-        for part in slices(text.translate(LOWER)):
-            found = TERM.findall(part)
-            counts.update(found)
-            seen.update(found)
-        self.docs[lang].update(seen)
-
-    def full(self) -> bool:
-        if sum(map(len, self.counts.values())) >= POUR_TERMS:
-            self.pour()
-        return sum(t.size for t in self.tries.values()) >= TRIE_LEAVES
-
-    def pour(self) -> None:
-        for (lang, source), counts in self.counts.items():
-            leaf = self.tries[lang].leaf
-            for term, n in counts.items():
-                counters = leaf(term)
-                counters[source] = counters.get(source, 0) + n
-        for lang, docs in self.docs.items():
-            leaf = self.tries[lang].leaf
-            for term, n in docs.items():
-                counters = leaf(term)
-                counters[None] = counters.get(None, 0) + n
-        self.counts.clear()
-        self.docs.clear()
+        group = self.groups.setdefault((lang, source), len(self.groups))
+        known = self.trie.known
+        found = [np.fromiter(map(known.__getitem__, terms), np.int64, len(terms)) for terms in map(TERM.findall, slices(text.translate(LOWER)))]
+        leaves, n = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+        self.gathered.append((leaves + (group << 32), n))
+        self.waiting += len(leaves)
+        if self.waiting >= GATHERED_TERMS:
+            self.settle()
+
+    def settle(self) -> None:
+        keys, n = (np.concatenate([np.zeros(0, np.int64), *[g[k] for g in self.gathered]]) for k in (0, 1))
+        self.counters.append(summed(keys, n, np.ones(len(keys), np.int64)))
+        self.gathered, self.waiting = [], 0
+        if len(self.counters) > 4:
+            self.counters = [summed(*map(np.concatenate, zip(*self.counters, strict=True)))]
 
     def emit(self) -> Iterator[pa.RecordBatch]:
-        self.pour()
-        for lang in sorted(self.tries):
-            walk = self.tries[lang].walk()
-            while part := [x for _, x in zip(range(BLOCK_TERMS), walk)]:
-                yield leaf_batch(lang, part)
-        self.tries.clear()
-
-
-def leaf_batch(lang: str, part: list[tuple[bytes, dict]]) -> pa.RecordBatch:
-    docs = [c.pop(None) for _, c in part]
-    offsets = pa.array(np.cumsum([0, *[len(c) for _, c in part]]), pa.int32())
-    sources = pa.ListArray.from_arrays(offsets, pa.array([s for _, c in part for s in c], pa.string()))
-    counts = pa.ListArray.from_arrays(offsets, pa.array([n for _, c in part for n in c.values()], pa.int64()))
-    terms = pa.array([t for t, _ in part], pa.binary()).cast(pa.string())
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), terms, pa.array(docs, pa.int64()), sources, counts], names=["lang", "term", "docs", "sources", "counts"])
+        """The leaves of each language in the order of the walk; the trie starts anew."""
+        self.settle()
+        keys, n, docs = summed(*map(np.concatenate, zip(*self.counters, strict=True)))
+        walked = list(self.trie.walk())
+        rank = np.zeros(len(walked), np.int64)
+        rank[[leaf for _, leaf in walked]] = np.arange(len(walked))
+        names = sorted({lang for lang, _ in self.groups})
+        lang_of = np.array([names.index(lang) for lang, _ in self.groups], np.int64)
+        sources = pa.array([source for _, source in self.groups], pa.string())
+        terms = pa.array([key for key, _ in walked], pa.binary()).cast(pa.string())
+        group, place = keys >> 32, rank[keys & 0xFFFFFFFF]
+        order = np.lexsort((place, lang_of[group]))
+        group, place, n, docs = group[order], place[order], n[order], docs[order]
+        row = lang_of[group] << 32 | place
+        starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(row))
+        for at in range(0, len(starts), BLOCK_TERMS):
+            s, e = starts[at : at + BLOCK_TERMS], ends[at : at + BLOCK_TERMS]
+            part = slice(s[0], e[-1])
+            yield leaf_batch(pa.array(names, pa.string()).take(pa.array(row[s] >> 32)), terms.take(pa.array(place[s])), np.add.reduceat(docs[part], s - s[0]), np.append(s, e[-1]) - s[0], sources.take(pa.array(group[part])), n[part])
+        self.clear()
+
+
+def leaf_batch(langs: pa.Array, terms: pa.Array, docs: np.ndarray, offsets: np.ndarray, sources: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    cuts = pa.array(offsets, pa.int32())
+    return pa.RecordBatch.from_arrays([langs, terms, pa.array(docs, pa.int64()), pa.ListArray.from_arrays(cuts, sources), pa.ListArray.from_arrays(cuts, pa.array(counts, pa.int64()))], names=["lang", "term", "docs", "sources", "counts"])
 
 
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,42 +215,45 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, sources, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())
         for k in range(batch.num_rows):
             counter.add(langs[k], sources[k], texts[k].as_py())
-            if k % 64 == 63 and counter.full():
+            if len(counter.trie) >= TRIE_LEAVES:
                 yield from counter.emit()
     yield from counter.emit()
 
 
+def fold(leaves: pa.RecordBatch) -> pa.RecordBatch:
+    """Neighbouring leaves of one language and term made one."""
+    n = leaves.num_rows
+    new = np.ones(n, bool)
+    if n > 1:
+        new[1:] = np.logical_or(*[pc.not_equal(leaves.column(k).slice(1), leaves.column(k).slice(0, n - 1)).to_numpy(zero_copy_only=False) for k in (0, 1)])
+    starts = np.flatnonzero(new)
+    names = leaves.column(3).flatten().dictionary_encode()
+    of = np.repeat(np.cumsum(new) - 1, np.diff(leaves.column(3).offsets.to_numpy()))
+    width = max(1, len(names.dictionary))
+    keys, counts = summed(of * width + names.indices.to_numpy(zero_copy_only=False), leaves.column(4).flatten().to_numpy(zero_copy_only=False))
+    first = pa.array(starts)
+    return leaf_batch(leaves.column(0).take(first), leaves.column(1).take(first), np.add.reduceat(leaves.column(2).to_numpy(zero_copy_only=False), starts), np.searchsorted(keys // width, np.arange(len(starts) + 1)), names.dictionary.take(pa.array(keys % width)), counts)
+
+
 def folding(min_docs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Folds equal leaves of a sorted range and keeps those of ``min_docs`` documents."""
+    """Folds equal leaves of a sorted range and keeps those of ``min_docs`` documents; the last leaf of a batch waits for the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part: list[tuple[bytes, dict]] = []
-        last: str | None = None
-        for (lang, term), same in groupby(_rows(batches), key=lambda r: r[:2]):
-            counters: dict = {}
-            for _, _, docs, sources, counts in same:
-                counters[None] = counters.get(None, 0) + docs
-                for s, n in zip(sources, counts, strict=True):
-                    counters[s] = counters.get(s, 0) + n
-            if counters[None] < min_docs:
-                continue
-            if part and (lang != last or len(part) == BLOCK_TERMS):
-                yield leaf_batch(last or "", part)
-                part = []
-            last = lang
-            part.append((term.encode(), counters))
-        if part:
-            yield leaf_batch(last or "", part)
+        last: pa.RecordBatch | None = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4 * BLOCK_TERMS):
+                part = batch.slice(at, 4 * BLOCK_TERMS)
+                part = pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(part.columns, (pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())), strict=True)], names=["lang", "term", "docs", "sources", "counts"])
+                folded = fold(part if last is None else pa.Table.from_batches([last, part]).combine_chunks().to_batches()[0])
+                last = folded.slice(folded.num_rows - 1)
+                done = folded.slice(0, folded.num_rows - 1)
+                yield done.filter(pc.greater_equal(done.column(2), min_docs))
+        if last is not None:
+            yield last.filter(pc.greater_equal(last.column(2), min_docs))
 
     return run
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, BLOCK_TERMS):
-            yield from zip(*(c.to_pylist() for c in batch.slice(at, BLOCK_TERMS).columns), strict=True)
-
-
 def term_counts(docs: DataFrame, min_docs: int = 10, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Terms that at least ``min_docs`` documents of their language hold: lang, term, docs, sources and counts (arrays alike in order).
 
@@ -320,7 +384,8 @@ def audit_sources(docs: DataFrame, min_docs: int = 10, top: int = 10, lang_col:
     groups = groups.join(held, ["lang", "source"], "left").select("lang", "source", F.coalesce("total", F.lit(0)).alias("total")).transform(_written)
     pack = F.sort_array(F.collect_list(F.struct("source", "total")))
     per_lang = groups.groupBy("lang").agg(pack.alias("x")).join(terms, "lang").select("lang", F.col("x.source").alias("groups"), F.col("x.total").alias("totals"), "terms")
-    rows = kept.join(per_lang, "lang").select("lang", "term", "sources", "counts", "groups", "totals", "terms")
+    few = groups.count() <= BROADCAST_SOURCES
+    rows = kept.join(F.broadcast(per_lang) if few else per_lang, "lang").select("lang", "term", "sources", "counts", "groups", "totals", "terms")
     sums = rows.mapInArrow(summing(top), "lang string, source string, part string, item string, value long").transform(_written)
 
     halves = sums.filter("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
