@@ -1,9 +1,9 @@
 """Simple-8b: unsigned numbers packed word by word, in blocks that can be decoded on their own.
 
 A 64-bit word has a 4-bit selector on top, which tells how many numbers of how many bits follow below, first number lowest.  A number of
-more than 60 bits is an escape: a word of selector 0 and the number as the next word.  Words never cross the blocks of BLOCK numbers; the
-last word of a block may hold fewer numbers than it has places for.  Encoding finds the widest fitting selector of every position with
-running minima and then steps through all blocks side by side; decoding unpacks all words of one selector at a time.
+more than 60 bits is an escape: a word of selector 0 and the number as the next word.  All places of a word are used, and no word crosses
+the blocks of BLOCK numbers.  Encoding finds the selector of most numbers that fits at every position with doubling windows and then steps
+through all blocks side by side; decoding unpacks all words of one selector at a time.
 """
 
 from __future__ import annotations
@@ -19,6 +19,14 @@ _SLOTS = np.array([1, *SLOTS])
 _TOP = np.uint64(60)
 
 
+def whole_windows(fits: np.ndarray, size: int) -> np.ndarray:
+    """Where ``size`` neighbours from a place on all fit, by windows that double."""
+    width, window = 1, fits
+    while 2 * width <= size:
+        window, width = window[: len(window) - width] & window[width:], 2 * width
+    return window[: len(fits) - size + 1] & window[size - width : len(fits) - width + 1]
+
+
 def encode(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words, and the place of each block's first word (one more at the end: the number of words)."""
     n = len(numbers)
@@ -27,19 +35,20 @@ def encode(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
     padded = np.zeros(n + SLOTS[0], np.uint64)
     padded[:n] = numbers
-    kind = np.searchsorted(_LIMITS, padded[:n], side="right")
-    at = np.arange(n)
-    ends = np.minimum((at // BLOCK + 1) * BLOCK, n)
-    selector = np.zeros(n, np.int64)
+    kind = np.searchsorted(_LIMITS, padded[:n], side="right").astype(np.int8)
+    inside = np.arange(n, dtype=np.int32) % BLOCK
+    room = (np.where(np.arange(n) // BLOCK == blocks - 1, n - BLOCK * (blocks - 1), BLOCK) - inside).astype(np.int16)
+    selector = np.zeros(n, np.int8)
     for k in reversed(range(int(kind.min()), len(SLOTS))):
-        broken = np.minimum.accumulate(np.where(kind > k, at, n)[::-1])[::-1]
-        selector[broken >= np.minimum(at + SLOTS[k], ends)] = k + 1
-    step = np.minimum(at + _SLOTS[selector], ends)
+        if n >= SLOTS[k]:
+            found = whole_windows(kind <= k, SLOTS[k])
+            np.putmask(selector[: len(found)], found & (room[: len(found)] >= SLOTS[k]), k + 1)
+    step = _SLOTS[selector]
     found, here = [], np.arange(blocks) * BLOCK
     while len(here):
         found.append(here)
-        after = step[here]
-        here = after[after < ends[here]]
+        left = room[here] > step[here]
+        here = (here + step[here])[left]
     starts = np.sort(np.concatenate(found))
     chosen = selector[starts]
     place = np.concatenate([[0], np.cumsum(1 + (chosen == 0))])
@@ -52,16 +61,15 @@ def encode(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             continue
         count, bits = SLOTS[k - 1], BITS[k - 1]
         packed = np.full(len(of), k << 60, np.uint64)
-        limit = ends[first]
         for j in range(count if bits else 0):
-            packed |= np.where(first + j < limit, padded[first + j], np.uint64(0)) << np.uint64(j * bits)
+            packed |= padded[first + j] << np.uint64(j * bits)
         words[place[of]] = packed
     offsets = place[np.searchsorted(starts, np.arange(blocks) * BLOCK)]
     return words, np.append(offsets, place[-1]).astype(np.int64)
 
 
-def decode(words: np.ndarray, offsets: np.ndarray, total: int) -> np.ndarray:
-    """The ``total`` numbers of whole blocks; all but the last are full."""
+def decode(words: np.ndarray, total: int) -> np.ndarray:
+    """The ``total`` numbers of whole blocks."""
     if not total:
         return np.zeros(0, np.uint64)
     selector = (words >> _TOP).astype(np.int64)
@@ -72,14 +80,7 @@ def decode(words: np.ndarray, offsets: np.ndarray, total: int) -> np.ndarray:
     lead = np.flatnonzero(~raw)
     chosen = selector[lead]
     sizes = _SLOTS[chosen]
-    last = np.searchsorted(lead, offsets[1:]) - 1
-    full = np.full(len(last), BLOCK)
-    full[-1] = total - BLOCK * (len(last) - 1)
-    ends = np.cumsum(sizes)
-    spare = np.diff(np.concatenate([[0], ends[last]])) - full  # places of a block's last word that hold nothing
-    used = sizes.copy()
-    used[last] -= spare
-    starts = np.cumsum(used) - used
+    starts = np.cumsum(sizes) - sizes
     out = np.zeros(total + SLOTS[0], np.uint64)
     for k in np.unique(chosen).tolist():
         of = np.flatnonzero(chosen == k)
@@ -89,6 +90,5 @@ def decode(words: np.ndarray, offsets: np.ndarray, total: int) -> np.ndarray:
         bits = BITS[k - 1]
         mask = np.uint64((1 << bits) - 1)
         for j in range(SLOTS[k - 1] if bits else 0):
-            live = of[used[of] > j]
-            out[starts[live] + j] = (words[lead[live]] >> np.uint64(j * bits)) & mask
+            out[starts[of] + j] = (words[lead[of]] >> np.uint64(j * bits)) & mask
     return out[:total]

@@ -12,6 +12,7 @@ import json
 import os
 import re
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -33,7 +34,7 @@ from .token_counts import MEMO_ENTRIES, tokenizer_path
 MAGIC = b"S8BSHARD"
 MANIFEST = "manifest.json"
 #: Blocks that are packed at a time, and that a reading task takes.
-PACK_BLOCKS, READ_BLOCKS = 1024, 8192
+PACK_BLOCKS, READ_BLOCKS = 256, 8192
 #: Ids of the documents that are handed on in one batch (a longer document is a batch of its own).
 BATCH_IDS = 1 << 20
 
@@ -117,7 +118,7 @@ class ShardReader:
             return np.zeros(0, "<u4")
         offsets = self.offsets[a : b + 1]
         words = np.frombuffer(self._at(8 + 8 * int(offsets[0]), 8 * int(offsets[-1] - offsets[0])), "<u8")
-        ids = decode(words, offsets - offsets[0], min(b * BLOCK, self.ids) - a * BLOCK)
+        ids = decode(words, min(b * BLOCK, self.ids) - a * BLOCK)
         return ids[start - a * BLOCK : end - a * BLOCK].astype("<u4")
 
     def documents(self, first_block: int, last_block: int) -> Iterator[tuple[int, int]]:
@@ -228,6 +229,34 @@ class PackedIdsReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array(shard.keys[i:j], mask=shard.gone[i:j]), pa.array(partition.start + shard.starts[i:j]), pa.array(shard.lengths[i:j]), binary], names=["key", "start", "n_ids", "ids"])
 
 
+#: Words in which the byte-level splitter's classes are these: letters of the Latin blocks, digits, white space, all else.
+PLAIN = re.compile("[\t\n\x20-\x7e\u00c0-\u024f]*")
+_L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: The splitter of byte-level vocabularies (a fixed public pattern) in these classes.
+PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[0-9]+| ?[^\t\n {_L}0-9]+|[\t\n ]+(?![^\t\n ])|[\t\n ]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies: its own, or the next from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + k) for k, b in enumerate(others)}
+
+
+class PieceIds(dict):
+    """Ids of pieces by the library's model; the splitter, which takes longer than the model, is left out."""
+
+    def __init__(self, model: object) -> None:
+        self.tokenize, self.letters = model.tokenize, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > MEMO_ENTRIES:
+            self.clear()
+        ids = array("I", [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        self[piece] = ids
+        return ids
+
+
 @lru_cache(maxsize=2)
 def encoder(name: str) -> Callable[[str], bytes]:
     """A function from a whole text to its ids (little-endian 32-bit numbers), without added tokens, truncation or padding."""
@@ -250,7 +279,10 @@ def encoder(name: str) -> Callable[[str], bytes]:
     if pre.get("type") != "ByteLevel" or not pre.get("use_regex") or pre.get("add_prefix_space") or spec.get("normalizer"):
         return whole
     added = [t["content"] for t in spec.get("added_tokens", [])]
-    spaced, memo = re.compile(r" (\s|$)"), {}
+    spaced, memo, piece_ids = re.compile(r" (\s|$)"), {}, PieceIds(model.model)
+
+    def word(part: str) -> bytes:
+        return b"".join(map(piece_ids.__getitem__, PIECES.findall(part))) if PLAIN.fullmatch(part) else whole(part)
 
     def by_words(text: str) -> bytes:
         """The splitter cuts before every single space that a word follows, so such parts can be encoded one by one."""
@@ -259,9 +291,8 @@ def encoder(name: str) -> Callable[[str], bytes]:
         parts = text.replace(" ", "\0 ").split("\0")
         if len(memo) > MEMO_ENTRIES:
             memo.clear()
-        new = [p for p in dict.fromkeys(parts) if p not in memo]
-        if new:
-            memo.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, model.encode_batch_fast(new, add_special_tokens=False), strict=True))
+        for part in [p for p in set(parts) if p not in memo]:
+            memo[part] = word(part)
         return b"".join(map(memo.__getitem__, parts))
 
     return by_words
