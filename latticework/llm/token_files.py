@@ -229,7 +229,7 @@ class PackedIdsReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array(shard.keys[i:j], mask=shard.gone[i:j]), pa.array(partition.start + shard.starts[i:j]), pa.array(shard.lengths[i:j]), binary], names=["key", "start", "n_ids", "ids"])
 
 
-#: Words in which the byte-level splitter's classes are these: letters of the Latin blocks, digits, white space, all else.
+#: Texts in which the byte-level splitter's classes are these: letters of the Latin blocks, digits, white space, all else.
 PLAIN = re.compile("[\t\n\x20-\x7e\u00c0-\u024f]*")
 _L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 #: The splitter of byte-level vocabularies (a fixed public pattern) in these classes.
@@ -243,18 +243,23 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(0x100 + k) for k, b in enumerate(others)}
 
 
-class PieceIds(dict):
-    """Ids of pieces by the library's model; the splitter, which takes longer than the model, is left out."""
+class Memo(dict):
+    """What a function gave; emptied where it holds MEMO_ENTRIES."""
 
-    def __init__(self, model: object) -> None:
-        self.tokenize, self.letters = model.tokenize, byte_letters()
+    def __init__(self, function: Callable[[str], bytes]) -> None:
+        self.function = function
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) > MEMO_ENTRIES:
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= MEMO_ENTRIES:
             self.clear()
-        ids = array("I", [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
-        self[piece] = ids
-        return ids
+        self[key] = made = self.function(key)
+        return made
+
+
+def piece_encoder(model: object) -> Memo:
+    """Ids of pieces by the library's model; the splitter, which takes longer than the model, is left out."""
+    tokenize, letters = model.tokenize, byte_letters()
+    return Memo(lambda piece: array("I", [t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))]).tobytes())
 
 
 @lru_cache(maxsize=2)
@@ -279,21 +284,18 @@ def encoder(name: str) -> Callable[[str], bytes]:
     if pre.get("type") != "ByteLevel" or not pre.get("use_regex") or pre.get("add_prefix_space") or spec.get("normalizer"):
         return whole
     added = [t["content"] for t in spec.get("added_tokens", [])]
-    spaced, memo, piece_ids = re.compile(r" (\s|$)"), {}, PieceIds(model.model)
-
-    def word(part: str) -> bytes:
-        return b"".join(map(piece_ids.__getitem__, PIECES.findall(part))) if PLAIN.fullmatch(part) else whole(part)
+    spaced, piece_ids = re.compile(r" (\s|$)"), piece_encoder(model.model)
+    words = Memo(whole)
 
     def by_words(text: str) -> bytes:
-        """The splitter cuts before every single space that a word follows, so such parts can be encoded one by one."""
-        if not text or "\0" in text or spaced.search(text) or any(a in text for a in added):
+        """Plain texts by pieces.  Others by words: the splitter cuts before every single space that a word follows."""
+        if any(a in text for a in added):
+            return whole(text)
+        if PLAIN.fullmatch(text):
+            return b"".join(map(piece_ids.__getitem__, PIECES.findall(text)))
+        if "\0" in text or spaced.search(text):
             return whole(text)
-        parts = text.replace(" ", "\0 ").split("\0")
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        for part in [p for p in set(parts) if p not in memo]:
-            memo[part] = word(part)
-        return b"".join(map(memo.__getitem__, parts))
+        return b"".join(map(words.__getitem__, text.replace(" ", "\0 ").split("\0")))
 
     return by_words
 
