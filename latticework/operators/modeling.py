@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from latticework.functions.scalar import block_key
 
 from .ranking import wide_quantiles
+from .trees import Boosting, ExtraTrees, with_probabilities
 
 #: Blocks up to which folds are dealt on the driver: a row per block and label.
 MAX_BLOCKS = 100_000
@@ -37,12 +38,18 @@ def block_folds(cells: DataFrame, label: str, folds: int = 5, block: int = 5, se
     return own.join(cells.sparkSession.createDataFrame(rows, "block string, fold int"), "block")
 
 
-def classifier(kind: str, trees: int, depth: int, seed: int):
-    """random_forest, or boosted (one-versus-rest, as boosted trees here tell two classes apart)."""
-    if kind == "random_forest":
-        return RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="w", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=seed)
+def forest(trees: int, depth: int, seed: int) -> RandomForestClassifier:
+    return RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="w", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=seed)
+
+
+def grown(kind: str, trees: int, depth: int, seed: int) -> ExtraTrees | Boosting:
+    """extra_trees, boosted (whole levels to a depth) or boosted_leaves (the best leaf first, 31 leaves)."""
+    if kind == "extra_trees":
+        return ExtraTrees(trees, depth, seed)
     if kind == "boosted":
-        return OneVsRest(classifier=GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed), featuresCol="features", labelCol="y", weightCol="w")
+        return Boosting(trees, depth)
+    if kind == "boosted_leaves":
+        return Boosting(trees, depth, leaves=31, ridge=0.0, min_weight=1e-3)
     raise ValueError(f"no model {kind!r}")
 
 
@@ -51,8 +58,8 @@ MAX_GROUPS = 1_000
 
 
 def held_out_predictions(df: DataFrame, features: list[str], label: str, group: str, kind: str = "random_forest", key: str = "grid_id", trees: int = 50, depth: int = 10, seed: int = 42, least_rows: int = 1) -> DataFrame:
-    """Predictions of each group (fold, district) by a model of all others: key, group, true and predicted label and, for models that
-    give them, a probability per label (an array in the order of the sorted labels).
+    """Predictions of each group (fold, district) by a model of all others: key, group, true and predicted label, and a probability per
+    label (an array in the order of the sorted labels).  ``kind``: random_forest, extra_trees, boosted or boosted_leaves.
 
     Groups of ``least_rows`` or more are held out, the most frequent first.  Nulls become medians of the training rows, and classes weigh
     n / (k * n_c) there.  A model is fitted for each group; more than MAX_GROUPS are an error.
@@ -71,10 +78,40 @@ def held_out_predictions(df: DataFrame, features: list[str], label: str, group:
         fill = {c: float(row[f"q_{c}"][0] if row[f"q_{c}"] is not None else 0.0) for c in features}
         n = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
         weight = F.element_at(F.create_map(*[F.lit(x) for v, c in n.items() for x in (v, sum(n.values()) / (len(n) * c))]), F.col(label))
-        assemble = VectorAssembler(inputCols=features, outputCol="features")
-        ready = assemble.transform(train.fillna(fill, features).withColumn("y", number).withColumn("w", weight))
-        model = classifier(kind, trees, depth, seed).fit(ready)
-        out = model.transform(assemble.transform(test.fillna(fill, features)))
-        sure = vector_to_array("probability") if "probability" in out.columns else F.lit(None).cast("array<double>")
-        parts.append(out.select(key, group, F.col(label).alias("true_label"), name.alias("predicted_label"), sure.alias("probabilities")))
+        ready = train.fillna(fill, features).withColumn("y", number).withColumn("w", weight)
+        filled = test.fillna(fill, features)
+        if kind == "random_forest":
+            assemble = VectorAssembler(inputCols=features, outputCol="features")
+            model = forest(trees, depth, seed).fit(assemble.transform(ready))
+            out = model.transform(assemble.transform(filled)).withColumn("probabilities", vector_to_array("probability"))
+            names = name
+        else:
+            fitted = grown(kind, trees, depth, seed).fit(ready, features, "y", "w", len(labels))
+            out = with_probabilities(filled, fitted, features, [key, group, label])
+            names = F.element_at(F.array(*[F.lit(v) for v in labels]), F.array_position("probabilities", F.array_max("probabilities")).cast("int"))
+        parts.append(out.select(key, group, F.col(label).alias("true_label"), names.alias("predicted_label"), "probabilities"))
     return reduce(DataFrame.unionByName, parts)
+
+
+def gain_importances(df: DataFrame, features: list[str], label: str, group: str, trees: int = 50, depth: int = 6, leaves: int | None = None) -> DataFrame:
+    """group, feature and importance: the sum of the gains of its splits in boosted trees of all rows but the group's, as a share of all gains.
+
+    One model per group, at most MAX_GROUPS; medians fill nulls and classes are balanced as in ``held_out_predictions``.
+    """
+    groups = [r[0] for r in df.select(group).distinct().orderBy(group).limit(MAX_GROUPS + 1).collect()]
+    if len(groups) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups")
+    labels = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
+    number = F.element_at(F.create_map(*[F.lit(x) for i, v in enumerate(labels) for x in (v, i)]), F.col(label))
+    rows = []
+    for g in groups:
+        train = df.filter(F.col(group) != g)
+        q = wide_quantiles(train, features, [], [0.5]).first()
+        fill = {c: float(q[f"q_{c}"][0] if q[f"q_{c}"] is not None else 0.0) for c in features}
+        n = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+        weight = F.element_at(F.create_map(*[F.lit(x) for v, c in n.items() for x in (v, sum(n.values()) / (len(n) * c))]), F.col(label))
+        model = Boosting(trees, depth, leaves=leaves).fit(train.fillna(fill, features).withColumn("y", number).withColumn("w", weight), features, "y", "w", len(labels))
+        total = float(model.gains.sum()) or 1.0
+        rows += [(g, c, float(v) / total) for c, v in zip(features, model.gains, strict=True)]
+    kind = df.schema[group].dataType.simpleString()
+    return df.sparkSession.createDataFrame(rows, f"`{group}` {kind}, feature string, importance double")

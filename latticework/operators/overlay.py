@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import cut
-from .rings import bearing, next_lines, ring_order, rings_of
+from .rings import next_lines, ring_order, rings_of
 from .squares import GRAIN, corner_windings, oriented_edges, points_in_regions, square_edges
 
 POINTS = "array<struct<x:double,y:double,edge:long>>"
@@ -284,6 +284,21 @@ def assemble(rings: DataFrame, keys: list[str], size: float) -> DataFrame:
     return out.withColumn("part", F.row_number().over(order)).select(*keys, "part", "area", "rings")
 
 
+def grouped(polygons: DataFrame, keys: list[str], rings: str) -> tuple[DataFrame, list[str]]:
+    """Rings with one column for the keys, which is never null, and its name; none without keys."""
+    if not keys:
+        return polygons.select(rings), []
+    return polygons.select(F.to_json(F.struct(*keys)).alias("_group"), rings), ["_group"]
+
+
+def named(result: DataFrame, polygons: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys' own columns in place of that one."""
+    if not keys:
+        return result
+    each = polygons.select(F.to_json(F.struct(*keys)).alias("_group"), *keys).distinct()
+    return result.join(each, "_group").select(*keys, *[c for c in result.columns if c != "_group"])
+
+
 def overlay(left: DataFrame, right: DataFrame | None = None, how: str = "union", keys: list[str] | None = None, size: float = 1000.0, rings: str = "rings", grain: float = GRAIN) -> DataFrame:
     """Polygons of ``left`` with the same keys made one, or cut by those of ``right``: keys, part (a number from 1), area and rings (shell, then holes).
 
@@ -292,19 +307,24 @@ def overlay(left: DataFrame, right: DataFrame | None = None, how: str = "union",
     first.  Null and empty polygons and rings of under three points count as nothing; an empty table gives an empty one.
     """
     keys = keys or []
-    parts = square_parts(left, right, how, keys, float(size), rings, grain)
-    return assemble(result_rings(parts, keys, float(size)), keys, float(size))
+    own, group = grouped(left, keys, rings)
+    if right is not None:
+        right = grouped(right, keys, rings)[0] if set(keys) <= set(right.columns) else right.select(rings)
+    parts = square_parts(own, right, how, group, float(size), rings, grain)
+    return named(assemble(result_rings(parts, group, float(size)), group, float(size)), left, keys)
 
 
 def mended(polygons: DataFrame, keys: list[str], size: float = 1000.0, rings: str = "rings", grain: float = GRAIN) -> DataFrame:
     """Each key's rings, however they cross themselves, as valid polygons: what they wind around, in whatever direction, counts once."""
-    parts = square_parts(polygons, None, "union", keys, float(size), rings, grain, rule="nonzero")
-    return assemble(result_rings(parts, keys, float(size)), keys, float(size))
+    own, group = grouped(polygons, keys, rings)
+    parts = square_parts(own, None, "union", group, float(size), rings, grain, rule="nonzero")
+    return named(assemble(result_rings(parts, group, float(size)), group, float(size)), polygons, keys)
 
 
 def covered_area(polygons: DataFrame, size: float, keys: list[str], rings: str = "rings") -> DataFrame:
     """keys, row_id, col_id and the area that the polygons of a key cover together in each square; where they overlap, once."""
-    return square_areas(square_parts(polygons, None, "union", keys, float(size), rings, outline=False), keys)
+    own, group = grouped(polygons, keys, rings)
+    return named(square_areas(square_parts(own, None, "union", group, float(size), rings, outline=False), group), polygons, keys)
 
 
 def dissolved_area(polygons: DataFrame, size: float, key: str, rings: str = "rings") -> DataFrame:
@@ -314,8 +334,9 @@ def dissolved_area(polygons: DataFrame, size: float, key: str, rings: str = "rin
 
 def clipped_area(regions: DataFrame, region: str, study: DataFrame, size: float, rings: str = "rings") -> DataFrame:
     """region and the area of its polygons inside the study area, the union of the polygons of ``study``; regions outside have none."""
-    parts = square_parts(regions.select(region, rings), study.select(rings), "intersection", [region], float(size), rings, outline=False)
-    return square_areas(parts, [region]).groupBy(region).agg(F.sum("area").alias("area"))
+    own, group = grouped(regions, [region], rings)
+    parts = square_parts(own, study.select(rings), "intersection", group, float(size), rings, outline=False)
+    return named(square_areas(parts, group), regions, [region]).groupBy(region).agg(F.sum("area").alias("area"))
 
 
 def faces(lines: DataFrame, size: float = 1000.0) -> DataFrame:
@@ -333,7 +354,7 @@ def faces(lines: DataFrame, size: float = 1000.0) -> DataFrame:
         return d.select("a", "b", ways.alias("w")).select("a", "b", "w.s", "w.e")
 
     half = cut(both(own).withColumn("id", F.monotonically_increasing_id()))
-    turned = half.select("id", F.col("s.x").alias("sx"), F.col("s.y").alias("sy"), F.col("e.x").alias("ex"), F.col("e.y").alias("ey"), bearing(F.col("s"), F.col("e")).alias("out"), bearing(F.col("e"), F.col("s")).alias("back"))
+    turned = half.select("id", "s", F.col("e").alias("s1"), "e", F.col("s").alias("e1"))
     sides = half.join(ring_order(next_lines(turned, [])), "id").groupBy("a", "b").agg(F.min("ring").alias("r0"), F.max("ring").alias("r1"))
     edges = cut(both(sides.filter("r0 != r1")))
     points = F.array(F.struct(F.col("s.x").alias("x"), F.col("s.y").alias("y"), F.xxhash64("s", "e").alias("edge")), F.struct(F.col("e.x").alias("x"), F.col("e.y").alias("y"), F.lit(0).cast("long").alias("edge")))

@@ -8,6 +8,7 @@ window sees is one range partition, or one row per range partition.  The ranged
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like ``cut``, by a table in that folder.  A checkpoint keeps what the optimiser knew of the columns, and over rounds of one join that
+    grows threefold a round; a table starts with nothing known."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{folder}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def same(a: str, b: str, keys: list[str]) -> Column:
     """a.k <=> b.k for all keys; true without keys."""
     out = F.lit(True)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.operators import overlay
+from latticework.operators import lattice, overlay, surroundings
 
 from .context import _ELLS, _SQUARES, _ells, _overlapping
-from .inputs import SIZE, rounded
+from .inputs import COLS, ROADS, ROWS, SIZE, roads, rounded
 
 QUERIES, ORACLES = {}, {}
 
@@ -79,3 +79,49 @@ def outline_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = network.planarize(edges.withColumnRenamed("edge", "id"), squares.GRAIN, SIZE)
     low = F.array_min(F.transform(F.col("rings")[0], lambda p: F.struct(p["y"].alias("y"), p["x"].alias("x"))))
     return rounded(overlay.faces(lines, SIZE).select(low.alias("low"), "area").select("low.x", "low.y", "area"), "area", digits=4)
+
+
+#: Radii of the buffers, and the study area: all of the lattice but a strip, cut into two polygons that overlap.
+RADII = [250.0, 400.0, 800.0]
+_STUDY = (0.0, 0.0, 5000.0, 4700.0)
+
+
+@query(f"""WITH {ROADS}, w AS (SELECT {_STUDY[0]}::DOUBLE AS wx0, {_STUDY[1]}::DOUBLE AS wy0, {_STUDY[2]}::DOUBLE AS wx1, {_STUDY[3]}::DOUBLE AS wy1),
+cells AS (SELECT r.range AS row_id, c.range AS col_id, c.range * 250.0::DOUBLE + 125 AS cx, r.range * 250.0::DOUBLE + 125 AS cy, radius FROM range({ROWS}) r, range({COLS}) c, (VALUES (250.0::DOUBLE), (400.0::DOUBLE), (800.0::DOUBLE)) v(radius)),
+k AS (SELECT range AS k, cos(2 * pi() * range / 96) AS c0, sin(2 * pi() * range / 96) AS s0, cos(2 * pi() * (range + 1) / 96) AS c1, sin(2 * pi() * (range + 1) / 96) AS s1, cos(2 * pi() * (range + 0.5) / 96) AS nc, sin(2 * pi() * (range + 0.5) / 96) AS ns FROM range(96)),
+chords AS (SELECT row_id, col_id, radius, cx, cy, cx + radius * c0 AS x0, cy + radius * s0 AS y0, radius * (c1 - c0) AS dx, radius * (s1 - s0) AS dy FROM cells, k),
+ct AS (SELECT *, greatest(0, CASE WHEN abs(dx) < 1e-12 THEN 0 ELSE least((wx0 - x0) / dx, (wx1 - x0) / dx) END, CASE WHEN abs(dy) < 1e-12 THEN 0 ELSE least((wy0 - y0) / dy, (wy1 - y0) / dy) END) AS a,
+  least(1, CASE WHEN abs(dx) < 1e-12 THEN CASE WHEN x0 BETWEEN wx0 AND wx1 THEN 1 ELSE -1 END ELSE greatest((wx0 - x0) / dx, (wx1 - x0) / dx) END, CASE WHEN abs(dy) < 1e-12 THEN CASE WHEN y0 BETWEEN wy0 AND wy1 THEN 1 ELSE -1 END ELSE greatest((wy0 - y0) / dy, (wy1 - y0) / dy) END) AS b FROM chords, w),
+sides AS (SELECT row_id, col_id, radius, cx, cy, v.x0, v.y0, v.x1 - v.x0 AS dx, v.y1 - v.y0 AS dy FROM cells, (SELECT wx0 AS x0, wy0 AS y0, wx1 AS x1, wy0 AS y1 FROM w UNION ALL SELECT wx1, wy0, wx1, wy1 FROM w UNION ALL SELECT wx1, wy1, wx0, wy1 FROM w UNION ALL SELECT wx0, wy1, wx0, wy0 FROM w) v),
+st AS (SELECT s.row_id, s.col_id, s.radius, cx, cy, x0, y0, dx, dy, greatest(0, max(CASE WHEN dx * nc + dy * ns < -1e-12 THEN (radius * cos(pi() / 96) - (x0 - cx) * nc - (y0 - cy) * ns) / (dx * nc + dy * ns) END)) AS a,
+  least(1, min(CASE WHEN dx * nc + dy * ns > 1e-12 THEN (radius * cos(pi() / 96) - (x0 - cx) * nc - (y0 - cy) * ns) / (dx * nc + dy * ns) END)) AS b FROM sides s, k GROUP BY ALL),
+area AS (SELECT row_id, col_id, radius, sum(((x0 + a * dx - cx) * (y0 + b * dy - cy) - (x0 + b * dx - cx) * (y0 + a * dy - cy)) / 2) AS area FROM (SELECT row_id, col_id, radius, cx, cy, x0, y0, dx, dy, a, b FROM ct WHERE a < b UNION ALL SELECT * FROM st WHERE a < b) GROUP BY 1, 2, 3),
+rd AS (SELECT id, x0, y0, x1 - x0 AS dx, y1 - y0 AS dy FROM s),
+rt AS (SELECT *, greatest(0, CASE WHEN dx = 0 THEN 0 ELSE least((wx0 - x0) / dx, (wx1 - x0) / dx) END, CASE WHEN dy = 0 THEN 0 ELSE least((wy0 - y0) / dy, (wy1 - y0) / dy) END) AS a,
+  least(1, CASE WHEN dx = 0 THEN CASE WHEN x0 BETWEEN wx0 AND wx1 THEN 1 ELSE -1 END ELSE greatest((wx0 - x0) / dx, (wx1 - x0) / dx) END, CASE WHEN dy = 0 THEN CASE WHEN y0 BETWEEN wy0 AND wy1 THEN 1 ELSE -1 END ELSE greatest((wy0 - y0) / dy, (wy1 - y0) / dy) END) AS b FROM rd, w),
+rc AS (SELECT id, x0 + a * dx AS x0, y0 + a * dy AS y0, (b - a) * dx AS dx, (b - a) * dy AS dy FROM rt WHERE a < b AND (dx <> 0 OR dy <> 0)),
+j AS (SELECT row_id, col_id, radius, id, x0 - cx AS qx, y0 - cy AS qy, dx, dy FROM cells JOIN rc ON least(x0, x0 + dx) <= cx + radius AND greatest(x0, x0 + dx) >= cx - radius AND least(y0, y0 + dy) <= cy + radius AND greatest(y0, y0 + dy) >= cy - radius),
+whole AS (SELECT *, sqrt(qx * qx + qy * qy) <= radius * cos(pi() / 96) AND sqrt((qx + dx) * (qx + dx) + (qy + dy) * (qy + dy)) <= radius * cos(pi() / 96) AS held FROM j),
+jt AS (SELECT row_id, col_id, radius, id, qx, qy, dx, dy, greatest(0, max(CASE WHEN dx * nc + dy * ns < 0 THEN (radius * cos(pi() / 96) - qx * nc - qy * ns) / (dx * nc + dy * ns) END)) AS a, least(1, min(CASE WHEN dx * nc + dy * ns > 0 THEN (radius * cos(pi() / 96) - qx * nc - qy * ns) / (dx * nc + dy * ns) END)) AS b FROM whole, k WHERE NOT held GROUP BY ALL),
+lens AS (SELECT row_id, col_id, radius, id, least(CAST(floor(((degrees(atan2(dy, dx)) % 180) + 180) % 180 / 15) AS BIGINT), 11) AS bin, sqrt(dx * dx + dy * dy) * (b - a) AS length FROM (SELECT row_id, col_id, radius, id, dx, dy, 0 AS a, 1 AS b FROM whole WHERE held UNION ALL SELECT row_id, col_id, radius, id, dx, dy, a, b FROM jt WHERE a < b)),
+bins AS (SELECT row_id, col_id, radius, bin, sum(length) AS n, count(*) AS k FROM lens WHERE length > 0 GROUP BY 1, 2, 3, 4), shares AS (SELECT *, n / sum(n) OVER (PARTITION BY row_id, col_id, radius) AS p FROM bins),
+road AS (SELECT row_id, col_id, radius, sum(n) AS road_length, CAST(sum(k) AS BIGINT) AS segments, -sum(p * ln(p)) / ln(12) AS entropy, max(p) AS dominant_share, count(*) AS bins_used FROM shares GROUP BY 1, 2, 3),
+ends AS (SELECT x, y, count(*) AS degree FROM (SELECT x0 AS x, y0 AS y FROM s UNION ALL SELECT x1, y1 FROM s) GROUP BY 1, 2),
+nd AS (SELECT row_id, col_id, radius, x - cx AS px, y - cy AS py, degree FROM cells JOIN ends ON abs(x - cx) <= radius AND abs(y - cy) <= radius JOIN w ON x BETWEEN wx0 AND wx1 AND y BETWEEN wy0 AND wy1),
+near AS (SELECT * FROM nd WHERE sqrt(px * px + py * py) <= radius * cos(pi() / 96) UNION ALL (SELECT row_id, col_id, radius, px, py, degree FROM nd, k WHERE sqrt(px * px + py * py) > radius * cos(pi() / 96) GROUP BY ALL HAVING max(px * nc + py * ns - radius * cos(pi() / 96)) <= 0)),
+node AS (SELECT row_id, col_id, radius, count(*) AS nodes, CAST(sum(CASE WHEN degree >= 3 THEN 1 ELSE 0 END) AS BIGINT) AS intersections, CAST(sum(CASE WHEN degree = 1 THEN 1 ELSE 0 END) AS BIGINT) AS dead_ends, avg(degree) AS mean_degree FROM near GROUP BY 1, 2, 3)
+SELECT c.row_id, c.col_id, c.radius, round(48 * c.radius * c.radius * sin(2 * pi() / 96), 4) AS buffer_area, round(area, 2) AS context_area, round(area / (48 * c.radius * c.radius * sin(2 * pi() / 96)), 6) AS coverage, round(coalesce(road_length, 0), 4) AS road_length, coalesce(segments, 0) AS segments,
+  coalesce(nodes, 0) AS nodes, coalesce(intersections, 0) AS intersections, coalesce(dead_ends, 0) AS dead_ends, round(coalesce(nodes, 0) / (area / 1e6), 4) AS nodes_per_km2, round(mean_degree, 6) AS mean_degree, round(entropy, 6) AS entropy, round(dominant_share, 6) AS dominant_share, coalesce(bins_used, 0) AS bins_used
+FROM cells c JOIN area a ON a.row_id = c.row_id AND a.col_id = c.col_id AND a.radius = c.radius LEFT JOIN road r ON r.row_id = c.row_id AND r.col_id = c.col_id AND r.radius = c.radius LEFT JOIN node n ON n.row_id = c.row_id AND n.col_id = c.col_id AND n.radius = c.radius""")
+def network_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roads and street nodes within 250, 400 and 800 of each cell's centre, inside a study area."""
+    own = roads(spark, sf_dir).select("id", "x0", "y0", "x1", "y1")
+    ends = own.select(F.explode(F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")))).alias("p"))
+    nodes = ends.groupBy(F.col("p.x").alias("x"), F.col("p.y").alias("y")).agg(F.count(F.lit(1)).alias("degree"))
+    x0, y0, x1, y1 = _STUDY
+    ring = lambda a, b: F.array(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((a, y0), (b, y0), (b, y1), (a, y1))]))
+    study = spark.range(1).select(F.explode(F.array(ring(x0, 3100.0), ring(2300.0, x1))).alias("rings"))
+    cells = lattice.grid_cells(spark, ROWS, COLS).select("row_id", "col_id", (F.col("x0") + SIZE / 2).alias("x"), (F.col("y0") + SIZE / 2).alias("y"))
+    out = surroundings.buffer_context(cells, ["row_id", "col_id"], own, nodes, study, RADII, float(SIZE))
+    out = out.select("row_id", "col_id", "radius", "buffer_area", "context_area", "coverage", "road_length", "segments", "nodes", "intersections", "dead_ends", "nodes_per_km2", "mean_degree", "entropy", "dominant_share", "bins_used")
+    return rounded(rounded(rounded(out, "buffer_area", "road_length", "nodes_per_km2", digits=4), "context_area", digits=2), "coverage", "mean_degree", "entropy", "dominant_share")

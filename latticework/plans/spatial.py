@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.functions import scalar as S
-from latticework.operators import access, geometry, lattice, modeling, morphology, network, polygons, zonal
+from latticework.operators import access, features, geometry, lattice, modeling, morphology, network, polygons, zonal
 
 from .inputs import ACCESS, BUILDINGS, CELL, CELL_AREA, COLS, PIECES, PIXELS, ROADS, ROWS, SIZE, buildings, origins, pixels, roads, rounded, supplies, table
 
@@ -234,12 +234,33 @@ def open_space_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(geometry.open_space(_pieces(spark, sf_dir), SIZE), "union_area", "open_area", "largest_patch", "fragmentation", digits=4)
 
 
-@query()
-def held_out_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _zones(spark, sf_dir).groupBy(*CELL).agg(F.avg("value").alias("a"), F.max("value").alias("b"), F.stddev_pop("value").alias("c"), F.max_by("label", F.struct("value", "px")).alias("label"))
     cells = cells.withColumn("grid_id", lattice.cell_name(F.col("row_id"), F.col("col_id"), SIZE))
-    folds = modeling.block_folds(cells, "label", 3)
-    return modeling.held_out_predictions(folds, ["a", "b", "c"], "label", "fold", trees=10, depth=5)
+    return modeling.block_folds(cells, "label", 3)
+
+
+@query()
+def held_out_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modeling.held_out_predictions(_model_rows(spark, sf_dir), ["a", "b", "c"], "label", "fold", trees=10, depth=5)
+
+
+@query()
+def held_out_extra_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modeling.held_out_predictions(_model_rows(spark, sf_dir), ["a", "b", "c"], "label", "fold", "extra_trees", trees=10, depth=5)
+
+
+@query()
+def held_out_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modeling.held_out_predictions(_model_rows(spark, sf_dir), ["a", "b", "c"], "label", "fold", "boosted_leaves", trees=4, depth=3)
+
+
+@query()
+def gain_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gain importances of boosted trees by family of columns, over folds."""
+    rows = _model_rows(spark, sf_dir).select("grid_id", "label", "fold", F.col("a").alias("building_value"), F.col("b").alias("road_value"), F.col("c").alias("building_spread"))
+    gains = modeling.gain_importances(rows, ["building_value", "road_value", "building_spread"], "label", "fold", trees=3, depth=3)
+    return features.importance_by_family(gains.withColumn("model", F.lit("boosted")), ["model"])
 
 
 @query(f"WITH {BUILDINGS} SELECT id, row_id, col_id, round(area, 4) AS area FROM p WHERE area > 0")

@@ -146,7 +146,7 @@ def test_letter_bounds_hold(spark):
     assert all(r.m >= SequenceMatcher(None, r.a, r.b).ratio() - 1e-9 for r in df.withColumn("m", matching.most_similar("x", "y")).collect())
 
 
-@pytest.mark.parametrize("kind", ["random_forest", "boosted"])
+@pytest.mark.parametrize("kind", ["random_forest", "extra_trees", "boosted", "boosted_leaves"])
 def test_held_out_models(spark, kind):
     import random
 
@@ -158,8 +158,7 @@ def test_held_out_models(spark, kind):
     rows = out.collect()
     assert {r.district for r in rows} == {"p", "q"} and len(rows) == 175
     assert sum(r.true_label == r.predicted_label for r in rows) > 0.9 * len(rows)
-    if kind == "random_forest":
-        assert all(len(r.probabilities) == 3 and abs(sum(r.probabilities) - 1) < 1e-6 for r in rows)
+    assert all(len(r.probabilities) == 3 and abs(sum(r.probabilities) - 1) < 1e-6 for r in rows)
     assert evaluation.confusion(out.withColumn("m", F.lit(1)), ["a", "b", "c"], ["m"]).count() == 9
 
 
