@@ -32,8 +32,8 @@ def chord_circle_area(radius: float, quadrant: int = 24) -> float:
     return n / 2 * radius * radius * math.sin(2 * math.pi / n)
 
 
-def inside_interval(dx: Column, dy: Column, qx: Column, qy: Column, radius: Column, quadrant: int = 24) -> tuple[Column, Column]:
-    """Where a line q + t d (q from the centre) enters and leaves the polygon of chords; it misses it if it leaves before it enters.
+def inside_interval(dx: Column, dy: Column, qx: Column, qy: Column, radius: Column, quadrant: int = 24) -> Column:
+    """Where a line q + t d (q from the centre) enters (a) and leaves (b) the polygon of chords; it misses it if it leaves before it enters.
 
     Chord k has its normal at (k + 1/2) steps and lies at radius * cos(half a step).
     """
@@ -48,8 +48,7 @@ def inside_interval(dx: Column, dy: Column, qx: Column, qy: Column, radius: Colu
         leave = F.when(along > 0, F.least(acc["b"], t)).otherwise(acc["b"])
         return F.struct(enter.alias("a"), leave.alias("b"))
 
-    span = F.aggregate(normals, F.struct(F.lit(0.0).alias("a"), F.lit(1.0).alias("b")), step)
-    return span["a"], span["b"]
+    return F.aggregate(normals, F.struct(F.lit(0.0).alias("a"), F.lit(1.0).alias("b")), step)
 
 
 def cut_by_study(segments: DataFrame, study: DataFrame, size: float, rings: str = "rings") -> DataFrame:
@@ -115,8 +114,10 @@ def buffer_context(points: DataFrame, key: list[str], roads: DataFrame, nodes: D
     met = _near(centres, cut_by_study(roads, study, size, rings), F.col("radius"), size, "x0", "y0", "x1", "y1")
     near = met.filter(point_segment_distance(F.col("cx"), F.col("cy"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")) < F.col("radius"))
     held = (F.hypot(qx, qy) <= F.col("radius") * inner) & (F.hypot(qx + dx, qy + dy) <= F.col("radius") * inner)
-    a, b = inside_interval(dx, dy, qx, qy, F.col("radius"), quadrant)
-    share = near.withColumn("_part", F.when(held, F.lit(1.0)).otherwise(b - a)).filter("_part > 0")
+    whole = F.struct(F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))
+    # Through explode the fold runs once a pair; a filter would be pushed below it with a copy of its own.
+    spans = near.withColumn("_s", F.explode(F.array(F.when(held, whole).otherwise(inside_interval(dx, dy, qx, qy, F.col("radius"), quadrant)))))
+    share = spans.withColumn("_part", F.col("_s.b") - F.col("_s.a")).filter("_part > 0")
     pieces = share.select(*own, "id", (F.hypot(dx, dy) * F.col("_part")).alias("length"), S.orientation_bin(dx, dy, bins).alias("bin")).filter("length > 0")
     by_road = pieces.groupBy(*own, "id", "bin").agg(F.sum("length").alias("length"))
     by_bin = by_road.groupBy(*own, "bin").agg(F.sum("length").alias("length"), F.count(F.lit(1)).alias("n"))

@@ -129,7 +129,8 @@ def heat_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(statistics.trend_bins(cells(spark, sf_dir), "heat", "coverage", "grid_id", ["class"]), "x_median", digits=4), "y_q25", "y_median", "y_q75")
 
 
-_TAIL = "exp(-z * z / 2) * (0.254829592 / (1 + 0.3275911 * z / sqrt(2)) - 0.284496736 / pow(1 + 0.3275911 * z / sqrt(2), 2) + 1.421413741 / pow(1 + 0.3275911 * z / sqrt(2), 3) - 1.453152027 / pow(1 + 0.3275911 * z / sqrt(2), 4) + 1.061405429 / pow(1 + 0.3275911 * z / sqrt(2), 5))"
+#: Twice the upper tail of Student's t by Simpson's rule over its density, in 4,000 steps.
+_TAIL = "1 - 2 * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt((n - 2) * pi()) * (z / 12000) * list_sum([(CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + pow(z * k / 4000, 2) / (n - 2), -(n - 1) / 2.0) FOR k IN range(4001)])"
 
 
 @query(f"""WITH {_CELLS}, r AS (SELECT class, rank() OVER (PARTITION BY class ORDER BY heat) + (count(*) OVER (PARTITION BY class, heat) - 1) / 2.0 AS a, rank() OVER (PARTITION BY class ORDER BY coverage) + (count(*) OVER (PARTITION BY class, coverage) - 1) / 2.0 AS b FROM c),
@@ -138,8 +139,10 @@ def rank_correlation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(statistics.spearman(cells(spark, sf_dir), "heat", "coverage", ["class"]), "rho"), "t", "p_value", digits=5)
 
 
-@query(f"""WITH {_CELLS}, v AS (SELECT heat AS v, sum(CASE WHEN core = 1 THEN 1 ELSE 0 END) AS a, sum(CASE WHEN core = 1 THEN 0 ELSE 1 END) AS b FROM c GROUP BY 1), d AS (SELECT max(abs(x - y)) AS d, max(na) AS n_a, max(nb) AS n_b FROM (SELECT CAST(sum(a) OVER (ORDER BY v) AS DOUBLE) / sum(a) OVER () AS x, CAST(sum(b) OVER (ORDER BY v) AS DOUBLE) / sum(b) OVER () AS y, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM v)),
-x AS (SELECT *, d * sqrt(CAST(n_a AS DOUBLE) * n_b / (n_a + n_b)) AS x FROM d) SELECT round(any_value(d), 6) AS d, CAST(any_value(n_a) AS BIGINT) AS n_a, CAST(any_value(n_b) AS BIGINT) AS n_b, round(CASE WHEN any_value(x) < 0.2 THEN 1 ELSE least(greatest(sum((CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END) * exp(-2.0 * k * k * x * x)), 0), 1) END, 5) AS p_value FROM x, range(1, 101) r(k)""")
+@query(f"""WITH RECURSIVE {_CELLS}, v AS (SELECT heat AS v, sum(CASE WHEN core = 1 THEN 1 ELSE 0 END) AS a, sum(CASE WHEN core = 1 THEN 0 ELSE 1 END) AS b FROM c GROUP BY 1), d AS (SELECT max(abs(x - y)) AS d, max(na) AS n_a, max(nb) AS n_b FROM (SELECT CAST(sum(a) OVER (ORDER BY v) AS DOUBLE) / sum(a) OVER () AS x, CAST(sum(b) OVER (ORDER BY v) AS DOUBLE) / sum(b) OVER () AS y, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM v)),
+p AS (SELECT 0 AS s, [CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0 END FOR i IN range(CAST(n_a AS BIGINT) + 1)] AS q, CAST(round(d * n_a * n_b) AS BIGINT) AS k, CAST(n_a AS BIGINT) AS m, CAST(n_b AS BIGINT) AS n FROM d
+  UNION ALL SELECT s + 1, [CASE WHEN s + 1 - i BETWEEN 0 AND n AND abs(i * n - (s + 1 - i) * m) < k THEN (CASE WHEN i > 0 THEN q[i] ELSE 0 END) * i / (s + 1) + q[i + 1] * (s + 1 - i) / (s + 1) ELSE 0 END FOR i IN range(m + 1)], k, m, n FROM p WHERE s < m + n)
+SELECT round(d, 6) AS d, m AS n_a, n AS n_b, round(1 - q[m + 1], 5) AS p_value FROM p, d WHERE s = m + n""")
 def distribution_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(statistics.ks_two_sample(cells(spark, sf_dir), "heat", F.col("core") == 1), "d"), "p_value", digits=5)
 

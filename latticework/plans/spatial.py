@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.functions import scalar as S
+from latticework.functions.projection import TransverseMercator
 from latticework.operators import access, features, geometry, lattice, modeling, morphology, network, polygons, zonal
 
 from .inputs import ACCESS, BUILDINGS, CELL, CELL_AREA, COLS, PIECES, PIXELS, ROADS, ROWS, SIZE, buildings, origins, pixels, roads, rounded, supplies, table
@@ -269,3 +270,14 @@ def polygon_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     corners = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))])
     rings = buildings(spark, sf_dir).select("id", F.array(corners).alias("rings"))
     return rounded(polygons.polygon_overlay(rings, SIZE, ROWS, COLS), "area", digits=4)
+
+
+@query("""SELECT event_id, round(20 + event_id * 7919 % 20000 / 1000.0, 9)::DOUBLE AS lon, round(event_id * 104729 % 160000 / 1000.0 - 80, 9)::DOUBLE AS lat FROM events""")
+def projected_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees through a transverse Mercator projection and back."""
+    k = F.col("event_id")
+    zone = TransverseMercator.utm(35)
+    x, y = zone.forward(F.col("lon"), F.col("lat"))
+    own = table(spark, sf_dir, "events").select("event_id", (20 + k * 7919 % 20000 / 1000.0).alias("lon"), (k * 104729 % 160000 / 1000.0 - 80).alias("lat")).select("event_id", x.alias("x"), y.alias("y"))
+    lon, lat = zone.inverse(F.col("x"), F.col("y"))
+    return rounded(own.select("event_id", lon.alias("lon"), lat.alias("lat")), "lon", "lat", digits=9)

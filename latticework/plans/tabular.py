@@ -124,9 +124,9 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT l_returnflag AS g, CAST(rank() OVER (ORDER BY l_quantity) AS DOUBLE) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY l_quantity) AS t, CAST(count(*) OVER () AS DOUBLE) AS n FROM lineitem), s AS (SELECT g, sum(r) AS r, count(*) AS c, max(n) AS n FROM r GROUP BY 1), t AS (SELECT sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM r),
-h AS (SELECT (12 / (max(n) * (max(n) + 1)) * sum(r * r / c) - 3 * (max(n) + 1)) / (1 - max(ties) / (max(n) * max(n) * max(n) - max(n))) AS h, count(*) AS k, max(n) AS n FROM s, t) SELECT round(h, 4) AS h, k AS groups, round(greatest((h - k + 1) / (n - k), 0), 6) AS epsilon2 FROM h""")
+h AS (SELECT (12 / (max(n) * (max(n) + 1)) * sum(r * r / c) - 3 * (max(n) + 1)) / (1 - max(ties) / (max(n) * max(n) * max(n) - max(n))) AS h, count(*) AS k, max(n) AS n FROM s, t) SELECT round(h, 4) AS h, k AS groups, round(greatest((h - k + 1) / (n - k), 0), 6) AS epsilon2, round(exp(-h / 2), 8) AS p_value FROM h""")
 def kruskal_wallis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rounded(statistics.kruskal_wallis(table(spark, sf_dir, "lineitem"), "l_quantity", "l_returnflag"), "h", digits=4), "epsilon2")
+    return rounded(rounded(statistics.kruskal_wallis(table(spark, sf_dir, "lineitem"), "l_quantity", "l_returnflag"), "h", digits=4), "epsilon2").withColumn("p_value", F.round("p_value", 8))
 
 
 @query("""WITH c AS (SELECT l_quantity AS v, sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN l_linestatus <> 'O' THEN 1 ELSE 0 END) AS b FROM lineitem GROUP BY 1), g AS (SELECT abs(CAST(sum(a) OVER (ORDER BY v) AS DOUBLE) / sum(a) OVER () - CAST(sum(b) OVER (ORDER BY v) AS DOUBLE) / sum(b) OVER ()) AS d FROM c) SELECT round(max(d), 6) AS d FROM g""")
