@@ -63,13 +63,13 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             first, size, part = i + 1, 0, []
 
 
-_LETTER = np.array([chr(i).isalpha() for i in range(0x30000)])
+_LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 def features(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts of hashed n-grams per text, and letters per text.  Runs of other characters count as one boundary."""
     n = len(offsets) - 1
-    letter = _LETTER[np.minimum(points, len(_LETTER) - 1)]
+    letter = _LETTER[points]
     text = np.repeat(np.arange(n), np.diff(offsets))
     letters = np.bincount(text[letter], minlength=n)
     code = np.where(letter, points, 0).astype(np.uint64)

@@ -24,8 +24,8 @@ KINDS = ["assign", "access", "hex", "identifier", "secret", "endpoint"]
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9_])(?:[Uu]ser(?:name)?|[Ll]ogin|[Aa]ccount|[Cc]lient_?[Ii]d|[Aa]ccess_?[Kk]ey(?:_?[Ii]d)?)["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9@._-]{3,}+)""")
-ENDPOINT = re.compile(r"(?<![A-Za-z0-9])(?:https?|ftp|ssh|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,}+")
+IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9_])(?:[Uu]ser(?:name)?|[Ll]ogin|[Aa]ccount|[Cc]lient_?[Ii]d|[Aa]ccess_?[Kk]ey(?:_?[Ii]d)?)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9@._-]{3,}+)""")
+ENDPOINT = re.compile(r"(?<![A-Za-z0-9])(?:https?|ftp|ssh|jdbc:[a-z]{2,}+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,}+")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])")
 BLANK = re.compile(r"\n[\x20\t\r]*\n")
 #: A run of one class (a lower-case word, a number) is no candidate: a secret mixes two classes or more, and varies.

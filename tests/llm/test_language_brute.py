@@ -102,3 +102,13 @@ def test_the_query_learns_from_nothing_held_out(spark, tmp_path):
     known = {r.doc_id: r.lang for r in docs.filter("lang IS NOT NULL AND text IS NOT NULL").collect()}
     judged = [r.lang_pred == known[r.doc_id] for r in first if r.held_out and r.doc_id in known]
     assert sum(judged) >= 0.85 * len(judged)
+
+
+def test_letters_of_every_plane_count():
+    import numpy as np
+
+    from latticework.llm import language
+
+    points = np.array([0x30000, 0x30010, 0x20, 0x10FFFF, ord("a")], np.uint32)
+    _, letters = language.features(points, np.array([0, 2, 5]))
+    assert letters.tolist() == [2, 1]

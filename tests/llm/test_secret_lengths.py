@@ -27,3 +27,9 @@ def test_whole_length_of_weak_parts(spark):
     user, url = "u" * 90, "https://db.example/" + "x" * 300
     got = spans(spark, f"user: {user}\n{key}", f"{url} {key}", f"user: bob\n{lower}")
     assert got == [[("identifier", user), ("secret", key)], [("endpoint", url), ("secret", key)], [("identifier", "bob"), ("secret", lower)]]
+
+
+def test_any_number_of_spaces_stands_around_the_sign(spark):
+    gap = " " * 40
+    text = f"user{gap}:{gap}alice99 then aB3dE5gH7jK9mN1pQ and jdbc:averylongdrivername://db.example/x"
+    assert {"identifier", "secret", "endpoint"} <= {k for k, _ in spans(spark, text)[0]}
