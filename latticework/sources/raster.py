@@ -88,11 +88,14 @@ class FloatGridReader(DataSourceReader):
 
 
 def raster_bands(spark: SparkSession, paths: dict[str, str], bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """Bands of one lattice side by side: px, row, col, x, y and a column per name."""
+    """Bands of one lattice side by side: px, row, col, x, y and a column per name; .tif files as GeoTIFF, others as float grids."""
+    from .geotiff import GeoTiffSource
+
     spark.dataSource.register(FloatGridSource)
+    spark.dataSource.register(GeoTiffSource)
     out = None
     for name, path in paths.items():
-        reader = spark.read.format("floatgrid")
+        reader = spark.read.format("geotiff" if path.lower().endswith((".tif", ".tiff")) else "floatgrid")
         band = (reader.option("bbox", ",".join(map(str, bbox))) if bbox else reader).load(path).withColumnRenamed("value", name)
         out = band if out is None else out.join(band.select("px", name), "px")
     return out
