@@ -10,19 +10,21 @@ from pyspark.sql import functions as F
 from latticework.functions import scalar as S
 
 from . import lattice, network, ranking
+from .squares import GRAIN, oriented_edges, points_in_regions
 
 
-def grow(left: DataFrame, key: str, right: DataFrame, distance: Column, answer: list[str], step: float, rounds: int = 40) -> DataFrame:
+def grow(left: DataFrame, key: str, right: DataFrame, distance: Column, answer: list[str], step: float, rounds: int = 40, keep: list[str] | None = None) -> DataFrame:
     """For each box of left (key, x0, y0, x1, y1) the least struct (distance, answer columns) over the boxes of right (_x0, _y0, _x1, _y1
-    and more), as column m; ``distance`` must not be less than that of the boxes.
+    and more), as column m; ``distance`` must not be less than that of the boxes.  A key may have several boxes; ``keep`` names more columns
+    of theirs.
 
     Boxes meet in bins.  The first bins are ``step`` wide and answer what is within a step; then bins twice as wide serve those without
     an answer, and so on, so crowded places form few pairs and remote ones are still answered.
     """
     if right.isEmpty():
         kinds = ", ".join(f"{c}: {right.schema[c].dataType.simpleString()}" for c in answer)
-        return left.select(key, F.lit(None).cast(f"struct<_d: double, {kinds}>").alias("m"))
-    pending, found = ranking.cut(left.select(key, "x0", "y0", "x1", "y1")), []
+        return left.select(key, F.lit(None).cast(f"struct<_d: double, {kinds}>").alias("m")).distinct()
+    pending, found = ranking.cut(left.select(key, "x0", "y0", "x1", "y1", *(keep or []))), []
     for _ in range(rounds):
 
         def bins(low: str, high: str, pad: int, width: float = step) -> Column:
@@ -58,6 +60,26 @@ def nearest(left: DataFrame, key: str, right: DataFrame, target: str, max_distan
     return found.select(key, F.when(F.col("m._d") <= max_distance, F.col("m._target")).alias(target), F.col("m._d").alias("distance"))
 
 
+def nearest_to_polygons(polygons: DataFrame, key: str, nodes: DataFrame, target: str, max_distance: float, size: float, rings: str = "rings") -> DataFrame:
+    """Nearest node (x, y) of each polygon: key, target (of equals the smallest), distance; a node inside or on the outline is at 0.
+
+    Nodes inside come from winding numbers on squares of ``size``; for the other polygons bins grow around their edges until they meet a
+    node.  The distance is always kept; the target is null beyond ``max_distance``, and both are null where there is no node.
+    """
+    inside = points_in_regions(nodes, target, polygons, key, size, rings).groupBy(key).agg(F.min(target).alias("_target"))
+    inside = ranking.cut(inside)
+    far = polygons.join(inside, key, "left_anti")
+    edges = oriented_edges(far, [key], rings, GRAIN, as_drawn=True)
+    low, high = F.least, F.greatest
+    boxes = edges.select(key, *[F.col(c).alias(f"e_{c}") for c in ("x0", "y0", "x1", "y1")], low("x0", "x1").alias("x0"), low("y0", "y1").alias("y0"), high("x0", "x1").alias("x1"), high("y0", "y1").alias("y1"))
+    points = nodes.select(F.col(target).alias("_target"), *[F.col(c).cast("double").alias(n) for n, c in (("_x0", "x"), ("_y0", "y"), ("_x1", "x"), ("_y1", "y"))])
+    ends = ["e_x0", "e_y0", "e_x1", "e_y1"]
+    away = lattice.point_segment_distance(F.col("_x0"), F.col("_y0"), *[F.col(c) for c in ends])
+    found = grow(boxes, key, points, away, ["_target"], float(size), keep=ends).select(key, F.col("m._d").alias("distance"), F.col("m._target").alias("_target"))
+    both = found.unionByName(inside.select(key, F.lit(0.0).alias("distance"), "_target"))
+    return both.select(key, F.when(F.col("distance") <= max_distance, F.col("_target")).alias(target), "distance")
+
+
 def shore_distance(cells: DataFrame, shore: DataFrame, size: float, key: str = "grid_id") -> DataFrame:
     """cells with the distance to the nearest segment (x0, y0, x1, y1) of the shore, 0 where one crosses the cell, and its band."""
     lines = shore.select(*[F.col(c).alias(f"s_{c}") for c in ("x0", "y0", "x1", "y1")])

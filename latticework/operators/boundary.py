@@ -59,6 +59,22 @@ def region_areas(regions: DataFrame, region: str, rings: str = "rings") -> DataF
     )
 
 
+def point_on_surface(rings: Column) -> Column:
+    """A point (x, y) inside a polygon, holes minded: the middle of the widest stretch inside on a scan line at half height, which is moved
+    halfway between the corners next to it so that it passes none.  Null for a polygon without height.
+    """
+    own = rings.cast(RINGS)
+    edges = F.flatten(F.transform(own, lambda r: F.zip_with(r, F.concat(F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
+    ys = F.transform(F.flatten(own), lambda p: p["y"])
+    half = (F.array_min(ys) + F.array_max(ys)) / 2
+    y = (F.array_max(F.filter(ys, lambda v: v <= half)) + F.array_min(F.filter(ys, lambda v: v > half))) / 2
+    crossed = F.filter(edges, lambda e: (e["a"]["y"] <= y) != (e["b"]["y"] <= y))
+    xs = F.array_sort(F.transform(crossed, lambda e: e["a"]["x"] + (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"])))
+    pairs = F.sequence(F.lit(0), F.floor(F.size(xs) / 2).cast("int") - 1)
+    spans = F.when(F.size(xs) >= 2, F.transform(pairs, lambda k: F.struct((F.get(xs, 2 * k + 1) - F.get(xs, 2 * k)).alias("w"), (-k).alias("k"), ((F.get(xs, 2 * k) + F.get(xs, 2 * k + 1)) / 2).alias("x"))))
+    return F.when(F.size(xs) >= 2, F.struct(F.array_max(spans)["x"].alias("x"), y.alias("y")))
+
+
 def smallest_polygon(points: DataFrame, key: str, regions: DataFrame, region: str, size: float, rings: str = "rings") -> DataFrame:
     """The region of each point: of those that hold it inside, else of those whose outline it is on, the smallest, then the first by name; null if none."""
     held = points_in_regions(points, key, regions, region, size, rings).join(region_areas(regions, region, rings).select(region, "area"), region)

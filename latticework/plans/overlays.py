@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.operators import lattice, overlay, surroundings
+from latticework.operators import access, boundary, lattice, overlay, surroundings
 
 from .context import _ELLS, _SQUARES, _ells, _overlapping
-from .inputs import COLS, ROADS, ROWS, SIZE, roads, rounded
+from .inputs import ACCESS, COLS, ROADS, ROWS, SIZE, roads, rounded, supplies
 
 QUERIES, ORACLES = {}, {}
 
@@ -125,3 +125,22 @@ def network_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = surroundings.buffer_context(cells, ["row_id", "col_id"], own, nodes, study, RADII, float(SIZE))
     out = out.select("row_id", "col_id", "radius", "buffer_area", "context_area", "coverage", "road_length", "segments", "nodes", "intersections", "dead_ends", "nodes_per_km2", "mean_degree", "entropy", "dominant_share", "bins_used")
     return rounded(rounded(rounded(out, "buffer_area", "road_length", "nodes_per_km2", digits=4), "context_area", digits=2), "coverage", "mean_degree", "entropy", "dominant_share")
+
+
+@query(f"WITH {_ELLS} SELECT region, x + 100 AS x, y + 500 AS y FROM n")
+def surface_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point inside each region."""
+    return _ells(spark, sf_dir).select("region", boundary.point_on_surface(F.col("rings")).alias("p")).select("region", "p.x", "p.y")
+
+
+@query(f"""WITH {_ELLS}, {ACCESS}, d AS (SELECT b.region, u.supply_id, min(sqrt(pow(greatest(b.x0 - u.x, 0, u.x - b.x1), 2) + pow(greatest(b.y0 - u.y, 0, u.y - b.y1), 2))) AS d FROM b, u GROUP BY 1, 2),
+m AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY d, supply_id) AS k FROM d) SELECT region, CASE WHEN d <= 300 THEN supply_id END AS supply_id, round(d, 6) AS distance FROM m WHERE k = 1""")
+def polygon_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest supply of each region, within 300; one inside is at no distance."""
+    return rounded(access.nearest_to_polygons(_ells(spark, sf_dir), "region", supplies(spark, sf_dir), "supply_id", 300.0, float(SIZE)), "distance")
+
+
+@query(f"WITH {_ELLS} SELECT region, CAST(floor((y + (240000 * 150.0 + 80000 * 500.0) / 320000) / 250) AS BIGINT) AS row_id, CAST(floor((x + (240000 * 400.0 + 80000 * 100.0) / 320000) / 250) AS BIGINT) AS col_id FROM n")
+def centroid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lattice cell of each region's centroid."""
+    return lattice.point_cell(boundary.region_areas(_ells(spark, sf_dir), "region"), "cx", "cy", SIZE, ROWS, COLS).select("region", "row_id", "col_id")

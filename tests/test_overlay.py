@@ -162,3 +162,41 @@ def test_points_meet_the_edges_of_their_square_only(spark):
     own = points.select(F.col("id").alias("_key"), F.col("x").alias("px"), F.col("y").alias("py"), F.floor(F.col("y") / 10).cast("long").alias("row_id"), F.floor(F.col("x") / 10).cast("long").alias("col_id"))
     assert squares.point_meetings(own, parts, 10.0).count() <= 4 * 500
     assert squares.points_in_regions(points, "id", region, "k", 10.0).filter("within = 1").count() == 499
+
+
+def test_points_on_surfaces_are_inside(spark):
+    from latticework.operators import boundary
+
+    rng = random.Random(11)
+    polygons = [*shapes(rng, 20), [square(0, 0, 100, 100), square(30, 10, 90, 90)], [square(0, 0, 100, 100), square(10, 10, 40, 90), square(45, 10, 95, 90)]]
+    for r in table(spark, polygons, key=lambda k: k).select("k", boundary.point_on_surface(F.col("rings")).alias("p")).collect():
+        assert mask([np.array(ring, float) for ring in polygons[r.k]], np.array([r.p.x]), np.array([r.p.y]))[0], r.k
+    flat = spark.createDataFrame([(1, [[{"x": 0.0, "y": 1.0}, {"x": 2.0, "y": 1.0}, {"x": 1.0, "y": 1.0}]]), (2, None), (3, [])], f"k int, rings {RINGS}")
+    assert [r[0] for r in flat.select(boundary.point_on_surface(F.col("rings"))).collect()] == [None] * 3
+
+
+def test_nearest_nodes_of_polygons_against_brute_force(spark):
+    from latticework.operators import access
+
+    rng = random.Random(13)
+    polygons = [p for p in shapes(rng, 15)] + [[square(0, 0, 90, 90), square(20, 20, 70, 70)]]
+    nodes = [(k, rng.uniform(-50, 300), rng.uniform(-50, 300)) for k in range(40)]
+
+    def distance(rings, x, y):
+        if mask([np.array(r, float) for r in rings], np.array([x]), np.array([y]))[0]:
+            return 0.0
+        best = np.inf
+        for r in rings:
+            a = np.array(r, float)
+            d = np.roll(a, -1, axis=0) - a
+            t = np.clip(((x - a[:, 0]) * d[:, 0] + (y - a[:, 1]) * d[:, 1]) / (d**2).sum(1), 0, 1)
+            best = min(best, np.hypot(x - a[:, 0] - t * d[:, 0], y - a[:, 1] - t * d[:, 1]).min())
+        return best
+
+    df = spark.createDataFrame(nodes, "node int, x double, y double")
+    got = {r.k: r for r in access.nearest_to_polygons(table(spark, polygons, key=lambda k: k), "k", df, "node", 25.0, 16.0).collect()}
+    for k, rings in enumerate(polygons):
+        d, node = min((distance(rings, x, y), n) for n, x, y in nodes)
+        assert got[k].distance == pytest.approx(d, abs=1e-5) and got[k].node == (node if d <= 25 else None)
+    none = access.nearest_to_polygons(table(spark, polygons[:2], key=lambda k: k), "k", df.limit(0), "node", 25.0, 16.0).collect()
+    assert sorted((r.k, r.node, r.distance) for r in none) == [(0, None, None), (1, None, None)]
