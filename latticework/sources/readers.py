@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import os
 import sqlite3
 import struct
 from collections.abc import Iterator
@@ -154,7 +155,8 @@ def osm_elements(spark: SparkSession, path: str) -> DataFrame:
 class GeopackageSource(DataSource):
     """spark.read.format("geopackage").option("layer", ...).load(path): attributes and the geometry as WKB.
 
-    The file must be readable by path on every executor (a shared file system).  Partitions are ranges of feature ids.  Option bbox
+    The path is a file, or a folder of parts (*.gpkg) that have the layer alike, readable on every executor (a shared file system).
+    Partitions are ranges of feature ids.  Option bbox
     ("x0,y0,x1,y1") reads the features whose bounds meet it: through the layer's spatial index where there is one, else by the bounds in
     each geometry's header; a geometry without bounds there is read.
     """
@@ -174,7 +176,10 @@ class GeopackageSource(DataSource):
 
     def schema(self) -> str:
         kinds = {"INTEGER": "long", "INT": "long", "MEDIUMINT": "long", "SMALLINT": "long", "TINYINT": "long", "REAL": "double", "DOUBLE": "double", "FLOAT": "double", "BOOLEAN": "boolean", "BLOB": "binary"}
-        with sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True) as con:
+        files = package_files(self.options["path"])
+        if not files:
+            raise ValueError(f"{self.options['path']} has no part")
+        with sqlite3.connect(f"file:{files[0]}?mode=ro", uri=True) as con:
             layer, geometry = self._table(con)
             columns = con.execute(f'PRAGMA table_info("{layer}")').fetchall()
         return ", ".join(f"`{c[1]}` {'binary' if c[1] == geometry else kinds.get(c[2].upper().split('(')[0], 'string')}" for c in columns)
@@ -183,15 +188,20 @@ class GeopackageSource(DataSource):
         return GeopackageReader(self.options, schema, self)
 
 
+def package_files(path: str) -> list[str]:
+    return sorted(f"{path}/{f}" for f in os.listdir(path) if f.endswith(".gpkg")) if os.path.isdir(path) else [path]
+
+
 class Ids(InputPartition):
-    def __init__(self, low: int, high: int):
-        self.low, self.high = low, high
+    def __init__(self, path: str, low: int, high: int):
+        self.path, self.low, self.high = path, low, high
 
 
 class GeopackageReader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType, source: GeopackageSource):
-        self.path, self.names = options["path"], schema.names
-        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as con:
+        self.files, self.names = package_files(options["path"]), schema.names
+        self.flags = [k for k, f in enumerate(schema.fields) if isinstance(f.dataType, T.BooleanType)]
+        with sqlite3.connect(f"file:{self.files[0]}?mode=ro", uri=True) as con:
             self.layer, self.geometry = source._table(con)
             index = f"rtree_{self.layer}_{self.geometry}"
             self.index = index if con.execute("SELECT count(*) FROM sqlite_master WHERE name = ?", (index,)).fetchone()[0] else None
@@ -199,9 +209,12 @@ class GeopackageReader(DataSourceReader):
         self.bbox = tuple(map(float, options["bbox"].split(","))) if "bbox" in options else None
 
     def partitions(self) -> list[InputPartition]:
-        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as con:
-            low, high = con.execute(f'SELECT min(rowid), max(rowid) FROM "{self.layer}"').fetchone()
-        return [] if low is None else [Ids(a, min(a + self.rows - 1, high)) for a in range(low, high + 1, self.rows)]
+        out: list[InputPartition] = []
+        for path in self.files:
+            with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
+                low, high = con.execute(f'SELECT min(rowid), max(rowid) FROM "{self.layer}"').fetchone()
+            out += [] if low is None else [Ids(path, a, min(a + self.rows - 1, high)) for a in range(low, high + 1, self.rows)]
+        return out
 
     def read(self, partition: Ids | None) -> Iterator[tuple]:
         if partition is None:  # an empty layer has no partition
@@ -213,10 +226,13 @@ class GeopackageReader(DataSourceReader):
             x0, y0, x1, y1 = self.bbox
             where += f' AND rowid IN (SELECT id FROM "{self.index}" WHERE maxx >= ? AND minx <= ? AND maxy >= ? AND miny <= ?)'
             values += [x0, x1, y0, y1]
-        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as con:
+        with sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True) as con:
             for row in con.execute(f'SELECT {wanted} FROM "{self.layer}" WHERE {where}', values):
                 if not self.bbox or self.index or meets(row[at], self.bbox):
-                    yield (*row[:at], wkb(row[at]), *row[at + 1 :])
+                    out = [*row[:at], wkb(row[at]), *row[at + 1 :]]
+                    for k in self.flags:
+                        out[k] = None if out[k] is None else bool(out[k])
+                    yield tuple(out)
 
 
 def meets(blob: bytes | None, bbox: tuple[float, float, float, float]) -> bool:
