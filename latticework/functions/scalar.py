@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -129,32 +131,37 @@ def row_entropy(p: Column) -> Column:
     return F.aggregate(clipped, F.lit(0.0), lambda a, x: a - x * F.ln(x)) / F.ln(F.size(p).cast("double"))
 
 
-# Context classes in order, with the tag keys and values that make them (no value: any).
-TAG_CLASSES = [
-    ("airport", "aeroway"),
-    ("industrial_port", "landuse=industrial industrial harbour seamark:type=harbour,port,dock,terminal,marina man_made=works,storage_tank,silo"),
-    ("commercial_retail", "landuse=commercial,retail shop amenity=marketplace,parking"),
-    ("institutional_public", "amenity=university,school,college,hospital,clinic"),
-    ("green_open", "leisure landuse=grass,meadow,orchard,vineyard natural=wood,scrub,grassland,wetland,beach"),
-    ("blue_water", "natural=water"),
-    ("transport_terminal", "amenity=bus_station,ferry_terminal railway public_transport man_made=pier,breakwater"),
-    ("military_quarry", "landuse=military,quarry"),
-    ("construction_brownfield", "landuse=construction,brownfield,depot,garages,railway"),
+# Context classes in the order in which they are tried, each with tag keys and the values that count (none: any value).
+TAG_RULES = [
+    ("airport", [("aeroway", [])]),
+    ("industrial_port", [("landuse", ["industrial"]), ("industrial", []), ("harbour", [])]),
+    ("industrial_port", [("seamark:type", ["harbour", "port", "dock", "terminal", "marina"])]),
+    ("industrial_port", [("man_made", ["works", "storage_tank", "silo"])]),
+    ("commercial_retail", [("landuse", ["commercial", "retail"]), ("shop", []), ("amenity", ["marketplace", "parking"])]),
+    ("institutional_public", [("amenity", ["university", "school", "college", "hospital", "clinic"])]),
+    ("green_open", [("leisure", []), ("landuse", ["grass", "meadow", "orchard", "vineyard"]), ("natural", ["wood", "scrub", "grassland", "wetland", "beach"])]),
+    ("blue_water", [("natural", ["water"])]),
+    ("transport_terminal", [("amenity", ["bus_station", "ferry_terminal"]), ("railway", []), ("public_transport", []), ("man_made", ["pier", "breakwater"])]),
+    ("military_quarry", [("landuse", ["military", "quarry"])]),
+    ("construction_brownfield", [("landuse", ["construction", "brownfield", "depot", "garages", "railway"])]),
 ]
 
 
 def tag_match(tags: Column) -> Column:
-    """context_class, matched_key and matched_value of a tag map: the first rule that holds decides, and in it the first key."""
-    out = None
-    for name, rules in TAG_CLASSES:
-        for rule in rules.split():
-            key, _, values = rule.partition("=")
-            value = F.element_at(tags, F.lit(key))
-            found = F.struct(F.lit(name).alias("context_class"), F.lit(key).alias("matched_key"), value.alias("matched_value"))
-            test = value.isin(values.split(",")) if values else value.isNotNull()
-            out = F.when(test, found) if out is None else out.when(test, found)
+    """context_class, matched_key and matched_value of a tag map.
+
+    The first rule of which a key has a value that counts gives the class.  The key reported is the rule's first that the map has at
+    all, be it with another value.
+    """
     none = F.lit(None).cast("string")
-    return out.otherwise(F.struct(F.lit("other_context").alias("context_class"), none.alias("matched_key"), none.alias("matched_value")))
+    out = F.struct(F.lit("other_context").alias("context_class"), none.alias("matched_key"), none.alias("matched_value"))
+    for name, keys in reversed(TAG_RULES):
+        value = {k: F.element_at(tags, F.lit(k)) for k, _ in keys}
+        holds = [value[k].isin(values) if values else value[k].isNotNull() for k, values in keys]
+        first = F.coalesce(*[F.when(value[k].isNotNull(), F.struct(F.lit(k).alias("k"), value[k].alias("v"))) for k, _ in keys])
+        found = F.struct(F.lit(name).alias("context_class"), first["k"].alias("matched_key"), first["v"].alias("matched_value"))
+        out = F.when(reduce(or_, [F.coalesce(h, F.lit(False)) for h in holds]), found).otherwise(out)
+    return out
 
 
 def tag_class(tags: Column) -> Column:

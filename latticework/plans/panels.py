@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import DataFrame, SparkSession
@@ -138,6 +139,27 @@ def tag_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", S.tag_class(F.from_json(text, "map<string,string>")).alias("context_class"), S.iso_date(day).alias("day"), S.label_prefix(label).alias("prefix"))
 
 
+#: Tags of a feature by its number, and what they make of it.
+_TAGGED = [
+    ({"landuse": "forest", "natural": "wood"}, ("green_open", "landuse", "forest")), ({"landuse": "grass", "harbour": "yes"}, ("industrial_port", "landuse", "grass")),
+    ({"amenity": "bench", "railway": "station"}, ("transport_terminal", "amenity", "bench")), ({"shop": "bakery", "amenity": "school"}, ("commercial_retail", "shop", "bakery")),
+    ({"aeroway": "apron", "man_made": "silo", "leisure": "park"}, ("airport", "aeroway", "apron")), ({"natural": "water", "name": "x"}, ("blue_water", "natural", "water")),
+    ({"landuse": "railway", "natural": "cliff"}, ("construction_brownfield", "landuse", "railway")),
+]
+
+
+def _case(k: int) -> str:
+    return "CASE event_id % 7 " + " ".join(f"WHEN {i} THEN '{want[k]}'" for i, (_, want) in enumerate(_TAGGED)) + " END"
+
+
+@query(f"SELECT event_id, {_case(0)} AS context_class, {_case(1)} AS matched_key, {_case(2)} AS matched_value FROM events")
+def tag_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, key and value of features with several tags."""
+    text = F.element_at(F.array(*[F.lit(json.dumps(t)) for t, _ in _TAGGED]), (F.col("event_id") % 7 + 1).cast("int"))
+    own = table(spark, sf_dir, "events").select("event_id", S.tag_match(F.from_json(text, "map<string,string>")).alias("m"))
+    return own.select("event_id", "m.context_class", "m.matched_key", "m.matched_value")
+
+
 @query("""WITH p AS (SELECT p_partkey, p_size / 100.0::DOUBLE AS a FROM part), e AS (SELECT p_partkey, greatest(a, 1e-12) AS x, greatest(0.4 - a / 2, 1e-12) AS y, greatest(0.6 - a / 2, 1e-12) AS z FROM p) SELECT p_partkey, round(-(x * ln(x) + y * ln(y) + z * ln(z)) / ln(3), 6) AS entropy FROM e""")
 def row_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.col("p_size") / 100.0

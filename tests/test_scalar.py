@@ -58,6 +58,26 @@ def test_tag_match(spark):
     assert got == [("industrial_port", "landuse", "industrial"), ("green_open", "leisure", "park"), ("blue_water", "natural", "water"), ("other_context", None, None), ("construction_brownfield", "landuse", "railway")]
 
 
+def test_tag_match_of_several_tags(spark):
+    """The key that is reported is the rule's first that the element has, whatever its value."""
+    cases = [
+        ({"landuse": "forest", "natural": "wood"}, ("green_open", "landuse", "forest")),
+        ({"landuse": "grass", "harbour": "yes"}, ("industrial_port", "landuse", "grass")),
+        ({"amenity": "bench", "railway": "station"}, ("transport_terminal", "amenity", "bench")),
+        ({"landuse": "residential", "shop": "bakery", "amenity": "parking"}, ("commercial_retail", "landuse", "residential")),
+        ({"man_made": "silo", "aeroway": "apron"}, ("airport", "aeroway", "apron")),
+        ({"man_made": "pier", "seamark:type": "harbour"}, ("industrial_port", "seamark:type", "harbour")),
+        ({"natural": "water", "leisure": "marina"}, ("green_open", "leisure", "marina")),
+        ({"amenity": "school", "landuse": "retail"}, ("commercial_retail", "landuse", "retail")),
+        ({"landuse": "forest"}, ("other_context", None, None)),
+        ({}, ("other_context", None, None)),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "i long, t map<string,string>")
+    got = [tuple(r.m) for r in df.select("i", S.tag_match(F.col("t")).alias("m")).orderBy("i").collect()]
+    assert got == [want for _, want in cases]
+    assert spark.createDataFrame([(None,)], "t map<string,string>").select(S.tag_match(F.col("t")).alias("m")).first().m.context_class == "other_context"
+
+
 def test_retention_score(spark):
     def score(c):
         s = S.RETAINED.get(c, 0) + sum(2 for t in S.GOOD_TOKENS if t in c) - sum(1 for t in S.WEAK_TOKENS if t in c)
