@@ -6,6 +6,10 @@ the data volume and not the number of jobs.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,17 +55,64 @@ def family_missingness(profile: DataFrame) -> DataFrame:
     return profile.groupBy("family").agg(F.count(F.lit(1)).alias("columns"), F.avg(F.col("missing") / F.col("rows")).alias("mean_missing"), F.max(F.col("missing") / F.col("rows")).alias("max_missing"))
 
 
+def _pair_sums(shift: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A partition's sums over rows that have both of two columns, as matrix products: for each first column i the vectors of n, x, y, xx,
+    yy, xy and of rows in which one of both is no number, around the columns' means."""
+    k = len(shift)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((7, k, k))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 65536):
+                part = batch.slice(at, 65536)
+                have = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in part.columns], axis=1).astype(float)
+                z = np.stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in part.columns], axis=1)
+                odd = (~np.isfinite(z)).astype(float) * have
+                z = np.where((have > 0) & (odd == 0), z - shift, 0.0)
+                total += [have.T @ have, z.T @ have, have.T @ z, (z * z).T @ have, have.T @ (z * z), z.T @ z, odd.T @ have + have.T @ odd]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array([total[:, i].tobytes() for i in range(k)], pa.binary())], names=["i", "sums"])
+
+    return run
+
+
+def _add_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total[i] = total.get(i, 0.0) + np.frombuffer(raw)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["i", "sums"])
+
+
 def correlation_pairs(df: DataFrame, columns: list[str], min_rows: int = 200) -> DataFrame:
-    """Pearson correlation of each pair of columns over rows that have both, of ``min_rows`` or more; one pass over the table.
+    """Pearson correlation of each pair of columns over rows that have both, of ``min_rows`` or more: a, b, r, n.
 
-    Rows become one row per pair, summed before the shuffle, so the plan stays small however many columns there are.  A constant column
-    has no correlation.
+    One pass for the columns' means, one for the sums of products around them: a partition gives a vector of sums per column, however many
+    rows it has, and vectors of a column are added where they meet.  A pair with a constant column, or with infinite values or values
+    that are no number in rows that have both, has no correlation.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])
-    upper = F.flatten(F.transform(F.col("cells"), lambda x, i: F.transform(F.slice(F.col("cells"), i + 2, F.lit(len(columns))), lambda y: F.struct(x["c"].alias("a"), y["c"].alias("b"), x["v"].alias("x"), y["v"].alias("y")))))
-    pairs = df.select(cells.alias("cells")).select(F.explode(upper).alias("p")).select("p.*").filter("x IS NOT NULL AND y IS NOT NULL")
-    r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
-    return pairs.groupBy("a", "b").agg(r.alias("r"), F.count(F.lit(1)).alias("n")).filter((F.col("n") >= min_rows) & F.col("r").isNotNull() & ~F.isnan("r"))
+    k = len(columns)
+    own = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    real = [F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)) for c in own.columns]
+    seen = own.agg(*[F.avg(c) for c in real], *[F.max(F.abs(c)) for c in real]).first()
+    shift, scale = (np.array([x or 0.0 for x in seen[a : a + k]], float) for a in (0, k))
+    sums = own.mapInArrow(_pair_sums(shift), "i long, sums binary")
+    # Vectors of a column are added in sixteen parts first, so that no task gets one from every partition.
+    sums = sums.repartition("i", F.pmod(F.spark_partition_id(), F.lit(16))).mapInArrow(_add_sums, "i long, sums binary")
+    sums = sums.repartition("i").mapInArrow(_add_sums, "i long, sums binary")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n, x, y, xx, yy, xy, odd = np.frombuffer(raw).reshape(7, k)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    vx, vy, c = xx - x * x / n, yy - y * y / n, xy - x * y / n
+                    # What is left of a constant column's variance is the rounding of its values.
+                    still = (vx <= n * (1e-13 * scale[i]) ** 2) | (vy <= n * (1e-13 * scale) ** 2)
+                    r = c / np.sqrt(vx * vy)
+                keep = np.flatnonzero((np.arange(k) > i) & (n >= max(min_rows, 1)) & ~still & (odd == 0) & np.isfinite(r))
+                yield pa.RecordBatch.from_arrays([pa.array([columns[i]] * len(keep), pa.string()), pa.array([columns[j] for j in keep], pa.string()), pa.array(r[keep], pa.float64()), pa.array(n[keep].astype(np.int64))], names=["a", "b", "r", "n"])
+
+    return sums.mapInArrow(pairs, "a string, b string, r double, n long")
 
 
 def collinear_groups(pairs: DataFrame, threshold: float = 0.95) -> DataFrame:

@@ -94,6 +94,22 @@ def test_blocks_are_not_split(spark):
     assert modeling.block_folds(cells, "label", 4).groupBy("fold").count().agg({"count": "max"}).first()[0] == 100
 
 
+def test_correlations_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (400, 9)) @ rng.normal(0, 1, (9, 9)) + 1e6
+    x[:, 8] = x[:, 0] * -3 + 7
+    gone = rng.random(x.shape) < 0.2
+    names = [f"v{k}" for k in range(9)]
+    rows = [tuple(None if g else float(v) for v, g in zip(r, m, strict=True)) for r, m in zip(x, gone, strict=True)]
+    rows += [(float("nan"), *[None] * 7, 1.0)]  # v0 and v8 have a row of both that is no number
+    got = {(r.a, r.b): r for r in profile.correlation_pairs(spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(6), names, 50).collect()}
+    assert got.keys() == {(names[i], names[j]) for i in range(9) for j in range(i + 1, 9)} - {("v0", "v8")}
+    for (a, b), r in got.items():
+        i, j = names.index(a), names.index(b)
+        both = ~gone[:, i] & ~gone[:, j]
+        assert r.n == both.sum() and r.r == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-8)
+
+
 def test_constant_column_has_no_correlation(spark):
     df = spark.createDataFrame([(1.0, 5.0, float(i)) for i in range(10)], "a double, b double, c double")
     assert profile.correlation_pairs(df, ["a", "b", "c"], 1).count() == 0
