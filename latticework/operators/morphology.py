@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import join_group, value_counts, wide_quantiles
+
 
 def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole)
@@ -51,16 +53,22 @@ def type_shares(pieces: DataFrame, keys: list[str], types: list[str], type_col:
 
 
 def footprint_stats(pieces: DataFrame, keys: list[str], cell_area: float) -> DataFrame:
-    """Area and perimeter sums, exact median, variation and Gini of piece areas, and area-weighted compactness 4 pi A / P^2."""
+    """Area and perimeter sums, exact median, variation and Gini of piece areas, and area-weighted compactness 4 pi A / P^2.
+
+    Median and ranks come from counts per distinct area and their running sums over range partitions, so no task holds a cell's pieces.
+    """
     own = pieces.withColumn("perimeter", 2 * (F.col("piece_w") + F.col("piece_h"))).withColumn("comp", 4 * F.pi() * F.col("area") / (F.col("perimeter") * F.col("perimeter")))
-    own = own.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("area")))
     n, total = F.count(F.lit(1)), F.sum("area")
+    # Pieces of one area have the ranks before_n + 1 to before_n + n.
+    ranks = value_counts(own, "area", keys).groupBy(*keys).agg(F.sum(F.col("area") * (F.col("before_n") * F.col("n") + F.col("n") * (F.col("n") + 1) / 2)).alias("ranked"))
+    q = wide_quantiles(own, ["area"], keys, [0.5]).withColumn("median_area", F.col("q_area")[0]).drop("q_area")
     out = own.groupBy(*keys).agg(
-        n.alias("building_count"), total.alias("building_area"), F.sum("perimeter").alias("perimeter"), F.avg("area").alias("mean_area"), F.percentile("area", F.lit(0.5)).alias("median_area"),
-        F.when(n > 1, F.stddev_pop("area") / F.avg("area")).alias("area_cv"), (2 * F.sum(F.col("rank") * F.col("area")) / (n * total) - (n + 1) / n).alias("area_gini"),
+        n.alias("building_count"), total.alias("building_area"), F.sum("perimeter").alias("perimeter"), F.avg("area").alias("mean_area"), F.when(n > 1, F.stddev_pop("area") / F.avg("area")).alias("area_cv"),
         (F.sum(F.col("comp") * F.col("area")) / total).alias("comp_mean"), (F.sum(F.col("comp") * F.col("comp") * F.col("area")) / total).alias("comp_square"),
     )
     spread = F.sqrt(F.greatest(F.col("comp_square") - F.col("comp_mean") * F.col("comp_mean"), F.lit(0.0)))
+    whole = F.col("building_count")
+    out = join_group(join_group(out, q, keys), ranks, keys).withColumn("area_gini", 2 * F.col("ranked") / (whole * F.col("building_area")) - (whole + 1) / whole).drop("ranked")
     return out.withColumn("comp_std", spread).withColumn("perimeter_per_ha", F.col("perimeter") / (cell_area / 10_000.0)).drop("comp_square")
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import join_group, wide_quantiles
+
 
 def valid(value: Column, low: float | None = None, below: float | None = None, nodata: float | None = None) -> Column:
     """Finite, in range and not the nodata value."""
@@ -28,15 +30,20 @@ def continuous(pixels: DataFrame, keys: list[str], value: str = "value") -> Data
 
 
 def height_cover(pixels: DataFrame, keys: list[str], value: str = "value", pixel_area: float = 1.0, cell_area: float = 62_500.0, steps: tuple[int, ...] = (2, 5, 10)) -> DataFrame:
-    """Heights in [0, 255): moments, exact 95th percentile, cover shares above each step, and area and volume above the first."""
+    """Heights in [0, 255): moments, exact 95th percentile, cover shares above each step, and area and volume above the first.
+
+    The percentile is read off running sums over range partitions, so no task holds a cell's values.
+    """
     v = F.col(value)
     shares = [(F.sum((v >= s).cast("int")) / F.count(v)).alias(f"cover_gt{s}m_share") for s in steps]
     above = v >= steps[0]
-    out = pixels.filter(valid(v, 0, 255)).groupBy(*keys).agg(
-        F.count(v).alias("valid_px"), F.avg(v).alias("mean_m"), F.stddev_pop(v).alias("std_m"), F.percentile(v, F.lit(0.95)).alias("p95_m"), F.max(v).alias("max_m"), *shares,
+    own = pixels.filter(valid(v, 0, 255))
+    out = own.groupBy(*keys).agg(
+        F.count(v).alias("valid_px"), F.avg(v).alias("mean_m"), F.stddev_pop(v).alias("std_m"), F.max(v).alias("max_m"), *shares,
         (F.sum(above.cast("int")) * pixel_area).alias("area_m2"), F.sum(F.when(above, v * pixel_area).otherwise(0.0)).alias("volume_m3"),
     )
-    return out.withColumn("volume_m3_per_ha", F.col("volume_m3") / (cell_area / 10_000.0))
+    q = wide_quantiles(own, [value], keys, [0.95]).withColumn("p95_m", F.col(f"q_{value}")[0]).drop(f"q_{value}")
+    return join_group(out, q, keys).withColumn("volume_m3_per_ha", F.col("volume_m3") / (cell_area / 10_000.0))
 
 
 def mode_label(cells: DataFrame, pixels: DataFrame, keys: list[str], label: str, order: str, mixed_below: float = 0.7) -> DataFrame:
