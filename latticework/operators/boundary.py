@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from .lattice import cell_name
 from .overlay import covered_area
 from .polygons import RINGS
-from .ranking import cut
+from .ranking import cut, row_numbers
 from .squares import points_in_regions
 
 
@@ -117,16 +118,12 @@ def separated(points: DataFrame, key: str, score: Column, n: int, distance: floa
     return points.sparkSession.createDataFrame(taken, f"{key} {kind}, x double, y double, score double, position long")
 
 
-def spaced_sample(points: DataFrame, stratum: str, key: str, target: int, distance: float) -> DataFrame:
-    """Per stratum ``target`` rows in order of the MD5 of the key, each at least ``distance`` from those taken before; where too few are
-    left, the first of the others fill up.
+def rows_apart(own: DataFrame, distance: float) -> DataFrame:
+    """key of the rows (key, stratum, x, y, o) that have no taken row of their stratum before them (by o) within the distance.
 
-    A row is taken if no earlier row within the distance is.  That is settled in rounds over the pairs of near rows: rows without an
-    undecided earlier neighbour are taken, their later neighbours are left out, and so on; each round is a join on bins, and no stratum is
-    gathered anywhere.
+    Settled in rounds over the pairs of near rows: rows without an undecided earlier neighbour are taken, their later neighbours are left
+    out, and so on; each round is a join on bins.
     """
-    own = points.select(F.col(key).alias("key"), F.col(stratum).alias("stratum"), "x", "y", F.struct(F.md5(F.col(key).cast("string")).alias("h"), F.col(key).alias("k")).alias("o"))
-    own = cut(own)
 
     def bins(pad: int) -> Column:
         steps = F.sequence(F.lit(-pad), F.lit(pad))
@@ -145,9 +142,29 @@ def spaced_sample(points: DataFrame, stratum: str, key: str, target: int, distan
         out = near.join(free.withColumnRenamed("key", "early"), "early", "left_semi").select("key").distinct()
         open_ = cut(open_.join(free, "key", "left_anti").join(out, "key", "left_anti"))
         near = cut(near.join(open_, "key", "left_semi").join(open_.withColumnRenamed("key", "early"), "early", "left_semi"))
-    kept = own.select("key").limit(0)
-    for t in taken:
-        kept = kept.unionByName(t)
-    marked = own.join(kept.withColumn("apart", F.lit(1)), "key", "left").withColumn("apart", F.coalesce("apart", F.lit(0)))
+    return reduce(DataFrame.unionByName, taken, own.select("key").limit(0))
+
+
+def spaced_sample(points: DataFrame, stratum: str, key: str, target: int, distance: float) -> DataFrame:
+    """Per stratum ``target`` rows in order of the MD5 of the key, each at least ``distance`` from those taken before; where too few are
+    left, the first of the others fill up.
+
+    Whether a row is taken depends on earlier rows only, so a stratum's first rows are settled alone, and eight times as many where
+    these don't give ``target``: a large stratum costs a few rows, not its pairs.  Ranks come from range partitions.
+    """
+    own = points.select(F.col(key).alias("key"), F.col(stratum).alias("stratum"), "x", "y", F.struct(F.md5(F.col(key).cast("string")).alias("h"), F.col(key).alias("k")).alias("o"))
+    own = cut(row_numbers(own, ["o"], ["stratum"], "number"))
+    pending, size, found = own, 4 * target, []
+    while not pending.isEmpty():
+        first = cut(pending.filter(F.col("number") <= size))
+        apart = cut(first.join(rows_apart(first, distance), "key", "left_semi"))
+        counts = first.groupBy("stratum").agg(F.max("number_of").alias("rows")).alias("l").join(apart.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).alias("r"), F.expr("l.stratum <=> r.stratum"), "left").select("l.stratum", "rows", F.coalesce("n", F.lit(0)).alias("n"))
+        done = cut(counts.filter((F.col("n") >= target) | (F.col("rows") <= size)).select(F.col("stratum").alias("_s")))
+        of_done = F.col("stratum").eqNullSafe(F.col("_s"))
+        found.append(apart.join(done, of_done, "left_semi"))
+        pending, size = cut(pending.join(done, of_done, "left_anti")), 8 * size
+    kept = reduce(DataFrame.unionByName, found, own.limit(0)).select("key", F.lit(1).alias("apart"))
+    # Fewer than target rows stand apart where others fill up, so these are among the first 2 * target.
+    marked = own.join(kept, "key", "left").withColumn("apart", F.coalesce("apart", F.lit(0))).filter(f"apart = 1 OR number <= {2 * target}")
     order = Window.partitionBy("stratum").orderBy(F.col("apart").desc(), "o")
     return marked.withColumn("position", F.row_number().over(order).cast("long")).filter(F.col("position") <= target).select(F.col("stratum").alias(stratum), F.col("key").alias(key), "position", "apart")

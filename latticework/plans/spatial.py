@@ -248,19 +248,19 @@ def held_out_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def held_out_extra_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return modeling.held_out_predictions(_model_rows(spark, sf_dir), ["a", "b", "c"], "label", "fold", "extra_trees", trees=10, depth=5)
+    return modeling.held_out_predictions(_model_rows(spark, sf_dir), ["a", "b", "c"], "label", "fold", "extra_trees", trees=8, depth=4)
 
 
 @query()
 def held_out_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return modeling.held_out_predictions(_model_rows(spark, sf_dir), ["a", "b", "c"], "label", "fold", "boosted_leaves", trees=4, depth=3)
+    return modeling.held_out_predictions(_model_rows(spark, sf_dir), ["a", "b", "c"], "label", "fold", "boosted_leaves", trees=2, depth=3)
 
 
 @query()
 def gain_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gain importances of boosted trees by family of columns, over folds."""
     rows = _model_rows(spark, sf_dir).select("grid_id", "label", "fold", F.col("a").alias("building_value"), F.col("b").alias("road_value"), F.col("c").alias("building_spread"))
-    gains = modeling.gain_importances(rows, ["building_value", "road_value", "building_spread"], "label", "fold", trees=3, depth=3)
+    gains = modeling.gain_importances(rows, ["building_value", "road_value", "building_spread"], "label", "fold", trees=2, depth=2)
     return features.importance_by_family(gains.withColumn("model", F.lit("boosted")), ["model"])
 
 
