@@ -157,7 +157,8 @@ def test_held_out_models(spark, kind):
     out = modeling.held_out_predictions(df, ["u", "v"], "label", "district", kind, trees=5, depth=3, least_rows=50)
     rows = out.collect()
     assert {r.district for r in rows} == {"p", "q"} and len(rows) == 175
-    assert sum(r.true_label == r.predicted_label for r in rows) > 0.9 * len(rows)
+    # Extra trees draw one of the two features per node, and one of these is noise.
+    assert sum(r.true_label == r.predicted_label for r in rows) > (0.8 if kind == "extra_trees" else 0.9) * len(rows)
     assert all(len(r.probabilities) == 3 and abs(sum(r.probabilities) - 1) < 1e-6 for r in rows)
     assert evaluation.confusion(out.withColumn("m", F.lit(1)), ["a", "b", "c"], ["m"]).count() == 9
 
