@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from latticework.llm import decontaminate, language, licenses, mixing, pii, quality, secrets, simhash, substrings, token_counts
+from latticework.llm import common, decontaminate, infill, language, licenses, mixing, pii, quality, secrets, simhash, source_terms, substrings, token_counts, token_files
 
 CLASHING = ["id", "text_hash", "spans", "stats", "key", "class_id", "fp", "_id", "_hash", "h", "terms", "told", "node", "root", "rows", "n", "quality_w", "quality_stats", "pii_key", "near_dup_key", "base", "chunk", "row"]
 
@@ -79,7 +79,15 @@ def test_the_pipeline_runs_on_them(spark, sf_dir):
 def test_operators_with_clashing_columns(spark, plain, tmp_path, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     model = language.fit_language(plain)
+
+    def token_files_of(d):
+        path = common.fresh_path(spark, "token-files")
+        token_files.write_token_files(d, path, "byte_bpe_50k.json")
+        return token_files.read_token_files(spark, path).withColumn("ids", F.hex("ids"))
+
     runs = {
+        "infill": lambda d: infill.restore_texts(infill.fill_in_middle(d)),
+        "token_files": token_files_of,
         "language": lambda d: language.identify_language(d, model),
         "pii": lambda d: pii.find_private(d).withColumn("spans", F.to_json("spans")),
         "decontaminate": lambda d: decontaminate.find_contamination(d, items).withColumn("matches", F.to_json("matches")),
@@ -97,6 +105,12 @@ def test_operators_with_clashing_columns(spark, plain, tmp_path, sf_dir):
         assert run(wide(plain).limit(0)).count() == 0, name
 
 
+def test_source_terms_with_clashing_columns(spark, plain):
+    a, b = source_terms.audit_sources(plain), source_terms.audit_sources(wide(plain))
+    assert a.columns == b.columns and as_set(a, a.columns) == as_set(b, a.columns) and a.count() > 0
+    assert source_terms.audit_sources(wide(plain).limit(0)).count() == 0
+
+
 def test_labelled_sample_is_bounded_and_repeatable(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(7, 0), (8, 1), (None, 1), (400, 5)], "doc_id long, quality int")
     got = [sorted(map(tuple, quality.labelled_sample(d, fit_rows=50).collect())) for d in (labels, labels.repartition(5), labels.orderBy(F.desc("doc_id")))]
