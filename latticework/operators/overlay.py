@@ -116,7 +116,7 @@ class Square:
                 continue
             for a, b, n in net(spans):
                 for _ in range(abs(n)):
-                    out.setdefault((a if n > 0 else b, y), []).append(((b if n > 0 else a, y), hash(("level", y))))
+                    out.setdefault((a if n > 0 else b, y), []).append(((b if n > 0 else a, y), hash(y)))
         return area, out, sides
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.functions import scalar as S
 from latticework.functions.projection import TransverseMercator
 from latticework.operators import access, features, geometry, lattice, modeling, morphology, network, polygons, zonal
 
