@@ -6,8 +6,11 @@ nothing gets shorter.  All sources advance together, distances beyond the cutoff
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,13 +91,136 @@ def graph_nodes(edges: DataFrame, snap: float) -> DataFrame:
     return nodes.select("node", ((F.col("node") - low) / NODE_BASE * snap).alias("x"), (low * float(snap)).alias("y"))
 
 
+#: Bins of no more than so many snapped nodes across are cut node by node.
+NODES_ACROSS = 64
+
+
 def planarize(segments: DataFrame, snap: float, size: float, key: str = "id") -> DataFrame:
     """Segments (key, x0, y0, x1, y1) cut wherever two of them cross or touch, as x0, y0, x1, y1 of the parts on the snap lattice.
 
-    Segments meet in the bins of ``size`` that they pass through.  Two are compared once, in the bin of the lower left corner that their
+    With a coarse snap many crossings of a segment fall on one node, and it is enough to know which nodes it is cut at; see
+    ``_cut_nodes``.  With a fine one every crossing is a node of its own and comes from the pairs of segments.
+    """
+    own = segments.select(F.col(key).alias("id"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    return _cut_nodes(own, snap) if size <= NODES_ACROSS * snap else _cut_pairs(own, snap, size)
+
+
+def _cut_nodes(own: DataFrame, snap: float, across: int = 8) -> DataFrame:
+    """Parts of segments between the nodes of the snap lattice at which they are cut.
+
+    A segment has as many rows as blocks of ``across`` by ``across`` nodes that it passes, and gets from each the nodes where another one
+    cuts it; a node once cut is settled, so what is compared grows with the nodes and not with the crossings.
+    """
+    width = across * snap
+
+    def blocks(a: str, b: str) -> Column:
+        # Node k holds what is nearer than half a snap; a little more, for what rounding moves.
+        low, high = F.least(a, b) / width + 0.5 / across - 1e-6, F.greatest(a, b) / width + 0.5 / across + 1e-6
+        return F.explode(F.sequence(F.floor(low).cast("long"), F.floor(high).cast("long")))
+
+    spread = own.withColumn("r", blocks("y0", "y1")).withColumn("c", blocks("x0", "x1"))
+    found = spread.groupBy("r", "c").applyInArrow(block_cuts(snap, across), f"id {dict(own.dtypes)['id']}, x0 double, y0 double, x1 double, y1 double, nodes array<long>")
+    whole = found.groupBy("id", "x0", "y0", "x1", "y1").agg(F.flatten(F.collect_list("nodes")).alias("nodes"))
+
+    def place(x: Column, y: Column) -> Column:
+        away = F.abs(x - F.rint(F.col("x0") / snap)) + F.abs(y - F.rint(F.col("y0") / snap))
+        return F.struct(away.alias("away"), x.alias("x"), y.alias("y"))
+
+    def decoded(n: Column) -> Column:
+        low = F.pmod(n + (NODE_BASE >> 1), F.lit(NODE_BASE)) - (NODE_BASE >> 1)
+        return place(((n - low) / NODE_BASE).cast("double"), low.cast("double"))
+
+    # Along a segment nodes only move away from its start, and each is one stretch of it.
+    ends = [place(*[F.rint((F.col(f"{c}0") + t * (F.col(f"{c}1") - F.col(f"{c}0"))) / snap) for c in "xy"]) for t in (F.lit(0.0), F.lit(1.0))]
+    steps = F.array_sort(F.array_distinct(F.concat(F.array(*ends), F.transform("nodes", decoded))))
+    way = whole.select("id", steps.alias("n"))
+    parts = way.select("id", F.explode(F.arrays_zip(F.slice("n", F.lit(1), F.size("n") - 1).alias("a"), F.slice("n", F.lit(2), F.size("n") - 1).alias("b"))).alias("p"))
+    return parts.select("id", *[(F.col(f"p.{e}.{c}") * snap).alias(f"{c}{k}") for k, e in ((0, "a"), (1, "b")) for c in "xy"])
+
+
+def block_cuts(snap: float, across: int, batch: int = 1 << 20) -> Callable[[pa.Table], pa.Table]:
+    """The segments of one block with the nodes of the block at which another one of them cuts each.
+
+    Segments are listed under the nodes they come near, in mixed order.  Every listed one looks at the next of its node, then the next two,
+    four and so on, until one cuts it there or it has seen all; about as many looks as the share of those that cut it demands.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        x0, y0, x1, y1 = (table[c].to_numpy() for c in ("x0", "y0", "x1", "y1"))
+        r, c = table["r"][0].as_py() * across, table["c"][0].as_py() * across
+        dx, dy = x1 - x0, y1 - y0
+        slack = 1e-6 * snap
+        rows, kx, ky = [], [], []
+        for y in range(r, r + across):
+            low, high = (y - 0.5) * snap - slack, (y + 0.5) * snap + slack
+            with np.errstate(divide="ignore", invalid="ignore"):
+                a, b = (low - y0) / dy, (high - y0) / dy
+            level = dy == 0
+            a, b = np.where(level, 0.0, np.minimum(a, b)), np.where(level, 1.0, np.maximum(a, b))
+            a, b = np.clip(a, 0.0, 1.0), np.clip(b, 0.0, 1.0)
+            near = (np.minimum(y0, y1) <= high) & (np.maximum(y0, y1) >= low)
+            p, q = x0 + a * dx, x0 + b * dx
+            first = np.maximum(np.floor((np.minimum(p, q) - slack) / snap + 0.5), c)
+            last = np.minimum(np.floor((np.maximum(p, q) + slack) / snap + 0.5), c + across - 1)
+            n = np.where(near, np.maximum(last - first + 1, 0), 0).astype(np.int64)
+            own = np.repeat(np.arange(len(x0)), n)
+            rows.append(own)
+            kx.append(first.astype(np.int64)[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n))
+            ky.append(np.full(len(own), y, np.int64))
+        row, kx, ky = np.concatenate(rows), np.concatenate(kx), np.concatenate(ky)
+        mixed = np.random.default_rng(7).permutation(len(row))
+        order = mixed[np.lexsort((kx[mixed], ky[mixed]))]
+        row, kx, ky = row[order], kx[order], ky[order]
+        new = np.concatenate([[True], (kx[1:] != kx[:-1]) | (ky[1:] != ky[:-1])]) if len(row) else np.zeros(0, bool)
+        begin = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        start, many = begin[group], np.diff(np.append(begin, len(row)))[group]
+
+        def here(i: np.ndarray, t: np.ndarray) -> np.ndarray:
+            k = row[i]
+            with np.errstate(invalid="ignore"):
+                return (t > 0) & (t < 1) & (np.rint((x0[k] + t * dx[k]) / snap) == kx[i]) & (np.rint((y0[k] + t * dy[k]) / snap) == ky[i])
+
+        hit = np.zeros(len(row), bool)
+        for t in (0.0, 1.0):
+            hit |= (np.rint((x0[row] + t * dx[row]) / snap) == kx) & (np.rint((y0[row] + t * dy[row]) / snap) == ky)
+        open_, seen = np.flatnonzero(~hit & (many > 1)), 1
+        step = 1
+        while len(open_):
+            for at in range(0, len(open_), max(1, batch // step)):
+                some = open_[at : at + max(1, batch // step)]
+                left = np.minimum(many[some] - seen, step)
+                i = np.repeat(some, left)
+                ahead = seen + np.arange(len(i)) - np.repeat(np.cumsum(left) - left, left)
+                j = start[i] + (i - start[i] + ahead) % many[i]
+                k, o = row[i], row[j]
+                rx, ry, sx, sy, qx, qy = dx[k], dy[k], dx[o], dy[o], x0[o] - x0[k], y0[o] - y0[k]
+                cross, beside = rx * sy - ry * sx, qx * ry - qy * rx
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    t, u = (qx * sy - qy * sx) / cross, beside / cross
+                    cuts = (cross != 0) & (u >= 0) & (u <= 1) & here(i, t)
+                    along = np.flatnonzero((cross == 0) & (beside == 0))
+                    if len(along):
+                        w, square = along, rx[along] ** 2 + ry[along] ** 2
+                        for ex, ey in ((qx[w], qy[w]), (qx[w] + sx[w], qy[w] + sy[w])):
+                            cuts[w] |= here(i[w], (ex * rx[w] + ey * ry[w]) / square)
+                hit[i[cuts]] = True
+            seen += step
+            step *= 2
+            open_ = open_[~hit[open_] & (many[open_] > seen)]
+        got = np.flatnonzero(hit)
+        got = got[np.argsort(row[got], kind="stable")]
+        offsets = np.searchsorted(row[got], np.arange(len(x0) + 1)).astype(np.int32)
+        nodes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(kx[got] * NODE_BASE + ky[got]))
+        return pa.table({**{n: table[n] for n in ("id", "x0", "y0", "x1", "y1")}, "nodes": nodes})
+
+    return run
+
+
+def _cut_pairs(own: DataFrame, snap: float, size: float) -> DataFrame:
+    """Segments meet in the bins of ``size`` that they pass through.  Two are compared once, in the bin of the lower left corner that their
     bounds have in common, and only if these overlap; both are cut there, whether they cross or lie along each other.
     """
-    own = segments.select(F.col(key).alias("id"), "x0", "y0", "x1", "y1")
 
     def bins(a: str, b: str) -> Column:
         return F.explode(F.sequence(F.floor(F.least(a, b) / size).cast("long"), F.floor(F.greatest(a, b) / size).cast("long")))
@@ -117,7 +243,7 @@ def planarize(segments: DataFrame, snap: float, size: float, key: str = "id") ->
 
     crossing = (cross != 0) & t.between(0, 1) & u.between(0, 1)
     # Segments along each other cut each other at the ends of the other that lie on them.
-    along = (cross == 0) & (beside == 0)
+    along = (cross == 0) & (beside == 0) & (qx * sy - qy * sx == 0)
     r2, s2 = rx * rx + ry * ry, sx * sx + sy * sy
     ends = [("id", F.try_divide(qx * rx + qy * ry, r2)), ("id", F.try_divide((qx + sx) * rx + (qy + sy) * ry, r2)), ("o_id", F.try_divide(-qx * sx - qy * sy, s2)), ("o_id", F.try_divide((rx - qx) * sx + (ry - qy) * sy, s2))]
     met = pairs.select(F.explode(F.array(cut_at("id", t, crossing), cut_at("o_id", u, crossing), *[cut_at(who, at, along) for who, at in ends])).alias("k")).select("k.*").filter("t IS NOT NULL")

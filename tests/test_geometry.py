@@ -1,6 +1,7 @@
 """The slab sweep against fine rasters, closed forms and the dense grid of rectangles."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -147,3 +148,46 @@ def test_frontage_context(spark):
     assert (r.road_length, r.building_count) == (100.0, 1)
     assert r.buffer_area == pytest.approx(100 * 40 + 0.5 * 120 * 400 * np.sin(2 * np.pi / 120))
     assert r.building_area == pytest.approx(200) and r.edge_length == pytest.approx(40)
+
+
+def test_roads_cut_node_by_node_and_by_pairs(spark):
+    from latticework.operators import network
+
+    rng = random.Random(3)
+    starts = [(rng.randint(-90, 90), rng.randint(-90, 90)) for _ in range(25)]
+    lines = [(k, *map(float, (x, y, x + rng.choice([0, 10, -20, 37, 80, -5]), y + rng.choice([0, 10, -20, 33, -70, 15])))) for k, (x, y) in enumerate(starts * 16)]
+    lines += [(900 + k, 0.0, 15.0, 40.0 + 10 * k, 15.0) for k in range(4)] + [(950 + k, -35.0, -35.0, 15.0 + k, 15.0 + k) for k in range(4)] + [(-1, 5.0, 5.0, 5.0, 5.0), (-2, 7.0, 3.0, 7.0, 3.0)]
+
+    def parts(own, snap):
+        _, x0, y0, x1, y1 = own
+        rx, ry, ts = x1 - x0, y1 - y0, {0.0, 1.0}
+        for other in lines:
+            qx, qy, sx, sy = other[1] - x0, other[2] - y0, other[3] - other[1], other[4] - other[2]
+            cross, beside = rx * sy - ry * sx, qx * ry - qy * rx
+            if cross and 0 <= beside / cross <= 1:
+                ts.add((qx * sy - qy * sx) / cross)
+            elif cross == beside == 0 and other[0] != own[0] and rx * rx + ry * ry > 0:
+                ts |= {((qx + k * sx) * rx + (qy + k * sy) * ry) / (rx * rx + ry * ry) for k in (0, 1)}
+        nodes = [(round((x0 + t * rx) / snap) * snap, round((y0 + t * ry) / snap) * snap) for t in sorted(ts) if 0 <= t <= 1]
+        return [(own[0], *a, *b) for a, b in zip(nodes, nodes[1:], strict=False) if a != b]
+
+    df = spark.createDataFrame(lines, "id long, x0 double, y0 double, x1 double, y1 double")
+    for snap, size in ((10.0, 50.0), (3.0, 50.0), (0.5, 50.0)):
+        assert sorted(map(tuple, network.planarize(df, snap, size).collect())) == sorted(p for own in lines for p in parts(own, snap))
+
+
+def test_looks_of_roads_on_one_node_grow_with_the_roads():
+    import numpy as np
+    import pyarrow as pa
+
+    from latticework.operators import network
+
+    rng, took = np.random.default_rng(5), []
+    for n in (2_000, 16_000):
+        ends = rng.uniform(-60.0, 60.0, (4, n)) + 35.0
+        table = pa.table({"r": np.zeros(n, int), "c": np.zeros(n, int), "id": np.arange(n), **dict(zip(("x0", "y0", "x1", "y1"), ends, strict=True))})
+        start = time.process_time()
+        found = network.block_cuts(10.0, 8)(table)
+        took.append(time.process_time() - start)
+        assert found.num_rows == n
+    assert took[1] < 30 * took[0]
