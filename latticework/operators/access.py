@@ -97,16 +97,36 @@ def allocate(cells: DataFrame, zone: str, total: str, weight: str, name: str = "
     return cells.withColumn(name, F.when(whole > 0, F.col(total) * w / whole).otherwise(F.col(total) / F.count(F.lit(1)).over(by_zone)))
 
 
+def places(points: DataFrame, key: str, at: list[str], total: str, count: str | None = None) -> DataFrame:
+    """One row per place (columns ``at``): the smallest key there, the sum of ``total`` and, as ``count``, the number of points.
+
+    Points of one place reach and are reached alike, so pairs are formed between places and not between points.
+    """
+    own = points.groupBy(*at).agg(F.min(key).alias(key), F.sum(total).alias(total), *([F.count(F.lit(1)).alias(count)] if count else []))
+    return own.select(key, *at, total, *([count] if count else []))
+
+
+def point_catchment(origins: DataFrame, supplies: DataFrame, costs: list[float], origin: str = "origin_id", supply: str = "supply_id") -> DataFrame:
+    """Two-step access of origins (x, y, population) to supplies (x, y, capacity) in a straight line, by places."""
+    o = ranking.cut(places(origins, origin, ["x", "y"], "population"))
+    s = places(supplies, supply, ["x", "y"], "capacity", "supplies")
+    pairs = lattice.near_pairs(o, s, max(costs), [origin, "population"], [supply, "capacity", "supplies"]).withColumnsRenamed({f"r_{c}": c for c in (supply, "capacity", "supplies")})
+    by_place = two_step_catchment(pairs, o, costs, origin, supply).join(o.select(origin, "x", "y"), origin).drop(origin, "population")
+    out = ranking.join_group(origins.select(origin, "population", "x", "y"), by_place, ["x", "y"])
+    return out.select(origin, "cost", "population", "access", "supplies", "supply_area", "access_log1p")
+
+
 def two_step_catchment(pairs: DataFrame, origins: DataFrame, costs: list[float], origin: str = "origin_id", supply: str = "supply_id", available: str | None = None) -> DataFrame:
-    """Access of every origin per cost, from pairs (origin, supply, distance, population, capacity).
+    """Access of every origin per cost, from pairs (origin, supply, distance, population, capacity, and supplies where one stands for several).
 
     Step one: a supply's ratio is its capacity over the population within the cost (none where that is 0).  Step two: an origin's
     access is the sum of the ratios it reaches.  Origins that reach nothing have 0; those whose column ``available`` is false have null.
     """
     limit = F.explode(F.array(*[F.lit(float(c)) for c in costs])).alias("cost")
-    near = pairs.select(origin, supply, "distance", "population", "capacity", limit).filter("distance <= cost")
+    number = F.col("supplies") if "supplies" in pairs.columns else F.lit(1).cast("long")
+    near = pairs.select(origin, supply, "distance", "population", "capacity", number.alias("_n"), limit).filter("distance <= cost")
     ratio = near.groupBy("cost", supply).agg(F.sum("population").alias("demand"), F.first("capacity").alias("cap")).filter("demand > 0").select("cost", supply, (F.col("cap") / F.col("demand")).alias("ratio"))
-    access = near.join(ratio, ["cost", supply]).groupBy(origin, "cost").agg(F.sum("ratio").alias("access"), F.count(F.lit(1)).alias("supplies"), F.sum("capacity").alias("supply_area"))
+    access = near.join(ratio, ["cost", supply]).groupBy(origin, "cost").agg(F.sum("ratio").alias("access"), F.sum("_n").alias("supplies"), F.sum("capacity").alias("supply_area"))
     open_ = F.col(available) if available else F.lit(True)
     every = origins.select(origin, "population", open_.alias("_open"), limit)
     none = {"access": F.lit(0.0), "supplies": F.lit(0).cast("long"), "supply_area": F.lit(0.0)}
@@ -129,10 +149,11 @@ def network_pairs(edges: DataFrame, origins: DataFrame, supplies: DataFrame, mos
     reached = network.reach(edges, starts, most)
     first = starts.select("source", F.col("cost").alias("first"))
     ways = reached.join(first, "source").select("source", "node", (F.col("cost") - F.col("first")).alias("way"))
-    own = supplies.filter("node IS NOT NULL").select(supply, "capacity", F.col("node").alias("source"), F.col("snap").alias("supply_snap"))
+    more = [c for c in ("supplies",) if c in supplies.columns]
+    own = supplies.filter("node IS NOT NULL").select(supply, "capacity", *more, F.col("node").alias("source"), F.col("snap").alias("supply_snap"))
     ends = origins.filter("node IS NOT NULL").select(origin, "population", "node", F.col("snap").alias("origin_snap"))
     pairs = ways.join(own, "source").join(ends, "node").withColumn("distance", F.col("supply_snap") + F.col("way") + F.col("origin_snap"))
-    return pairs.filter(F.col("distance") <= most).select(origin, supply, "distance", "population", "capacity")
+    return pairs.filter(F.col("distance") <= most).select(origin, supply, "distance", "population", "capacity", *more)
 
 
 def supply_ratios(pairs: DataFrame, supplies: DataFrame, costs: list[float], supply: str = "supply_id") -> DataFrame:
@@ -143,12 +164,31 @@ def supply_ratios(pairs: DataFrame, supplies: DataFrame, costs: list[float], sup
     return out.withColumn("ratio", F.when(F.col("demand") > 0, F.col("capacity") / F.col("demand")))
 
 
+BOX = ["x0", "y0", "x1", "y1"]
+
+
+def _snapped_places(edges: DataFrame, nodes: DataFrame, origins: DataFrame, supplies: DataFrame, max_snap: float) -> tuple[DataFrame, DataFrame]:
+    """Places of origins (x, y) and of supplies (boxes) with node and snap."""
+    o = snap_to_network(places(origins, "origin_id", ["x", "y"], "population"), "origin_id", nodes, max_snap)
+    s = snap_to_network(places(supplies, "supply_id", BOX, "capacity", "supplies"), "supply_id", nodes, max_snap)
+    return ranking.cut(o.withColumn("available", F.col("node").isNotNull())), ranking.cut(s)
+
+
 def network_catchment(edges: DataFrame, nodes: DataFrame, origins: DataFrame, supplies: DataFrame, costs: list[float], max_snap: float) -> DataFrame:
     """Two-step access over a network: origin_id, cost, population, snap, available, access, supplies, supply_area, access_log1p."""
-    o, s = snap_to_network(origins, "origin_id", nodes, max_snap), snap_to_network(supplies, "supply_id", nodes, max_snap)
-    o = ranking.cut(o.withColumn("available", F.col("node").isNotNull()))
-    out = two_step_catchment(network_pairs(edges, o, ranking.cut(s), max(costs)), o, costs, available="available")
-    return out.join(o.select("origin_id", "snap", "available"), "origin_id")
+    o, s = _snapped_places(edges, nodes, origins, supplies, max_snap)
+    found = two_step_catchment(network_pairs(edges, o, s, max(costs)), o, costs, available="available")
+    by_place = found.join(o.select("origin_id", "x", "y", "snap", "available"), "origin_id").drop("origin_id", "population")
+    out = ranking.join_group(origins.select("origin_id", "population", "x", "y"), by_place, ["x", "y"])
+    return out.select("origin_id", "cost", "population", "access", "supplies", "supply_area", "access_log1p", "snap", "available")
+
+
+def network_supplies(edges: DataFrame, nodes: DataFrame, origins: DataFrame, supplies: DataFrame, costs: list[float], max_snap: float) -> DataFrame:
+    """Supplies per cost with node, snap, demand and ratio (see ``supply_ratios``) over a network."""
+    o, s = _snapped_places(edges, nodes, origins, supplies, max_snap)
+    by_place = supply_ratios(network_pairs(edges, o, s, max(costs)), s, costs).select(*BOX, "cost", "node", "snap", "demand")
+    out = ranking.join_group(supplies.select("supply_id", "capacity", *BOX), by_place, BOX)
+    return out.withColumn("ratio", F.when(F.col("demand") > 0, F.col("capacity") / F.col("demand")))
 
 
 def green_supplies(features: DataFrame, values: list[str], most: int | None = None) -> DataFrame:

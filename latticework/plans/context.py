@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.operators import access, boundary, lattice, network, overlay
+from latticework.operators import access, boundary, lattice, network, overlay, ranking
 
 from .inputs import ACCESS, ROADS, SIZE, origins, roads, rounded, supplies, table
 
@@ -64,7 +64,7 @@ f AS (SELECT o.origin_id, l.limit_ AS cost, o.population, o.snap, o.snap <= 60 A
 
 
 def _network_access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _graph(spark, sf_dir)
+    edges = ranking.cut(_graph(spark, sf_dir))
     return access.network_catchment(edges, network.graph_nodes(edges, SNAP), origins(spark, sf_dir).select("origin_id", "x", "y", "population"), _squares(spark, sf_dir), COSTS, 60.0)
 
 
@@ -79,11 +79,9 @@ def network_access(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT supply_id, limit_ AS cost, round(capacity, 3) AS capacity, round(snap, 6) AS snap, snap <= 60 AS available, CASE WHEN snap <= 60 THEN round(coalesce(demand, 0), 3) END AS demand, round(ratio, 6) AS ratio FROM n""")
 def supply_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supply's snap, catchment population and ratio per cost; null where it is off the network, no ratio without population."""
-    edges = _graph(spark, sf_dir)
-    nodes = network.graph_nodes(edges, SNAP)
-    own, s = access.snap_to_network(origins(spark, sf_dir).select("origin_id", "x", "y", "population"), "origin_id", nodes, 60.0), access.snap_to_network(_squares(spark, sf_dir), "supply_id", nodes, 60.0)
-    pairs = access.network_pairs(edges, own, s, max(COSTS))
-    out = access.supply_ratios(pairs, s, COSTS).select("supply_id", "cost", "capacity", "snap", F.col("node").isNotNull().alias("available"), "demand", "ratio")
+    edges = ranking.cut(_graph(spark, sf_dir))
+    found = access.network_supplies(edges, network.graph_nodes(edges, SNAP), origins(spark, sf_dir).select("origin_id", "x", "y", "population"), _squares(spark, sf_dir), COSTS, 60.0)
+    out = found.select("supply_id", "cost", "capacity", "snap", F.col("node").isNotNull().alias("available"), "demand", "ratio")
     return rounded(rounded(out, "snap", "ratio"), "capacity", "demand", digits=3)
 
 

@@ -154,8 +154,7 @@ f AS (SELECT a.origin_id, v.cost, a.population, coalesce(access, 0) AS access, c
 
 
 def _access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = lattice.near_pairs(origins(spark, sf_dir), supplies(spark, sf_dir), 1200.0, ["origin_id", "population"], ["supply_id", "capacity"]).withColumnsRenamed({"r_supply_id": "supply_id", "r_capacity": "capacity"})
-    return access.two_step_catchment(pairs, origins(spark, sf_dir), [400.0, 800.0, 1200.0])
+    return access.point_catchment(origins(spark, sf_dir), supplies(spark, sf_dir), [400.0, 800.0, 1200.0])
 
 
 @query(f"{_TWO} SELECT origin_id, cost, round(population, 4) AS population, round(access, 6) AS access, supplies, round(supply_area, 3) AS supply_area, round(ln(1 + access), 6) AS access_log1p FROM f")
