@@ -24,17 +24,19 @@ def context_pivot(df: DataFrame, cells: DataFrame, keys: list[str], kind: str, k
 def smallest_region(points: DataFrame, regions: DataFrame, key: str, size: int) -> DataFrame:
     """The smallest rectangle (id, x0, y0, x1, y1) that holds each point, its edge included; of equals the smallest id, null if none.
 
-    Rectangles are dealt to the lattice cells they touch, so the join is on cells.
+    Rectangles are dealt to the lattice cells they touch, so the join is on cells.  Points of one place have one answer, and of equal
+    rectangles only the first can be it, so both are met once.
     """
     def upto(a: str, b: str) -> Column:
         return F.sequence(F.floor(F.col(a) / size).cast("long"), F.floor(F.col(b) / size).cast("long"))
 
-    spread = regions.select("id", "x0", "y0", "x1", "y1", F.explode(upto("y0", "y1")).alias("r")).select("*", F.explode(upto("x0", "x1")).alias("c"))
-    own = points.select(key, "x", "y", F.floor(F.col("y") / size).cast("long").alias("r"), F.floor(F.col("x") / size).cast("long").alias("c"))
+    alone = regions.groupBy("x0", "y0", "x1", "y1").agg(F.min("id").alias("id"))
+    spread = alone.select("id", "x0", "y0", "x1", "y1", F.explode(upto("y0", "y1")).alias("r")).select("*", F.explode(upto("x0", "x1")).alias("c"))
+    own = points.select("x", "y").distinct().select("x", "y", F.floor(F.col("y") / size).cast("long").alias("r"), F.floor(F.col("x") / size).cast("long").alias("c"))
     inside = own.join(spread, ["r", "c"]).filter("x >= x0 AND x <= x1 AND y >= y0 AND y <= y1")
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    best = inside.groupBy(key).agg(F.min(F.struct(area.alias("area"), "id")).alias("m"))
-    return points.select(key).join(best, key, "left").select(key, F.col("m.id").alias("region"), F.col("m.area").alias("area"))
+    best = inside.groupBy("x", "y").agg(F.min(F.struct(area.alias("area"), "id")).alias("m"))
+    return points.select(key, "x", "y").join(best, ["x", "y"], "left").select(key, F.col("m.id").alias("region"), F.col("m.area").alias("area"))
 
 
 def warning_scores(pred: DataFrame, keys: list[str]) -> DataFrame:
