@@ -26,6 +26,10 @@ def comma_area(x: Column) -> Column:
     return F.greatest(F.coalesce(parse_number(F.replace(F.replace(x, F.lit(" "), F.lit("")), F.lit(","), F.lit("."))), F.lit(0.0)), F.lit(0.0))
 
 
+#: Asked before the long classes of characters below, which are walked one by one.
+_FAR = "\\x{80}-\\x{10FFFF}"
+
+
 def _foldings() -> tuple[dict[str, str], dict[str, str], str]:
     """Characters whose compatibility decomposition without combining marks is one of a-z and 0-9, those where it holds some, and a
     pattern of those where nothing is left; all others only part words."""
@@ -44,11 +48,11 @@ def _foldings() -> tuple[dict[str, str], dict[str, str], str]:
             runs[-1][1] = code
         else:
             runs.append([code, code])
-    return one, more, "[" + "".join(f"\\x{{{x:x}}}-\\x{{{y:x}}}" for x, y in runs) + "]+"
+    return one, more, f"[{_FAR}&&[" + "".join(f"\\x{{{x:x}}}-\\x{{{y:x}}}" for x, y in runs) + "]]+"
 
 
 _ONE, _MORE, _MARKS = _foldings()
-_LONGER = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _MORE) + "]"
+_LONGER = f"[{_FAR}&&[" + "".join(f"\\x{{{ord(c):x}}}" for c in _MORE) + "]]"
 
 
 def normalise_text(x: Column) -> Column:
@@ -59,8 +63,13 @@ def normalise_text(x: Column) -> Column:
     low = F.replace(F.lower(F.trim(F.coalesce(x, F.lit("")))), F.lit("\u0131"), F.lit("i"))
     bare = F.translate(F.regexp_replace(low, _MARKS, ""), "".join(_ONE), "".join(_ONE.values()))
     longer = F.create_map(*[F.lit(y) for pair in _MORE.items() for y in pair])
-    spread = F.array_join(F.transform(F.regexp_extract_all(bare, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.element_at(longer, c), c)), "")
-    return F.array_join(F.regexp_extract_all(F.when(bare.rlike(_LONGER), spread).otherwise(bare), F.lit("[a-z0-9]+"), F.lit(0)), " ")
+
+    def spread(b: Column) -> Column:
+        return F.array_join(F.transform(F.regexp_extract_all(b, F.lit("(?s)."), F.lit(0)), lambda c: F.when(c <= "\x7f", c).otherwise(F.coalesce(F.element_at(longer, c), c))), "")
+
+    # Bound as a variable, so the folding runs once and not in every branch.
+    plain = F.transform(F.array(bare), lambda b: F.when(b.rlike(_LONGER), spread(b)).otherwise(b))[0]
+    return F.array_join(F.regexp_extract_all(plain, F.lit("[a-z0-9]+"), F.lit(0)), " ")
 
 
 # Words of place names that tell nothing.

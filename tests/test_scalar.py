@@ -91,3 +91,25 @@ def test_close_to(spark):
     rows = [(1.0, 1.0 + 1e-10, True), (1.0, 1.1, False), (None, None, True), (1.0, None, False), (0.0, 5e-10, True)]
     df = spark.createDataFrame([(a, b) for a, b, _ in rows], "a double, b double")
     assert [r.y for r in df.select(S.close_to(F.col("a"), F.col("b")).alias("y")).collect()] == [x for _, _, x in rows]
+
+
+def test_names_are_folded_once_and_like_unicodedata(spark):
+    import re
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from latticework.functions import scalar
+
+    marks = "".join(map(chr, (0x300, 0x345, 0x483, 0x20D0, 0x1D167)))
+    texts = ["".join(map(chr, range(a, a + 40))) + "q" + marks + "z" for a in (0x20, 0x60, 0xA0, 0xE0, 0x120, 0x1C0, 0x1E00, 0x2070, 0x2100, 0x2460, 0x3380, 0xFB00, 0xFF20, 0x1D400)]
+
+    def plain(x):
+        low = x.strip(" ").lower().replace("\u0131", "i")
+        bare = "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
+        return " ".join(re.findall("[a-z0-9]+", bare))
+
+    df = spark.createDataFrame([(x,) for x in texts], "x string").repartition(2)
+    out = df.select("x", scalar.normalise_text(F.col("x")).alias("y"))
+    assert {r.x: r.y for r in out.collect()} == {x: plain(x) for x in texts}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
