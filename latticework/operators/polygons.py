@@ -83,15 +83,45 @@ def wkb_polygons(blob: bytes) -> list[list[list[tuple[float, float]]]]:
     return out
 
 
+def _over_zero(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Mean of the positive part of what runs evenly from p to q."""
+    low, high = np.minimum(p, q), np.maximum(p, q)
+    part = np.divide(high * high, 2 * (high - low), out=np.zeros_like(high), where=(low < 0) & (high > 0))
+    return np.where(low >= 0, (p + q) / 2, part)
+
+
+def boxed_areas(x: np.ndarray, y: np.ndarray, ring: np.ndarray, rings: int, x0: np.ndarray, y0: np.ndarray, size: float) -> np.ndarray:
+    """Area of each ring inside its square of ``size`` at (x0, y0); x and y are the rings' corners one after another, ring their numbers.
+
+    What lies under an edge and above the square's lower side, within its left and right ones, is a mean height times a width.
+    """
+    last = np.append(ring[1:] != ring[:-1], True)[: len(ring)]
+    first = np.append(True, last[:-1])[: len(ring)]
+    after = np.arange(len(ring)) + 1
+    after[last] = np.flatnonzero(first)
+    left, base = x0[ring], y0[ring]
+    ax, ay, dx = x - left, y - base, x[after] - x
+    dy = y[after] - y
+    p, q = np.clip(ax, 0.0, size), np.clip(ax + dx, 0.0, size)
+    slope = np.divide(dy, dx, out=np.zeros_like(dx), where=dx != 0)
+    hp, hq = ay + (p - ax) * slope, ay + (q - ax) * slope
+    height = _over_zero(hp, hq) - _over_zero(hp - size, hq - size)
+    return np.abs(np.bincount(ring, np.where(dx != 0, (q - p) * height, 0.0), rings))
+
+
 def _pieces(size: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            areas = []
-            rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            for rings, row, col in rows:
-                box = (col * size, row * size, (col + 1) * size, (row + 1) * size)
-                parts = [abs(ring_area(clip_ring(np.array([(p["x"], p["y"]) for p in r], float).reshape(-1, 2), box))) for r in rings]
-                areas.append(max(parts[0] - sum(parts[1:]), 0.0) if parts else 0.0)
+            per_row = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            each = batch.column(1).flatten()
+            corners = each.flatten()
+            row = np.repeat(np.arange(batch.num_rows), per_row)
+            ring = np.repeat(np.arange(len(each)), each.value_lengths().to_numpy(zero_copy_only=False))
+            x0, y0 = (batch.column(k).to_numpy()[row] * size for k in (3, 2))
+            x, y = (corners.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            found = boxed_areas(x, y, ring, len(each), x0, y0, size)
+            shell = np.append(True, row[1:] != row[:-1])[: len(row)]
+            areas = np.maximum(np.bincount(row, np.where(shell, found, -found), batch.num_rows), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(areas, pa.float64())], names=["id", "row_id", "col_id", "area"])
 
     return run

@@ -191,3 +191,15 @@ def test_looks_of_roads_on_one_node_grow_with_the_roads():
         took.append(time.process_time() - start)
         assert found.num_rows == n
     assert took[1] < 30 * took[0]
+
+
+def test_areas_of_rings_in_squares_like_their_clips():
+    from latticework.operators import polygons
+
+    rng = np.random.default_rng(9)
+    rings = [rng.integers(-20, 60, (rng.integers(1, 9), 2)).astype(float) for _ in range(300)] + [np.array([(0, 0), (40, 0), (40, 40), (0, 40), (0, 0)], float)]
+    x0, y0 = rng.integers(-1, 3, (2, len(rings))) * 20.0
+    x, y = np.concatenate(rings).T
+    ring = np.repeat(np.arange(len(rings)), [len(r) for r in rings])
+    want = [abs(polygons.ring_area(polygons.clip_ring(r, (a, b, a + 20, b + 20)))) for r, a, b in zip(rings, x0, y0, strict=True)]
+    assert np.allclose(polygons.boxed_areas(x, y, ring, len(rings), x0, y0, 20.0), want, atol=1e-9)
