@@ -203,3 +203,42 @@ def test_areas_of_rings_in_squares_like_their_clips():
     ring = np.repeat(np.arange(len(rings)), [len(r) for r in rings])
     want = [abs(polygons.ring_area(polygons.clip_ring(r, (a, b, a + 20, b + 20)))) for r, a, b in zip(rings, x0, y0, strict=True)]
     assert np.allclose(polygons.boxed_areas(x, y, ring, len(rings), x0, y0, 20.0), want, atol=1e-9)
+
+
+def test_many_boxes_at_once_like_one_by_one(monkeypatch):
+    rng = random.Random(8)
+    groups = [(shapes(rng, rng.randint(1, 6)), shapes(rng, rng.randint(0, 5))) for _ in range(30)] + [([[np.array([(0, 0), (100, 0), (100, 100), (0, 100)], float)]], [])]
+    boxes = np.array([(0.0, 0.0, 100.0, 100.0)] * len(groups))
+    cover, others = (sum((geometry.shapes_of(g[k], k, i) for i, g in enumerate(groups[1:], 1)), geometry.shapes_of(groups[0][k], k, 0)) for k in (0, 1))
+    for block in (1 << 19, 200):  # blocks of slabs smaller than a box give the same
+        monkeypatch.setattr(geometry, "BLOCK", block)
+        whole, area, length = geometry.parts_inside(cover + others, boxes)
+        covered, (box, areas), _ = geometry.open_parts(cover, boxes)
+        area, length = area[len(cover.box) :], length[len(cover.box) :]
+        for i, (c, o) in enumerate(groups):
+            one = geometry.inside(c, o, tuple(boxes[i]))
+            own = others.box == i
+            assert whole[i] == pytest.approx(one[0]) and covered[i] == pytest.approx(one[0])
+            assert area[own].tolist() == pytest.approx(one[1].tolist()) and length[own].tolist() == pytest.approx(one[2].tolist())
+            assert sorted(areas[box == i].tolist()) == pytest.approx(sorted(geometry.open_pieces(c, tuple(boxes[i]))[1].tolist()))
+            assert covered[i] + areas[box == i].sum() == pytest.approx(10_000, abs=1e-6)
+
+
+def test_a_thousand_boxes_take_no_sweep_each():
+    rng = random.Random(2)
+    many = [shapes(rng, 4) for _ in range(1000)]
+    boxes = np.array([(0.0, 0.0, 100.0, 100.0)] * len(many))
+    whole = geometry.shapes_of(many[0])
+    parts = [geometry.shapes_of(p, 0, i) for i, p in enumerate(many)]
+    rings, sizes = np.cumsum([0, *(len(p.polygon) for p in parts)]), np.cumsum([0, *(len(p.box) for p in parts)])
+    whole = geometry.Shapes(
+        np.concatenate([p.corners for p in parts]), np.concatenate([p.ring + k for p, k in zip(parts, rings, strict=False)]), np.concatenate([p.polygon + k for p, k in zip(parts, sizes, strict=False)]),
+        np.concatenate([p.box for p in parts]), np.concatenate([p.layer for p in parts]),
+    )
+    start = time.process_time()
+    covered, _, _ = geometry.open_parts(whole, boxes)
+    together = time.process_time() - start
+    start = time.process_time()
+    single = [geometry.union_area(p, (0.0, 0.0, 100.0, 100.0)) for p in many[:50]]
+    alone = (time.process_time() - start) * 20
+    assert covered[:50].tolist() == pytest.approx(single) and together < alone / 2
