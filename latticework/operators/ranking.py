@@ -104,6 +104,13 @@ def join_group(df: DataFrame, side: DataFrame, group: list[str]) -> DataFrame:
     return df.alias("l").join(side.alias("r"), same("l", "r", group), "left").select("l.*", *[F.col(f"r.{c}") for c in columns])
 
 
+def join_few(df: DataFrame, side: DataFrame, group: list[str], most: int = 100_000) -> DataFrame:
+    """df joined with side, a row per group.  Up to ``most`` groups travel as a broadcast and df's rows stay where they are, so no task reads a
+    whole group; beyond that both are shuffled, and a group is small beside the table unless the rows are very uneven."""
+    side = cut(side)
+    return df.join(F.broadcast(side) if side.count() <= most else side, group)
+
+
 def average_ranks(df: DataFrame, value: str, group: list[str], name: str) -> DataFrame:
     """df with the rank of each value in its group, from 1, ties sharing their mean; null values have none."""
     counts = value_counts(df, value, group).select(*group, value, (F.col("before_n") + (F.col("n") + 1) / 2.0).alias(name))

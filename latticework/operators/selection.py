@@ -8,14 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import quantiles, wide_quantiles
+from .ranking import join_few, quantiles, wide_quantiles
 
 
 def centre_scores(df: DataFrame, group: str, columns: list[str], key: str) -> DataFrame:
     """Sum of squared distances from the group's medians in population deviations (1 where that is 0 or undefined)."""
     middle = wide_quantiles(df, columns, [group], [0.5]).select(group, *[F.col(f"q_{c}")[0].alias(f"m_{c}") for c in columns])
     stats = middle.join(df.groupBy(group).agg(*[F.stddev_pop(c).alias(f"s_{c}") for c in columns]), group)
-    joined = df.join(stats, group)
+    joined = join_few(df, stats, [group])
 
     def term(c: str) -> Column:
         s = F.when((F.col(f"s_{c}") > 0) & ~F.isnan(f"s_{c}"), F.col(f"s_{c}")).otherwise(F.lit(1.0))
@@ -36,7 +36,7 @@ def quartile_gate(df: DataFrame, value: str, group: str) -> DataFrame:
     """cool at or below the group's lower quartile, hot at or above the upper, else between."""
     q = quantiles(df, [value], [group], [0.25, 0.75]).select(group, "q")
     gate = F.when(F.col(value) <= F.col("q")[0], "cool").when(F.col(value) >= F.col("q")[1], "hot").otherwise("between")
-    return df.join(q, group).withColumn("gate", gate).drop("q")
+    return join_few(df, q, [group]).withColumn("gate", gate).drop("q")
 
 
 def exclusive_top(df: DataFrame, key: str, categories: list[tuple[str, Callable[[DataFrame], DataFrame], list[Column], int]]) -> DataFrame:
