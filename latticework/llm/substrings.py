@@ -185,14 +185,18 @@ RUNS = "array<struct<low:int,high:int,first_id:long>>"
 _RUN = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32()), ("first_id", pa.int64())]))
 
 
-def _runs(best: np.ndarray, most: np.ndarray) -> list[list[dict]]:
-    """Per row the runs of offsets with the same smallest id, where some holder has a larger one."""
-    out = []
-    for row, top in zip(best, most.tolist(), strict=True):
-        edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])).tolist()
-        ends = [*edge[1:], len(row)]
-        out.append([{"low": a, "high": b - 1, "first_id": int(row[a])} for a, b in zip(edge, ends, strict=True) if row[a] < top])
-    return out
+def _runs(best: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The rows that have runs of offsets with the same smallest id, where some holder has a larger one, and those runs."""
+    n, width = best.shape
+    flat = best.ravel()
+    new = np.concatenate([np.ones((n, 1), bool), best[:, 1:] != best[:, :-1]], axis=1).ravel()
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], flat.size)[: len(start)] - 1
+    held = flat[start] < most[start // width]
+    start, end = start[held], end[held]
+    rows, counts = np.unique(start // width, return_counts=True)
+    runs = pa.StructArray.from_arrays([pa.array(start % width, pa.int32()), pa.array(end % width, pa.int32()), pa.array(flat[start])], fields=list(_RUN.value_type))
+    return rows, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), runs, type=_RUN)
 
 
 def _grow_trees(window: int, prefix: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -202,11 +206,9 @@ def _grow_trees(window: int, prefix: int) -> Callable[[Iterator[pa.RecordBatch]]
         ids, most = (rows.column(k).to_numpy() for k in (3, 4))
         n_left, lo, hi = (rows.column(k).to_numpy().astype(np.int64) for k in (5, 9, 10))
         best = repeated_windows(rows.column(6).to_pylist(), n_left, ids, lo, hi, window, prefix)
-        found = _runs(best, most)
-        keep = pa.array([bool(x) for x in found], pa.bool_())
-        out = pa.table([*(rows.column(k) for k in range(3)), pa.array(found, _RUN)], names=["key", "c1", "c2", "runs"]).filter(keep).combine_chunks()
-        batches = out.to_batches()
-        return batches[0] if batches else pa.RecordBatch.from_pylist([], schema=out.schema)
+        kept, found = _runs(best, most)
+        take = pa.array(kept)
+        return pa.RecordBatch.from_arrays([*(rows.column(k).combine_chunks().take(take) for k in range(3)), found], names=["key", "c1", "c2", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
