@@ -13,26 +13,34 @@ from . import lattice, network, ranking
 from .squares import GRAIN, oriented_edges, points_in_regions
 
 
-def grow(left: DataFrame, key: str, right: DataFrame, distance: Column, answer: list[str], step: float, rounds: int = 40, keep: list[str] | None = None) -> DataFrame:
+def grow(left: DataFrame, key: str, right: DataFrame, distance: Column, answer: list[str], step: float, rounds: int = 40, keep: list[str] | None = None, fine: float | None = None) -> DataFrame:
     """For each box of left (key, x0, y0, x1, y1) the least struct (distance, answer columns) over the boxes of right (_x0, _y0, _x1, _y1
     and more), as column m; ``distance`` must not be less than that of the boxes.  A key may have several boxes; ``keep`` names more columns
     of theirs.
 
     Boxes meet in bins.  The first bins are ``step`` wide and answer what is within a step; then bins twice as wide serve those without
     an answer, and so on, so crowded places form few pairs and remote ones are still answered.
+
+    With ``fine``, boxes of right are first dealt by their lower left corners to spots of that width, and only the spots meet in bins: a
+    spot farther than the far corner of another can't hold the nearest box, so few spots are looked into.  ``distance`` must then be that of
+    sets inside both boxes, the left one filling its box.
     """
     if right.isEmpty():
         kinds = ", ".join(f"{c}: {right.schema[c].dataType.simpleString()}" for c in answer)
         return left.select(key, F.lit(None).cast(f"struct<_d: double, {kinds}>").alias("m")).distinct()
     pending, found = ranking.cut(left.select(key, "x0", "y0", "x1", "y1", *(keep or []))), []
+    if fine:
+        right = right.withColumn("_fr", F.floor(F.col("_y0") / fine)).withColumn("_fc", F.floor(F.col("_x0") / fine))
+        spots = ranking.cut(right.groupBy("_fr", "_fc").agg(*[f(c).alias(c) for f, c in ((F.min, "_x0"), (F.min, "_y0"), (F.max, "_x1"), (F.max, "_y1"))]))
     for _ in range(rounds):
 
         def bins(low: str, high: str, pad: int, width: float = step) -> Column:
             return F.explode(F.sequence(F.floor(F.col(low) / width - pad).cast("long"), F.floor(F.col(high) / width + pad).cast("long")))
 
         a = pending.withColumn("_r", bins("y0", "y1", 1)).withColumn("_c", bins("x0", "x1", 1))
-        b = right.withColumn("_r", bins("_y0", "_y1", 0)).withColumn("_c", bins("_x0", "_x1", 0))
-        near = a.join(b, ["_r", "_c"]).withColumn("_d", distance).filter(F.col("_d") <= step)
+        b = (spots if fine else right).withColumn("_r", bins("_y0", "_y1", 0)).withColumn("_c", bins("_x0", "_x1", 0))
+        near = a.join(b, ["_r", "_c"])
+        near = (nearest_spots(near, key, pending.columns, step).join(right, ["_fr", "_fc"]) if fine else near).withColumn("_d", distance).filter(F.col("_d") <= step)
         sure = ranking.cut(near.groupBy(key).agg(F.min(F.struct("_d", *answer)).alias("m")))
         found.append(sure)
         pending = ranking.cut(pending.join(sure, key, "left_anti"))
@@ -46,6 +54,16 @@ def _gap(low: str, high: str, other_low: str, other_high: str) -> Column:
     return F.greatest(F.col(low) - F.col(other_high), F.lit(0.0), F.col(other_low) - F.col(high))
 
 
+def nearest_spots(pairs: DataFrame, key: str, columns: list[str], step: float) -> DataFrame:
+    """Of pairs of a box and a spot (its bounds _x0, _y0, _x1, _y1) within ``step``, those that may hold the nearest thing of the key: the spot
+    is no farther than the far corner of every other (with room for rounding)."""
+    gap = F.hypot(_gap("x0", "x1", "_x0", "_x1"), _gap("y0", "y1", "_y0", "_y1"))
+    beyond = [F.greatest(F.col(f"{c}0") - F.col(f"_{c}0"), F.lit(0.0), F.col(f"_{c}1") - F.col(f"{c}1")) for c in "xy"]
+    near = ranking.cut(pairs.select(*columns, "_fr", "_fc", gap.alias("_gap"), F.hypot(*beyond).alias("_far")).filter(F.col("_gap") <= step).distinct())
+    least = near.groupBy(key).agg(F.min("_far").alias("_least"))
+    return near.join(least, key).filter(F.col("_gap") <= F.col("_least") * (1 + 1e-9)).select(*columns, "_fr", "_fc")
+
+
 def nearest(left: DataFrame, key: str, right: DataFrame, target: str, max_distance: float) -> DataFrame:
     """Nearest point (x, y) of right for each point (x, y) or box (x0, y0, x1, y1) of left: key, target (of equals the smallest), distance.
 
@@ -85,7 +103,7 @@ def shore_distance(cells: DataFrame, shore: DataFrame, size: float, key: str = "
     lines = shore.select(*[F.col(c).alias(f"s_{c}") for c in ("x0", "y0", "x1", "y1")])
     lines = lines.select("*", F.least("s_x0", "s_x1").alias("_x0"), F.least("s_y0", "s_y1").alias("_y0"), F.greatest("s_x0", "s_x1").alias("_x1"), F.greatest("s_y0", "s_y1").alias("_y1"))
     d = lattice.square_segment_distance(F.col("x0"), F.col("y0"), float(size), *[F.col(f"s_{c}") for c in ("x0", "y0", "x1", "y1")])
-    found = grow(cells, key, lines, d, ["_x0"], float(size)).select(key, F.col("m._d").alias("distance"))
+    found = grow(cells, key, lines, d, ["_x0"], float(size), fine=size / 4).select(key, F.col("m._d").alias("distance"))
     return cells.join(found, key).withColumn("band", S.coastal_band(F.col("distance")))
 
 
