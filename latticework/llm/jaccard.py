@@ -26,9 +26,8 @@ from pyspark.sql import types as T
 from . import text as tx
 from .common import cut, join_hot
 from .simhash import components, links
+from .sketch import counter, hash_counts
 
-#: Counters of the sketch of shingle frequencies (two bytes each, so 8 MB), and of one block of them on the way.
-SKETCH_BITS, BLOCK_BITS = 22, 16
 #: Candidates up to which their table is broadcast.
 BROADCAST_SETS = 100_000
 PAIR_BLOCK = 1 << 20
@@ -69,49 +68,9 @@ def _needed(n: int, similarity: float) -> int:
     return int(np.ceil(similarity * n - 1e-9))
 
 
-def _count_shingles(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The sketch of a partition's texts (id, text), by blocks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, waiting, size = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
-
-        def take() -> None:
-            nonlocal waiting, size
-            if waiting:
-                np.add(counts, np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.uint32), out=counts)
-            waiting, size = [], 0
-
-        for batch in batches:
-            for grams in shingle_sets(batch.column(1), shingle):
-                waiting.append((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
-                size += len(grams)
-                if size > 1 << 20:
-                    take()
-        take()
-        blocks = counts.reshape(-1, 1 << BLOCK_BITS)
-        used = np.flatnonzero(blocks.any(axis=1)).tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([blocks[b].tobytes() for b in used], pa.binary())], names=["block", "counts"])
-
-    return run
-
-
-def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = np.frombuffer(raw, np.uint32).astype(np.uint64)
-            total[block] = np.minimum(total.get(block, 0) + own, 65535)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype(np.uint32).tobytes() for v in total.values()], pa.binary())], names=["block", "counts"])
-
-
 def shingle_counts(texts: DataFrame, shingle: int) -> np.ndarray:
-    """How many texts (id, text) hold a shingle of each counter, 65,535 at most; what returns to the driver has a fixed size."""
-    schema = "block int, counts binary"
-    blocks = texts.mapInArrow(_count_shingles(shingle), schema).repartition(1 << (SKETCH_BITS - BLOCK_BITS), "block").mapInArrow(_sum_blocks, schema)
-    out = np.zeros((1 << (SKETCH_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint16)
-    for r in blocks.collect():
-        out[r["block"]] = np.frombuffer(r["counts"], np.uint32)
-    return out.ravel()
+    """How many texts (id, text) hold a shingle of each counter."""
+    return hash_counts(texts, lambda column: shingle_sets(column, shingle))
 
 
 def _prefixes(shingle: int, similarity: float, frequency) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -123,7 +82,7 @@ def _prefixes(shingle: int, similarity: float, frequency) -> Callable[[Iterator[
                 names.append(_signed(_set_name(grams)))
                 sizes.append(n)
                 prints.append(_signed(fingerprint(grams)))
-                grams = grams[np.argsort(frequency.value[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")]
+                grams = grams[np.argsort(frequency.value[counter(grams)], kind="stable")]
                 first.append(grams[: n - _needed(n, similarity) + 1 if n else 0].view(np.int64))
             lengths = np.cumsum([0, *map(len, first)])
             prefix = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))

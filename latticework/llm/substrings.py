@@ -1,7 +1,9 @@
 """Substring de-duplication with prefix-partitioned suffix trees.
 
 Suffixes of the corpus are read from sampled places: the content-defined minimisers of every window of ``window`` words (equal
-windows are sampled at equal places, so no repeat is missed, and about one suffix in 18 is kept).  A suffix' first ``prefix`` words
+windows are sampled at equal places, so no repeat is missed, and about one suffix in 18 is kept).  Frequent runs of words, as a sketch
+of the corpus counts them, are sampled only where a window has no other, so a common line or passage isn't met with all that stands
+around it; a suffix' context is what the windows sampled there cover, so a passage is one context.  A suffix' first ``prefix`` words
 decide its group.  Prefixes that only one document holds are dropped; equal contexts are merged before they travel.
 
 Prefixes are of variable length: a group with more contexts than ``group_limit`` is split by longer ones, step by step.  A group
@@ -32,9 +34,12 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .common import HOT_KEYS, cut, join_hot, table
+from .sketch import counter, hash_counts
 
 #: Context bytes of one tree.
 TREE_BYTES = 2 << 20
+#: Occurrences from which a run of words is frequent.
+FREQUENT = 64
 NO_ID = 2**63 - 1
 #: End of the range of a text that goes whole.
 WHOLE = 2**31 - 1
@@ -52,33 +57,62 @@ def _sliding(a: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return best(a[:n], a[width - step : width - step + n])
 
 
-def sampled_suffixes(w: tx.Words, hashes: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words of a piece where a suffix is sampled, and the hashes of the suffixes' first ``prefix`` words."""
+def _prefix_hashes(window: int, prefix: int) -> Callable[[pa.Array], Iterator[np.ndarray]]:
+    """The hashes of all runs of ``prefix`` words of texts that have a window, by pieces."""
+
+    def run(texts: pa.Array) -> Iterator[np.ndarray]:
+        for piece in tx.pieces(texts):
+            w = tx.words(piece, tx.SPACE_FREE)
+            grams = tx.gram_hashes(tx.word_hashes(piece.data, w), prefix)
+            counts = w.counts()
+            yield grams[tx.ranges(w.bounds[:-1], np.where(counts >= window, counts - prefix + 1, 0))]
+
+    return run
+
+
+def frequent_prefixes(texts: DataFrame, window: int, prefix: int) -> np.ndarray:
+    """A flag per counter of the sketch: it counts more than FREQUENT runs of words of the texts (id, text) beyond twice the mean."""
+    counts = hash_counts(texts, _prefix_hashes(window, prefix))
+    return counts > FREQUENT + 2 * counts.mean()
+
+
+def sampled_suffixes(w: tx.Words, hashes: np.ndarray, window: int, prefix: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a piece where a suffix is sampled, the hashes of the suffixes' first ``prefix`` words, and how many words the windows
+    that are sampled there have left and right of the place at most.
+
+    A window is sampled at the lowest of its hashes; those whose counters are ``frequent`` come after all others."""
     grams = tx.gram_hashes(hashes, prefix)
     width = window - prefix + 1
-    lowest = _sliding(grams, width, np.minimum)
+    value = grams
+    if frequent is not None:
+        value = (grams >> np.uint64(1)) | (frequent[counter(grams)].astype(np.uint64) << np.uint64(63))
+    lowest = _sliding(value, width, np.minimum)
     if not len(lowest):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.arange(len(lowest))
     end = np.repeat(w.bounds[1:], w.counts())[: len(at)]
     lowest[at + window > end] = 0  # windows that cross the end of a text
     pad = np.zeros(width - 1, np.uint64)
-    chosen = _sliding(np.concatenate([pad, lowest, pad]), width, np.maximum) == grams
-    place = np.flatnonzero(chosen)
-    return place, grams[place]
+    padded = np.concatenate([pad, lowest, pad])
+    place = np.flatnonzero(_sliding(padded, width, np.maximum) == value)
+    # Column o: the window with o words left of the place; those sampled there follow one another.
+    own = padded[place[:, None] + np.arange(width - 1, -1, -1)[None, :]] == value[place][:, None]
+    left, least = width - 1 - np.argmax(own[:, ::-1], axis=1), np.argmax(own, axis=1)
+    return place, grams[place], left, window - least
 
 
-def _sample(window: int, prefix: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sample(window: int, prefix: int, frequent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in tx.pieces(batch.column(3)):
                 w = tx.words(piece, tx.SPACE_FREE)
-                place, key = sampled_suffixes(w, tx.word_hashes(piece.data, w), window, prefix)
+                place, key, left, right = sampled_suffixes(w, tx.word_hashes(piece.data, w), window, prefix, frequent.value)
                 bounds = np.searchsorted(place, w.bounds).astype(np.int32)
                 own = place - w.bounds[np.searchsorted(w.bounds, place, side="right") - 1]
                 n = piece.last - piece.first
+                spots = pa.array((own << 32) | (left << 16) | right)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(piece.first, n) for i in range(3)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(key.view(np.int64))), pa.ListArray.from_arrays(pa.array(bounds), pa.array(own, pa.int32()))],
+                    [*(batch.column(i).slice(piece.first, n) for i in range(3)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(key.view(np.int64))), pa.ListArray.from_arrays(pa.array(bounds), spots)],
                     names=["id", "d1", "d2", "keys", "places"],
                 )
 
@@ -87,7 +121,7 @@ def _sample(window: int, prefix: int) -> Callable[[Iterator[pa.RecordBatch]], It
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, d1 and the compressed text: what travels between stages."""
-    codec = zstandard.ZstdCompressor(level=3)
+    codec = zstandard.ZstdCompressor(level=6)
     for batch in batches:
         for at in range(0, len(batch), 512):
             part = batch.slice(at, 512)
@@ -105,9 +139,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordB
             yield part.set_column(at, part.schema.names[at], texts)
 
 
-def _contexts(window: int, prefix: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    reach = window - prefix
-
+def _contexts(prefix: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _unpacked(batches, 2):
             places = batch.column(3)
@@ -118,9 +150,10 @@ def _contexts(window: int, prefix: int) -> Callable[[Iterator[pa.RecordBatch]],
                 raw = text.tobytes()
                 own = places.slice(piece.first, piece.last - piece.first)
                 doc = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy(zero_copy_only=False))
-                at = own.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                spots = own.flatten().to_numpy(zero_copy_only=False)
+                at = spots >> 32
                 place = at + w.bounds[doc]
-                low, high = np.maximum(place - reach, w.bounds[doc]), np.minimum(place + window, w.bounds[doc + 1])
+                low, high = place - ((spots >> 16) & 0xFFFF), place + (spots & 0xFFFF)
                 for a in range(0, len(at), 4096):
                     s = slice(a, a + 4096)
                     take = pa.array(doc[s] + piece.first)
@@ -297,14 +330,15 @@ def find_repeats(docs: DataFrame, window: int = 50, prefix: int = 16, group_limi
     Null and empty texts have no windows; a very long text is read whole in one task; an empty table gives an empty result.
     """
     own = _keyed(docs, id_col, text_col)
-    marked = own.mapInArrow(_sample(window, prefix), "id long, d1 long, d2 long, keys array<long>, places array<int>")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_prefixes(own.select("id", "text"), window, prefix))
+    marked = own.mapInArrow(_sample(window, prefix, frequent), "id long, d1 long, d2 long, keys array<long>, places array<long>")
     texts = cut(marked.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("places").alias("places")))
     suffixes = texts.select("id", "d1", F.explode(F.arrays_zip("keys", "places")).alias("s")).select("id", "d1", F.col("s.keys").alias("key"), F.col("s.places").alias("place"))
     shared = suffixes.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).filter(F.col("low") < F.col("high"))
     n_suffixes = texts.agg(F.sum(F.size("keys"))).first()[0] or 0
     places = join_hot(suffixes, cut(shared.select("key", "n")), ["key"], "n", n_suffixes, "left_semi").groupBy("id", "d1").agg(F.collect_list("place").alias("places"))
     packed = own.select("id", "d1", "text").mapInArrow(_pack, PACKED)
-    cuts = packed.join(places, ["id", "d1"]).select("id", "d1", "packed", "places").mapInArrow(_contexts(window, prefix), "id long, d1 long, place int, key long, n_left int, context binary")
+    cuts = packed.join(places, ["id", "d1"]).select("id", "d1", "packed", "places").mapInArrow(_contexts(prefix), "id long, d1 long, place int, key long, n_left int, context binary")
     cuts = cut(cuts.select("*", F.xxhash64("context", "n_left").alias("c1"), F.xxhash64(F.lit(7), "n_left", "context").alias("c2")))
     distinct = cuts.groupBy("key", "c1", "c2").agg(F.min("id").alias("low_id"), F.max("id").alias("high_id"), F.first("n_left").alias("n_left"), F.first("context").alias("context"))
     sizes = cuts.select("key", "c1", "c2").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"))
