@@ -5,9 +5,9 @@ alone: sets whose 64-bit fingerprints lie within RADIUS bits in the grid of segm
 
 In any common order of the shingles, two sets of similarity t or more share a shingle among the first n - ceil(t * n) + 1 of each,
 so joining on those prefixes finds every pair.  Sizes and the number c of shared shingles in both prefixes drop most others: beyond
-the prefix that ends first the sets share no more than its rest, so they share c + ceil(t * n) - 1 at most, of the larger n.  The
-whole sets decide.  The order is by frequency in the corpus, the rarest first, as a sketch of fixed size counts it: shingles of one
-counter share their count, which bears on the work only.
+the prefix that ends first the sets share no more than its rest, so they share c + ceil(t * n) - 1 at most, of the larger n.  Parity
+signatures drop the rest of the pairs that have only common shingles, and the whole sets decide.  The order is by frequency in the corpus,
+the rarest first, as a sketch of fixed size counts it: shingles of one counter share their count, which bears on the work only.
 
 Equal sets are one.  Shared shingles first propose a link to the smallest set that has them, and only sets still in different
 components after that are paired with each other, so a group of near copies costs its size, not its square.
@@ -31,6 +31,8 @@ from .sketch import counter, hash_counts
 #: Candidates up to which their table is broadcast.
 BROADCAST_SETS = 100_000
 PAIR_BLOCK = 1 << 20
+#: Words of 64 bits in a set's parity signature.
+SIGNATURE = 8
 #: Bits that fingerprints may differ in, and axes of their grid: 15 cells each.
 RADIUS, AXES = 2, 6
 
@@ -59,6 +61,12 @@ def fingerprint(grams: np.ndarray) -> int:
     return int(np.packbits(total * 2 > len(grams), bitorder="little").view(np.uint64)[0]) if len(grams) else 0
 
 
+def signature(grams: np.ndarray) -> np.ndarray:
+    """How many shingles fall on each of 512 bits, modulo 2: two sets differ in no fewer shingles than their signatures in bits."""
+    bits = np.bincount((tx.mix(grams) >> np.uint64(55)).astype(np.int64), minlength=64 * SIGNATURE) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -76,17 +84,19 @@ def shingle_counts(texts: DataFrame, shingle: int) -> np.ndarray:
 def _prefixes(shingle: int, similarity: float, frequency) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, sizes, first, prints = [], [], [], []
+            names, sizes, first, prints, signs = [], [], [], [], []
             for grams in shingle_sets(batch.column(1), shingle):
                 n = len(grams)
                 names.append(_signed(_set_name(grams)))
                 sizes.append(n)
                 prints.append(_signed(fingerprint(grams)))
+                signs.append(signature(grams))
                 grams = grams[np.argsort(frequency.value[counter(grams)], kind="stable")]
                 first.append(grams[: n - _needed(n, similarity) + 1 if n else 0].view(np.int64))
             lengths = np.cumsum([0, *map(len, first)])
             prefix = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), prefix], names=["id", "text_hash", "set", "n", "fp", "prefix"])
+            sign = pa.ListArray.from_arrays(pa.array(np.arange(len(signs) + 1) * SIGNATURE, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *signs])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), sign, prefix], names=["id", "text_hash", "set", "n", "fp", "sign", "prefix"])
 
     return run
 
@@ -130,10 +140,19 @@ def _counted(pairs: DataFrame, similarity: float) -> DataFrame:
 
 
 def _cross(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of rows (gram, root, set, n) sorted by gram, then root: pairs of one gram, two roots and fitting sizes, counted in parts."""
+    """Of rows (gram, root, set, n, sign) sorted by gram, then root: pairs of one gram, two roots and fitting sizes, counted in parts.
+
+    Pairs whose signatures lie too far apart to be similar enough are left out here, so sets with nothing but a common line in common
+    make no rows, however many they are."""
+
+    def close(i: np.ndarray, j: np.ndarray, n: np.ndarray, sign: np.ndarray) -> np.ndarray:
+        bits = np.zeros(len(i), np.int64)
+        for k in range(SIGNATURE):
+            bits += np.bitwise_count(sign[i, k] ^ sign[j, k])
+        return bits * (1 + similarity) <= (n[i] + n[j]) * (1 - similarity) + 1e-6
 
     def pairs(rows_of: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        gram, root, name, n = rows_of
+        gram, root, name, n, sign = rows_of
         size = len(gram)
         new = np.concatenate([[True], gram[1:] != gram[:-1]])
         part = new | np.concatenate([[True], root[1:] != root[:-1]])
@@ -150,6 +169,8 @@ def _cross(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
             ok = small >= large * similarity - 1e-6
             i, j = i[ok], j[ok]
+            ok = close(i, j, n, sign)
+            i, j = i[ok], j[ok]
             low = name[i] < name[j]
             i, j = np.where(low, i, j), np.where(low, j, i)
             both, c = np.unique(np.stack([name[i], name[j], n[i], n[j]]), axis=1, return_counts=True)
@@ -157,11 +178,13 @@ def _cross(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, np.int64)] * 4
+        kept = [np.zeros(0, np.int64)] * 4 + [np.zeros((0, SIGNATURE), np.uint64)]
         for batch in batches:
             if not len(batch):
                 continue
-            c = [np.concatenate([k, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, k in enumerate(kept)]
+            sign = batch.column(4).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SIGNATURE)
+            own = [*(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)), sign]
+            c = [np.concatenate(x) for x in zip(kept, own, strict=True)]
             ended = np.flatnonzero(c[0] != c[0][-1])
             whole = int(ended[-1]) + 1 if len(ended) else 0
             if whole:
@@ -210,7 +233,7 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
     frequency = docs.sparkSession.sparkContext.broadcast(shingle_counts(own.select("id", "text"), shingle))
-    schema = T.StructType([T.StructField("id", own.schema["id"].dataType), T.StructField("text_hash", T.LongType()), T.StructField("set", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", own.schema["id"].dataType), T.StructField("text_hash", T.LongType()), T.StructField("set", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("sign", T.ArrayType(T.LongType())), T.StructField("prefix", T.ArrayType(T.LongType()))])
     marked = cut(own.mapInArrow(_prefixes(shingle, similarity, frequency), schema))
     first = cut(marked.groupBy("set").agg(F.min(F.struct(F.col("id"), F.col("text_hash"))).alias("k")))
     held = marked.groupBy("set", "n").agg(F.first("prefix").alias("prefix"))
@@ -223,7 +246,9 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id
     stars = _counted(stars.select(F.col("m.set").alias("a"), F.col("set").alias("b"), F.col("m.n").alias("na"), F.col("n").alias("nb"), F.lit(1).alias("c")), similarity)
     edges = cut(close.unionByName(_similar(_unlinked(stars, components(close)), first, own, shingle, similarity)))
     roots = components(edges)
-    named = shared.join(roots, shared["set"] == roots["node"], "left").select("gram", F.coalesce("root", "set").alias("root"), "set", "n")
+    signs = marked.groupBy("set").agg(F.first("sign").alias("sign"))
+    signs = signs.join(roots, signs["set"] == roots["node"], "left").select("set", F.coalesce("root", "set").alias("root"), "sign")
+    named = shared.join(signs, "set").select("gram", "root", "set", "n", "sign")
     rest = named.repartition("gram").sortWithinPartitions("gram", "root").mapInArrow(_cross(similarity), "a long, b long, na long, nb long, c long")
     more = _similar(_counted(rest, similarity), first, own, shingle, similarity)
     roots = components(edges.unionByName(more)) if not more.isEmpty() else roots
