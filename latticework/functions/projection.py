@@ -41,6 +41,19 @@ class TransverseMercator:
     def _eccentricity(self) -> float:
         return math.sqrt(self.flattening * (2 - self.flattening))
 
+    @property
+    def _latitudes(self) -> list[float]:
+        """The coefficients of the series that gives the latitude of a conformal latitude, to the sixth power (rest below 1e-17)."""
+        n = self.flattening / (2 - self.flattening)
+        return [
+            2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45 + 26 * n**5 / 45 - 2854 * n**6 / 675,
+            7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45 + 2704 * n**5 / 315 + 2323 * n**6 / 945,
+            56 * n**3 / 15 - 136 * n**4 / 35 - 1262 * n**5 / 105 + 73814 * n**6 / 2835,
+            4279 * n**4 / 630 - 332 * n**5 / 35 - 399572 * n**6 / 14175,
+            4174 * n**5 / 315 - 144838 * n**6 / 6237,
+            601676 * n**6 / 22275,
+        ]
+
     def _origin(self) -> float:
         """The rectified latitude of the origin."""
         phi, e = math.radians(self.latitude), self._eccentricity
@@ -73,13 +86,8 @@ class TransverseMercator:
             xi = xi - b * F.sin(m * north) * F.cosh(m * east)
             eta = eta - b * F.cos(m * north) * F.sinh(m * east)
         turn = F.atan2(F.sinh(eta), F.cos(xi))
-        conformal = F.sin(xi) / F.sqrt(F.sinh(eta) * F.sinh(eta) + F.cos(xi) * F.cos(xi))
-
-        def nearer(t: Column, _: Column) -> Column:
-            """A step of Newton's method for the tangent of the latitude whose conformal tangent is given."""
-            s = F.sinh(e * F.atanh(e * t / F.sqrt(1 + t * t)))
-            own = t * F.sqrt(1 + s * s) - s * F.sqrt(1 + t * t)
-            return t + (conformal - own) / F.sqrt(1 + own * own) * (1 + (1 - e * e) * t * t) / ((1 - e * e) * F.sqrt(1 + t * t))
-
-        tangent = F.aggregate(F.sequence(F.lit(1), F.lit(5)), conformal / (1 - e * e), nearer)
-        return self.meridian + F.degrees(turn), F.degrees(F.atan(tangent))
+        conformal = F.atan(F.sin(xi) / F.sqrt(F.sinh(eta) * F.sinh(eta) + F.cos(xi) * F.cos(xi)))
+        phi = conformal
+        for k, d in enumerate(self._latitudes):
+            phi = phi + d * F.sin(2.0 * (k + 1) * conformal)
+        return self.meridian + F.degrees(turn), F.degrees(phi)
