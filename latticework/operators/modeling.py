@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions.scalar import block_key
 
-from .ranking import wide_quantiles
+from .ranking import cut, wide_quantiles
 from .trees import Boosting, ExtraTrees, with_probabilities
 
 #: Blocks up to which folds are dealt on the driver: a row per block and label.
@@ -21,7 +21,7 @@ MAX_BLOCKS = 100_000
 
 def block_folds(cells: DataFrame, label: str, folds: int = 5, block: int = 5, seed: int = 42) -> DataFrame:
     """Adds block and fold: blocks of cells are never split, and each in turn (large and hash order) goes where labels stay most even."""
-    own = cells.withColumn("block", block_key(F.col("row_id"), F.col("col_id"), block))
+    own = cut(cells.withColumn("block", block_key(F.col("row_id"), F.col("col_id"), block)))
     counts = own.groupBy("block", label).agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64("block", F.lit(seed))).limit(MAX_BLOCKS + 1).collect()
     if len(counts) > MAX_BLOCKS:
         raise ValueError("too many blocks: use larger ones")
@@ -64,6 +64,7 @@ def held_out_predictions(df: DataFrame, features: list[str], label: str, group:
     Groups of ``least_rows`` or more are held out, the most frequent first.  Nulls become medians of the training rows, and classes weigh
     n / (k * n_c) there.  A model is fitted for each group; more than MAX_GROUPS are an error.
     """
+    df = cut(df)  # every group makes several passes
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_rows).orderBy(F.col("n").desc(), group)
     groups = [r[0] for r in counts.limit(MAX_GROUPS + 1).collect()]
     if len(groups) > MAX_GROUPS:
@@ -98,6 +99,7 @@ def gain_importances(df: DataFrame, features: list[str], label: str, group: str,
 
     One model per group, at most MAX_GROUPS; medians fill nulls and classes are balanced as in ``held_out_predictions``.
     """
+    df = cut(df)  # every group makes several passes
     groups = [r[0] for r in df.select(group).distinct().orderBy(group).limit(MAX_GROUPS + 1).collect()]
     if len(groups) > MAX_GROUPS:
         raise ValueError(f"more than {MAX_GROUPS} groups")
