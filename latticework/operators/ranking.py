@@ -13,6 +13,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a range that one task sorts: the first number or more while there are RANGES of them, then up to the second.
+RANGE_ROWS, MOST_RANGE_ROWS = 1 << 17, 1 << 21
+#: Into so many ranges Spark writes rows without sorting them first, by spark.shuffle.sort.bypassMergeThreshold.
+RANGES = 200
+#: Ranges (one more for each further group in it) up to which their offsets are broadcast.
+BROADCAST_RANGES = 100_000
+
 
 def cut(df: DataFrame) -> DataFrame:
     """checkpoint() into the folder in spark.checkpoint.dir; a temporary one only where none is set."""
@@ -118,6 +125,18 @@ def average_ranks(df: DataFrame, value: str, group: list[str], name: str) -> Dat
 
 
 def row_numbers(df: DataFrame, order: list, group: list[str], name: str) -> DataFrame:
-    """df with its rows numbered from 1 in each group by order (columns or sort expressions), and ``<name>_of``, the group's rows."""
-    whole = ranged(df.withColumn("_one", F.lit(1)), order, group)
-    return running_sums(whole, order, group, ["_one"]).select(*df.columns, (F.col("before__one") + 1).cast("long").alias(name), F.col("total__one").cast("long").alias(f"{name}_of"))
+    """df with its rows numbered from 1 in each group by order (columns or sort expressions), and ``<name>_of``, the group's rows.
+
+    A task sorts one range, of MOST_RANGE_ROWS at most (about, as bounds are sampled): a range asked for by number isn't merged with others,
+    and a row's place in it is where it stands, so no window gathers ranges again.
+    """
+    rows = df.count()
+    parts = max(min(RANGES, rows // RANGE_ROWS + 1), rows // MOST_RANGE_ROWS + 1)
+    sorted_ = df.repartitionByRange(parts, *group, *order).sortWithinPartitions(*group, *order)
+    whole = cut(sorted_.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = whole.groupBy(*group, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    offsets = cut(ranges.select(*group, "_part", (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) + 1 - F.col("_first")).alias("_shift"), F.sum("_rows").over(Window.partitionBy(*group)).alias("_of")))
+    side = F.broadcast(offsets) if offsets.count() <= BROADCAST_RANGES else offsets
+    joined = whole.alias("l").join(side.alias("o"), same("l", "o", [*group, "_part"]))
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l._at") + F.col("o._shift")).cast("long").alias(name), F.col("o._of").cast("long").alias(f"{name}_of"))
