@@ -9,8 +9,9 @@ the prefix that ends first the sets share no more than its rest, so they share c
 signatures drop the rest of the pairs that have only common shingles, and the whole sets decide.  The order is by frequency in the corpus,
 the rarest first, as a sketch of fixed size counts it: shingles of one counter share their count, which bears on the work only.
 
-Equal sets are one.  Shared shingles first propose a link to the smallest set that has them, and only sets still in different
-components after that are paired with each other, so a group of near copies costs its size, not its square.
+Equal sets are one.  Each shared shingle proposes links of its sets to one of them, then, in rounds, of each set to the one whose signature
+is nearest: a row per set and shingle.  Shingles whose sets are all in one component by then drop out.  Only sets still in different components after the rounds are paired with each other,
+and of the links between two components one goes on, so a group of near copies costs its size, not its square.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ PAIR_BLOCK = 1 << 20
 SIGNATURE = 8
 #: Bits that fingerprints may differ in, and axes of their grid: 15 cells each.
 RADIUS, AXES = 2, 6
+#: Rounds of links between nearest sets of a shingle, at most; they end when one finds nothing.
+ROUNDS = 3
 
 
 def shingle_sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
@@ -139,17 +142,17 @@ def _counted(pairs: DataFrame, similarity: float) -> DataFrame:
     return summed.filter(most * (1 + similarity) >= (F.col("na") + F.col("nb")) * similarity - 1e-6).select("a", "b")
 
 
-def _cross(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _cross(similarity: float, nearest: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of rows (gram, root, set, n, sign) sorted by gram, then root: pairs of one gram, two roots and fitting sizes, counted in parts.
 
     Pairs whose signatures lie too far apart to be similar enough are left out here, so sets with nothing but a common line in common
-    make no rows, however many they are."""
+    make no rows, however many they are.  With ``nearest`` a row makes one pair of a gram, with the nearest signature among larger roots."""
 
-    def close(i: np.ndarray, j: np.ndarray, n: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    def apart(i: np.ndarray, j: np.ndarray, sign: np.ndarray) -> np.ndarray:
         bits = np.zeros(len(i), np.int64)
         for k in range(SIGNATURE):
             bits += np.bitwise_count(sign[i, k] ^ sign[j, k])
-        return bits * (1 + similarity) <= (n[i] + n[j]) * (1 - similarity) + 1e-6
+        return bits
 
     def pairs(rows_of: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         gram, root, name, n, sign = rows_of
@@ -169,8 +172,14 @@ def _cross(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
             ok = small >= large * similarity - 1e-6
             i, j = i[ok], j[ok]
-            ok = close(i, j, n, sign)
+            bits = apart(i, j, sign)
+            ok = bits * (1 + similarity) <= (n[i] + n[j]) * (1 - similarity) + 1e-6
             i, j = i[ok], j[ok]
+            if nearest and len(i):
+                order = np.lexsort((bits[ok], i))
+                i, j = i[order], j[order]
+                best = np.append(True, i[1:] != i[:-1])
+                i, j = i[best], j[best]
             low = name[i] < name[j]
             i, j = np.where(low, i, j), np.where(low, j, i)
             both, c = np.unique(np.stack([name[i], name[j], n[i], n[j]]), axis=1, return_counts=True)
@@ -218,11 +227,37 @@ def fingerprint_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     return stars.unionByName(near).filter((F.col("a") != F.col("b")) & fits).select("a", "b")
 
 
-def _unlinked(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs a-b that roots (node, root) doesn't join already."""
-    one, two = (roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
-    named = pairs.join(one, "a", "left").join(two, "b", "left")
-    return named.filter(~F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))).select("a", "b")
+def _named(rows: DataFrame, roots: DataFrame, key: str, name: str = "root") -> DataFrame:
+    """rows with the root of their set ``key``, itself where roots (node, root) doesn't hold it."""
+    return rows.join(roots.select(F.col("node").alias(key), F.col("root").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
+
+
+def _parted(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of rows (gram, set, n) those of grams with two roots or more, with their root and the gram's smallest set: hub, hub_n, hub_root."""
+    named = _named(shared.select("gram", "set", "n"), roots, "set")
+    grams = named.groupBy("gram").agg(F.min(F.struct("set", "n", "root")).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    return cut(named.join(grams.select("gram", F.col("m.set").alias("hub"), F.col("m.n").alias("hub_n"), F.col("m.root").alias("hub_root")), "gram"))
+
+
+def _to_hubs(rows: DataFrame, signs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a-b of each of the rows and its gram's hub, if roots, sizes and signatures let them."""
+    fits = F.least("n", "hub_n") >= F.greatest("n", "hub_n") * similarity - 1e-6
+    pairs = rows.filter((F.col("root") != F.col("hub_root")) & fits).select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct()
+    one, two = (signs.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("sign").alias(f"sign_{x}")) for x in "ab")
+    apart = F.aggregate(F.zip_with("sign_a", "sign_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    near = apart * (1 + similarity) <= (F.col("na") + F.col("nb")) * (1 - similarity) + 1e-6
+    return pairs.join(one, "a").join(two, "b").filter(near).select("a", "b")
+
+
+def _crossed(rows: DataFrame, signs: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+    signed = rows.join(signs.select("set", "sign"), "set").select("gram", "root", "set", "n", "sign")
+    return signed.repartition("gram").sortWithinPartitions("gram", "root").mapInArrow(_cross(similarity, nearest), "a long, b long, na long, nb long, c long")
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after more links a-b, one of them between any two roots."""
+    between = _named(_named(links, roots, "a", "root_a"), roots, "b", "root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(between))
 
 
 def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,16 +275,17 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id
     close = _similar(fingerprint_pairs(marked.select("set", "n", "fp").distinct(), similarity), first, own, shingle, similarity)
     grams = held.select(F.explode("prefix").alias("gram"), "set", "n")
     shared = cut(grams.repartition("gram").sortWithinPartitions("gram").mapInArrow(_shared, "gram long, set long, n int"))
-    least = shared.groupBy("gram").agg(F.min(F.struct("set", "n")).alias("m"))
-    fits = F.least(F.col("n"), F.col("m.n")) >= F.greatest(F.col("n"), F.col("m.n")) * similarity - 1e-6
-    stars = shared.join(least, "gram").filter((F.col("set") != F.col("m.set")) & fits)
-    stars = _counted(stars.select(F.col("m.set").alias("a"), F.col("set").alias("b"), F.col("m.n").alias("na"), F.col("n").alias("nb"), F.lit(1).alias("c")), similarity)
-    edges = cut(close.unionByName(_similar(_unlinked(stars, components(close)), first, own, shingle, similarity)))
-    roots = components(edges)
-    signs = marked.groupBy("set").agg(F.first("sign").alias("sign"))
-    signs = signs.join(roots, signs["set"] == roots["node"], "left").select("set", F.coalesce("root", "set").alias("root"), "sign")
-    named = shared.join(signs, "set").select("gram", "root", "set", "n", "sign")
-    rest = named.repartition("gram").sortWithinPartitions("gram", "root").mapInArrow(_cross(similarity), "a long, b long, na long, nb long, c long")
+    signs = cut(marked.groupBy("set").agg(F.first("n").alias("n"), F.first("sign").alias("sign")))
+    roots = components(close)
+    rows = _parted(shared, roots)
+    roots = _joined(roots, _similar(_to_hubs(rows, signs, similarity), first, own, shingle, similarity))
+    for _ in range(ROUNDS):
+        rows = _parted(rows, roots)
+        more = _similar(_crossed(rows, signs, similarity, True).select("a", "b").distinct(), first, own, shingle, similarity)
+        if more.isEmpty():
+            break
+        roots = _joined(roots, more)
+    rest = _crossed(_parted(rows, roots), signs, similarity, False)
     more = _similar(_counted(rest, similarity), first, own, shingle, similarity)
-    roots = components(edges.unionByName(more)) if not more.isEmpty() else roots
+    roots = _joined(roots, more) if not more.isEmpty() else roots
     return marked.join(roots, marked["set"] == roots["node"], "left").select(F.col("id").alias(id_col), "text_hash", F.coalesce("root", "set").alias("class_id"))
