@@ -114,8 +114,13 @@ def join_group(df: DataFrame, side: DataFrame, group: list[str]) -> DataFrame:
 def join_few(df: DataFrame, side: DataFrame, group: list[str], most: int = 100_000) -> DataFrame:
     """df joined with side, a row per group.  Up to ``most`` groups travel as a broadcast and df's rows stay where they are, so no task reads a
     whole group; beyond that both are shuffled, and a group is small beside the table unless the rows are very uneven."""
+    return df.join(few(side, most), group)
+
+
+def few(side: DataFrame, most: int = 100_000) -> DataFrame:
+    """side, checkpointed, to be broadcast in joins if it has ``most`` rows or less."""
     side = cut(side)
-    return df.join(F.broadcast(side) if side.count() <= most else side, group)
+    return F.broadcast(side) if side.count() <= most else side
 
 
 def average_ranks(df: DataFrame, value: str, group: list[str], name: str) -> DataFrame:

@@ -19,7 +19,13 @@ def r6(name: str, digits: int = 6):
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(F.col(c), digits).alias(c) if c in names else F.col(c) for c in df.columns])
+    """Doubles are rounded as in SQL, by what they are times 10^digits; F.round goes by their decimal digits, which differs at ties."""
+    kinds = dict(df.dtypes)
+
+    def one(c: str):
+        return (F.round(F.col(c) * 10.0**digits) / 10.0**digits if kinds[c] == "double" else F.round(F.col(c), digits)).alias(c)
+
+    return df.select(*[one(c) if c in names else F.col(c) for c in df.columns])
 
 
 def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
