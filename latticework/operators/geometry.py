@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .network import components
 from .polygons import RINGS
-from .ranking import cut
+from .ranking import cut, few
 
 Box = tuple[float, float, float, float]
 EPS = 1e-9
@@ -402,6 +402,8 @@ def open_space(pieces: DataFrame, size: int, min_patch: float = 25.0, crowd: int
         own = pieces.withColumn("rings", F.array(corners))
     own = own.select("row_id", "col_id", F.col("rings").cast(RINGS).alias("rings"))
     cells = own.groupBy("row_id", "col_id").agg(F.when(F.count(F.lit(1)) > crowd, parts).otherwise(1).cast("long").alias("parts"))
+    # Polygons are never the side of a join that travels whole, however small Spark takes them to be before they are exploded.
+    cells = few(cells)
     own = own.join(cells, ["row_id", "col_id"])
     step = size / F.col("parts")
 
@@ -415,8 +417,8 @@ def open_space(pieces: DataFrame, size: int, min_patch: float = 25.0, crowd: int
 
     spread = own.withColumn("r", F.explode(squares("y", "row_id"))).withColumn("c", F.explode(squares("x", "col_id")))
     steps = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-    every = cells.withColumn("r", F.explode(steps)).withColumn("c", F.explode(steps))
-    whole = every.join(spread.drop("parts"), ["row_id", "col_id", "r", "c"], "left")
+    every = cells.withColumn("r", F.explode(steps)).withColumn("c", F.explode(steps)).withColumn("rings", F.lit(None).cast(RINGS))
+    whole = spread.unionByName(every)
 
     def work(rows: pa.RecordBatch, keys: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
         row, col, r, c, n = keys.T
@@ -441,9 +443,9 @@ def open_space(pieces: DataFrame, size: int, min_patch: float = 25.0, crowd: int
     border = named.filter("side IS NOT NULL")
     near = border.select("row_id", "col_id", "r", "c", "side", "a", "b", "id")
     ahead = near.filter("side IN ('n', 'e')").select("row_id", "col_id", (F.col("r") + (F.col("side") == "n").cast("int")).alias("r"), (F.col("c") + (F.col("side") == "e").cast("int")).alias("c"), F.when(F.col("side") == "n", "s").otherwise("w").alias("side"), F.col("a").alias("oa"), F.col("b").alias("ob"), F.col("id").alias("other"))
-    links = near.join(ahead, ["row_id", "col_id", "r", "c", "side"]).filter(F.least("b", "ob") - F.greatest("a", "oa") > EPS).select(F.col("id").alias("a"), F.col("other").alias("b"))
+    links = near.join(ahead.hint("merge"), ["row_id", "col_id", "r", "c", "side"]).filter(F.least("b", "ob") - F.greatest("a", "oa") > EPS).select(F.col("id").alias("a"), F.col("other").alias("b"))
     roots = components(links)
-    sizes = named.filter("piece >= 0 AND side IS NULL").join(roots, F.col("id") == F.col("node"), "left").groupBy("row_id", "col_id", F.coalesce("root", "id").alias("patch")).agg(F.sum("area").alias("area")).filter(F.col("area") >= min_patch)
+    sizes = named.filter("piece >= 0 AND side IS NULL").join(roots.hint("merge"), F.col("id") == F.col("node"), "left").groupBy("row_id", "col_id", F.coalesce("root", "id").alias("patch")).agg(F.sum("area").alias("area")).filter(F.col("area") >= min_patch)
     patches = sizes.groupBy("row_id", "col_id").agg(F.sum("area").alias("open_area"), F.count(F.lit(1)).alias("open_patches"), F.max("area").alias("largest_patch"))
     union = named.filter("piece < 0").groupBy("row_id", "col_id").agg(F.sum("area").alias("union_area"))
     out = union.join(patches, ["row_id", "col_id"], "left").fillna(0.0, ["open_area", "largest_patch"]).fillna(0, ["open_patches"])

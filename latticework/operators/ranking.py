@@ -118,9 +118,9 @@ def join_few(df: DataFrame, side: DataFrame, group: list[str], most: int = 100_0
 
 
 def few(side: DataFrame, most: int = 100_000) -> DataFrame:
-    """side, checkpointed, to be broadcast in joins if it has ``most`` rows or less."""
+    """side, checkpointed, to be broadcast in joins if it has ``most`` rows or less; if not, neither side is, whatever Spark takes its size to be."""
     side = cut(side)
-    return F.broadcast(side) if side.count() <= most else side
+    return F.broadcast(side) if side.count() <= most else side.hint("merge")
 
 
 def average_ranks(df: DataFrame, value: str, group: list[str], name: str) -> DataFrame:
