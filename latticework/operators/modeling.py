@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -55,6 +56,8 @@ def grown(kind: str, trees: int, depth: int, seed: int) -> ExtraTrees | Boosting
 
 #: Groups that a model is fitted for, at most.
 MAX_GROUPS = 1_000
+#: Models that are grown at the same time.
+MODELS_AT_ONCE = 4
 
 
 def held_out_predictions(df: DataFrame, features: list[str], label: str, group: str, kind: str = "random_forest", key: str = "grid_id", trees: int = 50, depth: int = 10, seed: int = 42, least_rows: int = 1) -> DataFrame:
@@ -105,8 +108,8 @@ def gain_importances(df: DataFrame, features: list[str], label: str, group: str,
         raise ValueError(f"more than {MAX_GROUPS} groups")
     labels = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
     number = F.element_at(F.create_map(*[F.lit(x) for i, v in enumerate(labels) for x in (v, i)]), F.col(label))
-    rows = []
-    for g in groups:
+
+    def shares(g) -> list[tuple]:
         train = df.filter(F.col(group) != g)
         q = wide_quantiles(train, features, [], [0.5]).first()
         fill = {c: float(q[f"q_{c}"][0] if q[f"q_{c}"] is not None else 0.0) for c in features}
@@ -114,6 +117,10 @@ def gain_importances(df: DataFrame, features: list[str], label: str, group: str,
         weight = F.element_at(F.create_map(*[F.lit(x) for v, c in n.items() for x in (v, sum(n.values()) / (len(n) * c))]), F.col(label))
         model = Boosting(trees, depth, leaves=leaves).fit(train.fillna(fill, features).withColumn("y", number).withColumn("w", weight), features, "y", "w", len(labels))
         total = float(model.gains.sum()) or 1.0
-        rows += [(g, c, float(v) / total) for c, v in zip(features, model.gains, strict=True)]
+        return [(g, c, float(v) / total) for c, v in zip(features, model.gains, strict=True)]
+
+    # A level of a model is a short job that waits for the one before; models of other groups fill the gaps.
+    with ThreadPoolExecutor(MODELS_AT_ONCE) as pool:
+        rows = [r for own in pool.map(shares, groups) for r in own]
     kind = df.schema[group].dataType.simpleString()
     return df.sparkSession.createDataFrame(rows, f"`{group}` {kind}, feature string, importance double")

@@ -21,6 +21,8 @@ from .ranking import cut, wide_quantiles
 
 #: Numbers that a task holds for the open nodes of a level: 400 MB.
 MAX_CELLS = 50_000_000
+#: Rows that one task of boosting adds up, at least, before there are more tasks.
+TASK_ROWS = 1 << 14
 
 
 @dataclass
@@ -203,6 +205,9 @@ class Boosting:
         q = wide_quantiles(df, features, [], [k / self.bins for k in range(1, self.bins)]).first()
         edges = [np.unique([v for v in (q[f"q_{c}"] or []) if v is not None]) for c in features]
         state = cut(_ready(df, features, label, weight).withColumn("s", F.array_repeat(F.lit(0.0), classes)))
+        # Every level is a job over all tasks, so few rows make few tasks.
+        wanted = state.count() // TASK_ROWS + 1
+        state = cut(state.coalesce(wanted)) if wanted < state.rdd.getNumPartitions() else state
         self.gains = np.zeros(len(features))
         done = 0
         for k in range(self.rounds):
@@ -221,18 +226,19 @@ class Boosting:
                 break
             if len(open_) * width * n_bins * 2 > MAX_CELLS:
                 raise ValueError("too many open nodes: use less depth or fewer bins")
-            hist = state.mapInArrow(_histograms(fresh, made, open_, edges, n_bins, classes), "i long, f long, b long, g double, h double").groupBy("i", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-            hist = cut(hist) if level == 0 else hist
-            if level == 0:
-                for r in hist.filter("f = 0").groupBy("i").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
-                    self._worth(made, open_[r["i"]], r["g"], r["h"])
+            # A task gives a row per node, feature and bin, so one exchange by node is enough for all sums.
+            hist = state.mapInArrow(_histograms(fresh, made, open_, edges, n_bins, classes), "i long, f long, b long, g double, h double").repartition("i").groupBy("i", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
             ahead = []
             for r in _best_splits(hist, self.ridge, self.min_weight).collect():
                 (c, node), f = open_[r["i"]].tolist(), r["f"]
+                if level == 0:
+                    self._worth(made, (c, node), r["g"], r["h"])
+                if r["b"] < 0:
+                    continue
                 gain[c, node] = (r["gain"], f, float(edges[f][r["b"]]))
                 made[c].split([node], [f], [float(edges[f][r["b"]])])
                 self._worth(made, (c, 2 * node), r["gl"], r["hl"])
-                self._worth(made, (c, 2 * node + 1), r["gr"], r["hr"])
+                self._worth(made, (c, 2 * node + 1), r["g"] - r["gl"], r["h"] - r["hl"])
                 ahead += [(c, 2 * node), (c, 2 * node + 1)]
             open_ = np.array(sorted(ahead), np.int64).reshape(-1, 2)
         for c, tree in enumerate(made):
@@ -322,7 +328,8 @@ def _histograms(fresh: list[list[Tree]], made: list[Tree], open_: np.ndarray, ed
 
 
 def _best_splits(hist: DataFrame, ridge: float, min_weight: float) -> DataFrame:
-    """Of each open node i the split (feature f, last bin b on the left) of the highest gain above 0, with both sides' sums; the first of equals."""
+    """Of each open node i its sums g and h and the split (feature f, last bin b on the left, -1 for none) of the highest gain above 0, with the
+    left side's sums; the first of equals."""
     bins = F.sort_array(F.collect_list(F.struct("b", "g", "h")))
     per = hist.groupBy("i", "f").agg(bins.alias("bins"), F.sum("g").alias("g"), F.sum("h").alias("h"))
     zero = F.struct(F.lit(0.0).alias("gl"), F.lit(0.0).alias("hl"), F.lit(0.0).alias("gain"), F.lit(-1).cast("long").alias("b"), F.lit(0.0).alias("bg"), F.lit(0.0).alias("bh"))
@@ -335,9 +342,9 @@ def _best_splits(hist: DataFrame, ridge: float, min_weight: float) -> DataFrame:
         keep = lambda new, old: F.when(better, new).otherwise(acc[old])
         return F.struct(gl.alias("gl"), hl.alias("hl"), keep(gain, "gain").alias("gain"), keep(x["b"], "b").alias("b"), keep(gl, "bg").alias("bg"), keep(hl, "bh").alias("bh"))
 
-    found = per.withColumn("m", F.aggregate("bins", zero, step)).filter("m.b >= 0")
+    found = per.withColumn("m", F.aggregate("bins", zero, step))
     best = found.groupBy("i").agg(F.max_by(F.struct("f", "m", "g", "h"), F.struct(F.col("m.gain"), -F.col("f"))).alias("s"))
-    return best.select("i", "s.f", F.col("s.m.b").alias("b"), F.col("s.m.gain").alias("gain"), F.col("s.m.bg").alias("gl"), F.col("s.m.bh").alias("hl"), (F.col("s.g") - F.col("s.m.bg")).alias("gr"), (F.col("s.h") - F.col("s.m.bh")).alias("hr"))
+    return best.select("i", "s.f", F.col("s.m.b").alias("b"), F.col("s.m.gain").alias("gain"), F.col("s.m.bg").alias("gl"), F.col("s.m.bh").alias("hl"), "s.g", "s.h")
 
 
 def with_probabilities(df: DataFrame, model: ExtraTrees | Boosting, features: list[str], keep: list[str]) -> DataFrame:

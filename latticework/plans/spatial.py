@@ -258,7 +258,7 @@ def held_out_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gain_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gain importances of boosted trees by family of columns, over folds."""
     rows = _model_rows(spark, sf_dir).select("grid_id", "label", "fold", F.col("a").alias("building_value"), F.col("b").alias("road_value"), F.col("c").alias("building_spread"))
-    gains = modeling.gain_importances(rows, ["building_value", "road_value", "building_spread"], "label", "fold", trees=2, depth=2)
+    gains = modeling.gain_importances(rows, ["building_value", "road_value", "building_spread"], "label", "fold")
     return features.importance_by_family(gains.withColumn("model", F.lit("boosted")), ["model"])
 
 
