@@ -105,21 +105,49 @@ def planarize(segments: DataFrame, snap: float, size: float, key: str = "id") ->
     return _cut_nodes(own, snap) if size <= NODES_ACROSS * snap else _cut_pairs(own, snap, size)
 
 
-def _cut_nodes(own: DataFrame, snap: float, across: int = 8) -> DataFrame:
-    """Parts of segments between the nodes of the snap lattice at which they are cut.
+def planar_edges(segments: DataFrame, snap: float, size: float, across: int = 16) -> DataFrame:
+    """Edges a < b and length of the graph of the segments' parts between all their crossings: ``graph_edges`` of ``planarize``.
 
-    A segment has as many rows as blocks of ``across`` by ``across`` nodes that it passes, and gets from each the nodes where another one
-    cuts it; a node once cut is settled, so what is compared grows with the nodes and not with the crossings.
+    With a coarse snap a block of nodes makes each of its edges once, however many segments run along it, and a segment is only followed from
+    block to block, by one row for each.
     """
-    width = across * snap
+    own = segments.select(F.monotonically_increasing_id().alias("id"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    if size > NODES_ACROSS * snap:
+        own = _cut(own)
+        return graph_edges(_cut_pairs(own, snap, size), snap).select("a", "b", "length")
+    found = _in_blocks(own, across * snap, across).groupBy("r", "c").applyInArrow(block_edges(snap, across), "id long, away long, first long, last long")
+    inside = F.col("id").isNull()
+    along = Window.partitionBy("id", F.when(inside, F.col("first"))).orderBy("away", "first")
+    ends = found.select(inside.alias("_inside"), "first", "last", F.lead("first").over(along).alias("_next"))
+    ends = ends.select(F.when(F.col("_inside"), F.col("first")).otherwise(F.col("last")).alias("p"), F.when(F.col("_inside"), F.col("last")).otherwise(F.col("_next")).alias("q")).filter("p != q")
+    edges = ends.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+    def place(n: str) -> tuple[Column, Column]:
+        low = F.pmod(F.col(n) + (NODE_BASE >> 1), F.lit(NODE_BASE)) - (NODE_BASE >> 1)
+        return (F.col(n) - low) / NODE_BASE * float(snap), low * float(snap)
+
+    (ax, ay), (bx, by) = place("a"), place("b")
+    return edges.select("a", "b", F.hypot(bx - ax, by - ay).alias("length"))
+
+
+def _in_blocks(own: DataFrame, width: float, across: int) -> DataFrame:
+    """Segments with each block (r, c) of nodes that their bounds touch."""
 
     def blocks(a: str, b: str) -> Column:
         # Node k holds what is nearer than half a snap; a little more, for what rounding moves.
         low, high = F.least(a, b) / width + 0.5 / across - 1e-6, F.greatest(a, b) / width + 0.5 / across + 1e-6
         return F.explode(F.sequence(F.floor(low).cast("long"), F.floor(high).cast("long")))
 
-    spread = own.withColumn("r", blocks("y0", "y1")).withColumn("c", blocks("x0", "x1"))
-    found = spread.groupBy("r", "c").applyInArrow(block_cuts(snap, across), f"id {dict(own.dtypes)['id']}, x0 double, y0 double, x1 double, y1 double, nodes array<long>")
+    return own.withColumn("r", blocks("y0", "y1")).withColumn("c", blocks("x0", "x1"))
+
+
+def _cut_nodes(own: DataFrame, snap: float, across: int = 8) -> DataFrame:
+    """Parts of segments between the nodes of the snap lattice at which they are cut.
+
+    A segment has as many rows as blocks of ``across`` by ``across`` nodes that it passes, and gets from each the nodes where another one
+    cuts it; a node once cut is settled, so what is compared grows with the nodes and not with the crossings.
+    """
+    found = _in_blocks(own, across * snap, across).groupBy("r", "c").applyInArrow(block_cuts(snap, across), f"id {dict(own.dtypes)['id']}, x0 double, y0 double, x1 double, y1 double, nodes array<long>")
     whole = found.groupBy("id", "x0", "y0", "x1", "y1").agg(F.flatten(F.collect_list("nodes")).alias("nodes"))
 
     def place(x: Column, y: Column) -> Column:
@@ -139,13 +167,53 @@ def _cut_nodes(own: DataFrame, snap: float, across: int = 8) -> DataFrame:
 
 
 def block_cuts(snap: float, across: int, batch: int = 1 << 20) -> Callable[[pa.Table], pa.Table]:
-    """The segments of one block with the nodes of the block at which another one of them cuts each.
+    """The segments of one block with the nodes of the block at which another one of them cuts each."""
+    hits = block_hits(snap, across, batch)
+
+    def run(table: pa.Table) -> pa.Table:
+        row, kx, ky = hits(table)
+        offsets = np.searchsorted(row, np.arange(len(table) + 1)).astype(np.int32)
+        nodes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(kx * NODE_BASE + ky))
+        return pa.table({**{n: table[n] for n in ("id", "x0", "y0", "x1", "y1")}, "nodes": nodes})
+
+    return run
+
+
+def block_edges(snap: float, across: int, batch: int = 1 << 20) -> Callable[[pa.Table], pa.Table]:
+    """Of the nodes of one block at which its segments are cut (see ``block_hits``) the pairs that follow each other on a segment, each once
+    (id is null), and for each segment its first and last node there, and how far the first is from its start."""
+    hits = block_hits(snap, across, batch)
+
+    def run(table: pa.Table) -> pa.Table:
+        row, kx, ky = hits(table)
+        x0, y0 = (np.rint(table[c].to_numpy() / snap) for c in ("x0", "y0"))
+        away = (np.abs(kx - x0[row]) + np.abs(ky - y0[row])).astype(np.int64)
+        order = np.lexsort((ky, kx, away, row))
+        row, away, node = row[order], away[order], (kx * NODE_BASE + ky)[order]
+        same = row[1:] == row[:-1]
+        a, b = np.minimum(node[:-1], node[1:])[same], np.maximum(node[:-1], node[1:])[same]
+        by = np.lexsort((b, a))
+        a, b = a[by], b[by]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+        a, b = a[new], b[new]
+        begin, end = np.append(True, ~same)[: len(row)], np.append(~same, True)[: len(row)]
+        ids = table["id"].to_numpy()[row[begin]]
+        return pa.table({
+            "id": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(ids)]), "away": np.concatenate([np.zeros(len(a), np.int64), away[begin]]),
+            "first": np.concatenate([a, node[begin]]), "last": np.concatenate([b, node[end]]),
+        })
+
+    return run
+
+
+def block_hits(snap: float, across: int, batch: int = 1 << 20) -> Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The nodes of one block at which its segments are cut by another one: row of the segment (in order), and the node's place.
 
     Segments are listed under the nodes they come near, in mixed order.  Every listed one looks at the next of its node, then the next two,
     four and so on, until one cuts it there or it has seen all; about as many looks as the share of those that cut it demands.
     """
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x0, y0, x1, y1 = (table[c].to_numpy() for c in ("x0", "y0", "x1", "y1"))
         r, c = table["r"][0].as_py() * across, table["c"][0].as_py() * across
         dx, dy = x1 - x0, y1 - y0
@@ -169,7 +237,9 @@ def block_cuts(snap: float, across: int, batch: int = 1 << 20) -> Callable[[pa.T
             ky.append(np.full(len(own), y, np.int64))
         row, kx, ky = np.concatenate(rows), np.concatenate(kx), np.concatenate(ky)
         mixed = np.random.default_rng(7).permutation(len(row))
-        order = mixed[np.lexsort((kx[mixed], ky[mixed]))]
+        # Few enough nodes for a sort by counting.
+        place = ((ky - r) * across + kx - c).astype(np.uint16 if across <= 256 else np.int64)
+        order = mixed[np.argsort(place[mixed], kind="stable")]
         row, kx, ky = row[order], kx[order], ky[order]
         new = np.concatenate([[True], (kx[1:] != kx[:-1]) | (ky[1:] != ky[:-1])]) if len(row) else np.zeros(0, bool)
         begin = np.flatnonzero(new)
@@ -183,7 +253,7 @@ def block_cuts(snap: float, across: int, batch: int = 1 << 20) -> Callable[[pa.T
 
         hit = np.zeros(len(row), bool)
         for t in (0.0, 1.0):
-            hit |= (np.rint((x0[row] + t * dx[row]) / snap) == kx) & (np.rint((y0[row] + t * dy[row]) / snap) == ky)
+            hit |= (np.rint((x0 + t * dx) / snap)[row] == kx) & (np.rint((y0 + t * dy) / snap)[row] == ky)
         open_, seen = np.flatnonzero(~hit & (many > 1)), 1
         step = 1
         while len(open_):
@@ -210,9 +280,7 @@ def block_cuts(snap: float, across: int, batch: int = 1 << 20) -> Callable[[pa.T
             open_ = open_[~hit[open_] & (many[open_] > seen)]
         got = np.flatnonzero(hit)
         got = got[np.argsort(row[got], kind="stable")]
-        offsets = np.searchsorted(row[got], np.arange(len(x0) + 1)).astype(np.int32)
-        nodes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(kx[got] * NODE_BASE + ky[got]))
-        return pa.table({**{n: table[n] for n in ("id", "x0", "y0", "x1", "y1")}, "nodes": nodes})
+        return row[got], kx[got], ky[got]
 
     return run
 

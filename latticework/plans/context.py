@@ -134,8 +134,7 @@ g AS (SELECT CAST(round_even(ax / 10, 0) AS BIGINT) * 2147483648 + CAST(round_ev
 SELECT least(p, q) AS a, greatest(p, q) AS b, round(min(length), 6) AS length FROM g WHERE p <> q GROUP BY 1, 2""")
 def planar_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of the street graph with a node at every crossing and every end."""
-    parts = network.planarize(roads(spark, sf_dir), 10.0, SIZE)
-    return rounded(network.graph_edges(parts, 10.0).select("a", "b", "length"), "length")
+    return rounded(network.planar_edges(roads(spark, sf_dir), 10.0, SIZE), "length")
 
 
 @query("""WITH f AS (SELECT p_partkey AS seq, ['way', 'relation'][1 + p_partkey % 2] AS osm_type, p_partkey // 4 AS osm_id, CASE WHEN p_partkey % 3 <> 0 THEN 'Leisure' ELSE 'landuse' END AS k, ['Park', 'garden', 'pitch'][1 + p_partkey % 3] AS v, CASE WHEN p_partkey % 7 = 0 THEN 'Private' WHEN p_partkey % 11 = 0 THEN 'yes' END AS acc, p_size * 100.0::DOUBLE - 500 AS area FROM part),
